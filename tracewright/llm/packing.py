@@ -41,7 +41,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: can express the classes.
 LATIN_SPLIT = rf"{LATIN_LETTER}+|'(?:s|t|re|ve|m|ll|d)|{LATIN_NUMBER}|(?:[^\w{LATIN_SPACE}]|_)+"
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHED_CHARS = 48
 #: Buckets that the ranks of one size are counted in.  A bucket is one window
 #: group, so this only spreads work; the ranks are the same for any value.
@@ -74,10 +74,14 @@ class WordEncoder:
         lists = [None if any(s in t for s in self.special) else self._split(t) for t in texts]
         if len(words) > CACHE_ENTRIES:
             words.clear()
-        missing = list({w for ws in lists if ws for w in ws if w not in words})
+        found: set[str] = set()
+        for ws in lists:
+            if ws:
+                found.update(ws)
+        missing = list(found.difference(words))
         for at in range(0, len(missing), 5000):
             self._learn(missing[at : at + 5000])
-        out = [self._whole(t) if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, lists)]
+        out = [self._whole(t) if ws is None else b"".join(map(words.__getitem__, ws)) for t, ws in zip(texts, lists)]
         for w in missing:
             if len(w) > CACHED_CHARS:
                 del words[w]
