@@ -150,16 +150,19 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     def segment(lo: int, bits: int):
         return F.expr(f"shiftrightunsigned(fp, {lo})").bitwiseAND(F.lit((1 << bits) - 1))
 
-    def keys(flips: bool):
+    def exact():
+        return F.explode(F.array(*[segment(lo, bits) + F.lit(n << 32) for n, (lo, bits) in enumerate(SEGMENTS)])).alias("key")
+
+    def flipped():
+        # Of two values that differ in one bit, one has a 0 there: it asks for the
+        # other.  So only zeros are flipped, and each link is looked up once.
         cells = []
         for n, (lo, bits) in enumerate(SEGMENTS):
-            for flip in [1 << k for k in range(bits)] if flips else [0]:
-                cells.append(segment(lo, bits).bitwiseXOR(F.lit(flip)) + F.lit(n << 32))
-        return F.explode(F.array(*cells)).alias("key")
+            for bit in (1 << k for k in range(bits)):
+                cells.append(F.when(segment(lo, bits).bitwiseAND(F.lit(bit)) == 0, segment(lo, bits) + F.lit(bit + (n << 32))))
+        return F.explode(F.array_compact(F.array(*cells))).alias("key")
 
-    entries = distinct.select("fp", keys(False))
-    # Most values around a fingerprint are in no table: they go before anything is gathered.
-    probes = distinct.select("fp", keys(True)).join(entries.select("key").distinct(), "key", "left_semi")
+    entries, probes = distinct.select("fp", exact()), distinct.select("fp", flipped())
     every = entries.select("key", F.lit(0).cast("byte").alias("probe"), "fp").union(probes.select("key", F.lit(1).cast("byte"), "fp"))
     return every.repartition("key").sortWithinPartitions("key", "probe", "fp").mapInPandas(_bucket_links, "a long, b long")
 
