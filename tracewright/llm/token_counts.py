@@ -40,7 +40,7 @@ LATIN_SPLIT = (
 
 #: Entries kept in a worker's word and pair tables before they start afresh.
 #: They only save time; what is forgotten is computed again.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 CACHED_CHARS = 48
 
 
@@ -165,7 +165,7 @@ class PrefixCounter:
     def _plain(self, text: str) -> np.ndarray:
         """Differences for a text without special strings."""
         words, split = self.words, self.split if self.not_latin(text) else self.latin_split
-        deltas = np.frombuffer(b"".join([words[w] for w in split(text)]), np.int8)
+        deltas = np.frombuffer(b"".join(map(words.__getitem__, split(text))), np.int8)
         runs = list(self.runs.finditer(text))
         if runs:
             # While a run of white space is the end of a prefix it is one piece;
