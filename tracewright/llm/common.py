@@ -68,3 +68,20 @@ def is_held_out(id_col: str = "doc_id", folds: int = 5):
 
 
 LONG, INT, STRING = T.LongType(), T.IntegerType(), T.StringType()
+
+
+#: What operators keep in a worker process between tasks: name -> how to drop it.
+_KEPT: dict = {}
+
+
+def keeps(name: str, drop) -> None:
+    """Register what an operator keeps in worker processes."""
+    _KEPT[name] = drop
+
+
+def working_on(name: str) -> None:
+    """Called by worker functions when they start: workers are used again by later
+    stages, so what other operators have kept in this process goes."""
+    for other, drop in _KEPT.items():
+        if other != name:
+            drop()

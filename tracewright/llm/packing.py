@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, NOT_LATIN, settle, small_batches
+from .common import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, NOT_LATIN, keeps, settle, small_batches, working_on
 
 #: Fixed value: how the vocabulary's texts are split into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -108,12 +108,16 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+keeps("packing", encoder.cache_clear)
+
+
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document: id, piece, start, length, ids_crc32 and, if
     asked for, the ids themselves as little-endian 32-bit binary."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("packing")
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, small_batches, text_of
+from .common import settle, small_batches, text_of, working_on
 
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 20_000
@@ -108,6 +108,7 @@ def evidence(weights: np.ndarray, text: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def of(texts: pd.Series) -> pd.Series:
+        working_on("quality")
         return pd.Series([float(np.clip(np.dot(features(t), weights), -20, 20)) for t in texts], dtype="float64")
 
     return of(text)

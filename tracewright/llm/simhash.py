@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, small_batches
+from .common import settle, small_batches, working_on
 from .components import components, forest
 
 MAX_DIFFERENCE = 4
 #: (lowest bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Pairs compared at once in a worker; bounds memory only.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -65,6 +65,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("simhash")
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "fp": fp})

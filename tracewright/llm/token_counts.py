@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, LONG, NOT_LATIN, small_batches
+from .common import LATIN_LETTER, LATIN_NUMBER, LATIN_SPACE, LONG, NOT_LATIN, keeps, small_batches, working_on
 
 #: Fixed value: how texts are split before merging (from the vocabulary's notes).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -200,6 +200,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+keeps("token counts", counter.cache_clear)
+
+
 SCHEMA = "id {id}, n_chars long, n_bytes long, n_tokens long, cut_chars long, prefix_deltas binary"
 
 
@@ -210,6 +213,7 @@ def token_table(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("token counts")
         c = counter(tokenizer)
         for b in batches:
             rows = []

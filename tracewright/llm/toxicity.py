@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out, small_batches, text_of
+from .common import is_held_out, small_batches, text_of, working_on
 
 #: Labelled rows in the index, at most.
 FIT_ROWS = 6_000
@@ -191,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     examples = sorted((r["id"], r["y"], [tuple(p) for p in r["v"]]) for r in rows.select("id", "y", vector("text").alias("v")).collect())
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working_on("toxicity")
         n: Counter = Counter()
         for b in batches:
             n[-1] += len(b)
@@ -212,6 +213,7 @@ def score_of(docs: DataFrame, model: tuple[Vocabulary, Index], text: Column) ->
 
     @F.pandas_udf(kind)
     def of(texts: pd.Series) -> pd.DataFrame:
+        working_on("toxicity")
         vocabulary, index = shared.value
         scores, near = [], []
         for text in texts:
