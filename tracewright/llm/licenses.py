@@ -4,7 +4,7 @@ Notices inside a text are found by comparing windows of words with licence
 templates: sparse TF-IDF vectors over the templates' words, document frequencies
 from all files scanned.  Only windows that hold a marking word (one that occurs
 in few of the files) can reach the threshold, so only those are compared.  A
-file is a licence file if its name says so or if most of its words belong to the
+file is a licence file if its name says so or if nearly all its words belong to the
 best notice.  Files without a notice of their own take the licence of the
 nearest ancestor directory that holds a licence file: directories are joined by
 path with all their ancestors, then files with their directory.
@@ -55,8 +55,8 @@ TEMPLATES = (
 #: Names of licence files.
 FILE_NAME = re.compile(r"^(?:licen[cs]es?|copying(?:\.lesser)?|unlicense|notice|copyright)(?:[.-][a-z0-9.-]*)?$", re.I)
 THRESHOLD = 0.8
-#: Share of a text's words in its best notice that makes it a licence file.
-WHOLE = 0.6
+#: Share of a text's words in its best notice from which on it is a licence file by content.
+WHOLE = 0.9
 
 _tokens = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*").finditer
 

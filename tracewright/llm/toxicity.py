@@ -43,7 +43,7 @@ FIT_ROWS = 6_000
 TERMS = 4_096
 #: A term's least likelihood ratio and least factor between the two shares.
 MIN_RATIO, MIN_LIFT = 30.0, 5.0
-STEMS = (3, 4, 5)
+STEMS = (3, 4, 5, 6, 7)
 BLOCK = 64
 K = 16
 
@@ -139,7 +139,8 @@ class Index:
         if not vector:
             return self.blank, np.empty(0, np.int64), np.empty(0)
         places, sims = self.nearest(vector)
-        votes = sims / (1.1 - np.minimum(sims, 1.0))
+        # Squares: many that are hardly near must not outweigh the prior share.
+        votes = sims * sims / (1.1 - np.minimum(sims, 1.0))
         p = (float(votes @ self.labels[places]) + self.share) / (float(votes.sum()) + 1)
         return min(max(p, 0.0), 1.0), places, sims
 
