@@ -138,9 +138,11 @@ def causal_features(df: DataFrame, keys: list[str], order: list[str], x: str, wi
 def surrounding(df: DataFrame, keys: list[str], order: list[str], wanted: Column, value: str | Column) -> DataFrame:
     """Adds prev and next, the value at the nearest row before and after at
     which ``wanted`` holds (rows themselves not counted)."""
-    w = over(keys, order)
     v = F.when(wanted, c(value))
-    return df.withColumns({"prev": F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "next": F.first(v, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    # Both look back, one from each end: frames that reach forward are built anew for each row.
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order])
+    ahead = lambda w: F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumns({"prev": ahead(over(keys, order)), "next": ahead(back)})
 
 
 def nearest_row(df: DataFrame, keys: list[str], ts: str, at: Column) -> DataFrame:
