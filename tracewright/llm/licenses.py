@@ -132,7 +132,8 @@ def frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
             n[""] += len(b)
             for text in b["text"]:
                 n.update(set(_KNOWN(text.lower())))
-        yield pd.DataFrame({"w": list(n), "n": np.array(list(n.values()), np.int64)})
+        if n:  # a partition may be empty
+            yield pd.DataFrame({"w": list(n), "n": np.array(list(n.values()), np.int64)})
 
     found = {r["w"]: r["n"] for r in texts.mapInPandas(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return found, found.pop("", 0)

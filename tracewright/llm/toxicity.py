@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             n[-1] += len(b)
             for text in b["text"]:
                 n.update(vocabulary.vector(text).keys())
-        yield pd.DataFrame({"t": list(n), "n": list(n.values())}).astype({"t": "int32", "n": "int64"})
+        if n:  # a partition may be empty
+            yield pd.DataFrame({"t": list(n), "n": list(n.values())}).astype({"t": "int32", "n": "int64"})
 
     df = {r["t"]: r["n"] for r in docs.select(text_of(text_col).alias("text")).mapInPandas(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row for each term
     idf = np.array([math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(found))])
