@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm import components, embedding_dedup, licenses, mixing, nearest, packing, quality, queries, simhash, token_counts, toxicity, wrappers
+from tracewright.llm import common, components, embedding_dedup, licenses, mixing, nearest, packing, quality, queries, simhash, token_counts, toxicity, wrappers
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SMALL = "/root/testdata/sf0.001"
@@ -518,3 +518,15 @@ def test_pipeline_runs_and_keeps_columns(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SMALL).collect()
     check_packing(before.collect(), packed, 2048)
     assert 0.4 * n < len({r.doc_id for r in packed}) <= n
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    common.small_batches(spark)
+    df = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "size": [int(b["text"].str.len().sum())]})
+
+    rows = df.mapInPandas(sizes, "n int, size long").collect()
+    assert sum(r.n for r in rows) == 300 and max(r.size for r in rows) <= common.ARROW_BYTES + 100_000

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 #: Rows handed to a Python worker at once.  Documents can be long, so this is
 #: far below Spark's default; it bounds a worker's memory, not the result.
 ARROW_ROWS = 1000
+#: Bytes after which a batch is closed even with fewer rows.
+ARROW_BYTES = 4 << 20
 
 
 #: Below U+0300, for the standard library's regular expressions: letters, the
@@ -51,6 +53,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, as texts have no length limit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def text_of(col: str = "text"):
