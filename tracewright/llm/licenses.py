@@ -55,6 +55,8 @@ TEMPLATES = (
 #: Names of licence files.
 FILE_NAME = re.compile(r"^(?:licen[cs]es?|copying(?:\.lesser)?|unlicense|notice|copyright)(?:[.-][a-z0-9.-]*)?$", re.I)
 THRESHOLD = 0.8
+#: Parts that the rows of one directory are dealt into when they look up its licence.
+SALTS = 16
 #: Share of a text's words in its best notice from which on it is a licence file by content.
 WHOLE = 0.9
 
@@ -172,7 +174,10 @@ def inherit(found: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     ups = dirs.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("ancestor", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     nearest = ups.join(licensed, "ancestor").groupBy(F.col("dir").alias("d")).agg(F.max_by(F.struct("given", "given_score"), "depth").alias("up"))
-    out = rows.join(nearest, F.col("dir") == F.col("d"), "left")
+    # One directory may hold a third of all files: its one row is repeated for each salt.
+    nearest = nearest.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int"))
+    out = salted.join(nearest, (F.col("dir") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     own = F.col("license").isNotNull()
     return out.select(
         "id", F.coalesce("license", "up.given").alias("license"), F.when(own, F.col("score")).otherwise(F.coalesce("up.given_score", F.lit(0.0))).alias("score"),
