@@ -6,14 +6,19 @@ groups fold into one, so pages that differ only in how much they hold have the
 same stream.  The distinct streams of a host are aligned with each other, one
 after the other: what both have stays, what only one has becomes an optional
 group, groups that repeat in either become repeated groups, and texts become
-slots.  The result is the host's wrapper, a regular expression without
-alternatives.  Its slots carry the path of tags they stand under.
-
-A wrapper says which slots hold the main text: those under an article or main
-element, else those under the element that holds most of the host's running
-text; never those under menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments of readers.  A page's text is read from its
-own slots by that rule.
+slots, unless they belong to the template: a text that stands under the same
+path on at least three different pages of the host, and on half of those with
+that path, is a constant of the wrapper.  The result is the host's wrapper, a
+regular expression without alternatives.
+
+Each page is aligned with its host's wrapper, so its elements and texts have
+places there.  The host's running text is added up by the wrapper's elements,
+and the deepest element that holds four fifths of it is the host's region.  The
+main text of a page is what stands in slots inside article or main elements, on
+pages without them inside the region; never constants, menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or comments of readers.  A
+page whose texts there are all constants keeps them, as copies of one page would
+else lose their text.
 
 Hosts are dealt over salts: streams are first made distinct per host, each salt
 builds a wrapper from its share of them, and the salts' wrappers are aligned in
@@ -32,6 +37,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -60,6 +66,12 @@ ENDS = {
 SALTS = 16
 #: Longest repeated group that folding looks for, in tokens.
 LONGEST_GROUP = 12
+MARKS_OF_GROUPS = frozenset(("(", ")+", ")?"))
+#: A text is a constant from this many different pages of a host on, and this share
+#: of those with its path.
+LEAST_PAGES, LEAST_SHARE = 3, 0.5
+#: Alignments of streams with wrappers that a task remembers.
+REMEMBERED = 4096
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _attribute = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -159,9 +171,15 @@ class Page:
 
 def fold(stream: list[str]) -> tuple[str, ...]:
     """Neighbouring equal groups become one group '( ... )+', inner ones first."""
-    s = list(stream)
+    return tuple(fold_places(stream)[0])
+
+
+def fold_places(stream: list[str]) -> tuple[list[str], list[list[int]]]:
+    """``fold``, with the places in the stream that each token stands for."""
+    s, at = list(stream), [[i] for i in range(len(stream))]
     for size in range(1, LONGEST_GROUP + 1):
         out: list[str] = []
+        places: list[list[int]] = []
         i = 0
         while i < len(s):
             group = s[i : i + size]
@@ -170,13 +188,16 @@ def fold(stream: list[str]) -> tuple[str, ...]:
                 j += size
             if j > i + size and _balanced(group):
                 whole = len(group) > 1 and group[0] == "(" and group[-1] == ")+"
+                merged = [[x for q in range(i + r, j, size) for x in at[q]] for r in range(size)]
                 out += group if whole else ["(", *group, ")+"]
+                places += merged if whole else [[], *merged, []]
                 i = j
             else:
                 out.append(s[i])
+                places.append(at[i])
                 i += 1
-        s = out
-    return tuple(s)
+        s, at = out, places
+    return s, at
 
 
 def _balanced(group: list[str]) -> bool:
@@ -242,51 +263,180 @@ def infer(streams: list[tuple[str, ...]]) -> tuple[str, ...]:
     return wrapper
 
 
-def main_paths(counts: dict[tuple[str, ...], int]) -> tuple[str, ...]:
-    """The path of the element that holds the main text: the deepest one that
-    still holds four fifths of the running text.  counts: characters outside
-    links by path."""
-    total = sum(counts.values())
-    held: Counter = Counter()
-    for path, n in counts.items():
-        for k in range(len(path) + 1):
-            held[path[:k]] += n
-    good = [p for p, n in held.items() if n >= 0.8 * total and (not p or p[-1].split(".")[0] not in ("p", "li", "td", "tr", "h1", "h2"))]
-    return max(good, key=lambda p: (len(p), held[p], p), default=())
+def placed(wrapper: tuple[str, ...], folded: tuple[str, ...]) -> dict[int, int]:
+    """Places of a folded stream's tokens in the wrapper's tokens, both without marks."""
+    return {b + i: a + i for a, b, n in SequenceMatcher(None, wrapper, folded, autojunk=False).get_matching_blocks() for i in range(n)}
+
+
+def bare(tokens) -> tuple[str, ...]:
+    return tuple(t for t in tokens if t not in MARKS_OF_GROUPS)
+
+
+def main_region(held: dict[tuple[int, int, str], int], total: int) -> int:
+    """The deepest element that still holds four fifths of the running text, as a
+    place in the wrapper; -1: the whole page.  held: characters outside links by
+    (depth, place, tag)."""
+    good = [(d, n, -k) for (d, k, tag), n in held.items() if total and n >= 0.8 * total and tag not in ("p", "li", "td", "tr", "h1", "h2")]
+    return -max(good)[2] if good else -1
 
 
 def usable(path: tuple[str, ...]) -> bool:
     return not any(x[0] == "!" for x in path)
 
 
-def extract(page: Page, under: tuple[str, ...] | None) -> str:
-    """The main text of a page."""
-    blocks = [(p, t) for p, t, _ in page.blocks if usable(p)]
-    if any(x in MAIN for p, _ in blocks for x in p):
-        return " ".join(t for p, t in blocks if any(x in MAIN for x in p))
-    inside = [t for p, t in blocks if under is not None and p[: len(under)] == under]
-    return " ".join(inside or [t for _, t in blocks])
+def written(page: Page) -> str:
+    """A page's stream, a token a line; a text token is '#', the characters in
+    links, a tab and the text (which has no other white space than spaces)."""
+    texts = iter(page.blocks)
+    return "\n".join("#%d\t%s" % (b[2], b[1]) if t == "#" and (b := next(texts)) else t for t in page.stream)
+
+
+class Read:
+    """A written page: its tokens, and for each text (place, open elements as
+    places, path of tags, text, characters in links)."""
+
+    def __init__(self, source: str):
+        self.tokens: list[str] = []
+        self.texts: list[tuple[int, tuple[int, ...], tuple[str, ...], str, int]] = []
+        opened: list[int] = []
+        labels: list[str] = []
+        for i, t in enumerate(source.split("\n") if source else ()):
+            if t[0] == "#":
+                linked, text = t[1:].split("\t", 1)
+                self.texts.append((i, tuple(opened), tuple(labels), text, int(linked)))
+                t = "#"
+            elif t[0] == "<":
+                opened.append(i)
+                labels.append(t[1:])
+            else:
+                opened.pop()
+                labels.pop()
+            self.tokens.append(t)
+
+    def with_constants(self, fixed: frozenset[int]) -> list[str]:
+        """The tokens, constants of the template as '=' and a code."""
+        out = list(self.tokens)
+        if fixed:
+            for i, _, path, text, _ in self.texts:
+                code = code_of(path, text)
+                if code in fixed:
+                    out[i] = f"={code}"
+        return out
+
+
+def code_of(path: tuple[str, ...], text: str) -> int:
+    """Code of a text under a path; of the path alone without a text."""
+    return int.from_bytes(blake2b(("\n".join(path) + "\t" + text).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+class Matcher:
+    """Aligns pages with their hosts' wrappers; remembers what it aligned."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, tuple[str, ...]], dict[int, int]] = {}
+        self.split: dict[str, tuple[str, ...]] = {}
+
+    def places(self, tokens: list[str], wrapper: str) -> dict[int, int]:
+        """Place in the wrapper of each token that has one."""
+        folded, at = fold_places(tokens)
+        plain = bare(folded)
+        key = wrapper, plain
+        if key not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+                self.split.clear()
+            if wrapper not in self.split:
+                self.split[wrapper] = bare(wrapper.split("\n"))
+            self.known[key] = placed(self.split[wrapper], plain)
+        found = self.known[key]
+        where = [a for t, a in zip(folded, at) if t not in MARKS_OF_GROUPS]
+        return {i: found[k] for k, a in enumerate(where) if k in found for i in a}
+
+    def slots(self, page: Read, fixed: frozenset[int], wrapper: str) -> list[tuple[bool, tuple[tuple[int, int, str], ...], tuple[str, ...], str, int]]:
+        """For each text that can be main text: whether it fills a slot, its elements
+        in the wrapper as (depth, place, tag), path, text, characters in links."""
+        tokens = page.with_constants(fixed)
+        if not any(usable(p) for _, _, p, _, _ in page.texts):
+            return []
+        at = self.places(tokens, wrapper)
+        out = []
+        for i, opened, path, text, linked in page.texts:
+            if usable(path):
+                inside = tuple((d, at[o], x.split(".")[0]) for d, (o, x) in enumerate(zip(opened, path)) if o in at)
+                out.append((tokens[i] == "#", inside, path, text, linked))
+        return out
+
+
+def extract(slots, region: int) -> str:
+    """The main text of a page, from its texts as ``Matcher.slots`` gives them."""
+    if any(x in MAIN for _, _, p, _, _ in slots for x in p):
+        chosen = [s for s in slots if any(x in MAIN for x in s[2])]
+    else:
+        chosen = [s for s in slots if region < 0 or any(k == region for _, k, _ in s[1])]
+        if not any(s[0] for s in chosen):
+            chosen = slots
+    return " ".join(s[3] for s in [s for s in chosen if s[0]] or chosen)
+
+
+def constants(parsed: DataFrame) -> DataFrame:
+    """(host, fixed): codes of the texts that are constants; hosts without any are left out."""
+
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for host, source in zip(b["host"], b["page"]):
+                found = {(code_of(p, ""), code_of(p, t)) for _, _, p, t, _ in Read(source).texts}
+                rows += [(host, code_of((), source), p, t) for p, t in sorted(found | {(p, p) for p, _ in found})]
+            yield pd.DataFrame(rows, columns=["host", "copy", "p", "t"]).astype({"copy": "int64", "p": "int64", "t": "int64"})
+
+    # Copies of a page count once.
+    pages = parsed.select("host", "page").mapInPandas(codes, "host string, copy long, p long, t long")
+    counts = pages.groupBy("host", "p", "t").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    counts = settle(counts, "texts")
+    of_path = counts.filter("p = t").select("host", "p", F.col("n").alias("all"))
+    often = counts.filter("p <> t").join(of_path, ["host", "p"]).filter(F.col("n") >= LEAST_SHARE * F.col("all"))
+    return often.groupBy("host").agg(F.sort_array(F.collect_set("t")).alias("fixed"))  # at most 1 / LEAST_SHARE for each path and text of a page
+
+
+def _fixed(column: pd.Series) -> list[frozenset[int]]:
+    return [frozenset(map(int, x)) if x is not None else frozenset() for x in column]
 
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each host its distinct streams, and the running text by path."""
+    """For each host its distinct streams."""
     for b in batches:
         streams: Counter = Counter()
-        texts: Counter = Counter()
-        for host, source in zip(b["host"], b["html"]):
-            page = Page(source)
-            streams[host, "\n".join(fold(page.stream))] += 1
-            if not any(x in MAIN for p, _, _ in page.blocks for x in p):
-                for p, t, linked in page.blocks:
-                    if usable(p):
-                        texts[host, "\n".join(p)] += max(0, len(t) - linked)
-        rows = [(h, "stream", s, n) for (h, s), n in streams.items()] + [(h, "text", p, n) for (h, p), n in texts.items()]
-        yield pd.DataFrame(rows, columns=["host", "kind", "value", "n"])
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, under): one row for each host; pages has host and html."""
-    distinct = settle(pages.select("host", "html").mapInPandas(_streams, "host string, kind string, value string, n long").groupBy("host", "kind", "value").agg(F.sum("n").alias("n")), "streams")
+        for host, source, fixed in zip(b["host"], b["page"], _fixed(b["fixed"])):
+            streams[host, "\n".join(fold(Read(source).with_constants(fixed)))] += 1
+        yield pd.DataFrame([(h, s, n) for (h, s), n in streams.items()], columns=["host", "value", "n"])
+
+
+def _running_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Running text in slots, by the wrapper's elements, of pages without article or main;
+    place -1 for all of it."""
+    matcher = Matcher()
+    for b in batches:
+        held: Counter = Counter()
+        for host, source, fixed, wrapper in zip(b["host"], b["page"], _fixed(b["fixed"]), b["wrapper"]):
+            slots = matcher.slots(Read(source), fixed, wrapper)
+            if not any(x in MAIN for _, _, p, _, _ in slots for x in p):
+                for slot, inside, _, text, linked in slots:
+                    n = max(0, len(text) - linked)
+                    if slot and n:
+                        for d, k, tag in ((-1, -1, ""), *inside):
+                            held[host, d, k, tag] += n
+        yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["host", "depth", "place", "tag", "n"])
+
+
+def _salted(known: DataFrame) -> DataFrame:
+    """A row for each salt, so that no host's pages are one task."""
+    return known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+
+
+def wrappers(parsed: DataFrame) -> DataFrame:
+    """(host, fixed, wrapper, region): one row for each host; parsed has host, salt and page."""
+    fixed = settle(parsed.select("host").distinct().join(constants(parsed), "host", "left"), "constants")
+    distinct = settle(parsed.join(_salted(fixed), ["host", "salt"]).select("host", "page", "fixed").mapInPandas(_streams, "host string, value string, n long").groupBy("host", "value").agg(F.sum("n").alias("n")), "streams")
 
     def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["n", "value"], ascending=[False, True])
@@ -294,14 +444,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "n": [int(pdf["n"].sum())], "value": ["\n".join(wrapper)]})
 
     def of_texts(pdf: pd.DataFrame) -> pd.DataFrame:
-        under = main_paths({tuple(p.split("\n")) if p else (): n for p, n in zip(pdf["value"], pdf["n"])})
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "under": ["\n".join(under)]})
+        held = {(int(d), int(k), tag): int(n) for d, k, tag, n in zip(pdf["depth"], pdf["place"], pdf["tag"], pdf["n"])}
+        total = held.pop((-1, -1, ""), 0)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "region": [main_region(held, total)]})
 
     schema = "host string, n long, value string"
-    streams = distinct.filter("kind = 'stream'").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
-    merged = streams.groupBy("host", "salt").applyInPandas(of_group, schema).groupBy("host").applyInPandas(of_group, schema)
-    under = distinct.filter("kind = 'text'").groupBy("host").applyInPandas(of_texts, "host string, under string")
-    return settle(merged.join(under, "host", "left").select("host", F.col("value").alias("wrapper"), "under"), "wrappers")
+    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    merged = salted.groupBy("host", "salt").applyInPandas(of_group, schema).groupBy("host").applyInPandas(of_group, schema)
+    known = settle(fixed.join(merged.select("host", F.col("value").alias("wrapper")), "host"), "wrappers")
+    text = parsed.join(_salted(known), ["host", "salt"]).select("host", "page", "fixed", "wrapper").mapInPandas(_running_text, "host string, depth int, place int, tag string, n long")
+    region = text.groupBy("host", "depth", "place", "tag").agg(F.sum("n").alias("n")).groupBy("host").applyInPandas(of_texts, "host string, region int")
+    return settle(known.join(region, "host", "left").withColumn("region", F.coalesce("region", F.lit(-1))), "regions")
 
 
 def host_of(url: str):
@@ -311,15 +464,21 @@ def host_of(url: str):
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, wrapper) for every row."""
     small_batches(df.sparkSession)
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    known = wrappers(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
-    both = salted.join(known, ["host", "salt"]).select("id", "url", "html", "under", "wrapper")
+    kind = df.schema[id_col].dataType.simpleString()
+    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["id", "url", "host"]].assign(page=[written(Page(h)) for h in b["html"]])
+
+    parsed = settle(pages.mapInPandas(parse, f"id {kind}, url string, host string, page string"), "pages")
+    parsed = parsed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+    both = parsed.join(_salted(wrappers(parsed)), ["host", "salt"]).select("id", "url", "page", "fixed", "region", "wrapper")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher()
         for b in batches:
-            texts = [extract(Page(h), None if not isinstance(u, str) else tuple(u.split("\n")) if u else ()) for h, u in zip(b["html"], b["under"])]
+            texts = [extract(matcher.slots(Read(p), f, w), int(r)) for p, f, r, w in zip(b["page"], _fixed(b["fixed"]), b["region"], b["wrapper"])]
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "wrapper": b["wrapper"]})
 
-    kind = df.schema[id_col].dataType.simpleString()
     return both.mapInPandas(run, f"id {kind}, url string, text string, wrapper string").withColumnRenamed("id", id_col)
