@@ -119,6 +119,40 @@ def test_moving_median_pads_the_ends(spark):
         assert got == [sorted(p[i : i + 5])[2] for i in range(n)]
 
 
+def test_length_classes_equal_brute_force(spark):
+    """Every pair of frequent lengths counts, and the modal paths."""
+    g = np.random.default_rng(7)
+    plan = {"a": [(8, 60, 30, "x"), (9, 50, 40, "x"), (10, 40, 40, "x"), (11, 30, 40, "y"), (12, 4, 40, "x"), (13, 20, 30, "x")], "b": [(int(n), int(g.integers(5, 60)), float(g.choice([30, 31, 33])), str(g.choice(["x", "y"]))) for n in range(5, 13)]}
+    rows = [(s, n, round(float(g.normal(m, 1.0)), 1), p if i % 3 else "z") for s, groups in plan.items() for n, k, m, p in groups for i in range(k)]
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "series_id string, length int, rtt_ms double, as_path string, pos long")
+    got = {(r.series_id, r.value): (r.clase, r.fusionada) for r in blocks.length_classes(df, ["series_id"], "length", "rtt_ms", "as_path", "pos").collect()}
+    want = {}
+    for s in plan:
+        by: dict = {}
+        for _, n, v, p, _ in (r for r in rows if r[0] == s):
+            by.setdefault(n, []).append((v, p))
+        order = sorted(by, key=lambda n: (-len(by[n]), list(by).index(n)))
+        total, classes = sum(map(len, by.values())), []
+
+        def same(n, m):
+            x, y = np.sort([v for v, _ in by[n]]), np.sort([v for v, _ in by[m]])
+            at = np.union1d(x, y)
+            d = np.abs(np.searchsorted(x, at, "right") / len(x) - np.searchsorted(y, at, "right") / len(y)).max()
+            e = np.sqrt(len(x) * len(y) / (len(x) + len(y)))
+            lam = (e + 0.12 + 0.11 / e) * d
+            p = 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * lam * lam) for k in range(1, 101))
+            modal = [max((q for _, q in z), key=[q for _, q in z].count) for z in (by[n], by[m])]
+            return min(len(x), len(y)) >= max(10, np.ceil(0.005 * total)) and modal[0] == modal[1] and not (p < 0.01 and abs(np.median(x) - np.median(y)) >= 2.0)
+
+        for n in order:
+            fit = next((c for c in classes if all(same(n, m) for m in c)), None)
+            fit.append(n) if fit else classes.append([n])
+        want |= {(s, n): (c[0], len(c) > 1) for c in classes for n in c}
+    assert got == want
+    assert got["a", 10] == (9, True) and got["a", 11] == (11, False) and got["a", 13] == (8, True)
+
+
 def test_smoothing():
     s = lambda x, d=3: segments.smooth_states(np.array(x), d).tolist()
     assert s([0, 0, 1, 1]) == [0, 0, 1, 1]

@@ -58,12 +58,14 @@ def robust_sigma(df: DataFrame, keys: list[str], x: str, out: str = "sigma") ->
     return joined.groupBy(*keys).agg((F.lit(1.4826) * F.percentile(F.abs(F.col(x) - F.col("__m")), 0.5)).alias(out))
 
 
-def ks_two_samples(df: DataFrame, keys: list[str], x: str, first: str) -> DataFrame:
-    """(keys, n1, n2, d, p) of the samples where the column ``first`` is true or not.
+def ks_two_samples(df: DataFrame, keys: list[str], x: str, first: str, weight: str | None = None) -> DataFrame:
+    """(keys, n1, n2, d, p) of the samples where the column ``first`` is true or not;
+    ``weight``: how many values a row stands for (whole numbers), else one.
 
     Distribution steps are taken at distinct values, so samples of any size meet
     only as counts."""
-    counts = df.groupBy(*keys, x).agg(F.sum(F.col(first).cast("long")).alias("a"), F.sum((~F.col(first)).cast("long")).alias("b"))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    counts = df.groupBy(*keys, x).agg(F.sum(F.col(first).cast("long") * n).alias("a"), F.sum((~F.col(first)).cast("long") * n).alias("b"))
     w = Window.partitionBy(*keys)
     up = w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     steps = counts.withColumns({"n1": F.sum("a").over(w), "n2": F.sum("b").over(w), "ca": F.sum("a").over(up), "cb": F.sum("b").over(up)})

@@ -70,15 +70,35 @@ def compare_samples(rows: DataFrame, keys: list[str], group: str, x: str, positi
     return out.select(*keys, group, "n", "median", "delta_ms", "d", "p", F.when(F.col("rank") == 1, "referencia").when(differs, "distinto").otherwise("equivalente").alias("verdict"))
 
 
+def compare_pairs(rows: DataFrame, keys: list[str], group: str, x: str, position: str, min_n: int = 10, min_share: float = 0.005, diff_ms: float = 2.0, diff_rel: float = 0.0, alpha: float = 0.01) -> DataFrame:
+    """(keys, a, b, delta_ms, d, p, equivalent): each pair of frequent groups, a
+    the more frequent one (of equals the one seen first).
+
+    Samples meet as counts of distinct values."""
+    counts = rows.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("__p"), F.percentile(x, 0.5).alias("m"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumns({"__all": F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), "__p"))})
+    enough = counts.filter(F.col("n") >= F.greatest(F.lit(min_n), F.ceil(F.lit(min_share) * F.col("__all"))))
+    side = lambda s: enough.select(*keys, *[F.col(c).alias(f"__{to}{s}") for c, to in ((group, "v"), ("m", "m"), ("r", "r"))])
+    pairs = side("a").join(side("b"), keys).filter("__ra < __rb")  # pairs of a series' frequent groups
+    values = rows.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(group).alias("__g"), F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    both = pairs.select(*keys, "__va", "__vb", F.explode(F.array(F.struct(F.col("__va").alias("g"), F.lit(True).alias("f")), F.struct(F.col("__vb").alias("g"), F.lit(False).alias("f")))).alias("s"))
+    both = both.select(*keys, "__va", "__vb", F.col("s.g").alias("__g"), F.col("s.f").alias("__first")).join(values, [*keys, "__g"])
+    ks = ks_two_samples(both, [*keys, "__va", "__vb"], "__x", "__first", "__n").select(*keys, "__va", "__vb", "d", "p")
+    out = pairs.join(ks, [*keys, "__va", "__vb"]).withColumn("delta_ms", F.col("__mb") - F.col("__ma"))
+    differs = (F.col("p") < alpha) & (F.abs("delta_ms") >= F.greatest(F.lit(diff_ms), F.lit(diff_rel) * F.least("__ma", "__mb")))
+    return out.select(*keys, F.col("__va").alias("a"), F.col("__vb").alias("b"), "delta_ms", "d", "p", (~differs).alias("equivalent"))
+
+
 def equivalence_classes(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """Complete linkage in order of frequency.  pairs: (keys, a, b, equivalent);
-    members: (keys, value, n, path).  A value joins the first class that it is
+    members: (keys, value, n, path; rank, if equal n aren't to go by value).  A value joins the first class that it is
     equivalent to in every member with the same path; unknown pairs don't join.
 
     Grouped function: a series has a handful of lengths."""
 
     def run(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["n", "value"], ascending=[False, True])
+        own = own.sort_values("rank") if "rank" in own else own.sort_values(["n", "value"], ascending=[False, True])
         path = dict(zip(own["value"], own["path"]))
         same = {frozenset((a, b)) for a, b, e in zip(known["a"], known["b"], known["equivalent"]) if e}
         classes: list[list[int]] = []
@@ -114,3 +134,14 @@ def rtt_summary(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 def modal_path(rows: DataFrame, keys: list[str], path: str, position: str) -> DataFrame:
     return mode_first_seen(rows, keys, path, position, "modal_path")
+
+
+def length_classes(rows: DataFrame, keys: list[str], group: str, x: str, path: str, position: str) -> DataFrame:
+    """(keys, value, clase, fusionada): classes of lengths that are equivalent in
+    every pair and have the same modal path; rare lengths stay alone."""
+    known = compare_pairs(rows, keys, group, x, position).select(*keys, "a", "b", "equivalent")
+    modal = modal_path(rows, [*keys, group], path, position).select(*keys, F.col(group).alias("value"), F.col("modal_path").alias("path"))
+    counts = rows.groupBy(*keys, F.col(group).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("__p"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "__p"))
+    members = counts.withColumn("rank", rank).drop("__p").join(modal, [*keys, "value"], "left")
+    return equivalence_classes(known, members, keys)

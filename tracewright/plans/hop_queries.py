@@ -168,11 +168,7 @@ def length_compare(spark, sf):
 @query()
 def length_classes(spark, sf):
     rows = cycles(spark, sf).withColumn("pos", F.struct(*C))
-    cmp = blocks.compare_samples(rows, K, "length", "last_rtt", "pos", min_share=0.005, diff_ms=2.0, diff_rel=0.0)
-    ref = cmp.filter("verdict = 'referencia'").select(*K, F.col("length").alias("a"))
-    known = cmp.filter("verdict <> 'referencia'").select(*K, F.col("length").alias("b"), (F.col("verdict") == "equivalente").alias("equivalent")).join(ref, K)
-    members = rows.groupBy(*K, F.col("length").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("path", F.lit(""))
-    return blocks.equivalence_classes(known.select(*K, "a", "b", "equivalent"), members, K)
+    return blocks.length_classes(rows.withColumn("as_path", F.array_join("as_path", ">")), K, "length", "last_rtt", "as_path", "pos")
 
 
 @query(_CYC + """, ps AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id) AS pos FROM cyc), ml AS (SELECT series_id, length, n FROM (SELECT series_id, length, count(*) AS n, min(pos) AS p FROM ps GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, p) = 1),
