@@ -153,6 +153,28 @@ def test_length_classes_equal_brute_force(spark):
     assert got["a", 10] == (9, True) and got["a", 11] == (11, False) and got["a", 13] == (8, True)
 
 
+def test_sweep_settings(spark, monkeypatch):
+    """The registered sweep has the survey's settings and every series."""
+    from tracewright.plans import series_queries
+
+    seen = []
+    monkeypatch.setattr(evaluation, "sweep", lambda rows, keys, configs, seeds, order, x: seen.append((rows, configs, seeds)))
+    monkeypatch.setattr(evaluation, "seed_stability", lambda runs, keys: runs)
+    series_queries.parameter_sweep(spark, "/root/testdata/sf0.001")
+    (rows, configs, seeds) = seen[0]
+    assert [(c["sf"], c["kappa"], c["percentile"]) for c in configs] == [(20, 1000, 0), (5, 1000, 0), (1, 1000, 0), (20, 3000, 0), (20, 6000, 0), (20, 1000, 98)]
+    assert all((c["k"], c["laps"]) == (15, 300) for c in configs) and seeds == [0, 1, 2]
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_sweep_cuts_by_percentile(spark):
+    g = np.random.default_rng(3)
+    y = [*g.normal(30, 0.5, 120), *g.normal(40, 0.5, 120), 500.0, 500.0, 500.0]
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "series_id string, i int, x double")
+    got = {r.config_id: r.boundaries for r in evaluation.sweep(df, ["series_id"], [{"percentile": p} for p in (0.0, 98.0)], [0], ["i"], "x", dwell=1).collect()}
+    assert max(got[0]) == 240 and max(got[1]) == 120
+
+
 def test_smoothing():
     s = lambda x, d=3: segments.smooth_states(np.array(x), d).tolist()
     assert s([0, 0, 1, 1]) == [0, 0, 1, 1]

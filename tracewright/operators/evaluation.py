@@ -199,17 +199,27 @@ def rule_baseline(rows: DataFrame, median: str, threshold: float = 2.0) -> DataF
     return rows.withColumn("regla", (F.col(median) >= threshold).cast("int"))
 
 
+def one_at_a_time(values: dict[str, list[float]]) -> list[dict[str, float]]:
+    """The first value of each list, then each other value with the rest left as they are."""
+    base = {k: v[0] for k, v in values.items()}
+    return [base, *[base | {k: x} for k, v in values.items() for x in v[1:]]]
+
+
 def sweep(rows: DataFrame, keys: list[str], configs: list[dict], seeds: list[int], order: list[str], x: str, dwell: int = 4) -> DataFrame:
     """The model for each setting and seed; (keys, config_id, seed, states,
-    boundaries).  A task is one block with one setting."""
+    boundaries).  A task is one block with one setting.  A setting's percentile,
+    unless 0, cuts the values above it; boundaries count the rows that are left."""
     from .segments import fuse_states, smooth_states, sticky_hmm
 
     jobs = F.explode(F.array(*[F.struct(F.lit(i).alias("config_id"), F.lit(s).alias("seed")) for i in range(len(configs)) for s in seeds])).alias("__job")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        y = pdf[x].to_numpy(float)
-        states = smooth_states(fuse_states(y, sticky_hmm(y, [0], seed=int(key[-1]), **configs[int(key[-2])])), dwell)
+        y, setting = pdf[x].to_numpy(float), dict(configs[int(key[-2])])
+        cut = setting.pop("percentile", 0.0)
+        if cut > 0:
+            y = y[y <= np.percentile(y, cut)]
+        states = smooth_states(fuse_states(y, sticky_hmm(y, [0], seed=int(key[-1]), **setting)), dwell)
         return pd.DataFrame([(*key, len(set(states.tolist())), (np.flatnonzero(np.diff(states)) + 1).tolist())], columns=[*keys, "config_id", "seed", "states", "boundaries"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)

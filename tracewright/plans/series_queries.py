@@ -465,7 +465,7 @@ def _long(spark, sf):
 @query()
 def hmm_segments(spark, sf):
     rows = windows.with_sequences(_long(spark, sf), K, O, "cycle_ts", 24 * HOUR).withColumn("block_id", F.lit(1).cast("long"))
-    states = segments.model_states(rows, K, O, "rtt_ms", k=6, laps=30, kappa=100.0)
+    states = segments.model_states(rows, K, O, "rtt_ms", k=15, laps=100, kappa=1000.0)
     return segments.segments(states, [*K, "block_id"], O, "state", "rtt_ms", "cycle_ts", 1200.0)
 
 
@@ -530,5 +530,5 @@ def logistic_cv(spark, sf):
 
 @query()
 def parameter_sweep(spark, sf):
-    rows = _long(spark, sf).filter("series_id in ('view', 'click')")
-    return evaluation.seed_stability(evaluation.sweep(rows, K, [{"k": 4, "laps": 10, "kappa": 50.0}, {"k": 4, "laps": 10, "kappa": 500.0}], [0, 1], O, "rtt_ms"), K)
+    configs = evaluation.one_at_a_time({"sf": [20.0, 5.0, 1.0], "kappa": [1000.0, 3000.0, 6000.0], "percentile": [0.0, 98.0]})
+    return evaluation.seed_stability(evaluation.sweep(_long(spark, sf), K, [c | {"k": 15, "laps": 300} for c in configs], [0, 1, 2], O, "rtt_ms"), K)
