@@ -1,4 +1,6 @@
-"""Scoring detections and labels against truth, and utility of synthetic data."""
+"""Scoring detections and labels against truth, and utility of synthetic data.
+
+Not built: the causes of false positives (O39) and the scenarios of O47 other than the plain rule."""
 
 from __future__ import annotations
 
