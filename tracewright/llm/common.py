@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -28,26 +31,69 @@ NOT_LATIN = "[^\x00-\u02ff]"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (unit tests on one machine) is a temporary folder made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``.  Only on one machine (unit
+    tests) may it be unset: then a temporary folder is made and remembered.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+#: Settled tables of this process that are still there: folder -> session.
+_SETTLED: dict[str, SparkSession] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and values that were assigned once (ranks, roots) can't change on retry.
+    The table goes when it is handed to ``unsettle``, or with the process: results
+    are lazy, so what they read must stay until then.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tw-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _SETTLED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tw_path = path
+    return out
+
+
+def _remove(path: str) -> None:
+    spark = _SETTLED.pop(path)
+    with contextlib.suppress(Exception):  # the session may have ended; the folder is scratch space
+        jvm = spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def unsettle(*tables: DataFrame | None) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_tw_path", None)
+        if path in _SETTLED:
+            _remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_SETTLED):
+        _remove(path)
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``row``, so that no name of an operator meets one of its columns."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
+
+
+def quoted(name: str, of: str = "") -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return of + "`" + name.replace("`", "``") + "`"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, unsettle
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,5 +51,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = settle(low.select("u", F.col("m").alias("v")).union(rest).distinct(), "links")
+        before, cur = cur, settle(low.select("u", F.col("m").alias("v")).union(rest).distinct(), "links")
+        unsettle(before)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -15,7 +15,9 @@ smallest hash of their id); all statistics of sites cover all documents.
 Defined results: a null text counts as empty; null sources and languages are
 sites of their own; repeated rows count as often as they stand there; labels
 that are null or name no document are not used; without both labels in the fit
-the classifier says nothing (log odds 0); empty tables give empty tables.
+the classifier says nothing (log odds 0); texts of any length are read whole;
+empty tables give empty tables; other columns, whatever their names, are ignored
+by the classifier and come back as they were from ``keep_good``.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, small_batches, text_of, working_on
+from .common import quoted, rows_of, settle, small_batches, text_of, unsettle, working_on
 
 #: Labelled rows that the classifier is fitted on, at most.
 FIT_ROWS = 20_000
@@ -88,6 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weights of the classifier, from a bounded sample of labelled rows."""
     small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    usable = usable.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")  # labels of absent documents take no seats
     sample = usable.orderBy(F.md5(F.col("id").cast("string")), "id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most fit_rows
 
@@ -139,36 +142,41 @@ def site_priors(evidences: DataFrame, host: str, path: str) -> tuple[DataFrame,
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")).withColumn("corpus", F.lit(share))
     hosts = hosts.withColumn("host_prior", _shrunk(hosts, "host_n", "host_good", "corpus"))
     both = paths.join(hosts.select(F.col("host").alias("h"), "host_prior"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    return settle(both.withColumn("path_prior", _shrunk(both, "n", "good", "host_prior")).select("host", "path", "host_prior", "path_prior"), "priors"), share
+    priors = settle(both.withColumn("path_prior", _shrunk(both, "n", "good", "host_prior")).select("host", "path", "host_prior", "path_prior"), "priors")
+    unsettle(paths)
+    return priors, share
 
 
-def with_posterior(df: DataFrame, priors: DataFrame, share: float, host: str, path: str) -> DataFrame:
-    """Adds host_prior, path_prior and posterior to rows with ``evidence``."""
-    side = priors.select(F.col("host").alias("__h"), F.col("path").alias("__p"), "host_prior", "path_prior")
+def with_posterior(df: DataFrame, priors: DataFrame, share: float, host: Column, path: Column, evidence: Column) -> DataFrame:
+    """Adds __host_prior, __path_prior and __posterior to rows with evidence."""
+    side = priors.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_prior").alias("__host_prior"), F.col("path_prior").alias("__path_prior"))
     if priors.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    joined = df.join(side, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")), "left").drop("__h", "__p")
+    joined = df.join(side, host.eqNullSafe(F.col("__h")) & path.eqNullSafe(F.col("__p")), "left").drop("__h", "__p")
 
     def logit(p: Column) -> Column:
         q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(q / (1 - q))
 
-    shift = logit(F.col("path_prior")) - F.lit(float(np.log(share / (1 - share))))
-    odds = F.col("evidence") + F.least(F.greatest(shift, F.lit(-SITE_PULL)), F.lit(SITE_PULL))
-    return joined.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    shift = logit(F.col("__path_prior")) - F.lit(float(np.log(share / (1 - share))))
+    odds = evidence + F.least(F.greatest(shift, F.lit(-SITE_PULL)), F.lit(SITE_PULL))
+    return joined.withColumn("__posterior", 1 / (1 + F.exp(-odds)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
     """(id, host, path, evidence, host_prior, path_prior, posterior, kept) for every row."""
     weights = fit(docs, labels, id_col, text_col)
-    scored = settle(docs.select(id_col, host, path, evidence(weights, text_of(text_col)).alias("evidence")), "evidence")
-    priors, share = site_priors(scored, host, path)
-    return with_posterior(scored, priors, share, host, path).withColumn("kept", F.col("posterior") >= 0.5)
+    scored = settle(docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(host)).alias("__host"), F.col(quoted(path)).alias("__path"), evidence(weights, text_of(text_col)).alias("evidence")), "evidence")
+    priors, share = site_priors(scored, "__host", "__path")
+    found = with_posterior(scored, priors, share, F.col("__host"), F.col("__path"), F.col("evidence"))
+    return found.select(F.col("__id").alias(id_col), F.col("__host").alias(host), F.col("__path").alias(path), "evidence", F.col("__host_prior").alias("host_prior"), F.col("__path_prior").alias("path_prior"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= 0.5).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """The documents that the classifier doesn't reject, with their own columns."""
+    """The documents that the classifier doesn't reject, with their own columns and
+    values, whatever these are called."""
     weights = fit(docs, labels, id_col, text_col)
-    scored = docs.withColumn("evidence", evidence(weights, text_of(text_col)))
-    priors, share = site_priors(scored.select(host, path, "evidence"), host, path)
-    return with_posterior(scored, priors, share, host, path).filter(F.col("posterior") >= 0.5).select(*docs.columns)
+    scored = rows_of(docs).withColumn("evidence", evidence(weights, text_of(quoted(text_col, "row."))))
+    of_host, of_path = F.col(quoted(host, "row.")), F.col(quoted(path, "row."))
+    priors, share = site_priors(scored.select(of_host.alias("__host"), of_path.alias("__path"), "evidence"), "__host", "__path")
+    return with_posterior(scored, priors, share, of_host, of_path, F.col("evidence")).filter(F.col("__posterior") >= 0.5).select("row.*")

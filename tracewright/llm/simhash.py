@@ -12,8 +12,9 @@ What a bucket has to hold is its distinct fingerprints, 8 bytes each.
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; repeated rows stay rows of their own; rows with a null id get the
-component's least id, or null if it has none; empty tables give empty tables;
-other columns are ignored.
+component's least id, or null if it has none; texts of any length are read
+whole; empty tables give empty tables; other columns, whatever their names, are
+ignored and come back as they were from ``keep_one``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, small_batches, working_on
+from .common import quoted, rows_of, settle, small_batches, text_of, unsettle, working_on
 from .components import components, forest
 
 MAX_DIFFERENCE = 4
@@ -187,16 +188,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row of each component, the one with the least id, with its own columns.
 
-    Of rows that share that id the one with the least fingerprint, then any one,
-    stays; rows with a null id stay only in components without any other."""
+    Of rows that share that id the one with the least fingerprint, then the least
+    md5 of text and columns, stays; rows with a null id stay only in components
+    without any other.  An id that one row has settles it without its fingerprint;
+    only rows with shared or null ids are fingerprinted again."""
     docs = settle(fingerprints(df, id_col, text_col, width), "fingerprints")
     classes = settle(_classes(docs, id_col), "classes")
+    shared = docs.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
     least = docs.join(classes, "fp").filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     # Where ids are null, one fingerprint of the component stands for it.
-    chosen = least.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("fp").alias("__fp"))
+    chosen = least.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("fp").alias("__fp")).join(shared, "__id")
+    chosen = settle(chosen, "chosen")
     nameless = least.filter(F.col(id_col).isNull()).select(F.lit(None).cast(df.schema[id_col].dataType).alias("__id"), F.col("fp").alias("__fp")).distinct()
-    keys = chosen.union(nameless)
-    kept = df.withColumn("__fp1", fingerprint_of(F.coalesce(F.col(text_col), F.lit("")), width))
-    kept = kept.join(keys, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp1") == F.col("__fp")))
-    one = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return kept.withColumn("__n", one).filter("__n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    own = F.col(quoted(id_col, "row."))
+    rows = rows_of(df)
+    single = rows.join(chosen.filter("__rows = 1").select("__id"), own == F.col("__id"), "left_semi")
+    # The rest: few ids, so their rows alone meet their keys by id and fingerprint.
+    keys = chosen.filter("__rows > 1").select("__id", "__fp").union(nameless)
+    many = rows.join(keys.select("__id").distinct(), own.eqNullSafe(F.col("__id")), "left_semi")
+    many = many.withColumn("__fp1", fingerprint_of(text_of(quoted(text_col, "row.")), width))
+    many = many.join(keys, own.eqNullSafe(F.col("__id")) & (F.col("__fp1") == F.col("__fp")))
+    comparable = [F.col(quoted(f.name, "row.")) for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    # Equal keys and texts come down to one candidate before rows meet.
+    order = F.struct(F.md5(text_of(quoted(text_col, "row."))), F.xxhash64(*comparable))
+    first = many.groupBy("__id", "__fp").agg(F.min_by("row", order).alias("row"))
+    return single.select("row.*").union(first.select("row.*"))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out, small_batches, text_of, working_on
+from .common import is_held_out, quoted, small_batches, text_of, working_on
 
 #: Labelled rows in the index, at most.
 FIT_ROWS = 6_000
@@ -146,12 +146,15 @@ class Index:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
-    """(id, y, text) of at most fit_rows labelled rows outside the held-out fold."""
+    """(id, y, text) of at most fit_rows labelled documents outside the held-out
+    fold; of rows that share an id the text with the least md5 counts."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(id_col))
     one = usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    some = one.orderBy(F.md5(F.col("id").cast("string")), "id").limit(fit_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id")  # at most fit_rows
-    return rows
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    there = one.join(texts.select("id").distinct(), "id", "left_semi")  # labels of absent documents take no seats
+    some = there.orderBy(F.md5(F.col("id").cast("string")), "id").limit(fit_rows)
+    found = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.md5("text").alias("m"), "text")).alias("t"))  # at most fit_rows
+    return found.select("id", "y", F.col("t.text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[Vocabulary, Index]:
@@ -230,8 +233,8 @@ def score_of(docs: DataFrame, model: tuple[Vocabulary, Index], text: Column) ->
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted, neighbours) for every row."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    scored = docs.select(F.col(id_col), is_held_out(id_col).alias("held_out"), score_of(docs, model, text_of(text_col)).alias("s"))
-    return scored.select(id_col, "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"), F.col("s.neighbours").alias("neighbours"))
+    scored = docs.select(F.col(quoted(id_col)).alias("__id"), is_held_out(id_col).alias("held_out"), score_of(docs, model, text_of(text_col)).alias("s"))
+    return scored.select(F.col("__id").alias(id_col), "held_out", F.col("s.score").alias("score"), (F.col("s.score") >= 0.5).cast("int").alias("predicted"), F.col("s.neighbours").alias("neighbours"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -64,6 +64,8 @@ ENDS = {
     "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "head": frozenset(("body",)),
 }
 SALTS = 16
+#: Open elements that browsers nest at most.
+DEEPEST = 512
 #: Longest repeated group that folding looks for, in tokens.
 LONGEST_GROUP = 12
 MARKS_OF_GROUPS = frozenset(("(", ")+", ")?"))
@@ -73,23 +75,36 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Alignments of streams with wrappers that a task remembers.
 REMEMBERED = 4096
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>""", re.S)
+#: Where markup starts, and a tag that ends at the next '>' whatever its quotes say.
+_start = re.compile(r"<(?:[!?]|/?[a-zA-Z])").search
+_careless = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _attribute = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _mark = re.compile(r"[a-z]+").findall
 
 
 class Page:
-    """Blocks of a page: (path of tags, text, text inside links)."""
+    """Blocks of a page: (path of tags, text, text inside links).
+
+    One pass over the source, whatever is in it: after a tag whose quotes don't
+    close, tags end at the next '>'; markup without any '>' is text.  As in browsers
+    elements deeper than ``DEEPEST`` don't nest further; their text stays."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
         self.stream: list[str] = []
         self.stack: list[tuple[str, str]] = []
+        self.opened: Counter = Counter()
+        self.flat: Counter = Counter()
         self.text: list[str] = []
         self.linked, self.links = 0, 0
-        at, n = 0, len(source)
+        at, n, token = 0, len(source), _token
         while at < n:
-            m = _token.search(source, at)
+            start = _start(source, at)
+            m = start and token.match(source, start.start())
+            if start and m is None and token is _token:
+                token = _careless
+                m = token.match(source, start.start())
             if m is None:
                 self._text(source[at:])
                 break
@@ -151,17 +166,26 @@ class Page:
         while self.stack and name in ENDS.get(self.stack[-1][0], ()):
             self._end()
         if name not in VOID and not (attributes or "").endswith("/"):
+            if len(self.stack) >= DEEPEST:
+                self.flat[name] += 1
+                return
             self.stack.append((name, label))
+            self.opened[name] += 1
             self.stream.append("<" + label)
 
     def _end(self) -> None:
-        _, label = self.stack.pop()
+        name, label = self.stack.pop()
+        self.opened[name] -= 1
         self.stream.append(">" + label)
 
     def _close(self, name: str) -> None:
         if name == "a" and self.links:
             self.links -= 1
-        if not any(x == name for x, _ in self.stack):
+        if self.flat[name]:
+            self.flat[name] -= 1
+            self._flush()
+            return
+        if not self.opened[name]:
             return
         self._flush()
         while self.stack[-1][0] != name:
