@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is
 written as Parquet and read again as the next stage's docs.
+
+For all stages: nulls in any column are allowed (a null text counts as empty, a null
+source or language is one of its own, a null id is no id), texts are read whole, ties
+are broken by values and not by place, repeated rows are decided each (the near
+duplicates keep one), empty tables give empty tables, and further columns, whatever
+their names, come back with their values.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import mixing, packing, quality, simhash, toxicity
-from tracewright.llm.common import settle, table
+from tracewright.llm.common import quoted, settle, table
 from tracewright.llm.queries import CAPACITY
 
 
@@ -32,8 +38,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order, a row for each copy that is taken."""
-    mixed = mixing.mix(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    mixed = mixing.mix(docs, added=None)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*[quoted(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
