@@ -395,6 +395,41 @@ def test_bounds_of_codes_hold():
     bound = np.cos(np.maximum(0, np.arccos(np.clip(seen, -1, 1)) - np.arccos(np.clip(factors, -1, 1))[:, None]))
     assert (inner <= bound + 1e-9).all()
     assert abs((seen / factors[:, None] - inner).mean()) < 0.02
+    # The bound in closed form: a pair under its threshold is under the least cosine.
+    for least in (0.5, 0.9):
+        t = embedding_dedup._threshold(factors, 24, least)
+        assert not ((seen < t[:, None] - 1e-9) & (inner >= least)).any()
+        k = np.sqrt(1 - factors**2) / factors
+        assert np.allclose(t / factors + k * np.sqrt(1 - t * t), least)
+    wide = g.normal(size=(400, 768))
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    wide[200:] = wide[:200] + g.normal(size=(200, 768)) * 0.015
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    codes, factors, turned = embedding_dedup.encode(wide)
+    signs = (np.unpackbits(codes, axis=1, count=768) * 2.0 - 1) / math.sqrt(768)
+    t = embedding_dedup._threshold(factors, 768, 0.9)
+    assert not ((signs @ turned.T < t[:, None]) & (wide @ wide.T >= 0.9)).any()
+    certain = np.cos(math.acos(0.9) + np.arccos(factors))
+    assert (t > certain + 0.1).all()  # the confidence bound is far tighter than the certain one here
+
+
+def test_cells_that_cannot_hold_partners_are_not_compared(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    base = g.normal(size=(6, 32))
+    x = (base.repeat(50, 0) + g.normal(0, 0.02, (300, 32))).astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 50)
+    compared = []
+    rows = vectors_of(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    out = embedding_dedup.near_duplicates(rows).collect()
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(300, dtype=bool)
+    assert all(r.n_links == near[r.vec_id].sum() and r.component_id == r.vec_id // 50 * 50 for r in out)
+    c = embedding_dedup.centres(u, 6)
+    own = (u @ c.T).argmax(1)
+    for k in set(own.tolist()):
+        compared.append(embedding_dedup._visits(u[own == k], k, c, math.sqrt(0.2)).any(0).sum())
+    assert sum(compared) < 36 / 2
+
 
 
 def test_embedding_odd_rows(spark):

@@ -1,22 +1,32 @@
 """Embedding near-duplicates (operator 8) with randomised-rotation binary codes.
 
 Vectors are turned by one random rotation and reduced to the signs of their
-coordinates; with each code its correction factor is stored, the cosine between
-the vector and its own code (as a unit vector).  For a code x of o and a query q,
-<x, q> / <x, o> estimates <o, q> without bias.  Angles bound the error: o and q
-can only be within an angle t if q is within t + angle(o, x) of x.  Pairs outside
-that bound are settled by the code alone; the others are computed again from
-the original vectors in double precision.  The bound always holds, so no link is lost.
-
-All pairs are looked at in blocks: distinct vectors are dealt into blocks of a
-bounded size, and each pair of blocks is a task of its own.  A task returns for
-each vector how many rows it is linked with, and a spanning forest; pairs never
-leave it.  Copies of a vector are one entry with a weight.
+coordinates; with each code x of a vector o its correction factor f = <x, o> is
+stored.  For a query q, S = <x, q> / f estimates <o, q> without bias.  The error is
+<e, q> * sqrt(1 - f^2) / f, with e the direction of o outside x; e is at right angles
+to x, so |<e, q>| is never above sqrt(1 - <x, q>^2), and by the rotation's chance it
+stays under ``DEVIATIONS`` / sqrt(dim - 1) of that but for less than one pair in
+10^12.  The smaller of the two is the confidence bound: pairs whose estimate plus
+bound is under the threshold are settled by the code alone; all others are computed
+again from the original vectors in double precision.  Up to 57 dimensions the bound
+is the certain one.
+
+Candidates come from cells: each distinct vector goes to the nearest of a number
+of centres (spherical k-means on a bounded sample, which sets the work and not the
+result).  If o lies in the cell of c and q in that of d, a pair within distance r
+needs |q - bisector of c and d| <= r, that is <q, d> - <q, c> <= r * |c - d|, and the
+same for o with c and d exchanged.  A cell is compared with another one only if it
+holds vectors for which that is true, and only these vectors are compared: exact
+for any centres.  Clustered vectors leave few pairs of cells; vectors without any
+clusters in many dimensions leave all.  Cells that hold more than a block are dealt
+into blocks, so a cell with most vectors is not one task.  A task returns for each
+vector how many rows it is linked with, and a spanning forest; pairs never leave
+it.  Copies of a vector are one entry with a weight.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, like rows with a null id (whose component_id is
-null and kept false); vectors of different lengths don't link; empty tables give
-empty tables; other columns are ignored.
+null and kept false); vectors of different lengths don't link; repeated rows are rows
+of their own; empty tables give empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +39,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, unsettle
 from .components import components, forest
 from .vectors import is_valid, keyed
 
 #: Distinct vectors in a block, on average.  Sets a task's memory, not the result.
 BLOCK_ROWS = 8192
+#: Centres of a vector length, at most, and sampled vectors they are fitted on, at most.
+MAX_CENTRES, FIT_ROWS = 4096, 20_000
 TILE = (1024, 4096)
 SEED = 20
+#: 2 exp(-x^2 / 2) < 10^-12.
+DEVIATIONS = 7.53
 
 
 @lru_cache(maxsize=4)
@@ -59,51 +73,74 @@ def _unit(raw: bytes, n: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block as one row."""
-    pdf = pdf.sort_values("id")
-    raw = np.array(pdf["vec"].tolist(), "<f4").tobytes()
-    codes, factors, _ = encode(_unit(raw, len(pdf)))
-    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "n": [len(pdf)], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "weights": [pdf["weight"].to_numpy("<i8").tobytes()], "vecs": [raw], "codes": [codes.tobytes()], "factors": [factors.astype("<f8").tobytes()]})
+def _threshold(factors: np.ndarray, dim: int, least: float) -> np.ndarray:
+    """For each code the least <x, q> at which its estimate plus bound reaches ``least``.
 
+    With <x, q> = cos u the sum is cos u / f + k sin u, k = the bound's share of
+    sqrt(1 - f^2) / f; that is a cosine about the angle atan(k f)."""
+    f = np.clip(factors, 1e-9, 1.0)
+    k = min(1.0, DEVIATIONS / math.sqrt(max(1, dim - 1))) * np.sqrt(1 - f * f) / f
+    size, turn = np.hypot(1 / f, k), np.arctan(k * f)
+    return np.cos(np.minimum(turn + np.arccos(np.clip(least / size, -1, 1)), math.pi))
 
-BLOCK_SCHEMA = "dim int, block long, n long, ids binary, weights binary, vecs binary, codes binary, factors binary"
 
+def centres(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """n unit centres of unit vectors, by spherical k-means from evenly spaced ones."""
+    c = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(int)]
+    for _ in range(rounds):
+        own = (sample @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, sample)
+        size = np.sqrt((total * total).sum(1, keepdims=True))
+        c = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c)
+    return c
 
-def _compare(a, b, threshold: float) -> tuple[np.ndarray, ...]:
+
+def _visits(unit: np.ndarray, own: int, c: np.ndarray, reach: float) -> np.ndarray:
+    """(rows, cells) True where a vector of cell ``own`` can have a partner in the cell."""
+    near = unit @ c.T
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * c @ c[own]))
+    return near[:, own, None] - near <= reach * apart + 1e-9  # the margin covers rounding
+
+
+BLOCK_SCHEMA = "dim int, cell long, sub long, n long, ids binary, weights binary, vecs binary, codes binary, factors binary, visits array<long>"
+
+
+def _compare(a, b, c: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """Links between two packed blocks (or inside one), summed up: ids, weights
     linked to each, and each one's root."""
-    same = a["block"] == b["block"]
-    dim = int(a["dim"])
+    same = (a["cell"], a["sub"]) == (b["cell"], b["sub"])
+    dim, reach = int(a["dim"]), math.sqrt(2 - 2 * threshold)
     ua, ub = _unit(a["vecs"], a["n"]), _unit(b["vecs"], b["n"])
     ids_a, ids_b = np.frombuffer(a["ids"], "<i8"), np.frombuffer(b["ids"], "<i8")
     wa, wb = np.frombuffer(a["weights"], "<i8"), np.frombuffer(b["weights"], "<i8")
-    bits = np.unpackbits(np.frombuffer(a["codes"], np.uint8).reshape(len(ua), -1), axis=1, count=dim)
-    signs = (bits.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-    turned = (ub @ rotation(dim)).astype(np.float32)
-    reach = math.acos(threshold) + np.arccos(np.clip(np.frombuffer(a["factors"], "<f8"), -1, 1))
-    least = (np.cos(np.minimum(reach, math.pi)) - 1e-4).astype(np.float32)  # the margin covers single precision
+    # Only vectors that can have a partner in the other cell.
+    ra, rb = np.arange(len(ua)), np.arange(len(ub))
+    if a["cell"] != b["cell"]:
+        both = c[[int(a["cell"]), int(b["cell"])]]
+        ra, rb = np.flatnonzero(_visits(ua, 0, both, reach)[:, 1]), np.flatnonzero(_visits(ub, 1, both, reach)[:, 0])
+    bits = np.unpackbits(np.frombuffer(a["codes"], np.uint8).reshape(len(ua), -1)[ra], axis=1, count=dim)
+    signs = bits.astype(np.float32) * 2 - 1
+    turned = (ub[rb] @ rotation(dim)).astype(np.float32)
+    least = ((_threshold(np.frombuffer(a["factors"], "<f8")[ra], dim, threshold) - 1e-4) * math.sqrt(dim)).astype(np.float32)  # the margin covers single precision
     na, nb = np.zeros(len(ua), np.int64), np.zeros(len(ub), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in range(0, len(ua), TILE[0]):
-        for j in range(i // TILE[1] * TILE[1] if same else 0, len(ub), TILE[1]):
+    for i in range(0, len(ra), TILE[0]):
+        for j in range(i // TILE[1] * TILE[1] if same else 0, len(rb), TILE[1]):
             s, t = slice(i, i + TILE[0]), slice(j, j + TILE[1])
             x, y = np.nonzero(signs[s] @ turned[t].T >= least[s, None])
+            x, y = ra[s][x], rb[t][y]
             if same:
-                later = y + j > x + i
+                later = y > x
                 x, y = x[later], y[later]
-            if not len(x):
-                continue
-            if len(x) > 1 << 16:
-                cos = (ua[s] @ ub[t].T)[x, y]
-            else:
-                cos = np.einsum("ij,ij->i", ua[s][x], ub[t][y])
-            ok = cos >= threshold
-            x, y = x[ok] + i, y[ok] + j
-            if len(x):
-                na += np.bincount(x, wb[y], len(ua)).astype(np.int64)
-                nb += np.bincount(y, wa[x], len(ub)).astype(np.int64)
-                found.append(forest(ids_a[x], ids_b[y]))
+            for at in range(0, len(x), 1 << 16):
+                u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                ok = np.einsum("ij,ij->i", ua[u], ub[v]) >= threshold
+                u, v = u[ok], v[ok]
+                if len(u):
+                    na += np.bincount(u, wb[v], len(ua)).astype(np.int64)
+                    nb += np.bincount(v, wa[u], len(ub)).astype(np.int64)
+                    found.append(forest(ids_a[u], ids_b[v]))
     ids = np.concatenate([ids_a, ids_b])
     n = np.concatenate([na, nb])
     if found:
@@ -113,26 +150,78 @@ def _compare(a, b, threshold: float) -> tuple[np.ndarray, ...]:
     return ids[n > 0], n[n > 0], node, root
 
 
-def link_summary(distinct: DataFrame, n_distinct: int, threshold: float) -> DataFrame:
+def _fitted(distinct: DataFrame) -> dict[int, np.ndarray]:
+    """Centres for each vector length that fills more than one block; at most one length
+    for each ``BLOCK_ROWS`` vectors is collected, and ``FIT_ROWS`` vectors of it."""
+    sizes = distinct.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_ROWS).collect()
+    out = {}
+    for r in sorted(sizes):
+        own = distinct.filter(F.size("vec") == r["dim"])
+        some = own.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").collect()
+        raw = np.array([x["vec"] for x in some], "<f4")
+        out[int(r["dim"])] = centres(_unit(raw.tobytes(), len(raw)), min(MAX_CENTRES, math.ceil(r["n"] / BLOCK_ROWS)))
+    return out
+
+
+def link_summary(distinct: DataFrame, threshold: float) -> DataFrame:
     """Rows (id, n, root): n rows linked to id in one pair of blocks (root null),
     or a link id - root of a spanning forest (n null).
 
     distinct: id, vec, weight; ids and vectors each once.
     """
-    blocks = max(1, math.ceil(n_distinct / BLOCK_ROWS))
-    dealt = distinct.select("id", "vec", "weight", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    packed = settle(dealt.groupBy("dim", "block").applyInPandas(_pack, BLOCK_SCHEMA), "blocks")
-    other = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    pairs = other.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+    spark, reach = distinct.sparkSession, math.sqrt(2 - 2 * threshold)
+    shared = spark.sparkContext.broadcast(_fitted(distinct))  # at most MAX_CENTRES for a length
+    single = np.zeros((1, 1))
+
+    def place(batches):
+        for b in batches:
+            cells = np.zeros(len(b), np.int64)
+            for dim, at in b.reset_index(drop=True).groupby("dim").groups.items():
+                c = shared.value.get(int(dim))
+                if c is not None:
+                    raw = np.array(b["vec"].iloc[at].tolist(), "<f4").tobytes()
+                    cells[at] = (_unit(raw, len(at)) @ c.T).argmax(1)
+            yield b.assign(cell=cells)
+
+    placed = distinct.select("id", "vec", "weight", F.size("vec").alias("dim")).mapInPandas(place, "id long, vec array<float>, weight long, dim int, cell long")
+    placed = settle(placed, "cells")
+    full = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("subs")).filter("subs > 1")
+    # At most one row for each BLOCK_ROWS vectors; the rows of a full cell stay where they are.
+    dealt = placed.join(F.broadcast(full), ["dim", "cell"], "left").withColumn("sub", F.pmod(F.xxhash64("id"), F.coalesce("subs", F.lit(1)))).drop("subs")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        dim, cell = int(pdf["dim"].iloc[0]), int(pdf["cell"].iloc[0])
+        raw = np.array(pdf["vec"].tolist(), "<f4").tobytes()
+        unit = _unit(raw, len(pdf))
+        codes, factors, _ = encode(unit)
+        c = shared.value.get(dim)
+        reached = np.zeros(1 if c is None else len(c), bool)
+        for at in range(0, len(unit) if c is not None else 0, 1024):
+            reached |= _visits(unit[at : at + 1024], cell, c, reach).any(0)
+        reached[cell] = True
+        return pd.DataFrame({
+            "dim": [dim], "cell": [cell], "sub": [int(pdf["sub"].iloc[0])], "n": [len(pdf)], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "weights": [pdf["weight"].to_numpy("<i8").tobytes()],
+            "vecs": [raw], "codes": [codes.tobytes()], "factors": [factors.astype("<f8").tobytes()], "visits": [np.flatnonzero(reached).tolist()],
+        })
+
+    packed = settle(dealt.groupBy("dim", "cell", "sub").applyInPandas(pack, BLOCK_SCHEMA), "blocks")
+    unsettle(placed)
+    # Pairs of blocks by their keys alone: both must reach the other's cell.
+    known = packed.select("dim", "cell", "sub", F.explode("visits").alias("to"))
+    one, two = known.alias("one"), known.alias("two")
+    there = (F.col("one.dim") == F.col("two.dim")) & (F.col("one.to") == F.col("two.cell")) & (F.col("two.to") == F.col("one.cell"))
+    key = lambda x: F.struct(F.col(f"{x}.cell").alias("cell"), F.col(f"{x}.sub").alias("sub"))
+    pairs = one.join(two, there).filter(key("one") <= key("two")).select(F.col("one.dim").alias("dim"), key("one").alias("lo"), key("two").alias("hi"))
+    ends = pairs.select(F.col("dim").alias("d"), "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("own"))
+    sides = ends.join(packed.drop("visits"), (F.col("d") == F.col("dim")) & (F.col("own.cell") == F.col("cell")) & (F.col("own.sub") == F.col("sub"))).select("dim", "lo", "hi", "cell", "sub", "n", "ids", "weights", "vecs", "codes", "factors")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("block").to_dict("records")
-        if len(rows) == 1 and pdf["lo"].iloc[0] != pdf["hi"].iloc[0]:
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("Int64")  # the other block is empty
-        ids, n, node, root = _compare(rows[0], rows[-1], threshold)
+        rows = pdf.sort_values(["cell", "sub"]).drop(columns=["lo", "hi"]).to_dict("records")
+        ids, n, node, root = _compare(rows[0], rows[-1], shared.value.get(int(rows[0]["dim"]), single), threshold)
         return pd.concat([pd.DataFrame({"id": ids, "n": n, "root": None}), pd.DataFrame({"id": node, "n": None, "root": root})]).astype("Int64")
 
-    return pairs.groupBy("dim", "lo", "hi").applyInPandas(run, "id long, n long, root long")
+    return sides.groupBy("dim", "lo", "hi").applyInPandas(run, "id long, n long, root long")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -140,7 +229,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     source = keyed(df, id_col, vec_col).withColumn("valid", is_valid("vec") & F.col("id").isNotNull())
     rows = settle(source.select("id", "h1", "h2", "valid"), "vector-keys")
     distinct = settle(source.filter("valid").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight")), "distinct-vectors")
-    links = settle(link_summary(distinct, distinct.count(), threshold), "vector-links")
+    links = settle(link_summary(distinct, threshold), "vector-links")
     roots = components(links.filter("root is not null"), "id", "root").select(F.col("node").alias("id"), F.col("root"))
     counts = links.filter("n is not null").groupBy("id").agg(F.sum("n").alias("n"))
     of_entry = distinct.select("h1", "h2", "id", "weight").join(counts, "id", "left").join(roots, "id", "left")
