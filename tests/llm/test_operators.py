@@ -399,8 +399,7 @@ def test_bounds_of_codes_hold():
     for least in (0.5, 0.9):
         t = embedding_dedup._threshold(factors, 24, least)
         assert not ((seen < t[:, None] - 1e-9) & (inner >= least)).any()
-        k = np.sqrt(1 - factors**2) / factors
-        assert np.allclose(t / factors + k * np.sqrt(1 - t * t), least)
+        assert np.allclose(t, np.cos(math.acos(least) + np.arccos(factors)))  # the certain bound, as angles add up
     wide = g.normal(size=(400, 768))
     wide /= np.linalg.norm(wide, axis=1, keepdims=True)
     wide[200:] = wide[:200] + g.normal(size=(200, 768)) * 0.015

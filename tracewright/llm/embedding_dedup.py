@@ -3,13 +3,13 @@
 Vectors are turned by one random rotation and reduced to the signs of their
 coordinates; with each code x of a vector o its correction factor f = <x, o> is
 stored.  For a query q, S = <x, q> / f estimates <o, q> without bias.  The error is
-<e, q> * sqrt(1 - f^2) / f, with e the direction of o outside x; e is at right angles
-to x, so |<e, q>| is never above sqrt(1 - <x, q>^2), and by the rotation's chance it
+<e, q> * sqrt(1 - f^2) / f, with e the direction of x outside o; e is at right angles
+to o, so |<e, q>| is never above sqrt(1 - <o, q>^2), and by the rotation's chance it
 stays under ``DEVIATIONS`` / sqrt(dim - 1) of that but for less than one pair in
-10^12.  The smaller of the two is the confidence bound: pairs whose estimate plus
-bound is under the threshold are settled by the code alone; all others are computed
-again from the original vectors in double precision.  Up to 57 dimensions the bound
-is the certain one.
+10^12.  The smaller of the two is the confidence bound: pairs whose estimate is under
+the threshold by more than the bound there are settled by the code alone; all others
+are computed again from the original vectors in double precision.  Up to 57
+dimensions the bound is the certain one.
 
 Candidates come from cells: each distinct vector goes to the nearest of a number
 of centres (spherical k-means on a bounded sample, which sets the work and not the
@@ -74,14 +74,11 @@ def _unit(raw: bytes, n: int) -> np.ndarray:
 
 
 def _threshold(factors: np.ndarray, dim: int, least: float) -> np.ndarray:
-    """For each code the least <x, q> at which its estimate plus bound reaches ``least``.
-
-    With <x, q> = cos u the sum is cos u / f + k sin u, k = the bound's share of
-    sqrt(1 - f^2) / f; that is a cosine about the angle atan(k f)."""
-    f = np.clip(factors, 1e-9, 1.0)
-    k = min(1.0, DEVIATIONS / math.sqrt(max(1, dim - 1))) * np.sqrt(1 - f * f) / f
-    size, turn = np.hypot(1 / f, k), np.arctan(k * f)
-    return np.cos(np.minimum(turn + np.arccos(np.clip(least / size, -1, 1)), math.pi))
+    """For each code the least <x, q> of a pair with <o, q> >= ``least``: the estimate may
+    be under it by the bound, which shrinks as <o, q> grows, so ``least`` decides."""
+    f = np.clip(factors, 0.0, 1.0)
+    chance = min(1.0, DEVIATIONS / math.sqrt(max(1, dim - 1)))
+    return f * least - chance * np.sqrt(1 - f * f) * math.sqrt(1 - least * least)
 
 
 def centres(sample: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
