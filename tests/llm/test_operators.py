@@ -125,6 +125,41 @@ def test_best_fit_plan_is_whole_and_tight():
         assert len(where) <= len(gaps) + 1
 
 
+def classic_best_fit(lengths, cap):
+    """Best-fit decreasing, piece by piece: the number of sequences."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = min((r, i) for i, r in enumerate([*rooms, cap]) if r >= n)[1]
+        if at == len(rooms):
+            rooms.append(cap)
+        rooms[at] -= n
+    return len(rooms)
+
+
+@pytest.mark.parametrize("rows", [10**6, 40])
+def test_rounds_place_every_piece_like_classic_best_fit(spark, monkeypatch, rows):
+    """Both with one task a round and with many, on skewed and repeated lengths."""
+    monkeypatch.setattr(packing, "TASK_ROWS", rows)
+    r = random.Random(rows)
+    lengths = [r.choice((100, 100, 37, r.randint(1, 128), r.randint(1, 20))) for _ in range(900)] + [1] * 60
+    parts = spark.createDataFrame([(i % 700, i // 700, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, length long, ids_crc32 long").withColumns({c: F.lit("own") for c in ("rank", "task", "band", "sequence", "offset_")})
+    out = packing.pack(parts, 128).collect()
+    assert Counter((x.doc_id, x.piece, x.length) for x in out) == Counter((i % 700, i // 700, n) for i, n in enumerate(lengths)) and {x.task for x in out} == {"own"}
+    by = defaultdict(list)
+    for x in out:
+        by[x.sequence_id].append((x.offset, x.length))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= 128
+    classic, least = classic_best_fit(lengths, 128), math.ceil(sum(lengths) / 128)
+    assert len(by) <= classic + (1 if rows > 1000 else 2 + len(lengths) // rows // 4) and len(by) >= least
+    again = {(x.doc_id, x.piece): (x.sequence_id, x.offset) for x in packing.pack(parts.repartition(5), 128).collect()}
+    assert again == {(x.doc_id, x.piece): (x.sequence_id, x.offset) for x in out}
+
+
 def brute_fingerprint(text):
     low = re.sub("[A-Z]", lambda m: m.group().lower(), text)
     words = re.findall(r"[^\x20\x09-\x0D]+", low)

@@ -1,21 +1,29 @@
 """Best-fit packing (operator 10): documents into sequences of a fixed length.
 
-Bulk-synchronous best fit.  Pieces and gaps both have whole sizes between 1 and
-the capacity, so "range-sorted documents and gaps" are kept as sorted runs: for
-each size, how many pieces (or gaps) there are, with a rank for each.  A sweep
-goes down the piece sizes; for each it looks up the successor, the smallest gap
-that still takes the size, hands the next ranks of pieces to the next ranks of
-gaps (which resolves conflicts: each rank is handed out once), shrinks those
-gaps, and repeats until the pieces of that size are placed, opening new
-sequences only when no gap fits.  The sweep runs over runs of ranks, never over
-single pieces: its size depends on the capacity and not on the number of
-documents.  Counting pieces by size, giving them ranks, and looking the ranks
-up in the plan are distributed; ranks come from two levels of prefix sums, so
-one size that holds most pieces is not one task.
+Bulk-synchronous best fit, largest first.  Documents are cut into pieces, and the
+pieces range-sorted: every piece gets its rank among those of its length.  A round
+takes one range of lengths, from the longest down, each half as long as the one
+before.  Its pieces and all gaps that can take one of them are dealt by rank to
+tasks.  Each task sweeps over its pieces and gaps in order of size: the successor
+of a piece, the smallest gap that still takes it, receives it; where several want
+one gap, the lower rank wins and the others go on to the next; gaps shrink and stay
+in the sweep; new sequences are opened only where no gap fits.  What is left of the
+gaps goes back to the table of gaps, and the next round deals it anew.  Sizes are
+whole numbers up to the capacity, so a sweep moves over runs of equal pieces and
+equal gaps, not over single ones.
+
+A task holds about ``TASK_ROWS`` pieces and gaps as pairs of numbers, whatever the
+corpus holds; the number of rounds depends on the capacity alone, and every round
+is settled, so a lost executor repeats its own task.  With one task the result is
+best-fit decreasing; with more, a round leaves at most one open sequence more for
+each, which the shorter pieces of later rounds fill.  Ranks come from two levels of
+prefix sums, so one length that holds most pieces is not one task.
 
 Defined results: a null text counts as empty, so the document is the end id
-alone; empty tables give empty tables; repeated rows and null ids are packed
-like any others; columns other than the id and the text are ignored.
+alone; texts of any length are encoded whole; empty tables give empty tables;
+repeated rows and null ids are packed like any others, ties in length by id, piece
+and checksum; columns other than the id and the text are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -46,6 +54,10 @@ CACHED_CHARS = 48
 #: Buckets that the ranks of one size are counted in.  A bucket is one window
 #: group, so this only spreads work; the ranks are the same for any value.
 RANK_BUCKETS = 512
+#: Pieces and gaps of a round's task, on average.
+TASK_ROWS = 100_000
+#: The last range holds all lengths up to this.
+SHORT = 16
 
 
 class WordEncoder:
@@ -135,14 +147,16 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col
     return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """The sweep.  counts: pieces by size.  Returns runs (size, first rank, last
-    rank + 1, first sequence, offset): rank r of the run goes to sequence
-    ``first sequence + r - first rank`` at ``offset``.
+def sweep(counts: dict[int, int], room: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], dict[int, list[tuple[int, int]]], int]:
+    """One task's sweep over runs.  counts: pieces by size; room: gaps by room, numbered
+    from 0 by room.  Returns runs (size, first rank, last rank + 1, first sequence,
+    offset): rank r of the run goes to sequence ``first sequence + r - first rank``;
+    the gaps left by room as runs (first sequence, number); the number of sequences,
+    of which those from sum(room) on are new.
 
     Gap runs hold consecutive sequences with the same room.  A size takes whole
-    runs or splits one, and opens at most one run, so the runs alive are at most
-    twice the number of sizes.
+    runs or splits one, and opens at most one run, so the runs alive stay within a
+    few times the number of sizes.
     """
     gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs (first sequence, number)
     rooms: list[int] = []  # sorted
@@ -155,6 +169,9 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                 bisect.insort(rooms, room)
             gaps[room].append((first, n))
 
+    for size in sorted(room):
+        add(size, sequences, room[size])
+        sequences += room[size]
     for size in sorted(counts, reverse=True):
         rank, left = 0, counts[size]
         while left:
@@ -164,31 +181,85 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                 each = capacity // size
                 full, rest = divmod(left, each)
                 for k in range(each):
-                    n = full + (k < rest)
-                    break_at = full
                     if full:
                         plan.append((size, rank, rank + full, sequences, k * size))
                         rank += full
-                    if n > break_at:
+                    if k < rest:
                         plan.append((size, rank, rank + 1, sequences + full, k * size))
                         rank += 1
-                add(capacity - each * size, sequences, full)
+                if full:
+                    add(capacity - each * size, sequences, full)
                 if rest:
                     add(capacity - rest * size, sequences + full, 1)
                 sequences += full + bool(rest)
-                left = 0
                 break
-            room = rooms[at]
-            first, n = gaps[room].pop()
-            if not gaps[room]:
-                del gaps[room], rooms[at]
+            found = rooms[at]
+            first, n = gaps[found].pop()
+            if not gaps[found]:
+                del gaps[found], rooms[at]
             take = min(n, left)
-            plan.append((size, rank, rank + take, first, capacity - room))
-            add(room - size, first, take)
+            plan.append((size, rank, rank + take, first, capacity - found))
+            add(found - size, first, take)
             if n > take:
-                add(room, first + take, n - take)
+                add(found, first + take, n - take)
             rank, left = rank + take, left - take
-    return plan
+    return plan, gaps, sequences
+
+
+def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """The runs of a sweep without gaps to start with."""
+    return sweep(counts, {}, capacity)[0]
+
+
+def ranges(capacity: int) -> list[tuple[int, int]]:
+    """The rounds' lengths (least, most), longest first."""
+    out, most = [], capacity
+    while most > SHORT:
+        out.append((most // 2 + 1, most))
+        most //= 2
+    return [*out, (1, most)]
+
+
+#: length: a piece's length or a gap's room; rank: -1 for a gap; offset: -1 for a gap.
+PLACED = "length long, rank long, sequence_id long, offset long"
+
+
+def _round(n: int, capacity: int):
+    """The task of round ``n``: pieces with their places, and the gaps that are left."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "rank", "sequence_id"])
+        length, rank, seq = (pdf[c].to_numpy(np.int64) for c in ("length", "rank", "sequence_id"))
+        gap = rank < 0
+        sizes, held = (dict(zip(*(x.tolist() for x in np.unique(length[m], return_counts=True)))) for m in (~gap, gap))
+        plan, left, total = sweep(sizes, held, capacity)
+        new = total - int(gap.sum())
+        numbers = np.concatenate([seq[gap], (n << 56) + (int(pdf["task"].iloc[0]) << 32) + np.arange(new)])
+        # Pieces are sorted by length and rank: a length's pieces stand together.
+        sizes_at = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist()))
+        place, offset = np.empty((~gap).sum(), np.int64), np.empty((~gap).sum(), np.int64)
+        for size, lo, hi, first, at in plan:
+            s = slice(sizes_at[size] + lo, sizes_at[size] + hi)
+            place[s], offset[s] = np.arange(first, first + hi - lo), at
+        open_ = [(room, first + np.arange(k)) for room, runs in sorted(left.items()) for first, k in runs]
+        rest = np.concatenate([np.empty(0, np.int64), *(x for _, x in open_)])
+        rooms = np.concatenate([np.empty(0, np.int64), *(np.full(len(x), room) for room, x in open_)])
+        return pd.DataFrame({
+            "length": np.concatenate([length[~gap], rooms]), "rank": np.concatenate([rank[~gap], np.full(len(rest), -1)]),
+            "sequence_id": numbers[np.concatenate([place, rest]).astype(np.int64)], "offset": np.concatenate([offset, np.full(len(rest), -1)]),
+        })
+
+    return run
+
+
+def ranked(parts: DataFrame, id_col: str) -> DataFrame:
+    """Adds __rank, from 0 within each length."""
+    order = [F.col(c) for c in (id_col, "piece", "ids_crc32")]
+    hashed = parts.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int"))
+    by_bucket = hashed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = by_bucket.select("length", "__b", (F.sum("__n").over(Window.partitionBy("length").orderBy("__b")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("length", "__b").orderBy(*order)) - 1 + F.col("__before")
+    return hashed.join(before, ["length", "__b"]).withColumn("__rank", rank).select(*parts.columns, "__rank")
 
 
 def pack(parts: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
@@ -196,41 +267,35 @@ def pack(parts: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
 
     ``parts`` is read twice and must not change in between: settle it first.
     """
-    spark = parts.sparkSession
-    order = [F.col(c) for c in (id_col, "piece", "ids_crc32")]
-    hashed = parts.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int"))
-    by_bucket = hashed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = by_bucket.select("length", "__b", (F.sum("__n").over(Window.partitionBy("length").orderBy("__b")) - F.col("__n")).alias("__before"))
-    # At most one row for each size up to the capacity.
-    counts = {int(r["length"]): int(r["n"]) for r in by_bucket.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    plan = best_fit_plan(counts, capacity)
-    runs: dict[int, tuple[np.ndarray, ...]] = {}
-    for size in counts:
-        runs[size] = ()
-    by_size: dict[int, list[tuple[int, int, int]]] = {}
-    for size, lo, _, seq, offset in plan:
-        by_size.setdefault(size, []).append((lo, seq, offset))
-    for size, found in by_size.items():
-        runs[size] = tuple(np.array(x, np.int64) for x in zip(*found))
-    plan_on_workers = spark.sparkContext.broadcast(runs)  # bounded by the capacity
-
-    ranked = hashed.join(before, ["length", "__b"]).withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__b").orderBy(*order)) - 1 + F.col("__before")).drop("__b", "__before")
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs = plan_on_workers.value
-        for b in batches:
-            seq, off = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
-            sizes, ranks = b["length"].to_numpy(np.int64), b["__rank"].to_numpy(np.int64)
-            order = np.argsort(sizes, kind="stable")
-            cuts = np.flatnonzero(np.diff(sizes[order])) + 1
-            for rows in np.split(order, cuts) if len(order) else []:
-                lo, first, offset = runs[int(sizes[rows[0]])]
-                k = np.searchsorted(lo, ranks[rows], "right") - 1
-                seq[rows], off[rows] = first[k] + ranks[rows] - lo[k], offset[k]
-            yield b.drop(columns="__rank").assign(sequence_id=seq, offset=off)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.select(*parts.columns, "__rank").mapInPandas(place, schema)
+    rows = settle(ranked(parts, id_col), "ranked")
+    bands = ranges(capacity)
+    which = F.lit(len(bands) - 1)
+    for n, (least, _) in list(enumerate(bands))[-2::-1]:
+        which = F.when(F.col("length") >= least, n).otherwise(which)
+    held = {r["band"]: r["n"] for r in rows.groupBy(which.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    empty = F.lit(-1).cast("long")
+    gaps, placed = None, None
+    for n, (least, most) in enumerate(bands):
+        if n not in held:
+            continue
+        todo = rows.filter(F.col("length").between(least, most)).select(F.col("length").cast("long").alias("length"), F.col("__rank").cast("long").alias("rank"), empty.alias("sequence_id"))
+        total = held[n]
+        if gaps is not None:
+            fits = gaps.filter(F.col("length") >= least)
+            total += fits.count()
+            todo = todo.union(fits.select("length", "rank", "sequence_id"))
+        tasks = max(1, -(-total // TASK_ROWS))
+        # By rank; lengths and sequences start at different tasks, so that few are not all in one.
+        dealt = todo.withColumn("task", F.pmod(F.when(F.col("rank") >= 0, F.col("rank") + F.col("length")).otherwise(F.xxhash64("sequence_id")), F.lit(tasks)))
+        done = settle(dealt.groupBy("task").applyInPandas(_round(n, capacity), PLACED), f"round-{n}")
+        left = done.filter("rank < 0")
+        gaps = left if gaps is None else left.union(gaps.filter(F.col("length") < least))
+        now = done.filter("rank >= 0")
+        placed = now if placed is None else placed.union(now)
+    if placed is None:
+        return parts.select("*", empty.alias("sequence_id"), empty.alias("offset"))
+    placed = placed.select(F.col("length").alias("__l"), F.col("rank").alias("__r"), "sequence_id", "offset")
+    return rows.join(placed, (F.col("length") == F.col("__l")) & (F.col("__rank") == F.col("__r"))).select(*parts.columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
