@@ -63,9 +63,9 @@ def ks_two_samples(df: DataFrame, keys: list[str], x: str, first: str, weight: s
     ``weight``: how many values a row stands for (whole numbers), else one.
 
     Distribution steps are taken at distinct values, so samples of any size meet
-    only as counts."""
+    only as counts.  Null values belong to no sample."""
     n = F.lit(1).cast("long") if weight is None else F.col(weight)
-    counts = df.groupBy(*keys, x).agg(F.sum(F.col(first).cast("long") * n).alias("a"), F.sum((~F.col(first)).cast("long") * n).alias("b"))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(F.col(first).cast("long") * n).alias("a"), F.sum((~F.col(first)).cast("long") * n).alias("b"))
     w = Window.partitionBy(*keys)
     up = w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
     steps = counts.withColumns({"n1": F.sum("a").over(w), "n2": F.sum("b").over(w), "ca": F.sum("a").over(up), "cb": F.sum("b").over(up)})

@@ -39,14 +39,15 @@ def main_block(table: DataFrame, keys: list[str], cadence: DataFrame, min_cycles
     all, if none has); ``tight`` if the second reaches 80 % of it."""
     t = table.join(cadence, keys).withColumn("own", F.col("n_inside") - F.col("outside"))
     span = (micros("end_ts") - micros("start_ts")) / 1e6
-    expected = F.floor(F.try_divide(span, F.col("cadence_s"))) + 1
-    t = t.withColumns({"duration_h": F.round(span / 3600, 1), "cover": F.try_divide(F.col("own").cast("double"), expected.cast("double"))})
+    # Cycles that would fill the span; without a cadence those that are there.
+    expected = F.when(F.col("cadence_s") > 0, F.try_divide(span, F.col("cadence_s")) + 1).otherwise(F.col("n_inside").cast("double"))
+    t = t.withColumns({"duration_h": F.round(span / 3600, 1), "cover": F.try_divide(F.col("own").cast("double"), expected)})
     t = t.withColumn("eligible", (F.col("own") >= min_cycles) & F.coalesce(F.col("cover") >= min_cover, F.lit(False)))
     any_ok = F.max("eligible").over(Window.partitionBy(*keys))
     t = t.withColumn("__any", any_ok).filter(F.col("eligible") | ~F.col("__any"))
     w = Window.partitionBy(*keys).orderBy(F.desc("duration_h"), "block_id")
     t = t.withColumns({"rank": F.row_number().over(w), "second_h": F.lead("duration_h").over(w)}).filter("rank = 1")
-    return t.withColumn("tight", F.coalesce(F.col("second_h") >= F.col("duration_h") * 0.8, F.lit(False))).drop("rank", "__any")
+    return t.withColumn("tight", F.coalesce(F.try_divide("second_h", "duration_h") >= 0.8, F.lit(False))).drop("rank", "__any")
 
 
 def compare_samples(rows: DataFrame, keys: list[str], group: str, x: str, position: str, min_n: int = 10, min_share: float = 0.02, diff_ms: float = 1.0, diff_rel: float = 0.1, alpha: float = 0.01) -> DataFrame:

@@ -14,20 +14,26 @@ from .windows import band_join, over, with_runs
 
 
 def match_nearest(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one, nearest pairs first, ties by place."""
-    pairs = []
-    order = np.argsort(b, kind="stable")
-    s = b[order]
-    for i, t in enumerate(a):
-        for k in range(int(np.searchsorted(s, t - tolerance)), int(np.searchsorted(s, t + tolerance, "right"))):
-            pairs.append((abs(s[k] - t), i, int(order[k])))
-    used_a, used_b, out = set(), set(), []
-    for _, i, j in sorted(pairs):
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            out.append((i, j))
-    return out
+    """One-to-one, nearest pairs first, ties by place.
+
+    All pairs in reach stand in one order.  In each round every pair that comes first
+    for both of its ends is taken, and with it go all other pairs of these ends; that
+    is the choice one by one from the front, but many at a time."""
+    by_time = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[by_time], a - tolerance), np.searchsorted(b[by_time], a + tolerance, "right")
+    i = np.repeat(np.arange(len(a)), hi - lo)
+    j = by_time[np.arange(len(i)) + np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo)] if len(i) else i
+    gap = np.abs(b[j] - a[i])
+    order = np.lexsort((j, i, gap))
+    i, j, gap = i[order], j[order], gap[order]
+    taken: list[tuple[float, int, int]] = []
+    while len(i):
+        first_i, first_j = (np.unique(x, return_index=True)[1] for x in (i, j))
+        both = np.intersect1d(first_i, first_j)
+        taken += zip(gap[both].tolist(), i[both].tolist(), j[both].tolist())
+        left = ~(np.isin(i, i[both]) | np.isin(j, j[both]))
+        i, j, gap = i[left], j[left], gap[left]
+    return [(x, y) for _, x, y in sorted(taken)]
 
 
 def match_in_order(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
@@ -82,11 +88,11 @@ def near_any(rows: DataFrame, marks: DataFrame, keys: list[str], t: str, reach:
 
 def segment_truth(segs: DataFrame, truth: DataFrame, keys: list[str], seg: str, t: str, lo: str, hi: str, level: str, cell: int) -> DataFrame:
     """True level of each segment (median within it) and its purity, the share
-    within 0.05 of that level."""
+    less than 0.05 from that level."""
     inside = band_join(truth.select(*keys, t, F.col(level).alias("__v")), segs.select(*keys, seg, F.col(lo).alias("__lo"), F.col(hi).alias("__hi")), keys, t, "__lo", "__hi", cell)
     mid = inside.groupBy(*keys, seg).agg(F.percentile("__v", 0.5).alias("true_delta"))
     both = inside.join(mid, [*keys, seg])
-    return both.groupBy(*keys, seg).agg(F.first("true_delta").alias("true_delta"), F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col("__v") - F.col("true_delta")) <= 0.05).cast("double")).alias("purity"))
+    return both.groupBy(*keys, seg).agg(F.first("true_delta").alias("true_delta"), F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col("__v") - F.col("true_delta")) < 0.05).cast("double")).alias("purity"))
 
 
 def score_labels(segs: DataFrame, minutes: str, delta: str, n: str, base_share: str, min_share: float = 0.25, min_n: int = 10, band: float = 0.5) -> DataFrame:

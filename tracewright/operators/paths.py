@@ -48,6 +48,11 @@ def with_previous(hops: DataFrame, cyc: DataFrame, keys: list[str], cycle: list[
     return rows.join(before, [*keys, "hop", "__i"])
 
 
+def known_ip(ip: str) -> Column:
+    """The address, null where it is written as unknown."""
+    return F.when(F.col(ip) != "Unknown", F.col(ip))
+
+
 def same_network(a: Column, b: Column) -> Column:
     """The rule that makes a change of address no event: same known AS or both unknown."""
     return known_asn(a).eqNullSafe(known_asn(b))
@@ -58,14 +63,14 @@ def rtt_events(pairs: DataFrame, resolve_asn: bool = True) -> DataFrame:
     address in the same network."""
     diff = F.abs(F.col("rtt_ms") - F.col("prev_rtt"))
     pct = F.when(F.col("prev_rtt") > 0, diff * 100 / F.col("prev_rtt")).otherwise(0.0)
-    moved = (F.col("ip") != F.col("prev_ip")) & same_network(F.col("asn"), F.col("prev_asn")) if resolve_asn else F.lit(False)
+    moved = (known_ip("ip") != known_ip("prev_ip")) & same_network(F.col("asn"), F.col("prev_asn")) if resolve_asn else F.lit(False)
     out = pairs.withColumns({"diff_ms": diff, "pct": pct}).filter(~F.coalesce(moved, F.lit(False)) & (F.col("diff_ms") > 10) & (F.col("pct") > 20))
     return out.withColumn("categoria", F.concat(F.lit("rtt_"), severity("pct")))
 
 
 def ip_asn_events(pairs: DataFrame, resolve_asn: bool = True) -> DataFrame:
     """Another address, unless the network stays the same."""
-    moved = F.col("ip").isNotNull() & F.col("prev_ip").isNotNull() & (F.col("ip") != F.col("prev_ip"))
+    moved = F.coalesce(known_ip("ip") != known_ip("prev_ip"), F.lit(False))
     if resolve_asn:
         moved = moved & ~same_network(F.col("asn"), F.col("prev_asn"))
     return pairs.filter(moved).withColumn("categoria", F.lit("cambio_ip_asn"))
@@ -186,21 +191,27 @@ def excluded_cycles(cyc: DataFrame, keys: list[str], cycle: list[str], persisten
 
 
 def cross_check(ev: DataFrame, cyc: DataFrame, keys: list[str], cycle: list[str]) -> DataFrame:
-    """(keys, counts): events against changes of reached cycles.  Cycles that
-    don't reach, and those right after them, are left out of both."""
-    w = over(keys, cycle)
-    masked = cyc.withColumn("__bad", ~F.col("reached") | F.coalesce(~F.lag("reached").over(w), F.lit(False)))
+    """(keys, counts): cycles with events against real changes of reached cycles.
+    Cycles that don't reach, and those right after them, are left out of both.
+
+    Address events: with a change of AS path, of length only, of neither, and in no
+    cycle of the history; length events without any real change; real changes of
+    length or AS path without their event."""
+    masked = cyc.withColumn("__bad", ~F.col("reached") | F.coalesce(~F.lag("reached").over(over(keys, cycle)), F.lit(False)))
     real = transitions(cyc.filter("reached"), keys, cycle).select(*keys, *cycle, "clase")
-    flags = ev.groupBy(*keys, *cycle).agg(
-        F.max((F.col("categoria") == "cambio_longitud").cast("int")).alias("ev_length"), F.max((F.col("categoria") == "cambio_ip_asn").cast("int")).alias("ev_ip")
-    )
-    both = masked.filter(~F.col("__bad")).select(*keys, *cycle).join(real, [*keys, *cycle], "left").join(flags, [*keys, *cycle], "left")
-    hit = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long"))
-    length, path = F.col("clase").isin("ambas", "solo_longitud"), F.col("clase").isin("ambas", "solo_aspath")
-    ev_l, ev_ip = F.coalesce(F.col("ev_length"), F.lit(0)) == 1, F.coalesce(F.col("ev_ip"), F.lit(0)) == 1
+    has = lambda kind: F.coalesce(F.bool_or(F.col("categoria") == kind), F.lit(False))
+    flags = ev.groupBy(*keys, *cycle).agg(has("cambio_longitud").alias("__l"), has("cambio_ip_asn").alias("__a"))
+    inside = masked.select(*keys, *cycle, "__bad", F.lit(True).alias("__in")).join(real, [*keys, *cycle], "left")
+    both = inside.join(flags, [*keys, *cycle], "full").filter(~F.coalesce("__bad", F.lit(False)))
+    no = F.lit(False)
+    there, event_l, event_a = (F.coalesce(x, no) for x in ("__in", "__l", "__a"))
+    path, length_only = (F.coalesce(F.col("clase").isin(*k), no) for k in (("ambas", "solo_aspath"), ("solo_longitud",)))
+    length = F.coalesce(F.col("clase").isin("ambas", "solo_longitud"), no)
+    count = lambda cond, name: F.sum(cond.cast("long")).alias(name)
     return both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cycles"), hit(length & ev_l).alias("length_both"), hit(length & ~ev_l).alias("length_unseen"), hit(ev_l & ~F.coalesce(length, F.lit(False))).alias("length_unreal"),
-        hit(path & ev_ip).alias("path_both"), hit(path & ~ev_ip).alias("path_unseen"), hit(ev_ip & ~F.coalesce(path, F.lit(False))).alias("path_unreal"),
+        count(there, "cycles"), count(event_a, "ip_events"), count(event_a & path, "ip_with_path"), count(event_a & length_only, "ip_length_only"),
+        count(event_a & there & F.col("clase").isNull(), "ip_unreal"), count(event_a & ~there, "ip_outside"), count(event_l & there & F.col("clase").isNull(), "length_unreal"),
+        count(length & ~event_l, "length_unseen"), count(path & ~event_a, "path_unseen"),
     )
 
 

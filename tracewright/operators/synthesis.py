@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import robust_sigma
@@ -14,33 +16,54 @@ from .windows import band_join, over
 DELTAS, HOURS, REPEATS = (2.0, 3.0, 5.0, 10.0, 20.0), (1.0, 6.0, 48.0), 2
 
 
+class RunningMedian:
+    """Median of the values so far: the lower half in one heap, the upper in another."""
+
+    def __init__(self, values: np.ndarray):
+        self.low: list[float] = []  # negated
+        self.high: list[float] = []
+        for x in values.tolist():
+            self.add(x)
+
+    def add(self, x: float) -> None:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def level_starts(m: np.ndarray, threshold: float, dwell: int) -> list[int]:
+    """Where levels begin.  The least and greatest of the next ``dwell`` values say at
+    once whether they all lie over or under the median of the level so far."""
+    ahead = np.lib.stride_tricks.sliding_window_view(m, dwell)
+    least, most = ahead.min(axis=1), ahead.max(axis=1)
+    starts, so_far, t = [0], RunningMedian(m[:dwell]), dwell
+    while t < len(ahead):
+        level = so_far.value()
+        side = int(least[t] - level >= threshold) - int(level - most[t] >= threshold)
+        if not side:
+            so_far.add(float(m[t]))
+            t += 1
+            continue
+        near = np.flatnonzero(side * (m[starts[-1] : t] - level) < threshold)
+        begin = starts[-1] + int(near[-1]) + 1  # some value is near the median of all
+        starts.append(begin)
+        so_far, t = RunningMedian(m[begin : begin + dwell]), begin + dwell
+    return starts
+
+
 def segment_levels(y: np.ndarray, width: int = 9, threshold: float = 1.5, dwell: int = 5) -> np.ndarray:
     """Level of each value.  A level ends where the moving median and the next
     ``dwell`` - 1 all lie ``threshold`` or more away on one side; the new one begins
     as far back as that held."""
-    n = len(y)
-    if n < 2 * dwell:
-        return np.full(n, np.median(y) if n else np.nan)
-    w = max(3, width + (width % 2 == 0))
-    padded = np.concatenate([np.full(w // 2, y[0]), y, np.full(w // 2, y[-1])])
-    m = np.median(np.lib.stride_tricks.sliding_window_view(padded, w), axis=1)
-    cuts, start, level, t = [0], 0, float(np.median(m[:dwell])), dwell
-    while t < n:
-        side = np.sign(m[t] - level)
-        away = side * (m[t : t + dwell] - level)
-        if len(away) == dwell and (away >= threshold).all():
-            at = t
-            while at - 1 > start and side * (m[at - 1] - level) >= threshold:
-                at -= 1
-            cuts.append(at)
-            start, level, t = at, float(np.median(m[at : at + dwell])), at + dwell
-        else:
-            level = float(np.median(m[start : t + 1]))
-            t += 1
-    out = np.empty(n)
-    for a, b in zip(cuts, [*cuts[1:], n]):
-        out[a:b] = np.median(y[a:b])
-    return out
+    if len(y) < 2 * dwell:
+        return np.full(len(y), np.median(y) if len(y) else np.nan)
+    half = max(3, width | 1) // 2
+    m = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(y, half, mode="edge"), 2 * half + 1), axis=1)
+    parts = np.split(y, level_starts(m, threshold, dwell)[1:])
+    return np.concatenate([np.full(len(p), np.median(p)) for p in parts])
 
 
 def with_levels(rows: DataFrame, keys: list[str], order: list[str], x: str, **how) -> DataFrame:
@@ -123,6 +146,37 @@ def apply_plan(pool_rows: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.join(pool_rows, "src_idx")
 
 
+def drawn(below, *what) -> Column:
+    """A number under ``below`` that only depends on ``what`` (text of it, md5): draws
+    that are the same on every executor and every run."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(w).cast("string") if isinstance(w, str) else w for w in what])), 1, 12), 16, 10).cast("long"), F.greatest(below, F.lit(1)))
+
+
+def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str, length: int, seed: int, level: str | None = None) -> DataFrame:
+    """O34 for all series at once: (keys, idx, src_idx, seam, dt_us, x, jump).
+
+    A series of n rows is drawn again as blocks of ``length`` neighbouring rows with
+    starts drawn with replacement; only the blocks' starts are planned, and exploded to
+    rows where they run.  Inside a block the real time step is kept; a block's first
+    step is drawn from the series' steps of half to one and a half of the upper median
+    (which stands in if there are none).  jump: step of the level at a seam (null elsewhere)."""
+    w = over(keys, order)
+    step = F.unix_micros(F.col(t).cast("timestamp")) - F.lag(F.unix_micros(F.col(t).cast("timestamp"))).over(w)
+    src = rows.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("src_idx"), F.col(x).alias("__x"), F.col(level or x).alias("__l"), step.alias("__dt"))
+    middle = src.filter("__dt is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("__dt")).alias("s")).select(*keys, F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("__mid"))
+    usual = src.join(middle, keys).filter((F.col("__dt") > 0.5 * F.col("__mid")) & (F.col("__dt") < 1.5 * F.col("__mid")))
+    usual = usual.select(*keys, (F.row_number().over(over(keys, ["src_idx"])) - 1).cast("long").alias("__k"), F.col("__dt").alias("__drawn"))
+    size = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys, "left").join(middle, keys, "left")
+    blocks = size.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / length))))
+    blocks = blocks.withColumns({"__start": drawn(F.col("__n") - length + 1, F.lit(seed), *keys, "__b"), "__k": drawn(F.coalesce("__m", F.lit(1)), F.lit(seed), *keys, "__b", F.lit("dt"))})
+    plan = blocks.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))).withColumns({"idx": F.col("__b") * length + F.col("__o"), "src_idx": F.col("__start") + F.col("__o")})
+    plan = plan.filter((F.col("idx") < F.col("__n")) & (F.col("src_idx") < F.col("__n"))).join(usual, [*keys, "__k"], "left")
+    out = plan.join(src, [*keys, "src_idx"]).withColumn("seam", (F.col("__o") == 0) & (F.col("idx") > 0))
+    jump = F.when(F.col("seam"), F.col("__l") - F.lag("__l").over(over(keys, ["idx"])))
+    dt = F.when(F.col("__o") > 0, F.col("__dt")).otherwise(F.coalesce("__drawn", "__mid"))
+    return out.select(*keys, "idx", "src_idx", "seam", dt.alias("dt_us"), F.col("__x").alias(x), jump.alias("jump"))
+
+
 def step_plan(cycles_per_h: float, path_length: int, seed: int, deltas=DELTAS, hours=HOURS, repeats: int = REPEATS, separation_h: float = 12.0, margin_h: float = 12.0, severe_ms: float = 5.0) -> pd.DataFrame:
     """A shuffled factorial design of steps: (i0, i1, delta_ms, hop, kind)."""
     rng = np.random.default_rng(seed)
@@ -167,18 +221,25 @@ def inject_simple(cyc: DataFrame, keys: list[str], order: list[str], starts: lis
     return rows.withColumn("last_rtt", F.when(F.col("evento_id").isNotNull(), F.col("last_rtt") + delta_ms).otherwise(F.col("last_rtt")))
 
 
-def realism(real: DataFrame, synthetic: DataFrame, x: str, tolerances: dict[str, float]) -> DataFrame:
-    """(metrica, pool_real, sintetico, estado): quantiles, spread and mean of both."""
+def realism(real: DataFrame, synthetic: DataFrame, keys: list[str], real_order: list[str], order: list[str], x: str, tolerances: dict[str, float], spike_ms: float = 3.0) -> DataFrame:
+    """(keys, metrica, pool_real, sintetico, estado): quantiles, mean, spread, robust
+    sigma, correlation of neighbours and share of spikes (over the median by more than
+    ``spike_ms`` and six sigma) of both, each with its tolerance ('' for the others)."""
 
-    def summary(df: DataFrame, name: str) -> DataFrame:
+    def summary(df: DataFrame, by: list[str], name: str) -> DataFrame:
         qs = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
-        one = df.agg(F.percentile(x, F.array(*[F.lit(q) for q in qs])).alias("q"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
+        one = df.groupBy(*keys).agg(F.percentile(x, F.array(*[F.lit(q) for q in qs])).alias("q"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).join(robust_sigma(df, keys, x, "sigma"), keys)
+        pairs = df.withColumn("__next", F.lead(x).over(over(keys, by))).join(one, keys)
+        more = pairs.groupBy(*keys).agg(
+            F.try_divide(F.avg((F.col(x) - F.col("m")) * (F.col("__next") - F.col("m"))), F.first(F.col("s") * F.col("s"))).alias("acf1"),
+            F.avg((F.col(x) - F.col("q")[2] > F.greatest(F.lit(spike_ms), 6 * F.col("sigma"))).cast("double")).alias("spikes"),
+        )
         cells = [F.struct(F.lit(f"p{round(100 * q)}").alias("k"), F.col("q")[i].alias("v")) for i, q in enumerate(qs)]
-        cells += [F.struct(F.lit("media").alias("k"), F.col("m").alias("v")), F.struct(F.lit("std").alias("k"), F.col("s").alias("v"))]
-        return one.select(F.explode(F.array(*cells)).alias("c")).select(F.col("c.k").alias("metrica"), F.col("c.v").alias(name))
+        cells += [F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in (("media", "m"), ("std", "s"), ("sigma_robusta", "sigma"), ("acf1", "acf1"), ("tasa_picos", "spikes"))]
+        return one.join(more, keys).select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, F.col("c.k").alias("metrica"), F.col("c.v").alias(name))
 
-    both = summary(real, "pool_real").join(summary(synthetic, "sintetico"), "metrica")
-    limit = F.lit(tolerances.get("", 1.0))
+    both = summary(real, real_order, "pool_real").join(summary(synthetic, order, "sintetico"), [*keys, "metrica"])
+    limit = F.lit(float(tolerances.get("", 1.0)))
     for k, v in tolerances.items():
         limit = F.when(F.col("metrica") == k, float(v)).otherwise(limit)
     return both.withColumn("estado", F.when(F.abs(F.col("pool_real") - F.col("sintetico")) <= limit, "OK").otherwise("REVISAR"))

@@ -49,8 +49,8 @@ def topk_paths(spark, sf):
 _PAIRS = """WITH num AS (SELECT *, dense_rank() OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id) AS i FROM v_hops),
   pr AS (SELECT a.*, b.ip AS prev_ip, b.asn AS prev_asn, b.rtt_ms AS prev_rtt FROM num a JOIN num b ON b.series_id = a.series_id AND b.hop = a.hop AND b.i = a.i - 1),
   rt AS (SELECT *, abs(rtt_ms - prev_rtt) AS diff_ms, CASE WHEN prev_rtt > 0 THEN abs(rtt_ms - prev_rtt) * 100 / prev_rtt ELSE 0 END AS pct FROM pr),
-  re AS (SELECT *, 'rtt_' || CASE WHEN pct > 200 THEN 'dark' WHEN pct > 40 THEN 'medium' ELSE 'light' END AS categoria FROM rt WHERE diff_ms > 10 AND pct > 20 AND NOT (ip <> prev_ip AND asn IS NOT DISTINCT FROM prev_asn)),
-  ie AS (SELECT *, 'cambio_ip_asn' AS categoria FROM pr WHERE ip <> prev_ip AND asn IS DISTINCT FROM prev_asn),
+  re AS (SELECT *, 'rtt_' || CASE WHEN pct > 200 THEN 'dark' WHEN pct > 40 THEN 'medium' ELSE 'light' END AS categoria FROM rt WHERE diff_ms > 10 AND pct > 20 AND NOT (ip <> prev_ip AND 'Unknown' NOT IN (ip, prev_ip) AND asn IS NOT DISTINCT FROM prev_asn)),
+  ie AS (SELECT *, 'cambio_ip_asn' AS categoria FROM pr WHERE ip <> prev_ip AND 'Unknown' NOT IN (ip, prev_ip) AND asn IS DISTINCT FROM prev_asn),
   ln AS (SELECT series_id, cycle_ts, cycle_id, max(hop) AS length FROM v_hops GROUP BY 1, 2, 3), lp AS (SELECT *, lag(length) OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id) AS prev_length FROM ln),
   le AS (SELECT *, 'cambio_longitud' AS categoria FROM lp WHERE prev_length <> length)"""
 
@@ -70,6 +70,29 @@ def ip_asn_events(spark, sf):
     return paths.ip_asn_events(pairs(spark, sf)).select(*K, *C, "hop", "prev_ip", "ip", "categoria")
 
 
+#: A third of the addresses unknown.
+_UNKNOWN = "WITH v_unknown AS (SELECT series_id, cycle_ts, cycle_id, hop, CASE WHEN CAST(right(ip, 1) AS INTEGER) < 3 THEN 'Unknown' ELSE ip END AS ip, asn, rtt_ms FROM v_hops), "
+
+
+def pairs_with_unknown(spark, sf):
+    h = hops(spark, sf).withColumn("ip", F.when(F.substring("ip", -1, 1).cast("int") < 3, "Unknown").otherwise(F.col("ip")))
+    return paths.with_previous(h, paths.cycles(h, K, C), K, C)
+
+
+@query(_UNKNOWN + _PAIRS[5:].replace("v_hops", "v_unknown") + " SELECT series_id, cycle_ts, cycle_id, hop, prev_ip, ip, categoria FROM ie UNION ALL SELECT series_id, cycle_ts, cycle_id, hop, prev_ip, ip, categoria FROM re")
+def events_beside_unknown_addresses(spark, sf):
+    p, cols = pairs_with_unknown(spark, sf), [*K, *C, "hop", "prev_ip", "ip", "categoria"]
+    return paths.ip_asn_events(p).select(*cols).unionByName(paths.rtt_events(p).select(*cols))
+
+
+@query("""WITH d AS (SELECT series_id, cycle_ts, cycle_id, arg_min(ip, hop) AS dst, (array_agg(asn ORDER BY hop))[1] AS dst_asn FROM v_hops GROUP BY 1, 2, 3),
+  m AS (SELECT *, lag(dst) OVER o AS prev_dst, lag(dst_asn) OVER o AS prev_asn FROM d WINDOW o AS (PARTITION BY series_id ORDER BY cycle_ts, cycle_id))
+  SELECT series_id, cycle_ts, cycle_id, dst, 'cambio_destino' AS categoria FROM m WHERE dst <> prev_dst AND (dst_asn <> prev_asn OR (dst_asn IS NULL) <> (prev_asn IS NULL))""")
+def destination_events(spark, sf):
+    first = hops(spark, sf).groupBy(*K, *C).agg(F.min_by("ip", "hop").alias("dst"), F.min_by(F.struct("asn"), "hop")["asn"].alias("dst_asn"))
+    return paths.destination_events(first, K, C, "dst", "dst_asn").select(*K, *C, "dst", "categoria")
+
+
 @query(_PAIRS + " SELECT * FROM le")
 def length_events(spark, sf):
     return paths.length_events(cycles(spark, sf), K, C).select(*K, *C, "length", "prev_length", "categoria")
@@ -141,8 +164,13 @@ _CROSS = _REACH + ", " + _EVENTS[5:] + """, mk AS (SELECT series_id, cycle_ts, c
   jn AS (SELECT mk.series_id, coalesce(cl, false) AS cl, coalesce(cp, false) AS cp, coalesce(el, false) AS el, coalesce(ei, false) AS ei FROM mk LEFT JOIN tw USING (series_id, cycle_ts, cycle_id) LEFT JOIN fl USING (series_id, cycle_ts, cycle_id) WHERE NOT bad)"""
 
 
-@query(_CROSS + """ SELECT series_id, count(*) AS cycles, count(*) FILTER (cl AND el) AS length_both, count(*) FILTER (cl AND NOT el) AS length_unseen, count(*) FILTER (el AND NOT cl) AS length_unreal,
-  count(*) FILTER (cp AND ei) AS path_both, count(*) FILTER (cp AND NOT ei) AS path_unseen, count(*) FILTER (ei AND NOT cp) AS path_unreal FROM jn GROUP BY 1""")
+@query(_CROSS + """, bd AS (SELECT series_id, cycle_ts, cycle_id FROM mk WHERE bad), hs AS (SELECT series_id, cycle_ts, cycle_id FROM mk EXCEPT FROM bd),
+  ea AS (SELECT series_id, cycle_ts, cycle_id FROM ev WHERE categoria = 'cambio_ip_asn' EXCEPT FROM bd), el AS (SELECT series_id, cycle_ts, cycle_id FROM ev WHERE categoria = 'cambio_longitud' EXCEPT FROM bd),
+  cp AS (SELECT series_id, cycle_ts, cycle_id FROM tw WHERE cp EXCEPT FROM bd), cl AS (SELECT series_id, cycle_ts, cycle_id FROM tw WHERE cl EXCEPT FROM bd), ch AS (FROM cp UNION FROM cl),
+  al AS (SELECT 'cycles' AS k, * FROM hs UNION ALL SELECT 'ip_events', * FROM ea UNION ALL SELECT 'ip_with_path', * FROM (FROM ea INTERSECT FROM cp) UNION ALL SELECT 'ip_length_only', * FROM ((FROM ea INTERSECT FROM cl) EXCEPT FROM cp)
+    UNION ALL SELECT 'ip_unreal', * FROM ((FROM ea INTERSECT FROM hs) EXCEPT FROM ch) UNION ALL SELECT 'ip_outside', * FROM (FROM ea EXCEPT FROM hs) UNION ALL SELECT 'length_unreal', * FROM ((FROM el INTERSECT FROM hs) EXCEPT FROM ch)
+    UNION ALL SELECT 'length_unseen', * FROM (FROM cl EXCEPT FROM el) UNION ALL SELECT 'path_unseen', * FROM (FROM cp EXCEPT FROM ea))
+  SELECT series_id, """ + ", ".join(f"count(*) FILTER (k = '{k}') AS {k}" for k in ("cycles", "ip_events", "ip_with_path", "ip_length_only", "ip_unreal", "ip_outside", "length_unreal", "length_unseen", "path_unseen")) + " FROM al GROUP BY 1")
 def events_cross_check(spark, sf):
     return paths.cross_check(events(spark, sf), reached(spark, sf), K, C)
 

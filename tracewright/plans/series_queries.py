@@ -161,10 +161,10 @@ def series_cadence(spark, sf):
 
 
 @query(_BLOCKS + _CADENCE + """, z AS (SELECT t.*, n_inside - outside AS own, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 AS span, cadence_s FROM t JOIN cad USING (series_id)),
-  y AS (SELECT *, round(span / 3600, 1) AS duration_h, own / (floor(span / cadence_s) + 1) AS cover FROM z),
+  y AS (SELECT *, round(span / 3600, 1) AS duration_h, own / CASE WHEN cadence_s > 0 THEN (span + cadence_s) / cadence_s ELSE n_inside END AS cover FROM z),
   x AS (SELECT *, own >= 3 AND cover >= 0.8 AS eligible FROM y), v AS (SELECT *, bool_or(eligible) OVER (PARTITION BY series_id) AS a FROM x),
   u AS (SELECT *, row_number() OVER w AS rk, lead(duration_h) OVER w AS second_h FROM v WHERE eligible OR NOT a WINDOW w AS (PARTITION BY series_id ORDER BY duration_h DESC, block_id))
-  SELECT series_id, block_id, state, duration_h, own, round(cover, 6) AS cover, eligible, second_h, coalesce(second_h >= duration_h * 0.8, false) AS tight FROM u WHERE rk = 1""")
+  SELECT series_id, block_id, state, duration_h, own, round(cover, 6) AS cover, eligible, second_h, duration_h > 0 AND coalesce(second_h / duration_h, 0) >= 0.8 AS tight FROM u WHERE rk = 1""")
 def main_block(spark, sf):
     s = series(spark, sf)
     m = blocks.main_block(blocks.block_table(s, K, O, "state", 2), K, windows.cadence(s, K, O, "cycle_ts"), 3, 0.8)
@@ -292,6 +292,13 @@ def ks_compare_states(spark, sf):
     return out.select("state", "n", *r6("median", "delta_ms"), F.round("d", 8).alias("d"), F.round("p", 8).alias("p"), "verdict")
 
 
+@query("WITH both_ AS (SELECT series_id AS g, rtt_ms AS x, state = 'view' AS first FROM v_series WHERE rtt_ms >= 10), " + KS_SQL + " SELECT g AS series_id, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(d, 8) AS d, round(p, 8) AS p FROM kp")
+def ks_beside_nulls(spark, sf):
+    """Values under 10 are taken for missing: they belong to no sample."""
+    rows = series(spark, sf).select(*K, F.when(F.col("rtt_ms") >= 10, F.col("rtt_ms")).alias("x"), (F.col("state") == "view").alias("first"))
+    return stats.ks_two_samples(rows, K, "x", "first").select(*K, "n1", "n2", F.round("d", 8).alias("d"), F.round("p", 8).alias("p"))
+
+
 @query("""WITH m AS (SELECT series_id, quantile_cont(rtt_ms, 0.5) AS m FROM v_series GROUP BY 1) SELECT series_id, round(1.4826 * quantile_cont(abs(rtt_ms - m), 0.5), 6) AS sigma FROM v_series JOIN m USING (series_id) GROUP BY 1""")
 def robust_sigma(spark, sf):
     return stats.robust_sigma(series(spark, sf), K, "rtt_ms").select(*K, *r6("sigma"))
@@ -329,7 +336,7 @@ def truth_change_points(spark, sf):
 
 
 @query(_SEG + ", " + _TRUTH + """, j AS (SELECT g.series_id, segment_id, lv FROM g JOIN tr ON tr.series_id = g.series_id AND tr.cycle_ts BETWEEN g.start_ts AND g.end_ts), q AS (SELECT series_id, segment_id, quantile_cont(CAST(lv AS DOUBLE), 0.5) AS true_delta FROM j GROUP BY 1, 2)
-  SELECT j.series_id, j.segment_id, max(true_delta) AS true_delta, count(*) AS n, round(avg(CASE WHEN abs(lv - true_delta) <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS purity FROM j JOIN q USING (series_id, segment_id) GROUP BY 1, 2""")
+  SELECT j.series_id, j.segment_id, max(true_delta) AS true_delta, count(*) AS n, round(avg(CASE WHEN lv > true_delta - 0.05 AND lv < true_delta + 0.05 THEN 1.0 ELSE 0.0 END), 6) AS purity FROM j JOIN q USING (series_id, segment_id) GROUP BY 1, 2""")
 def segment_purity(spark, sf):
     segs = _segments(spark, sf).withColumns({"lo": micros("start_ts"), "hi": micros("end_ts")})
     truth = _truth(spark, sf).withColumn("t", micros("cycle_ts"))
@@ -480,30 +487,59 @@ def bootstrap_pool(spark, sf):
     return synthesis.pool(levelled, K).groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("base"), F.sum(F.col("base_regime").cast("long")).alias("base_rows"), F.sum(F.col("spike").cast("long")).alias("spikes"))
 
 
-@query()
+_LONG = """sl AS (SELECT state AS series_id, cycle_ts, event_id, rtt_ms / 100 + CASE WHEN CAST(floor((epoch_us(cycle_ts) - 1704067200000000) / 604800000000) AS BIGINT) % 2 = 1 THEN 8.0 ELSE 0.0 END + 30 AS rtt_ms FROM v_series)"""
+_DRAW = lambda what: f"CAST('0x' || substr(md5({what}), 1, 12) AS BIGINT)"
+_RESAMPLED = "WITH " + _LONG + """, sr AS (SELECT series_id, rtt_ms, row_number() OVER w - 1 AS i, epoch_us(cycle_ts) - lag(epoch_us(cycle_ts)) OVER w AS dt, count(*) OVER (PARTITION BY series_id) AS n FROM sl WINDOW w AS (PARTITION BY series_id ORDER BY cycle_ts, event_id)),
+  md AS (SELECT series_id, (list(dt ORDER BY dt) FILTER (dt IS NOT NULL))[(count(dt) // 2) + 1] AS mid FROM sr GROUP BY 1),
+  us AS (SELECT series_id, dt, row_number() OVER (PARTITION BY series_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS m FROM sr JOIN md USING (series_id) WHERE 2 * dt > mid AND 2 * dt < 3 * mid),
+  out_ AS (SELECT series_id, i AS idx, n, i // 24 AS b, i % 24 AS o FROM sr),
+  pl AS (SELECT *, """ + _DRAW("'1|' || series_id || '|' || b") + " % greatest(n - 23, 1) + o AS src_idx, " + _DRAW("'1|' || series_id || '|' || b || '|dt'") + """ AS dr FROM out_),
+  rs AS (SELECT pl.series_id, pl.idx, pl.src_idx, o = 0 AND pl.idx > 0 AS seam, CASE WHEN o > 0 THEN sr.dt ELSE coalesce((SELECT us.dt FROM us WHERE us.series_id = pl.series_id AND us.k = dr % us.m), mid) END AS dt_us, sr.rtt_ms
+    FROM pl JOIN sr ON sr.series_id = pl.series_id AND sr.i = pl.src_idx JOIN md ON md.series_id = pl.series_id)"""
+
+
+def _resampled(spark, sf):
+    return synthesis.resampled(_long(spark, sf), K, O, "rtt_ms", "cycle_ts", 24, 1)
+
+
+@query(_RESAMPLED + " SELECT series_id, idx, src_idx, seam, CAST(dt_us AS BIGINT) AS dt_us, round(rtt_ms, 6) AS rtt_ms, round(CASE WHEN seam THEN rtt_ms - lag(rtt_ms) OVER (PARTITION BY series_id ORDER BY idx) END, 6) AS jump FROM rs")
 def bootstrap_series(spark, sf):
-    rows = windows.with_position(_long(spark, sf).filter("series_id = 'view'"), K, O, "src_idx")
-    n = rows.count()
-    return synthesis.apply_plan(rows, spark.createDataFrame(synthesis.resample_plan([(0, n)], n, 24, 1)))
+    return _resampled(spark, sf).select(*K, "idx", "src_idx", "seam", "dt_us", *r6("rtt_ms", "jump"))
 
 
-@query()
+_STEPS = synthesis.step_plan(0.5, 8, 1, hours=(6.0, 24.0))
+
+
+@query("WITH " + _LONG + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({r.i0}, {r.i1}, {r.delta_ms}::DOUBLE, {r.hop}, '{r.kind}')" for r in _STEPS.itertuples()) + """) AS t(i0, i1, delta, hop, kind)), ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS idx FROM sl)
+  SELECT series_id, idx, round(rtt_ms + CASE WHEN hop <= 8 THEN delta ELSE 0 END, 6) AS rtt_ms, coalesce(delta, 0.0) AS delta_ms, coalesce(kind, 'base') AS regimen FROM ix LEFT JOIN st ON idx BETWEEN i0 AND i1""".replace("CASE WHEN hop <= 8 THEN delta ELSE 0 END", "coalesce(CASE WHEN hop <= 8 THEN delta END, 0)"))
 def injected_steps(spark, sf):
     rows = windows.with_position(_long(spark, sf), K, O, "idx").withColumn("hop", F.lit(8))
-    plan = spark.createDataFrame(synthesis.step_plan(0.5, 8, 1, hours=(6.0, 24.0))).crossJoin(rows.select(*K).distinct())
-    return synthesis.inject_steps(rows, plan, K).select(*K, "idx", "rtt_ms", "delta_ms", "regimen")
+    plan = spark.createDataFrame(_STEPS).crossJoin(rows.select(*K).distinct())  # a few dozen steps for each series
+    return synthesis.inject_steps(rows, plan, K).select(*K, "idx", *r6("rtt_ms"), "delta_ms", "regimen")
 
 
-@query()
+_STARTS = synthesis.simple_plan(300, 3, 20, 42)
+
+
+@query("WITH " + _LONG + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {a})" for n, a in enumerate(_STARTS, 1)) + """) AS t(e, a)), ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS i FROM sl)
+  SELECT series_id, event_id, round(CASE WHEN e IS NULL THEN rtt_ms ELSE rtt_ms + 5.0 END, 6) AS last_rtt, e AS evento_id FROM ix LEFT JOIN st ON i >= a AND i < a + 20""")
 def simple_injection(spark, sf):
     rows = _long(spark, sf).withColumn("last_rtt", F.col("rtt_ms"))
-    return synthesis.inject_simple(rows, K, O, synthesis.simple_plan(300, 3, 20, 42), 20, 5.0).select(*K, "event_id", "last_rtt", "evento_id")
+    return synthesis.inject_simple(rows, K, O, _STARTS, 20, 5.0).select(*K, "event_id", *r6("last_rtt"), "evento_id")
 
 
-@query()
+_REALISM = lambda t, order, name: f"""s_{name} AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS s, median(x) AS q2, {", ".join(f"quantile_cont(x, {q}) AS p{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))} FROM (SELECT series_id, rtt_ms AS x FROM {t}) GROUP BY 1),
+  g_{name} AS (SELECT t.series_id, 1.4826 * median(abs(rtt_ms - q2)) AS sigma FROM {t} t JOIN s_{name} USING (series_id) GROUP BY 1),
+  n_{name} AS (SELECT series_id, rtt_ms AS x, lead(rtt_ms) OVER (PARTITION BY series_id ORDER BY {order}) AS nx FROM {t}),
+  m_{name} AS (SELECT n.series_id, avg((x - m) * (nx - m)) / nullif(max(s * s), 0) AS acf1, avg(CASE WHEN x - q2 > greatest(3.0, 6 * sigma) THEN 1.0 ELSE 0.0 END) AS tasa_picos FROM n_{name} n JOIN s_{name} USING (series_id) JOIN g_{name} USING (series_id) GROUP BY 1),
+  c_{name} AS (SELECT series_id, unnest(['p10', 'p25', 'p50', 'p75', 'p90', 'p99', 'media', 'std', 'sigma_robusta', 'acf1', 'tasa_picos']) AS metrica, unnest([p10, p25, p50, p75, p90, p99, m, s, sigma, acf1, tasa_picos]) AS v FROM s_{name} JOIN g_{name} USING (series_id) JOIN m_{name} USING (series_id))"""
+
+
+@query(_RESAMPLED + ", " + _REALISM("sl", "cycle_ts, event_id", "a") + ", " + _REALISM("rs", "idx", "b") + """ SELECT series_id, metrica, round(c_a.v, 6) AS pool_real, round(c_b.v, 6) AS sintetico,
+  CASE WHEN abs(c_a.v - c_b.v) <= CASE metrica WHEN 'p99' THEN 2.0 WHEN 'acf1' THEN 0.1 WHEN 'tasa_picos' THEN 0.05 ELSE 0.5 END THEN 'OK' ELSE 'REVISAR' END AS estado FROM c_a JOIN c_b USING (series_id, metrica)""")
 def realism_check(spark, sf):
-    s = series(spark, sf)
-    return synthesis.realism(s.filter("event_id % 2 = 0"), s.filter("event_id % 2 = 1"), "rtt_ms", {"": 2.0, "p99": 20.0})
+    out = synthesis.realism(_long(spark, sf), _resampled(spark, sf), K, O, ["idx"], "rtt_ms", {"": 0.5, "p99": 2.0, "acf1": 0.1, "tasa_picos": 0.05})
+    return out.select(*K, "metrica", *r6("pool_real", "sintetico"), "estado")
 
 
 def _times(spark, sf, state):
