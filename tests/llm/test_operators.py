@@ -338,6 +338,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.8 and np.mean([s >= 0.5 for s in rest]) < 0.02
 
 
+def test_toxicity_recall_and_calibration(spark):
+    """At sf0.1: nine of ten held-out toxic texts are found, and scores say how often."""
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = [(r.score, r.toxic) for r in queries.op4_toxicity(spark, sf).join(truth, "doc_id").filter("held_out").collect()]
+    p, y = (np.array(x, float) for x in zip(*got))
+    assert (p[y == 1] >= 0.5).mean() >= 0.9 and (p[y == 0] >= 0.5).mean() < 0.01
+    for lo, hi in ((0, 0.1), (0.9, 1.01)):
+        inside = (p >= lo) & (p < hi)
+        assert abs(p[inside].mean() - y[inside].mean()) < 0.05
+    assert ((p - y) ** 2).mean() < 0.02
+
+
+def test_examples_are_scored_without_themselves():
+    r = random.Random(3)
+    vectors = [{r.randrange(9): 1, r.randrange(9): 2} for _ in range(200)]
+    labels = [int(0 in v) for v in vectors]
+    index = toxicity.Index(list(range(200)), labels, vectors, np.ones(9))
+    for i in range(0, 200, 9):
+        others = toxicity.Index([j for j in range(200) if j != i], [x for j, x in enumerate(labels) if j != i], [v for j, v in enumerate(vectors) if j != i], np.ones(9))
+        others.share = index.share
+        assert index.without(i, vectors[i]) == pytest.approx(others.votes(*others.nearest(vectors[i])), abs=1e-9)
+
+
 def test_block_max_search_is_exact():
     r = random.Random(8)
     idf = np.array([r.uniform(1, 8) for _ in range(60)])

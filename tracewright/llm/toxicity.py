@@ -1,25 +1,31 @@
 """Toxicity (operator 4): votes of the nearest labelled examples.
 
-Texts are compared by exact TF-IDF cosine over terms (words and the beginnings
-of words) that labelled examples show to go with the label: a term's share among
-toxic examples must exceed that among others, beyond chance (likelihood ratio)
-and by a factor.  The labelled examples are an inverted index with block
-maxima: examples are numbered, cut into blocks, and each term stores the
-greatest weight it has in each block.  A query adds up these maxima, takes the
-blocks by falling bound, and stops when no block left can beat the k-th nearest
-found, so the k nearest are exact.  Their votes, weighted by nearness and drawn
-toward the examples' share of the label, are the score; the neighbours are
-returned as evidence.  A text without any term is scored by the share of the
-label among examples without any.
-
-The index holds at most ``fit_rows`` labelled rows (those with the smallest hash
-of their id) outside the held-out fold; terms are chosen on them too.  Document
+Texts are compared by exact TF-IDF cosine over words and the beginnings of words.
+A term's TF-IDF weight is multiplied by how strongly the examples tie it to the
+label: its likelihood ratio, where its share among toxic examples is the higher one
+and the ratio passes the five per cent level of chance, else nothing.  (Unweighted,
+neighbours share topics and not the label.)  There is no limit on terms.
+
+The labelled examples are an inverted index with block maxima: examples are
+numbered, cut into blocks, and each term stores the greatest weight it has in each
+block.  A query adds up these maxima, looks at the blocks with the greatest bounds
+first, and then at every other block whose bound reaches the k-th nearest found, so
+the k nearest are exact.  Their votes, weighted by nearness and drawn toward the
+examples' share of the label, give odds; a logistic curve fitted to the odds that
+the examples get from each other (each without itself) turns them into calibrated
+scores.  The neighbours are returned as evidence.  A text without any term of weight
+is scored by the share of the label among examples without any.
+
+The index holds at most ``fit_rows`` labelled documents (those with the smallest
+hash of their id) outside the held-out fold; weights are fitted on them too.  Document
 frequencies cover all documents.
 
-Defined results: a null text counts as empty; ties between neighbours go to the
-smaller id; labels that are null or name no document are not used; without both
-labels every score is the share of the label (0.5 if there are no examples);
-repeated rows are scored each; empty tables give empty tables.
+Defined results: a null text counts as empty; texts of any length are read whole;
+ties between neighbours go to the smaller id; labels that are null or name no
+document are not used, and of documents that share an id one text is an example;
+without both labels every score is the share of the label (0.5 if there are no
+examples); repeated rows are scored each; empty tables give empty tables; other
+columns, whatever their names, are ignored and come back from ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -35,16 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out, quoted, small_batches, text_of, working_on
+from .common import is_held_out, quoted, settle, small_batches, text_of, unsettle, working_on
+from .quality import fit_logistic
 
 #: Labelled rows in the index, at most.
 FIT_ROWS = 6_000
-#: Terms in the vocabulary, at most: those with the highest likelihood ratio.
-TERMS = 4_096
-#: A term's least likelihood ratio and least factor between the two shares.
-MIN_RATIO, MIN_LIFT = 30.0, 5.0
+#: Likelihood ratio that one term in twenty reaches by chance.
+CHANCE = 3.84
 STEMS = (3, 4, 5, 6, 7)
 BLOCK = 64
+#: Blocks looked at before the others are held against the k-th nearest found.
+FIRST_BLOCKS = 4
 K = 16
 
 _words = re.compile(r"[^\W\d_]+").findall
@@ -84,11 +91,16 @@ class Vocabulary:
         return out
 
 
+def odds_of(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p / (1 - p))
+
+
 class Index:
     """Block-max inverted index over unit TF-IDF vectors."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, int]], idf: np.ndarray):
-        self.idf = idf
+        self.idf = idf.tolist()
         order = sorted((i for i in range(len(ids)) if vectors[i]), key=lambda i: ids[i])
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int8)
@@ -96,16 +108,18 @@ class Index:
         self.share = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.5
         self.blank = (sum(blank) + self.share) / (len(blank) + 1)
         self.blocks = max(1, -(-len(order) // BLOCK))
+        self.curve = (0.0, 1.0)
         postings: dict[int, list[tuple[int, float]]] = {}
         for place, i in enumerate(order):
             for t, x in self.unit(vectors[i]).items():
                 postings.setdefault(t, []).append((place, x))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: term -> (places, weights, greatest weight in each block)
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for t, found in postings.items():
             where, weight = np.array([p for p, _ in found]), np.array([x for _, x in found])
             most = np.zeros(self.blocks)
             np.maximum.at(most, where // BLOCK, weight)
-            self.postings[t] = where, weight, most, np.searchsorted(where, np.arange(self.blocks + 1) * BLOCK)
+            self.postings[t] = where, weight, most
 
     def unit(self, vector: dict[int, int]) -> dict[int, float]:
         w = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(vector.items())}
@@ -117,32 +131,50 @@ class Index:
         query = [(x, self.postings[t]) for t, x in self.unit(vector).items() if t in self.postings]
         if not query:
             return np.empty(0, np.int64), np.empty(0)
-        bound = sum(x * p[2] for x, p in query)
-        places, sims, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(places) == k and bound[b] < least - 1e-9):
-                break
-            s = np.zeros(BLOCK)
-            for x, (where, weight, _, cuts) in query:
-                lo, hi = cuts[b], cuts[b + 1]
-                s[where[lo:hi] - b * BLOCK] += x * weight[lo:hi]
-            hit = np.flatnonzero(s > 0)
-            places, sims = np.concatenate([places, hit + b * BLOCK]), np.concatenate([sims, s[hit]])
-            if len(places) > k:
-                best = np.lexsort((places, -np.round(sims, 12)))[:k]
-                places, sims = places[best], sims[best]
-            least = sims.min() if len(sims) else 0.0
-        best = np.lexsort((places, -np.round(sims, 12)))
+        x = np.array([x for x, _ in query])
+        bound = x @ np.array([p[2] for _, p in query])
+        where = np.concatenate([p[0] for _, p in query])
+        weight = np.concatenate([p[1] for _, p in query]) * np.repeat(x, [len(p[0]) for _, p in query])
+        block = where // BLOCK
+        open_ = bound > 0
+        if open_.sum() > FIRST_BLOCKS:
+            first = np.argpartition(-bound, FIRST_BLOCKS - 1)[:FIRST_BLOCKS]
+            inside = np.isin(block, first)
+            s = np.bincount(where[inside], weight[inside])
+            s = s[s > 0]
+            if len(s) >= k:
+                open_ = bound >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9
+        inside = open_[block]
+        s = np.bincount(where[inside], weight[inside])
+        places = np.flatnonzero(s > 0)
+        sims = s[places]
+        if len(places) > k:
+            near = sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-11
+            places, sims = places[near], sims[near]
+        best = np.lexsort((places, -np.round(sims, 12)))[:k]
         return places[best], sims[best]
 
+    def votes(self, places: np.ndarray, sims: np.ndarray) -> float:
+        """Log odds: votes by squares, so that many that are hardly near don't outweigh
+        the prior share."""
+        v = sims * sims / (1.1 - np.minimum(sims, 1.0))
+        return odds_of((float(v @ self.labels[places]) + self.share) / (float(v.sum()) + 1))
+
+    def without(self, example: int, vector: dict[int, int]) -> float | None:
+        """The odds that an example gets from the others; None if it has no term."""
+        if not vector:
+            return None
+        places, sims = self.nearest(vector, K + 1)
+        other = self.ids[places] != example
+        return self.votes(places[other][:K], sims[other][:K])
+
     def score(self, vector: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
         if not vector:
             return self.blank, np.empty(0, np.int64), np.empty(0)
         places, sims = self.nearest(vector)
-        # Squares: many that are hardly near must not outweigh the prior share.
-        votes = sims * sims / (1.1 - np.minimum(sims, 1.0))
-        p = (float(votes @ self.labels[places]) + self.share) / (float(votes.sum()) + 1)
-        return min(max(p, 0.0), 1.0), places, sims
+        constant, slope = self.curve
+        z = constant + slope * self.votes(places, sims)
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), places, sims
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_rows: int) -> DataFrame:
@@ -158,8 +190,9 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[Vocabulary, Index]:
-    small_batches(docs.sparkSession)
-    rows = _sample(docs, labels, id_col, text_col, label_col, fit_rows)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = settle(_sample(docs, labels, id_col, text_col, label_col, fit_rows), "examples")
 
     def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -171,9 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     t0, t1 = total.get(0, 0), total.get(1, 0)
-    found: list[str] = []
+    ratios: dict[str, float] = {}
     if t0 and t1:
-        counts = rows.mapInPandas(count_terms, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).filter("b >= 3")
+        counts = rows.mapInPandas(count_terms, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
         share = F.lit(float(t1)) / (t0 + t1)
 
         def part(n: Column, expected: Column) -> Column:
@@ -182,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         a, b = F.col("a"), F.col("b")
         n = a + b
         ratio = 2 * (part(b, n * share) + part(a, n * (1 - share)) + part(t1 - b, (t0 + t1 - n) * share) + part(t0 - a, (t0 + t1 - n) * (1 - share)))
-        lift = (b / t1) / ((a + 0.5) / (t0 + 1))
-        best = counts.withColumns({"ratio": ratio, "lift": lift}).filter((F.col("ratio") >= MIN_RATIO) & (F.col("lift") >= MIN_LIFT))
-        found = [r["term"] for r in best.orderBy(F.desc(F.round("ratio", 6)), "term").limit(TERMS).select("term").collect()]
+        tied = counts.withColumn("ratio", ratio).filter((F.col("ratio") > CHANCE) & (b / t1 > a / t0))
+        ratios = {r["term"]: r["ratio"] for r in tied.select("term", "ratio").collect()}  # terms of the examples only
+    found = sorted(ratios)
     vocabulary = Vocabulary(found)
     schema = T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
@@ -192,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"t": t, "n": n} for t, n in sorted(vocabulary.vector(x).items())] for x in texts])
 
-    examples = sorted((r["id"], r["y"], [tuple(p) for p in r["v"]]) for r in rows.select("id", "y", vector("text").alias("v")).collect())
+    vectors = settle(rows.select("id", "y", vector("text").alias("v")), "vectors")
+    examples = sorted((r["id"], r["y"], [tuple(p) for p in r["v"]]) for r in vectors.collect())  # at most fit_rows
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         working_on("toxicity")
@@ -205,14 +239,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"t": list(n), "n": list(n.values())}).astype({"t": "int32", "n": "int64"})
 
     df = {r["t"]: r["n"] for r in docs.select(text_of(text_col).alias("text")).mapInPandas(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row for each term
-    idf = np.array([math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(found))])
-    return vocabulary, Index([e[0] for e in examples], [e[1] for e in examples], [dict(e[2]) for e in examples], idf)
+    idf = np.array([(math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1) * ratios[t] for i, t in enumerate(found)])
+    index = Index([e[0] for e in examples], [e[1] for e in examples], [dict(e[2]) for e in examples], idf)
+    if t0 and t1:
+        index.curve = _calibration(vectors, index)
+    unsettle(rows, vectors)
+    return vocabulary, index
+
+
+def _calibration(vectors: DataFrame, index: Index) -> tuple[float, float]:
+    """(constant, slope) of the logistic curve from the odds that examples get from the
+    others to their labels; the odds as they are if the curve would turn them around."""
+    shared = vectors.sparkSession.sparkContext.broadcast(index)  # bounded by fit_rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "z": [shared.value.without(int(i), {p["t"]: p["n"] for p in v}) for i, v in zip(b["id"], b["v"])]}).astype({"z": "float64"})
 
+    got = [(r["y"], r["z"]) for r in vectors.mapInPandas(run, "y int, z double").collect() if r["z"] is not None and r["z"] == r["z"]]  # at most fit_rows
+    shared.unpersist()
+    if len({y for y, _ in got}) < 2:
+        return 0.0, 1.0
+    got.sort()
+    constant, slope = fit_logistic(np.array([(1.0, z) for _, z in got]), np.array([y for y, _ in got], float)).tolist()
+    return (constant, slope) if slope > 0 else (0.0, 1.0)
 
 
 def score_of(docs: DataFrame, model: tuple[Vocabulary, Index], text: Column) -> Column:
     """struct(score, neighbours) for a text column."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows and TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit_rows
 
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("neighbours", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])))])
 
