@@ -3,8 +3,8 @@
 Texts are compared by exact TF-IDF cosine over words and the beginnings of words.
 A term's TF-IDF weight is multiplied by how strongly the examples tie it to the
 label: its likelihood ratio, where its share among toxic examples is the higher one
-and the ratio passes the five per cent level of chance, else nothing.  (Unweighted,
-neighbours share topics and not the label.)  There is no limit on terms.
+and the ratio passes what one term in a thousand reaches by chance, else nothing.
+(Unweighted, neighbours share topics and not the label.)  No limit is set on terms.
 
 The labelled examples are an inverted index with block maxima: examples are
 numbered, cut into blocks, and each term stores the greatest weight it has in each
@@ -46,9 +46,11 @@ from .quality import fit_logistic
 
 #: Labelled rows in the index, at most.
 FIT_ROWS = 6_000
-#: Likelihood ratio that one term in twenty reaches by chance.
-CHANCE = 3.84
+#: Likelihood ratio that one term in a thousand reaches by chance.
+CHANCE = 10.83
 STEMS = (3, 4, 5, 6, 7)
+#: Words that a worker remembers the terms of.
+CACHED_WORDS = 200_000
 BLOCK = 64
 #: Blocks looked at before the others are held against the k-th nearest found.
 FIRST_BLOCKS = 4
@@ -69,28 +71,38 @@ def terms(text: str) -> Counter:
 
 
 class Vocabulary:
-    """Looks up only terms that count."""
+    """Looks up only terms that count; remembers the words it has met."""
 
     def __init__(self, found: list[str]):
         self.whole = {t[:-1]: i for i, t in enumerate(found) if t.endswith(".")}
         self.stems = [(k, {t: i for i, t in enumerate(found) if len(t) == k and not t.endswith(".")}) for k in STEMS]
         self.stems = [(k, s) for k, s in self.stems if s]
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of_word(self, w: str) -> tuple[int, ...]:
+        found = [self.whole[w]] if w in self.whole else []
+        found += [s[w[:k]] for k, s in self.stems if len(w) > k and w[:k] in s]
+        if len(self.known) >= CACHED_WORDS:
+            self.known.clear()
+        self.known[w] = tuple(found)
+        return self.known[w]
 
     def vector(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        whole, stems = self.whole, self.stems
+        known = self.known.get
         for w, n in Counter(_words(text.lower())).items():
-            i = whole.get(w)
-            if i is not None:
+            found = known(w)
+            for i in self.of_word(w) if found is None else found:
                 out[i] = out.get(i, 0) + n
-            for k, s in stems:
-                if len(w) > k:
-                    i = s.get(w[:k])
-                    if i is not None:
-                        out[i] = out.get(i, 0) + n
         return out
 
 
+def counts_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and their counts, from pairs of 32-bit numbers."""
+    pairs = np.frombuffer(raw, "<i4").reshape(-1, 2).astype(np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def odds_of(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return math.log(p / (1 - p))
@@ -99,42 +111,53 @@ def odds_of(p: float) -> float:
 class Index:
     """Block-max inverted index over unit TF-IDF vectors."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[dict[int, int]], idf: np.ndarray):
-        self.idf = idf.tolist()
-        order = sorted((i for i in range(len(ids)) if vectors[i]), key=lambda i: ids[i])
+    def __init__(self, ids: list[int], labels: list[int], vectors: list, idf: np.ndarray):
+        """vectors: terms to counts, or arrays of both."""
+        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), np.int64, len(v))) if isinstance(v, dict) else v for v in vectors]
+        self.idf = np.asarray(idf, float)
+        order = sorted((i for i in range(len(ids)) if len(pairs[i][0])), key=lambda i: ids[i])
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.int8)
-        blank = [labels[i] for i in range(len(ids)) if not vectors[i]]
+        blank = [labels[i] for i in range(len(ids)) if not len(pairs[i][0])]
         self.share = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.5
         self.blank = (sum(blank) + self.share) / (len(blank) + 1)
         self.blocks = max(1, -(-len(order) // BLOCK))
         self.curve = (0.0, 1.0)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for place, i in enumerate(order):
-            for t, x in self.unit(vectors[i]).items():
-                postings.setdefault(t, []).append((place, x))
-        #: term -> (places, weights, greatest weight in each block)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, found in postings.items():
-            where, weight = np.array([p for p, _ in found]), np.array([x for _, x in found])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, where // BLOCK, weight)
-            self.postings[t] = where, weight, most
+        none = [np.empty(0, np.int64)]
+        t = np.concatenate([pairs[i][0] for i in order] or none)
+        place = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])
+        w = (1 + np.log(np.concatenate([pairs[i][1] for i in order] or none))) * self.idf[t]
+        w /= np.sqrt(np.bincount(place, w * w, len(order)))[place]
+        by_term = np.lexsort((place, t))
+        t, self.where, self.weight = t[by_term], place[by_term].astype(np.int32), w[by_term]
+        # For each term and block with an example of it, the greatest weight there.
+        key = t * self.blocks + self.where // BLOCK
+        cuts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.most = np.maximum.reduceat(self.weight, cuts) if len(cuts) else np.empty(0)
+        self.most_at = (key[cuts] % self.blocks).astype(np.int32)
+        #: term -> its stretch of where and weight, and of most_at and most
+        self.postings: dict[int, tuple[int, int, int, int]] = {}
+        seen, lo = np.unique(t, return_index=True)
+        hi = [*lo[1:], len(t)]
+        stretch = np.searchsorted(cuts, [*lo, len(t)]) if len(t) else [0]
+        for k, term in enumerate(seen.tolist()):
+            self.postings[term] = int(lo[k]), int(hi[k]), int(stretch[k]), int(stretch[k + 1])
 
     def unit(self, vector: dict[int, int]) -> dict[int, float]:
-        w = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(vector.items())}
+        w = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(vector.items())}
         norm = math.sqrt(sum(x * x for x in w.values()))
         return {t: x / norm for t, x in w.items()} if norm else {}
 
     def nearest(self, vector: dict[int, int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples with a positive cosine."""
-        query = [(x, self.postings[t]) for t, x in self.unit(vector).items() if t in self.postings]
+        query = [(x, *self.postings[t]) for t, x in self.unit(vector).items() if t in self.postings]
         if not query:
             return np.empty(0, np.int64), np.empty(0)
-        x = np.array([x for x, _ in query])
-        bound = x @ np.array([p[2] for _, p in query])
-        where = np.concatenate([p[0] for _, p in query])
-        weight = np.concatenate([p[1] for _, p in query]) * np.repeat(x, [len(p[0]) for _, p in query])
+        x = np.array([q[0] for q in query])
+        stretches = lambda of, i: np.concatenate([of[q[i] : q[i + 1]] for q in query])
+        times = lambda i: np.repeat(x, [q[i + 1] - q[i] for q in query])
+        bound = np.bincount(stretches(self.most_at, 3), stretches(self.most, 3) * times(3), self.blocks)
+        where, weight = stretches(self.where, 1), stretches(self.weight, 1) * times(1)
         block = where // BLOCK
         open_ = bound > 0
         if open_.sum() > FIRST_BLOCKS:
@@ -219,14 +242,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ratios = {r["term"]: r["ratio"] for r in tied.select("term", "ratio").collect()}  # terms of the examples only
     found = sorted(ratios)
     vocabulary = Vocabulary(found)
-    schema = T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(T.BinaryType())
     def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"t": t, "n": n} for t, n in sorted(vocabulary.vector(x).items())] for x in texts])
+        return pd.Series([np.array(sorted(vocabulary.vector(x).items()), "<i4").tobytes() for x in texts])
 
     vectors = settle(rows.select("id", "y", vector("text").alias("v")), "vectors")
-    examples = sorted((r["id"], r["y"], [tuple(p) for p in r["v"]]) for r in vectors.collect())  # at most fit_rows
+    examples = sorted((r["id"], r["y"], bytes(r["v"])) for r in vectors.collect())  # at most fit_rows
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         working_on("toxicity")
@@ -240,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     df = {r["t"]: r["n"] for r in docs.select(text_of(text_col).alias("text")).mapInPandas(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # a row for each term
     idf = np.array([(math.log((df.get(-1, 0) + 1) / (df.get(i, 0) + 1)) + 1) * ratios[t] for i, t in enumerate(found)])
-    index = Index([e[0] for e in examples], [e[1] for e in examples], [dict(e[2]) for e in examples], idf)
+    index = Index([e[0] for e in examples], [e[1] for e in examples], [counts_of(e[2]) for e in examples], idf)
     if t0 and t1:
         index.curve = _calibration(vectors, index)
     unsettle(rows, vectors)
@@ -254,7 +276,7 @@ def _calibration(vectors: DataFrame, index: Index) -> tuple[float, float]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "z": [shared.value.without(int(i), {p["t"]: p["n"] for p in v}) for i, v in zip(b["id"], b["v"])]}).astype({"z": "float64"})
+            yield pd.DataFrame({"y": b["y"], "z": [shared.value.without(int(i), dict(zip(*(x.tolist() for x in counts_of(v))))) for i, v in zip(b["id"], b["v"])]}).astype({"z": "float64"})
 
     got = [(r["y"], r["z"]) for r in vectors.mapInPandas(run, "y int, z double").collect() if r["z"] is not None and r["z"] == r["z"]]  # at most fit_rows
     shared.unpersist()
