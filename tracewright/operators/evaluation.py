@@ -1,6 +1,4 @@
-"""Scoring detections and labels against truth, and utility of synthetic data.
-
-Not built: the causes of false positives (O39) and the scenarios of O47 other than the plain rule."""
+"""Scoring detections and labels against truth, and utility of synthetic data."""
 
 from __future__ import annotations
 
@@ -10,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_ambiguous, segment_class
+from ..functions.stats import auroc, average_precision, precision_recall
 from .windows import band_join, over, with_runs
 
 
@@ -67,6 +66,51 @@ def match_events(truth: DataFrame, found: DataFrame, keys: list[str], t: str, to
     return truth.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(run, f"{kinds}, result string, t_true double, t_found double")
 
 
+def event_causes(matches: DataFrame, truth: DataFrame, spikes: DataFrame, small: DataFrame, keys: list[str], t: str, near: float, tolerance: float) -> DataFrame:
+    """(keys, result, t_true, t_found, structural, cause) of ``match_events``.
+
+    truth: (keys, t, structural), structural null for those that can be found; of
+    equal times the least counts.  A late match is a miss (detectado_con_desfase) and
+    a false alarm (desfase_de_evento).  Other false alarms: within ``near`` of a spike,
+    within ``tolerance`` of a change below the threshold, else without a cause."""
+    kind = truth.groupBy(*keys, F.col(t).alias("t_true")).agg(F.min("structural").alias("structural"))
+    known = matches.join(kind, [*keys, "t_true"], "left")
+    cols = [*keys, "result", "t_true", "t_found", "structural", "cause"]
+    none = F.lit(None).cast("string")
+    hit = known.filter("result = 'VP'").withColumn("cause", none).select(*cols)
+    cause = F.coalesce("structural", F.when(F.col("result") == "desfase", "detectado_con_desfase").otherwise("no_detectado"))
+    missed = known.filter("result in ('FN', 'desfase')").withColumn("cause", cause).withColumn("result", F.lit("FN")).select(*cols)
+    late = F.col("result") == "desfase"
+    false = matches.filter("result in ('FP', 'desfase')").select(*keys, F.lit("FP").alias("result"), F.lit(None).cast("double").alias("t_true"), "t_found", none.alias("structural"), late.alias("__late"), F.round(F.col("t_found") * 1e6).cast("long").alias("__us"))
+    for marks, reach, name in ((spikes, near, "__spike"), (small, tolerance, "__small")):
+        at = marks.select(*keys, F.round(F.col(t) * 1e6).cast("long").alias("__us")).distinct()
+        spot = near_any(false.select(*keys, "__us").distinct(), at, keys, "__us", round(reach * 1e6)).withColumn(name, F.lit(True))
+        false = false.join(spot, [*keys, "__us"], "left")
+    why = F.when(F.col("__late"), "desfase_de_evento").when(F.col("__spike"), "cerca_de_spike").when(F.col("__small"), "cambio_subumbral").otherwise("sin_causa_identificada")
+    return hit.unionByName(missed).unionByName(false.withColumn("cause", why).select(*cols))
+
+
+def detection_scores(causes: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and rates of each series from ``event_causes``: precision over all
+    found, recall over those that can be found, with late ones (recall_wide), over all
+    (recall_all); justified: found ones that stand for a real change."""
+    n = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    is_ = lambda r: F.col("result") == r
+    open_ = F.col("structural").isNull()
+    late = is_("FN") & (F.col("cause") == "detectado_con_desfase")
+    real = is_("VP") | F.col("cause").isin("desfase_de_evento", "cambio_subumbral")
+    out = causes.groupBy(*keys).agg(
+        n(is_("VP") | is_("FN"), "n_true"), n(is_("VP") | is_("FP"), "n_found"), n(is_("VP"), "vp"), n(is_("VP") & open_, "vp_eval"), n(is_("FN"), "fn"), n(is_("FN") & ~open_, "fn_structural"),
+        n(is_("FN") & open_, "fn_eval"), n(late, "late_eval"), n(is_("FP"), "fp"), n(is_("FP") & F.col("cause").isin("cerca_de_spike", "sin_causa_identificada"), "spurious"), n(real, "__real"),
+    )
+    share = lambda a, b: F.try_divide(F.expr(a).cast("double"), F.expr(b))
+    p, r = share("vp", "n_found"), share("vp_eval", "vp_eval + fn_eval")
+    return out.withColumns({
+        "fn_real": F.expr("fn_eval - late_eval"), "precision": p, "precision_justified": share("__real", "n_found"), "recall_eval": r,
+        "recall_wide": share("vp_eval + late_eval", "vp_eval + fn_eval"), "recall_all": share("vp", "n_true"), "f1": F.when((p > 0) & (r > 0), p * r * 2 / (p + r)),
+    }).drop("__real")
+
+
 def tolerance_curve(truth: DataFrame, found: DataFrame, keys: list[str], t: str, tolerances: list[float]) -> DataFrame:
     """Matches at each tolerance."""
     grid = F.explode(F.array(*[F.lit(float(x)) for x in tolerances])).alias("tolerance")
@@ -101,9 +145,48 @@ def score_labels(segs: DataFrame, minutes: str, delta: str, n: str, base_share:
     return segs.withColumns({"expected": segment_class(minutes, delta), "status": status})
 
 
+def label_accuracy(scored: DataFrame, keys: list[str], obtained: str, n: str, purity: str) -> DataFrame:
+    """Of ``score_labels``' rows: agreement of all, of those that count, plain and
+    by cycles, and counts of the others; a rate without rows is null."""
+    ok, at = F.col("expected") == F.col(obtained), lambda s: F.col("status") == s
+    count = lambda c, name: F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(name)
+    mean = lambda c, when, name: F.avg(F.when(when, c.cast("double"))).alias(name)
+    own = at("evaluado")
+    weighted = F.try_divide(F.sum(F.when(own & ok, F.col(n)).otherwise(0)).cast("double"), F.sum(F.when(own, F.col(n)))).alias("accuracy_cycles")
+    return scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_total"), mean(ok, F.lit(True), "accuracy_all"), count(own, "n"), mean(ok, own, "accuracy"), weighted, mean(F.col(purity), own, "purity"),
+        count(own & (F.col(purity) < 0.9), "impure"), count(at("no_identificable"), "unidentifiable"), count(at("ambiguo"), "ambiguous"), count(at("ambiguo") & ok, "ambiguous_ok"),
+        count(at("micro"), "micro"), count(at("micro") & ok, "micro_ok"),
+    )
+
+
+def cycle_labels(rows: DataFrame, segs: DataFrame, keys: list[str], t: str, lo: str, hi: str, kind: str, cell: int) -> DataFrame:
+    """Adds label: 1 for rows within a segment of lasting degradation (both ends
+    inside), else 0; a row in several segments stays one row."""
+    bad = segs.filter(lasting_degradation(kind)).select(*keys, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
+    points = rows.select(*keys, t).distinct()
+    hit = band_join(points, bad, keys, t, "__lo", "__hi", cell, "left_semi").withColumn("__hit", F.lit(1))
+    return rows.join(hit, [*keys, t], "left").withColumn("label", F.coalesce("__hit", F.lit(0))).drop("__hit")
+
+
+def lasting_degradation(kind: str):
+    return F.col(kind).startswith("degradacion") & F.col(kind).contains("sostenida")
+
+
+def degraded_share(segs: DataFrame, keys: list[str], kind: str, n: str) -> DataFrame:
+    """(keys, segments, degraded_segments, degraded_pct): share of the cycles in
+    segments of lasting degradation, null without cycles."""
+    bad = lasting_degradation(kind)
+    total = F.sum(F.coalesce(n, F.lit(0)))
+    return segs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("segments"), F.sum(F.coalesce(bad, F.lit(False)).cast("long")).alias("degraded_segments"),
+        F.try_divide(F.sum(F.when(bad, F.col(n)).otherwise(0)) * 100.0, total).alias("degraded_pct"),
+    )
+
+
 def base_share(truth: DataFrame, keys: list[str], regime: str) -> DataFrame:
-    """Share of cycles in the base regime, and whether 25 % are reached."""
-    out = truth.groupBy(*keys).agg(F.avg((F.col(regime) == "base").cast("double")).alias("base_share"))
+    """Share of cycles in the base regime (without a regime: not), and whether 25 % are reached."""
+    out = truth.groupBy(*keys).agg(F.avg(F.col(regime).eqNullSafe("base").cast("double")).alias("base_share"))
     return out.withColumn("identifiable", F.col("base_share") >= 0.25)
 
 
@@ -202,9 +285,60 @@ def temporal_split(rows: DataFrame, keys: list[str], order: list[str], share: fl
     return rows.withColumn("part", F.when(i <= cut, "train").when(i <= cut + purge, "purged").otherwise("test"))
 
 
-def rule_baseline(rows: DataFrame, median: str, threshold: float = 2.0) -> DataFrame:
-    """The plain rule, a moving median at or over the threshold."""
-    return rows.withColumn("regla", (F.col(median) >= threshold).cast("int"))
+def train_reference(parts: DataFrame, keys: list[str], x: str, q: float = 0.1, of: str = "train") -> DataFrame:
+    """Adds reference, the quantile of one part's rows, for every part."""
+    ref = parts.filter(F.col("part") == of).groupBy(*keys).agg(F.percentile(x, q).alias("reference"))
+    return parts.join(ref, keys, "left")
+
+
+def scenarios(real: DataFrame, synthetic: DataFrame, keys: list[str], order: list[str], features: list[str], label: str, median: str, threshold: float = 2.0, folds: int = 5, purge: int = 0) -> DataFrame:
+    """(keys, scenario, order, label, probability): TSTR learns from the synthetic
+    rows, TRTR from the real rows of part train, regla is the plain rule; all three on
+    the real rows of part test.  TSTS is the blocked validation within the synthetic
+    rows.  A scenario whose training rows hold one class only has no rows.
+
+    Grouped function per series: a model takes all rows of its training side."""
+    cols = [*keys, *order, *features, label]
+    both = real.select(*cols, "part").unionByName(synthetic.select(*cols, F.lit("synthetic").alias("part")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        side = {k: pdf[pdf["part"] == k] for k in ("train", "test", "synthetic")}
+        test, out = side["test"], []
+        for name, learn in (("TSTR", side["synthetic"]), ("TRTR", side["train"])):
+            y = learn[label].to_numpy(float)
+            if len(test) and len(set(y)) == 2:
+                model = logistic_fit(learn[features].to_numpy(float), y)
+                out.append(test.assign(scenario=name, probability=logistic_probability(model, test[features].to_numpy(float))))
+        out.append(test.assign(scenario="regla", probability=(test[median] >= threshold).astype(float)))
+        return pd.concat(out)[[*keys, "scenario", *order, label, "probability"]]
+
+    kind = {f.name: f.dataType.simpleString() for f in both.schema}
+    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in keys], "scenario string", *[f"`{k}` {kind[k]}" for k in order], f"`{label}` {kind[label]}", "probability double"])
+    mixed = synthetic.groupBy(*keys).agg(F.count_distinct(label).alias("__c")).filter("__c = 2")
+    own = blocked_cv(synthetic.select(*cols).join(mixed, keys, "left_semi"), keys, order, features, label, folds, purge)
+    return both.groupBy(*keys).applyInPandas(run, schema).unionByName(own.select(*keys, F.lit("TSTS").alias("scenario"), *order, label, "probability"))
+
+
+def scenario_scores(scored: DataFrame, keys: list[str], order: list[str], label: str, limit: float = 0.5, min_run: int = 5, cover: float = 0.5) -> DataFrame:
+    """Of ``scenarios``' rows: prevalence, accuracy, that of the majority
+    class, precision, recall, F1, AUROC, average precision and episodes.
+
+    Four tables are made of the rows, so where a checkpoint folder is set they are
+    written there once and the models are not fitted again for each."""
+    by = [*keys, "scenario"]
+    if scored.sparkSession.conf.get("spark.checkpoint.dir", None):
+        scored = scored.checkpoint()
+    rows = scored.withColumn("__hit", (F.col("probability") >= limit).cast("int"))
+    n = lambda p, y, name: F.sum(((F.col("__hit") == p) & (F.col(label) == y)).cast("long")).alias(name)
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("prevalence"), n(1, 1, "tp"), n(1, 0, "fp"), n(0, 1, "fn"), n(0, 0, "tn"))
+    counts = counts.withColumns({"majority": F.greatest(F.col("prevalence"), 1 - F.col("prevalence")), "accuracy": (F.col("tp") + F.col("tn")) / F.col("n"), **precision_recall("tp", "fp", "fn", zero=True)})
+    # Equal probabilities are ranked by time.
+    placed = rows.withColumn("__at", F.struct(*order))
+    parts = (auroc(rows, by, "probability", label), average_precision(placed, by, "probability", label, "__at"), episode_scores(rows, by, order, label, "__hit", min_run, cover))
+    for part in parts:
+        counts = counts.join(part, by, "left")
+    return counts
 
 
 def one_at_a_time(values: dict[str, list[float]]) -> list[dict[str, float]]:

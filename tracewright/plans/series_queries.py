@@ -22,7 +22,8 @@ def query(sql: str | None = None, view: str = SERIES_SQL):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {view}" + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)
+            head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+            SQL[f.__name__] = f"{head}{view}" + (", " + sql[len(head) :] if sql.startswith(head) else " " + sql)
         return f
 
     return add
@@ -546,16 +547,124 @@ def _times(spark, sf, state):
     return series(spark, sf).filter(F.col("state") == state).select(*K, (micros("cycle_ts") / 1e6).alias("t"))
 
 
-@query()
+#: Greedy matching one pair after the other: a fold over each list of pairs, nearest first.
+_TIMES = "ta AS (SELECT series_id, epoch_us(cycle_ts) / 1e6 AS t, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts) AS i FROM v_series WHERE state = 'error'), tb AS (SELECT series_id, epoch_us(cycle_ts) / 1e6 AS t, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts) AS j FROM v_series WHERE state = 'view')"
+_FOLD = """{n}p AS (SELECT {by}, list({{'i': i, 'j': j}} ORDER BY gap, i, j) AS ps FROM ({pairs}) GROUP BY ALL),
+  {n}f AS (SELECT {by}, ps, 1 AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub FROM {n}p
+    UNION ALL SELECT {by}, ps, k + 1, CASE WHEN ok THEN list_append(ua, ps[k].i) ELSE ua END, CASE WHEN ok THEN list_append(ub, ps[k].j) ELSE ub END
+      FROM (SELECT *, NOT list_contains(ua, ps[k].i) AND NOT list_contains(ub, ps[k].j) AS ok FROM {n}f WHERE k <= len(ps))),
+  {n}m AS (SELECT {by}, unnest(ua) AS i, unnest(ub) AS j FROM {n}f WHERE k = len(ps) + 1)"""
+_MATCHED = "WITH RECURSIVE " + _TIMES + ", " + _FOLD.format(n="x", by="series_id", pairs="SELECT series_id, i, j, abs(tb.t - ta.t) AS gap FROM ta JOIN tb USING (series_id) WHERE abs(tb.t - ta.t) <= 3600")
+_MATCHED += ", la AS (SELECT * FROM ta ANTI JOIN xm USING (series_id, i)), lb AS (SELECT * FROM tb ANTI JOIN xm USING (series_id, j)), "
+_MATCHED += _FOLD.format(n="y", by="series_id", pairs="SELECT series_id, i, j, abs(lb.t - la.t) AS gap FROM la JOIN lb USING (series_id) WHERE abs(lb.t - la.t) <= 14400")
+_MATCHED += """, mt AS (SELECT series_id, 'VP' AS result, ta.t AS t_true, tb.t AS t_found FROM xm JOIN ta USING (series_id, i) JOIN tb USING (series_id, j) UNION ALL SELECT series_id, 'desfase', ta.t, tb.t FROM ym JOIN ta USING (series_id, i) JOIN tb USING (series_id, j)
+    UNION ALL SELECT series_id, 'FN', t, NULL FROM la ANTI JOIN ym USING (series_id, i) UNION ALL SELECT series_id, 'FP', NULL, t FROM lb ANTI JOIN ym USING (series_id, j))"""
+
+
+@query(_MATCHED + " SELECT * FROM mt")
 def event_matching(spark, sf):
     return evaluation.match_events(_times(spark, sf, "error"), _times(spark, sf, "view"), K, "t", 3600.0, 4 * 3600.0)
 
 
-@query()
+_CAUSES = _MATCHED + """, st AS (SELECT series_id, epoch_us(cycle_ts) / 1e6 AS t, min(CASE WHEN rtt_ms < 20 THEN 'corto' END) AS structural FROM v_series WHERE state = 'error' GROUP BY 1, 2),
+  fa AS (SELECT series_id, t_found, result = 'desfase' AS late FROM mt WHERE result IN ('FP', 'desfase')), mk AS (SELECT series_id, epoch_us(cycle_ts) / 1e6 AS t, state FROM v_series),
+  ca AS (SELECT mt.series_id, CASE result WHEN 'VP' THEN 'VP' ELSE 'FN' END AS result, t_true, t_found, structural, CASE WHEN result <> 'VP' THEN coalesce(structural, CASE result WHEN 'desfase' THEN 'detectado_con_desfase' ELSE 'no_detectado' END) END AS cause
+      FROM mt JOIN st ON st.series_id = mt.series_id AND st.t = mt.t_true
+    UNION ALL SELECT series_id, 'FP', NULL, t_found, NULL, CASE WHEN late THEN 'desfase_de_evento' WHEN EXISTS (SELECT 1 FROM mk WHERE mk.series_id = fa.series_id AND state = 'purchase' AND abs(mk.t - t_found) <= 7200) THEN 'cerca_de_spike'
+      WHEN EXISTS (SELECT 1 FROM mk WHERE mk.series_id = fa.series_id AND state = 'signup' AND abs(mk.t - t_found) <= 36000) THEN 'cambio_subumbral' ELSE 'sin_causa_identificada' END FROM fa)"""
+
+
+def _causes(spark, sf):
+    truth = series(spark, sf).filter("state = 'error'").select(*K, (micros("cycle_ts") / 1e6).alias("t"), F.when(F.col("rtt_ms") < 20, "corto").alias("structural"))
+    return evaluation.event_causes(event_matching(spark, sf), truth, _times(spark, sf, "purchase"), _times(spark, sf, "signup"), K, "t", 7200.0, 36000.0)
+
+
+@query(_CAUSES + " SELECT * FROM ca")
+def event_causes(spark, sf):
+    return _causes(spark, sf)
+
+
+@query(_CAUSES + """, z AS (SELECT series_id, count(*) FILTER (result <> 'FP') AS n_true, count(*) FILTER (result <> 'FN') AS n_found, count(*) FILTER (result = 'VP') AS vp, count(*) FILTER (result = 'VP' AND structural IS NULL) AS vp_eval, count(*) FILTER (result = 'FN') AS fn,
+    count(*) FILTER (result = 'FN' AND structural IS NOT NULL) AS fn_structural, count(*) FILTER (result <> 'FP' AND structural IS NULL) AS ne, count(*) FILTER (result = 'FN' AND cause = 'detectado_con_desfase') AS late_eval, count(*) FILTER (result = 'FP') AS fp, count(*) FILTER (cause IN ('cerca_de_spike', 'sin_causa_identificada')) AS spurious FROM ca GROUP BY 1),
+  y AS (SELECT *, vp / nullif(n_found, 0) AS p, vp_eval / nullif(ne, 0) AS r FROM z)
+  SELECT series_id, n_true, n_found, vp, vp_eval, fn, fn_structural, ne - vp_eval AS fn_eval, late_eval, fp, spurious, ne - vp_eval - late_eval AS fn_real, round(p, 6) AS precision, round((n_found - spurious) / nullif(n_found, 0), 6) AS precision_justified, round(r, 6) AS recall_eval,
+    round((vp_eval + late_eval) / nullif(ne, 0), 6) AS recall_wide, round(vp / nullif(n_true, 0), 6) AS recall_all, CASE WHEN p > 0 AND r > 0 THEN round(2 / (1 / p + 1 / r), 6) END AS f1 FROM y""")
+def detection_scores(spark, sf):
+    out = evaluation.detection_scores(_causes(spark, sf), K)
+    rates = ["precision", "precision_justified", "recall_eval", "recall_wide", "recall_all", "f1"]
+    return out.select(*[c for c in out.columns if c not in rates], *r6(*rates))
+
+
+@query("WITH RECURSIVE " + _TIMES + ", tl AS (SELECT unnest([0.0, 600.0, 3600.0, 7200.0])::DOUBLE AS tolerance), " + _FOLD.format(n="x", by="series_id, tolerance", pairs="SELECT series_id, tolerance, i, j, abs(tb.t - ta.t) AS gap FROM ta JOIN tb USING (series_id) CROSS JOIN tl WHERE abs(tb.t - ta.t) <= tolerance") + """,
+  na AS (SELECT series_id, count(*) AS n_true FROM ta GROUP BY 1), nb AS (SELECT series_id, count(*) AS n_found FROM tb GROUP BY 1), nm AS (SELECT series_id, tolerance, count(*) AS matched FROM xm GROUP BY 1, 2)
+  SELECT series_id, tolerance, coalesce(matched, 0) AS matched, coalesce(n_true, 0) AS n_true, coalesce(n_found, 0) AS n_found FROM (FROM na FULL JOIN nb USING (series_id)) CROSS JOIN tl LEFT JOIN nm USING (series_id, tolerance)""")
 def tolerance_curve(spark, sf):
     return evaluation.tolerance_curve(_times(spark, sf, "error"), _times(spark, sf, "view"), K, "t", [0.0, 600.0, 3600.0, 7200.0])
 
 
+_SCORES = _LAB + ", " + _TRUTH + """, j AS (SELECT l.series_id, segment_id, lv FROM l JOIN tr ON tr.series_id = l.series_id AND tr.cycle_ts BETWEEN l.start_ts AND l.end_ts), td AS (SELECT series_id, segment_id, median(CAST(lv AS DOUBLE)) AS d FROM j GROUP BY 1, 2),
+  pu AS (SELECT series_id, segment_id, any_value(d) AS d, avg(CASE WHEN abs(lv - d) < 0.05 THEN 1.0 ELSE 0.0 END) AS purity FROM j JOIN td USING (series_id, segment_id) GROUP BY 1, 2), bs AS (SELECT series_id, count(*) FILTER (state = 'view') / count(*) AS b FROM v_series GROUP BY 1),
+  lm AS (SELECT l.series_id, segment_id, l.n, l.kind, minutes, d AS deviation, purity, b, CASE WHEN d > 0 THEN 'degradacion' ELSE 'mejora' END AS sg FROM l JOIN pu USING (series_id, segment_id) JOIN bs USING (series_id)),
+  sc AS (SELECT *, """ + _CLASS + """ AS expected, CASE WHEN b < 0.25 THEN 'no_identificable' WHEN n < 2 THEN 'micro' WHEN abs(deviation) BETWEEN 1.5 AND 2.5 OR abs(deviation) BETWEEN 4.5 AND 5.5 THEN 'ambiguo' ELSE 'evaluado' END AS status FROM lm)"""
+
+
+def _label_scores(spark, sf):
+    share = evaluation.base_share(_truth(spark, sf).withColumn("regimen", F.when(F.col("state") == "view", "base")), K, "regimen")
+    truth = segment_purity(spark, sf).drop("n")
+    rows = _labelled(spark, sf).join(truth, [*K, "segment_id"]).join(share, K)
+    return evaluation.score_labels(rows, "minutes", "true_delta", "n", "base_share", min_n=2)
+
+
+@query(_SCORES + " SELECT series_id, segment_id, n, kind, expected, status, deviation AS true_delta, round(purity, 6) AS purity FROM sc")
+def label_scores(spark, sf):
+    return _label_scores(spark, sf).select(*K, "segment_id", "n", "kind", "expected", "status", "true_delta", "purity")
+
+
+@query(_SCORES + """, e AS (SELECT *, CAST(expected = kind AS INTEGER) AS ok FROM sc) SELECT series_id, count(*) AS n_total, round(avg(ok), 6) AS accuracy_all, count(*) FILTER (status = 'evaluado') AS n, round(avg(ok) FILTER (status = 'evaluado'), 6) AS accuracy,
+  round(sum(ok * n) FILTER (status = 'evaluado') / sum(n) FILTER (status = 'evaluado'), 6) AS accuracy_cycles, round(avg(purity) FILTER (status = 'evaluado'), 5) AS purity, count(*) FILTER (status = 'evaluado' AND purity < 0.9) AS impure, count(*) FILTER (status = 'no_identificable') AS unidentifiable,
+  count(*) FILTER (status = 'ambiguo') AS ambiguous, count(*) FILTER (status = 'ambiguo' AND ok = 1) AS ambiguous_ok, count(*) FILTER (status = 'micro') AS micro, count(*) FILTER (status = 'micro' AND ok = 1) AS micro_ok FROM e GROUP BY 1""")
+def label_accuracy(spark, sf):
+    out = evaluation.label_accuracy(_label_scores(spark, sf), K, "kind", "n", "purity")
+    rates = ["accuracy_all", "accuracy", "accuracy_cycles"]
+    return out.select(*[c for c in out.columns if c not in [*rates, "purity"]], *r6(*rates), F.round("purity", 5).alias("purity"))
+
+
+@query(_LAB + """, q AS (SELECT * FROM l WHERE kind LIKE 'degradacion%' AND kind LIKE '%sostenida%') SELECT series_id, event_id, CASE WHEN EXISTS (SELECT 1 FROM q WHERE q.series_id = v.series_id AND v.cycle_ts >= q.start_ts AND v.cycle_ts <= q.end_ts) THEN 1 ELSE 0 END AS label FROM v_series v""")
+def cycle_labels(spark, sf):
+    segs = _labelled(spark, sf).withColumns({"lo": micros("start_ts"), "hi": micros("end_ts")})
+    return evaluation.cycle_labels(series(spark, sf).withColumn("t", micros("cycle_ts")), segs, K, "t", "lo", "hi", "kind", 86_400_000_000).select(*K, "event_id", "label")
+
+
+@query(_LAB + """, d AS (SELECT *, kind IN ('degradacion_severa_sostenida', 'degradacion_moderada_sostenida') AS bad FROM l) SELECT series_id, count(*) AS segments, count(*) FILTER (bad) AS degraded_segments, round(100.0 * coalesce(sum(n) FILTER (bad), 0) / sum(n), 6) AS degraded_pct FROM d GROUP BY 1""")
+def degraded_share(spark, sf):
+    out = evaluation.degraded_share(_labelled(spark, sf), K, "kind", "n")
+    return out.select(*K, "segments", "degraded_segments", *r6("degraded_pct"))
+
+
+_FEATURES = ["median_3", "p90_3", "median_12", "above_12"]
+
+
+def _scenarios(spark, sf):
+    """The first half of each series, its resampled rows with steps, and the second half."""
+    step = F.floor((micros("cycle_ts") - F.lit(1_704_067_200_000_000)) / F.lit(604_800_000_000))
+    parts = evaluation.train_reference(evaluation.temporal_split(_long(spark, sf), K, O, 0.5, 12), K, "rtt_ms")
+    real = windows.causal_features(parts.withColumns({"rtt_ms": F.col("rtt_ms") - F.col("reference"), "y": (step % 2 == 1).cast("int")}), K, O, "rtt_ms", [3, 12], 2.0)
+    real = real.withColumn("at", micros("cycle_ts"))
+    made = synthesis.resampled(parts.filter("part = 'train'").select(*K, *O, "rtt_ms"), K, O, "rtt_ms", "cycle_ts", 24, 1)
+    made = made.withColumns({"y": (F.col("idx") % 40 < 12).cast("int"), "event_id": F.col("idx").cast("long"), "at": F.col("idx").cast("long")})
+    made = made.join(made.groupBy(*K).agg(F.percentile("rtt_ms", 0.1).alias("reference")), K).withColumn("rtt_ms", F.col("rtt_ms") - F.col("reference") + F.col("y") * 8.0)
+    return real, windows.causal_features(made, K, ["at", "event_id"], "rtt_ms", [3, 12], 2.0)
+
+
+@query()
+def utility_scenarios(spark, sf):
+    real, made = _scenarios(spark, sf)
+    scored = evaluation.scenarios(real, made, K, ["at", "event_id"], _FEATURES, "y", "median_3", 2.0, 5, 12)
+    out = evaluation.scenario_scores(scored, K, ["at", "event_id"], "y")
+    rates = ["prevalence", "majority", "accuracy", "precision", "recall", "f1", "auroc", "ap"]
+    return out.select(*[c for c in out.columns if c not in rates], *r6(*rates))
+
+
 @query()
 def logistic_cv(spark, sf):
     rows = windows.causal_features(_long(spark, sf), K, O, "rtt_ms", [3, 12], 34.0)
