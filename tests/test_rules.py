@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import expr, stats
 from tracewright.operators import blocks, evaluation, graph, paths, segments, synthesis, windows
-from tracewright.sources import readers, sinks
+from tracewright.plans import flow
+from tracewright.sources import files, readers, sinks
 from tracewright.streaming import flows
 
 T0 = dt.datetime(2026, 1, 1)
@@ -345,3 +346,126 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert spark.table(name).count() == want, name
+
+
+def test_causes_of_misses_and_false_alarms(spark):
+    """One of each: matched, late, missed, structural; near a spike, small, without a cause."""
+    k, double = ["series_id"], "series_id string, t double"
+    truth = spark.createDataFrame([("s", 100.0, None), ("s", 500.0, None), ("s", 900.0, "corto"), ("s", 1300.0, None), ("s", 1300.0, None)], double + ", structural string")
+    found = spark.createDataFrame([("s", x) for x in (103.0, 530.0, 2000.0, 3000.0, 4000.0)], double)
+    marks = lambda *x: spark.createDataFrame([("s", v) for v in x] + [("u", 4000.0)], double)
+    matches = evaluation.match_events(truth.select(*k, "t"), found, k, "t", 5.0, 50.0)
+    causes = evaluation.event_causes(matches, truth, marks(2002.0, 1998.0), marks(2004.0, 3005.0), k, "t", 2.0, 5.0)
+    got = sorted((r.result, r.t_true or 0, r.t_found or 0, r.cause) for r in causes.collect())
+    assert got == [
+        ("FN", 500.0, 530.0, "detectado_con_desfase"), ("FN", 900.0, 0, "corto"), ("FN", 1300.0, 0, "no_detectado"), ("FN", 1300.0, 0, "no_detectado"),
+        ("FP", 0, 530.0, "desfase_de_evento"), ("FP", 0, 2000.0, "cerca_de_spike"), ("FP", 0, 3000.0, "cambio_subumbral"), ("FP", 0, 4000.0, "sin_causa_identificada"), ("VP", 100.0, 103.0, None),
+    ]
+    s = evaluation.detection_scores(causes, k).first()
+    assert (s.n_true, s.n_found, s.vp, s.fn_structural, s.fn_eval, s.late_eval, s.fn_real, s.spurious) == (5, 5, 1, 1, 3, 1, 2, 2)
+    assert (s.precision, s.precision_justified, s.recall_eval, s.recall_wide) == (0.2, 0.6, 0.25, 0.5)
+    assert evaluation.event_causes(matches.limit(0), truth, marks(), marks(), k, "t", 2.0, 5.0).count() == 0
+
+
+def test_scenarios_learn_from_their_own_side(spark):
+    """Probabilities equal a model fitted beside; one class gives no rows; metrics by hand."""
+    g = np.random.default_rng(3)
+    x, made = g.normal(size=90), g.normal(size=60)
+    part = ["train"] * 40 + ["purged"] * 5 + ["test"] * 45
+    y, ym = (x + g.normal(size=90) > 0).astype(int), (made + g.normal(size=60) > 1).astype(int)
+    schema = "series_id string, i long, x double, y int"
+    rows = [("s", i, float(x[i]), int(y[i]), part[i]) for i in range(90)] + [("one", i, 3.0, 1, part[i]) for i in range(90)]
+    real = spark.createDataFrame(rows, schema + ", part string")
+    synthetic = spark.createDataFrame([("s", i, float(made[i]), int(ym[i])) for i in range(60)] + [("one", i, 1.0, 0) for i in range(60)], schema)
+    out = evaluation.scenarios(real, synthetic, ["series_id"], ["i"], ["x"], "y", "x", 0.5, 3, 2).toPandas()
+    assert sorted(out[out["series_id"] == "one"]["scenario"].unique()) == ["regla"]
+    own = {k: v.sort_values("i") for k, v in out[out["series_id"] == "s"].groupby("scenario")}
+    assert sorted(own) == ["TRTR", "TSTR", "TSTS", "regla"] and [len(own[k]) for k in sorted(own)] == [45, 45, 60, 45]
+    for name, (a, b) in {"TRTR": (x[:40], y[:40]), "TSTR": (made, ym)}.items():
+        z = (a - a.mean()) / (a.std() + 1e-9)
+        w = np.zeros(2)
+        for _ in range(20000):  # plain gradient ascent
+            p = 1 / (1 + np.exp(-(w[0] + w[1] * z)))
+            w += 0.01 * np.array([(b - p).sum(), ((b - p) * z).sum() - w[1]])
+        want = 1 / (1 + np.exp(-(w[0] + w[1] * (x[45:] - a.mean()) / (a.std() + 1e-9))))
+        assert np.allclose(own[name]["probability"], want, atol=1e-5), name
+    s = {r.scenario: r for r in evaluation.scenario_scores(spark.createDataFrame(out[out["series_id"] == "s"]), ["series_id"], ["i"], "y", min_run=2).collect()}
+    for name, rows in own.items():
+        hit, true = (rows["probability"] >= 0.5).to_numpy(), rows["y"].to_numpy() == 1
+        assert s[name].accuracy == pytest.approx((hit == true).mean()) and s[name].recall == pytest.approx((hit & true).sum() / true.sum())
+        assert s[name].majority == pytest.approx(max(true.mean(), 1 - true.mean()))
+
+
+def test_boosted_trees_learn(spark):
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, 2))
+    rows = [(float(a), float(b), int(a * b > 0), i) for i, (a, b) in enumerate(x)]  # no line divides these
+    df = spark.createDataFrame(rows, "a double, b double, y int, i int")
+    out = evaluation.gradient_boosting(df.filter("i < 200"), df.filter("i >= 200"), ["a", "b"], "y").toPandas()
+    assert len(out) == 100 and ((out["probability"] >= 0.5) == (out["y"] == 1)).mean() > 0.85
+
+
+def test_addresses_and_durations(spark):
+    day = lambda t: F.lit(t).cast("timestamp_ntz")
+    url = lambda a, b: value(spark, expr.view_url("https://view.example/x", F.lit(5), F.lit(7), day(a), day(b)))
+    assert url("2026-01-01 00:00:00", "2026-01-01 02:00:00") == "https://view.example/x?sourceProbeId=7&measurementId=5&sequentialMode=true&center=2026-01-01T01:00:00Z&window=3600000"
+    assert url("2026-01-01 00:00:00", "2026-01-01 00:00:00") is None
+    assert value(spark, expr.event_url("e", F.lit(5), F.lit(7), day("1970-01-01 00:00:01"))) == "e?sourceProbeId=7&measurementId=5&center=1000&window=7200000"
+    text = lambda s, i: value(spark, expr.duration_text(F.lit(s), F.lit(i)))
+    assert [text(7200, 3600), text(5400, 3600), text(1800, 900), text(100, 900), text(36000, 3600)] == ["2 h", "1.5 h", "30 min", "1.67 min", "10 h"]
+
+
+def test_flow_writes_what_the_readers_read(spark, tmp_path, monkeypatch):
+    """Extract, verify and view on two series; a length that changes for good and one
+    cycle that does not reach."""
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for probe in (7, 8):
+        cycles = []
+        for i in range(40):
+            n = 2 if i == 9 else 3 if i < 20 else 4
+            last = "8.8.4.4" if n == 2 else "8.8.8.8"
+            hops = [{"hop": h, "result": [{"rtt": 10.0 * h + i % 3, "from": last if h == n else f"9.0.0.{h}"}]} for h in range(1, n + 1)]
+            cycles.append({"timestamp": 1_767_225_600 + 900 * i, "dst_addr": "8.8.8.8" if i < 30 else "8.8.8.9", "result": hops})
+        (raw / f"result_measurement12_probe{probe}.json").write_text(json.dumps(cycles))
+    asn = spark.createDataFrame([("8.8.8.8", "1"), ("8.8.4.4", "2"), *[(f"9.0.0.{h}", "3") for h in (1, 2, 3)]], "ip string, asn string")
+    out = flow.analyse(spark, str(raw), str(tmp_path / "out"), "https://view.example/x", "2026-01-01 00:00:00", "2026-01-02 00:00:00", asn_of_ip=asn)
+    assert (out.status, out.notes) == (0, []) and out.views.count() == 2
+    for name, path in out.files.items():
+        if name not in ("bloque_principal", "ciclos"):
+            head = spark.read.option("header", True).csv(path).columns
+            assert head[:-2] == files.columns(name) and head[-2:] == readers.SERIES, name
+    events = readers.event_counts(spark, out.files["eventos"]).filter("probe_id = 7")
+    assert [(r.n, r.d) for r in events.agg(F.sum("cambio_longitud").alias("n"), F.sum("cambio_destino").alias("d")).collect()] == [(3, 1)]
+    b = readers.blocks(spark, out.files["bloques_longitud"]).filter("probe_id = 8").orderBy("block_id").collect()
+    assert [(r.length, r.ciclos, r.fuera, r.path, r.lengths) for r in b] == [(3, 19, 0, ["3", "1"], [3]), (4, 20, 0, ["3", "1"], [4])]
+    x = readers.excluded(spark, out.files["ciclos_excluidos"]).collect()
+    assert [(r.motivo, r.block_id, str(r.cycle_ts)) for r in x] == [("sin_destino", 1, "2026-01-01 02:15:00")] * 2
+    m = sorted(readers.main_block(spark, out.files["bloque_principal"]).collect(), key=lambda r: r.probe)
+    assert [(r.probe, r.elegido.longitud, r.elegido.ciclos, r.elegido.elegible) for r in m] == [("7", 3, 19, False), ("8", 3, 19, False)]
+    d = spark.read.option("header", True).csv(out.files["diagnostico_longitudes"]).filter("probe_id = 7").orderBy("longitud").collect()
+    assert [(r.longitud, r.ciclos, r.veredicto, r.rtt_mediana) for r in d] == [("3", "19", "distinta", "31.000"), ("4", "20", "referencia", "41.000")]
+    v = spark.read.option("header", True).csv(out.files["caminos"]).filter("probe_id = 7 and saltos = 2").collect()
+    assert [(r.ips, r.destino_alcanzado) for r in v] == [("9.0.0.1 8.8.4.4", "0")]
+    assert flow.analyse(spark, str(tmp_path / "none"), str(tmp_path / "x"), "u", "2026-01-01", "2026-01-02").status == 1
+    monkeypatch.setattr(flow, "extract", lambda *a: dict(out.files))
+    monkeypatch.setattr(flow, "verify", lambda *a: {})
+    assert flow.analyse(spark, str(raw), str(tmp_path / "y"), "u", "2026-01-02", "2026-01-01").status == 2
+    monkeypatch.setattr(flow, "verify", lambda *a: 1 / 0)
+    failed = flow.analyse(spark, str(raw), str(tmp_path / "y"), "u", "2026-01-01", "2026-01-02")
+    assert failed.status == 2 and "verify" in failed.notes[0] and failed.views.count() == 2
+
+
+def test_files_hold_tables_to_their_columns(spark):
+    rows = [("s", i, 30.0 + (8 if i > 20 else 0), "ab"[i > 20], times([i])[0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, i long, x double, state string, cycle_ts timestamp_ntz")
+    k = ["series_id"]
+    segs = segments.label_segments(segments.segments(df, k, ["i"], "state", "x", "cycle_ts", 900.0), segments.references(df, k, "x"), k)
+    extra = segs.withColumns({"seq_id": F.lit(0), "block_id": F.lit(1), "length": F.lit(4), "reference_key": F.lit("L4")})
+    got = files.as_file(extra, "segmentos_caracterizados", k).orderBy("start_ts").collect()
+    assert [(r.estado, r.n_ciclos, r.mediana, r.desviacion_ms, r.bloque_id) for r in got] == [("a", 21, "30.000", "0.000", 1), ("b", 19, "38.000", "8.000", 1)]
+    grouped = files.as_file(segments.group_segments(segs, k, ["segment_id"], ["kind"]), "segmentos_caracterizados_agrupados", k)
+    assert grouped.columns == ["series_id", *files.columns("segmentos_caracterizados_agrupados")]
+    assert files.as_file(segments.change_points(df, k, ["i"], "state"), "change_points", k).first().estado_nuevo == "b"
+    with pytest.raises(ValueError, match="seq_id, bloque_id"):
+        files.as_file(segs, "segmentos_caracterizados", k)

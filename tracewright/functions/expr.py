@@ -121,6 +121,29 @@ def view_window(start: str | Column, stop: str | Column) -> Column:
     return F.when(b > a, F.struct((a + half).cast("long").alias("center_ms"), half.cast("long").alias("window_ms")))
 
 
+def _query(base: str, measurement: str | Column, probe: str | Column, center: Column, window: Column, mode: str = "") -> Column:
+    return F.concat(F.lit(base + "?sourceProbeId="), c(probe).cast("string"), F.lit("&measurementId="), c(measurement).cast("string"), F.lit(mode + "&center="), center, F.lit("&window="), window)
+
+
+def view_url(base: str, measurement: str | Column, probe: str | Column, start: str | Column, stop: str | Column) -> Column:
+    """address of the view of a time range, null unless stop is later."""
+    w = view_window(start, stop)
+    at = F.date_format(F.timestamp_millis(w["center_ms"]).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _query(base, measurement, probe, at, w["window_ms"].cast("string"), "&sequentialMode=true")
+
+
+def event_url(base: str, measurement: str | Column, probe: str | Column, ts: str | Column) -> Column:
+    """the same around one cycle, two hours to each side."""
+    return _query(base, measurement, probe, F.floor(micros(ts) / 1000).cast("string"), F.lit("7200000"))
+
+
+def duration_text(seconds: str | Column, interval_s: str | Column) -> Column:
+    """hours where the interval is an hour or more, else minutes; two decimals at most."""
+    hours = c(interval_s) >= 3600
+    number_ = F.format_string("%.2f", F.when(hours, c(seconds) / 3600.0).otherwise(c(seconds) / 60.0))
+    return F.concat(F.regexp_replace(number_, r"\.?0+$", ""), F.when(hours, " h").otherwise(" min"))
+
+
 def private_v4(ip: str | Column) -> Column:
     """F3/F4 for IPv4 texts: private, loopback or link-local; null for others."""
     part = lambda n: F.regexp_extract(c(ip).cast("string"), r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", n).try_cast("int")

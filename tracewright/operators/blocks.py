@@ -34,9 +34,9 @@ def block_table(rows: DataFrame, keys: list[str], order: list[str], key: str, pe
     return found.join(own, [*keys, "block_id"])
 
 
-def main_block(table: DataFrame, keys: list[str], cadence: DataFrame, min_cycles: int = 200, min_cover: float = 0.8) -> DataFrame:
-    """The longest of the blocks with enough own cycles and coverage (of
-    all, if none has); ``tight`` if the second reaches 80 % of it."""
+def ranked_blocks(table: DataFrame, keys: list[str], cadence: DataFrame, min_cycles: int = 200, min_cover: float = 0.8) -> DataFrame:
+    """The blocks with enough own cycles and coverage (all, if none has),
+    with their rank by duration."""
     t = table.join(cadence, keys).withColumn("own", F.col("n_inside") - F.col("outside"))
     span = (micros("end_ts") - micros("start_ts")) / 1e6
     # Cycles that would fill the span; without a cadence those that are there.
@@ -46,8 +46,13 @@ def main_block(table: DataFrame, keys: list[str], cadence: DataFrame, min_cycles
     any_ok = F.max("eligible").over(Window.partitionBy(*keys))
     t = t.withColumn("__any", any_ok).filter(F.col("eligible") | ~F.col("__any"))
     w = Window.partitionBy(*keys).orderBy(F.desc("duration_h"), "block_id")
-    t = t.withColumns({"rank": F.row_number().over(w), "second_h": F.lead("duration_h").over(w)}).filter("rank = 1")
-    return t.withColumn("tight", F.coalesce(F.try_divide("second_h", "duration_h") >= 0.8, F.lit(False))).drop("rank", "__any")
+    return t.withColumns({"rank": F.row_number().over(w), "second_h": F.lead("duration_h").over(w)}).drop("__any")
+
+
+def main_block(table: DataFrame, keys: list[str], cadence: DataFrame, min_cycles: int = 200, min_cover: float = 0.8) -> DataFrame:
+    """The first of ``ranked_blocks``; ``tight`` if the second reaches 80 % of it."""
+    t = ranked_blocks(table, keys, cadence, min_cycles, min_cover).filter("rank = 1")
+    return t.withColumn("tight", F.coalesce(F.try_divide("second_h", "duration_h") >= 0.8, F.lit(False))).drop("rank")
 
 
 def compare_samples(rows: DataFrame, keys: list[str], group: str, x: str, position: str, min_n: int = 10, min_share: float = 0.02, diff_ms: float = 1.0, diff_rel: float = 0.1, alpha: float = 0.01) -> DataFrame:

@@ -91,9 +91,10 @@ def destination_events(cyc: DataFrame, keys: list[str], cycle: list[str], dst: s
     return cyc.withColumn("__m", moved).filter("__m").drop("__m").withColumn("categoria", F.lit("cambio_destino"))
 
 
-def events(hops: DataFrame, cyc: DataFrame, keys: list[str], cycle: list[str], resolve_asn: bool = True) -> DataFrame:
+def events(hops: DataFrame, cyc: DataFrame, keys: list[str], cycle: list[str], resolve_asn: bool = True, dst: str | None = None, dst_asn: str | None = None) -> DataFrame:
     """K2, O3e: (keys, cycle, categoria, ordinal): all events in export order:
-    length first, then hop by hop the round trip before the address."""
+    the destination (where ``dst`` names it in ``cyc``), then the length, then hop by
+    hop the round trip before the address."""
     pairs = with_previous(hops, cyc, keys, cycle)
     cols = [*keys, *cycle, "categoria"]
     parts = [
@@ -101,6 +102,8 @@ def events(hops: DataFrame, cyc: DataFrame, keys: list[str], cycle: list[str], r
         rtt_events(pairs, resolve_asn).select(*cols, F.col("hop").alias("__h"), F.lit(1).alias("__k")),
         ip_asn_events(pairs, resolve_asn).select(*cols, F.col("hop").alias("__h"), F.lit(2).alias("__k")),
     ]
+    if dst:
+        parts.append(destination_events(cyc, keys, cycle, dst, dst_asn if resolve_asn else None).select(*cols, F.lit(0).alias("__h"), F.lit(-1).alias("__k")))
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys, *cycle).orderBy("__h", "__k"))).drop("__h", "__k")
 

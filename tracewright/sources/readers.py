@@ -14,9 +14,10 @@ SERIES = ["measurement_id", "probe_id"]
 
 
 def with_identity(df: DataFrame) -> DataFrame:
-    """measurement_id and probe_id from the file's name."""
+    """measurement_id and probe_id from the folders, or else from the file's name."""
     name = F.col("_metadata.file_name")
-    return df.select("*", F.regexp_extract(name, IDENTITY, 1).try_cast("long").alias("measurement_id"), F.regexp_extract(name, IDENTITY, 2).try_cast("long").alias("probe_id"))
+    own = [F.col(c).cast("long").alias(c) if c in df.columns else F.regexp_extract(name, IDENTITY, i).try_cast("long").alias(c) for i, c in enumerate(SERIES, 1)]
+    return df.select(*[c for c in df.columns if c not in SERIES], *own)
 
 
 def _csv(spark: SparkSession, path: str, table: str, header: bool = True) -> DataFrame:
