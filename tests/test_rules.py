@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,20 @@ def test_sweep_cuts_by_percentile(spark):
     assert max(got[0]) == 240 and max(got[1]) == 120
 
 
+def test_sweep_on_a_long_series(spark):
+    """Overlapping states and 300 laps: six runs on 20,000 rows, each as if alone."""
+    g = np.random.default_rng(7)
+    y = 30 + g.exponential(1, 20_000) + np.repeat([0.0, 8.0] * 5, 2000)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": "s", "i": range(len(y)), "x": y, "z": "of no use"}))
+    configs = [{"sf": sf, "kappa": 1000.0, "k": 15, "laps": 300, "percentile": 0.0} for sf in (20.0, 1.0)]
+    began = time.time()
+    got = {(r.config_id, r.seed): r for r in evaluation.sweep(df, ["series_id"], configs, [0, 1, 2], ["i"], "x").collect()}
+    assert time.time() - began < 30
+    assert len(got) == 6
+    states = segments.smooth_states(segments.fuse_states(y, segments.sticky_hmm(y, [0], sf=1.0, laps=300, seed=2)), 4)
+    assert got[1, 2].boundaries == (np.flatnonzero(np.diff(states)) + 1).tolist() and got[1, 2].states == len(set(states.tolist()))
+
+
 def test_smoothing():
     s = lambda x, d=3: segments.smooth_states(np.array(x), d).tolist()
     assert s([0, 0, 1, 1]) == [0, 0, 1, 1]
