@@ -299,6 +299,26 @@ def test_mixing_odd_rows(spark):
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_query_reads_the_range_sorted_copies(spark, monkeypatch):
+    """Its figures are those of the copies in training order, and every row has its own."""
+    written, keep = {}, mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda df, name: written.setdefault(name, (df._jdf.queryExecution().toString(), keep(df, name)))[1])
+    got = queries.op3_mixing(spark, SMALL)
+    monkeypatch.undo()
+    plan, copies = written["mixed"]
+    assert "rangepartitioning(" in plan
+    rows = copies.collect()
+    mixed = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet")).select("doc_id", "copy", "words", "position").collect()
+    assert [(r.id, r.copy, r.words, r.position) for r in rows] == [tuple(r) for r in mixed]
+    assert sum(r.words for r in rows) == got.agg(F.sum("taken")).first()[0]
+    docs = odd_docs(spark)
+    docs = docs.union(docs)
+    columns = ["id", "size", "source_size", "target", "taken", "position"]
+    key = lambda rows: sorted(repr(tuple(r)) for r in rows)
+    assert key(mixing.digest(docs).select(*columns).collect()) == key(mixing.plan(docs).select(*columns).collect())
+    assert mixing.digest(docs.limit(0)).count() == 0
+
+
 def test_water_filling(spark):
     r = random.Random(4)
     for _ in range(3):

@@ -122,12 +122,35 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     without them).  A copy that is only partly wanted has its first ``words`` words,
     one space between them.  Rows with one id, source and size take their places by
     their texts and other columns, so that reruns agree."""
+    mixed = _in_order(df, plan(df, id_col, text_col, source_col, weights, curves, repeats), id_col, text_col, source_col, curves)
+    text = F.col(quoted(text_col, "row."))
+    cut = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("__c.words").cast("int")), " ")
+    taken = F.when(F.col("__c.words") < F.col("__size"), cut).otherwise(text)
+    columns = [(taken if c == text_col else F.col(quoted(c, "row."))).alias(c) for c in df.columns]
+    named = [F.col(f"__c.{c}").alias(n) for c, n in zip(("copy", "words", "position"), added or ())]
+    return mixed.select(*columns, *named)
+
+
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, curves=CURVES, repeats: int = REPEATS) -> DataFrame:
+    """(id, size, source_size, target, taken, position) for every row, read off the
+    range-sorted copies of the mix, which are written down in training order without
+    their texts: the words of a row's copies together, and the place of its first.
+    Rows of which the mix has no copy are added from the plan."""
     p = plan(df, id_col, text_col, source_col, weights, curves, repeats)
+    copies = settle(_in_order(df, p, id_col, text_col, source_col, curves).select(F.col("__i").alias("id"), F.col("__o").alias("source"), F.col("__size").alias("size"), "__c.*"), "mixed")
+    # Rows with words have a start of their own within their source.
+    found = copies.groupBy("id", "source", "size", "start", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    columns = ["id", "size", "source_size", "target", "taken", "position"]
+    return found.select(*columns).unionByName(p.filter("taken = 0").select(*columns))
+
+
+def _in_order(df: DataFrame, p: DataFrame, id_col: str, text_col: str, source_col: str, curves) -> DataFrame:
+    """The rows of ``df`` (row) with each of their copies in the plan ``p`` (__c), range-sorted by position."""
     # Rows with one id, source and size are told apart by a number on both sides.
     p = p.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("last") > 0, 0).otherwise(1))))
     p = p.withColumn("words", F.when(F.col("copy") < F.col("passes"), F.col("size")).otherwise(F.col("last")))
     p = p.withColumn("position", _position(F.col("copy") * F.col("source_size") + F.col("start"), F.col("words"), curves))
-    copies = p.groupBy("id", "source", "size", "start").agg(F.array_sort(F.collect_list(F.struct("copy", "words", "position"))).alias("__copies"))  # at most ``repeats`` + 1 each
+    copies = p.groupBy("id", "source", "size", "start").agg(F.array_sort(F.collect_list(F.struct("copy", "words", "position", "start", "source_size", "target"))).alias("__copies"))  # at most ``repeats`` + 1 each
     copies = copies.withColumn("__m", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("start")))
     copies = copies.select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__s"), "__m", "__copies")
     text = F.col(quoted(text_col, "row."))
@@ -137,9 +160,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     own = own.withColumn("__n", F.row_number().over(twin))
     same = F.col("__i").eqNullSafe(F.col("__id")) & F.col("__o").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__s")) & (F.col("__n") == F.col("__m"))
     mixed = own.join(copies, same).withColumn("__c", F.explode("__copies"))
-    cut = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("__c.words").cast("int")), " ")
-    taken = F.when(F.col("__c.words") < F.col("__size"), cut).otherwise(text)
-    columns = [(taken if c == text_col else F.col(quoted(c, "row."))).alias(c) for c in df.columns]
-    named = [F.col(f"__c.{c}").alias(n) for c, n in zip(("copy", "words", "position"), added or ())]
     # Ties in position and id are broken by what tells twins and copies apart.
-    return mixed.orderBy("__c.position", "__i", "__o", "__size", "__n", "__c.copy").select(*columns, *named)
+    return mixed.orderBy("__c.position", "__i", "__o", "__size", "__n", "__c.copy")

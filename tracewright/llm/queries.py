@@ -30,8 +30,8 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mixing.plan(table(spark, sf_dir, "documents"))
-    return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    mixed = mixing.digest(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
