@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and SQL for those it can express."""
+"""The thin queries of the operators, and SQL for those it can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, wrappers
+from . import embedding_dedup, fim, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, wrappers
 from .common import table
 
 #: Production parameters.
@@ -64,7 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op13_fill_in_middle)}
 
 _MIXING_SQL = r"""
 WITH base AS (
@@ -107,4 +111,24 @@ SELECT doc_id, size, source_size, target, taken,
 FROM took
 """
 
-ORACLE_SQL = {"op3_mixing": _MIXING_SQL}
+_FIM_SQL = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), lines AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM base
+), forms AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lines
+), cuts AS (
+  SELECT *, coalesce(array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], ''), '') AS p, coalesce(array_to_string(u[1:greatest(h1 % (n + 1), h2 % (n + 1))], ''), '') AS pm FROM forms
+), parts AS (
+  SELECT *, substr(pm, length(p) + 1) AS m, substr(t, length(pm) + 1) AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ORACLE_SQL = {"op3_mixing": _MIXING_SQL, "op13_fill_in_middle": _FIM_SQL}
