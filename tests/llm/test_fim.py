@@ -60,10 +60,10 @@ def test_forms_cuts_and_round_trip(spark, chunk):
     if chunk == 1:
         docs = docs.filter("coalesce(length(text), 0) < 100")
     pieces = fim.fill_in_middle(docs, chunk=chunk)
-    got = Counter(tuple(r) for r in fim.digests(pieces).collect())
+    got = Counter(tuple(r) for r in fim.digests(*fim.outputs(docs, chunk=chunk)).collect())
     assert got == Counter(brute(r.doc_id, r.text) for r in docs.collect())
     assert max(len(r.output) for r in pieces.collect()) <= chunk + 9 or chunk == 1 << 16
-    assert fim.digests(fim.fill_in_middle(docs.limit(0))).count() == 0
+    assert fim.digests(*fim.outputs(docs.limit(0))).count() == 0
 
 
 def test_shares_of_forms(spark):

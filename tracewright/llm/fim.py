@@ -230,6 +230,12 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Rows of output pieces: the id, row (null where the output is one piece, else a key
     that the pieces of one input row share), n lines, form, prefix_chars, middle_chars
     (null if plain), piece (ascending within a row) and output, the piece's text."""
+    whole, long = outputs(df, id_col, text_col, seed, fim_pct, spm_pct, chunk)
+    return whole.union(long)
+
+
+def outputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, fim_pct: int = 100, spm_pct: int = 50, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fill_in_middle`` as two tables: outputs of one piece, and of several."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()  # ids travel as text: pandas would round long ones next to nulls
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
@@ -244,7 +250,8 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = settle(joined.mapInPandas(_cut_chunks, "id string, row string, n long, form string, p long, m long, piece long, output string"), "fim-pieces")
     sizes = cut.groupBy("row").agg(F.sum("p").alias("prefix_chars"), F.sum("m").alias("middle_chars")).withColumnRenamed("row", "row_")
     parted = cut.join(sizes, F.col("row") == F.col("row_")).select("id", "row", "n", "form", "prefix_chars", "middle_chars", "piece", "output")
-    return whole.select(parted.columns).union(parted).select(F.col("id").cast(kind).alias(id_col), *parted.columns[1:])
+    named = [F.col("id").cast(kind).alias(id_col), *parted.columns[1:]]
+    return whole.select(named), parted.select(named)
 
 
 def _hash_of_pieces(column: str):
@@ -277,12 +284,11 @@ def restored_pieces(pieces: DataFrame) -> DataFrame:
     return seen.withColumn("part", rank).filter("mark is null").select("row", "part", "piece", "output")
 
 
-def digests(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each input row: id, n, form, prefix_chars, middle_chars, and SHA-256 of
+def digests(whole: DataFrame, long: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each input row of ``outputs``: id, n, form, prefix_chars, middle_chars, and SHA-256 of
     its output and of the text rebuilt from output and form."""
     facts = [id_col, "n", "form", "prefix_chars", "middle_chars"]
-    one = pieces.filter("row IS NULL").select(*facts, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
-    long = pieces.filter("row IS NOT NULL")
+    one = whole.select(*facts, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
     streamed = lambda rows, order, name: rows.repartition("row").sortWithinPartitions("row", *order).select("row", "output").mapInPandas(_hash_of_pieces(name), f"row string, {name} string")
     out = streamed(long, ["piece"], "output_sha256").withColumnRenamed("row", "o")
     back = streamed(restored_pieces(long), ["part", "piece"], "restored_sha256").withColumnRenamed("row", "r")

@@ -65,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return fim.digests(*fim.outputs(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op13_fill_in_middle)}
