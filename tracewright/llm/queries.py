@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fim, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, wrappers
+from . import embedding_dedup, fim, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, trie, wrappers
 from .common import table
 
 #: Production parameters.
@@ -15,6 +15,7 @@ CAPACITY = 2048
 NEIGHBOURS = 20
 QUERY_STEP = 20
 MIN_COSINE = 0.9
+REBUILT_GROUP, REBUILT_TURNS = 5, 9
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +65,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"), REBUILT_GROUP, REBUILT_TURNS)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(*fim.outputs(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op12_conversation_trie, op13_fill_in_middle)}
 
 _MIXING_SQL = r"""
 WITH base AS (
@@ -131,4 +136,44 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM parts
 """
 
-ORACLE_SQL = {"op3_mixing": _MIXING_SQL, "op13_fill_in_middle": _FIM_SQL}
+_TRIE_SQL = r"""
+WITH raw AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS own,
+         xor(list_reduce(list_transform(range(len(CAST(conv_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i + 1 AS INT), 1)) AS BIGINT)),
+           lambda a, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)), xor(a, x)), 4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM raw GROUP BY conv_id
+), plans AS (
+  SELECT c.*, least(c.h, coalesce(b.own, 0)) AS head FROM convs c LEFT JOIN convs b ON b.conv_id = c.base
+), built AS (
+  SELECT p.conv_id, r.pos + 1 AS depth, r.role, r.text FROM plans p JOIN raw r ON r.conv_id = p.base AND r.pos < p.h
+  UNION ALL
+  SELECT p.conv_id, p.head + r.pos - p.h + 1, r.role, r.text FROM plans p JOIN raw r ON r.conv_id = p.conv_id AND r.pos >= p.h
+), paths AS (
+  SELECT conv_id, depth, string_agg(sha256(length(role) || ':' || role || text), '/') OVER (PARTITION BY conv_id ORDER BY depth) AS path, strlen(text) AS bytes FROM built
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), lengths AS (
+  SELECT conv_id, max(depth) AS len FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT depth, path, min(p.conv_id) AS node, count(*) AS n, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CASE WHEN l.len = p.depth THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id), '')) AS ends
+  FROM paths p JOIN lengths l ON l.conv_id = p.conv_id GROUP BY depth, path
+), member AS (
+  SELECT p.conv_id, p.depth, n.node FROM paths p JOIN nodes n ON n.depth = p.depth AND n.path = p.path
+), kids AS (
+  SELECT m.node AS parent, n.depth - 1 AS depth, count(*) AS children FROM nodes n JOIN member m ON m.conv_id = n.node AND m.depth = n.depth - 1 GROUP BY ALL
+), facts AS (
+  SELECT n.*, m.node AS parent, coalesce(k.children, 0) AS children
+  FROM nodes n LEFT JOIN member m ON m.conv_id = n.node AND m.depth = n.depth - 1 LEFT JOIN kids k ON k.parent = n.node AND k.depth = n.depth
+), trees AS (
+  SELECT m.node, m.depth, sum(CASE WHEN f.children = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.n - 1) * f.bytes) AS saved
+  FROM facts f JOIN member m ON m.conv_id = f.node AND m.depth <= f.depth GROUP BY ALL
+)
+SELECT f.node AS conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.children AS n_children, CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM facts f JOIN trees t ON t.node = f.node AND t.depth = f.depth
+"""
+
+ORACLE_SQL = {"op3_mixing": _MIXING_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}
