@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,17 +34,24 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only on one machine (unit
-    tests) may it be unset: then a temporary folder is made and remembered.
+    tests) may it be unset: then a temporary folder is made, for this process.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        known = _local_dir()
     return known.rstrip("/")
 
 
+@lru_cache
+def _local_dir() -> str:
+    """This process's folder where no other is named; gone at its end."""
+    made = tempfile.mkdtemp(prefix="tracewright-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + made
+
+
 #: Settled tables of this process that are still there: folder -> session.
 _SETTLED: dict[str, SparkSession] = {}
 
@@ -64,6 +73,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder for files that an operator writes itself; goes with the process."""
+    path = f"{scratch_dir(spark)}/tw-{name}-{uuid.uuid4().hex}"
+    _SETTLED[path] = spark
+    return path
+
+
 def _remove(path: str) -> None:
     spark = _SETTLED.pop(path)
     with contextlib.suppress(Exception):  # the session may have ended; the folder is scratch space
@@ -86,6 +102,17 @@ def _remove_all() -> None:
         _remove(path)
 
 
+#: A key is broadcast in a join where it has more than one in so many of the rows:
+#: at most so many rows are broadcast, whatever the input.
+HOT = 1024
+
+
+def attach(rows: DataFrame, table: DataFrame, on: Column, hot: Column) -> DataFrame:
+    """``rows`` joined to a table with unique keys; its ``hot`` keys, at most ``HOT``, are broadcast."""
+    few, rest = F.broadcast(table.filter(hot)), table.filter(~hot)
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(rest, on))
+
+
 def rows_of(df: DataFrame) -> DataFrame:
     """``df`` as one column ``row``, so that no name of an operator meets one of its columns."""
     return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))

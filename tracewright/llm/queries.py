@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fim, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, trie, wrappers
+from . import embedding_dedup, fim, licenses, mixing, nearest, packing, quality, simhash, token_counts, toxicity, trie, warc, wrappers
 from .common import table
 
 #: Production parameters.
@@ -15,6 +15,7 @@ CAPACITY = 2048
 NEIGHBOURS = 20
 QUERY_STEP = 20
 MIN_COSINE = 0.9
+LEAST_REVISITED = 0
 REBUILT_GROUP, REBUILT_TURNS = 5, 9
 
 
@@ -65,6 +66,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    back = warc.digests(warc.read_packages(warc.write_packages(pages, "page_id", LEAST_REVISITED)))
+    return back.select(F.col("source").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"), REBUILT_GROUP, REBUILT_TURNS)
 
@@ -73,7 +81,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(*fim.outputs(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op12_conversation_trie, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_mixing, op4_toxicity, op5_simhash, op6_nearest, op7_quality, op8_embedding_dedup, op9_html_extraction, op10_packing, op11_warc, op12_conversation_trie, op13_fill_in_middle)}
 
 _MIXING_SQL = r"""
 WITH base AS (
@@ -176,4 +184,16 @@ SELECT f.node AS conv_id, CAST(f.depth AS BIGINT) AS depth, f.parent AS parent_c
 FROM facts f JOIN trees t ON t.node = f.node AND t.depth = f.depth
 """
 
-ORACLE_SQL = {"op3_mixing": _MIXING_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}
+_WARC_SQL = r"""
+WITH rows_ AS (
+  SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), ranked AS (
+  SELECT *, first_value(page_id) OVER w AS first, row_number() OVER w AS r FROM rows_ WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST)
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to
+FROM ranked
+"""
+
+ORACLE_SQL = {"op3_mixing": _MIXING_SQL, "op11_warc": _WARC_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}

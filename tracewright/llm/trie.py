@@ -32,26 +32,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, unsettle
+from .common import HOT, attach, settle, unsettle
 
-#: A key is broadcast in a join where it has more than one in so many of the rows:
-#: at most so many rows are broadcast, whatever the input.
-HOT = 1024
 #: Ids in a part of a node's ends.
 ENDS = 1 << 16
 #: Turns in a bucket of a chain's sums.
 BUCKET = 4096
 
 
-def attach(rows: DataFrame, table: DataFrame, on: Column, hot: Column) -> DataFrame:
-    """``rows`` joined to a table with unique keys; its ``hot`` keys, at most ``HOT``, are broadcast."""
-    few, rest = F.broadcast(table.filter(hot)), table.filter(~hot)
-    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(rest, on))
-
-
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Place of each turn among those of its conversation in this part, which is sorted."""
     part, last, seen = TaskContext.get().partitionId(), None, 0
