@@ -162,9 +162,9 @@ def decided(pages: DataFrame, id_col: str, least: int) -> DataFrame:
     firsts = kinds.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first"), F.sum("n").alias("total"))
     firsts = firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"), "total")
     # One payload for each digest leaves a task, however many rows have it.
-    payloads = large.groupBy(F.col("digest").alias("d"), "size").agg(F.first("payload").alias("payload"))
+    payloads = large.groupBy(F.col("digest").alias("d")).agg(F.first("payload").alias("payload"))
     zero = F.lit(0).cast("long")
-    full = payloads.join(firsts, F.col("d") == F.col("digest"))
+    full = payloads.join(firsts, F.col("d") == F.col("digest")).withColumn("size", F.octet_length("payload").cast("long"))
     responses = full.select(F.col("first_id").cast("string").alias("source"), F.col("first_url").alias("url"), base32(F.col("digest")).alias("digest"), "size", "payload", key(F.col("first_id"), F.col("first_url"), zero).alias("record"), nobody.alias("refers"), nobody.alias("first_url"))
     total = large.count()
     of = firsts.select(F.col("digest").alias("d"), "first_id", "first_url", "total").filter("total > 1")
@@ -454,8 +454,10 @@ def read_packages(packages: DataFrame) -> DataFrame:
     package, place, type, record_id, refers_to, url, date, source, declared_digest,
     http_length, payload (null for revisits)."""
     small_batches(packages.sparkSession)
-    runs = packages.select("package").repartition("package").mapInPandas(_runs, RUN)
-    return runs.repartition("package", "place").mapInPandas(_records, RECORD)
+    # A number is given, as rows are small here and what they stand for is not: tasks must not be merged.
+    n = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = packages.select("package").repartition(n, "package").mapInPandas(_runs, RUN)
+    return runs.repartition(n, "package", "place").mapInPandas(_records, RECORD)
 
 
 def digests(records: DataFrame) -> DataFrame:
