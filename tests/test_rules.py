@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr, stats
-from tracewright.operators import blocks, chains, evaluation, graph, paths, segments, synthesis, windows
+from tracewright.operators import blocks, chains, evaluation, graph, paths, reports, segments, synthesis, windows
 from tracewright.plans import flow
 from tracewright.sources import files, readers, sinks
 from tracewright.streaming import flows
@@ -532,3 +532,18 @@ def test_files_hold_tables_to_their_columns(spark):
     assert files.as_file(segments.change_points(df, k, ["i"], "state"), "change_points", k).first().estado_nuevo == "b"
     with pytest.raises(ValueError, match="seq_id, bloque_id"):
         files.as_file(segs, "segmentos_caracterizados", k)
+
+
+def test_blocks_of_two_paths_of_one_length(spark):
+    """A change of path with one length opens a block, and duration goes by the cadence of all cycles."""
+    rows = [("m", i, 8, ["10", "20"] if i < 10 else ["10", "30"], True, f"ip{i // 10}", "20", 5.0) for i in range(20)] + [("m", 20 + i, 5, ["10"], False, "x", "10", 9.0) for i in range(4)]
+    cyc = spark.createDataFrame([(a, i * 60, *rest) for a, i, *rest in rows], "k string, t long, length int, as_path array<string>, reached boolean, last_ip string, last_asn string, last_rtt double").withColumn("t", F.timestamp_seconds("t"))
+    got = reports.block_report(cyc, ["k"], ["t"]).orderBy("bloque_id").collect()
+    assert [(r.longitud, r.ruta, r.ciclos, r.fuera, r.longitud_modal, r.longitudes, round(r.duracion_h * 60)) for r in got] == [(8, ["10", "20"], 10, 0, True, [8], 10), (8, ["10", "30"], 10, 0, True, [8], 10)]
+    assert {r.bloque_id for r in reports.excluded_report(cyc, ["k"], ["t"]).collect()} == {2}
+
+
+def test_short_true_episodes_do_not_count(spark):
+    rows = [("s", i, int(i in (3, 4) or 10 <= i < 20), int(10 <= i < 20)) for i in range(30)]
+    got = evaluation.episode_scores(spark.createDataFrame(rows, "k string, i int, y int, p int"), ["k"], ["i"], "y", "p", 5).first()
+    assert (got.episodes, got.found, got.false_alarms, got.alarms_per_day) == (1, 1, 0, None)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import is_ambiguous, segment_class
+from ..functions.expr import is_ambiguous, micros, segment_class
 from ..functions.stats import auroc, average_precision, precision_recall
 from .windows import band_join, over, with_runs
 
@@ -200,22 +200,26 @@ def coverage(cycles: DataFrame, found: DataFrame, keys: list[str], idx: str, min
 
 
 def episode_scores(rows: DataFrame, keys: list[str], order: list[str], truth: str, predicted: str, min_run: int = 5, cover: float = 0.5) -> DataFrame:
-    """Predicted runs shorter than ``min_run`` don't count; a true episode is
-    found if enough of it is predicted; false alarms are predicted runs without any
-    true cycle."""
+    """Runs shorter than ``min_run`` don't count, predicted or true; a true
+    episode is found if enough of it is predicted; false alarms are predicted runs
+    without any true cycle (of a short episode either).  With a first column of ``order``
+    that is a time, alarms_per_day is over the days from the first row to the last."""
     p = with_runs(rows, keys, order, [predicted], "__p")
     from pyspark.sql import Window
 
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__p"))
     p = p.withColumn("__keep", (F.col(predicted) == 1) & (size >= min_run))
     q = with_runs(p, keys, order, [truth], "__t")
-    true = q.filter(F.col(truth) == 1).groupBy(*keys, "__t").agg((F.avg(F.col("__keep").cast("double")) >= cover).cast("long").alias("hit"))
+    true = q.filter(F.col(truth) == 1).groupBy(*keys, "__t").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("__keep").cast("double")) >= cover).cast("long").alias("hit")).filter(F.col("n") >= min_run)
     alarm = q.filter("__keep").groupBy(*keys, "__p").agg((F.max(F.col(truth)) == 0).cast("long").alias("false"))
     a = true.groupBy(*keys).agg(F.count(F.lit(1)).alias("episodes"), F.sum("hit").alias("found"))
     b = alarm.groupBy(*keys).agg(F.sum("false").alias("false_alarms"))
     zero = F.lit(0).cast("long")
-    series = rows.select(*keys).distinct()
-    return series.join(a, keys, "left").join(b, keys, "left").select(*keys, *[F.coalesce(c, zero).alias(c) for c in ("episodes", "found", "false_alarms")])
+    timed = dict(rows.dtypes)[order[0]].startswith(("timestamp", "date"))
+    days = (F.max(micros(order[0])) - F.min(micros(order[0]))) / 86.4e9 if timed else F.lit(None).cast("double")
+    series = rows.groupBy(*keys).agg(days.alias("__days"))
+    out = series.join(a, keys, "left").join(b, keys, "left").select(*keys, "__days", *[F.coalesce(c, zero).alias(c) for c in ("episodes", "found", "false_alarms")])
+    return out.withColumn("alarms_per_day", F.when(F.col("__days") > 0, F.col("false_alarms") / F.col("__days"))).drop("__days")
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,30 +18,47 @@ def run_table(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: in
     return r.select(*keys, F.col("start_ts").alias("inicio"), F.col("length").alias("longitud"), F.col("n").alias("ciclos"), (F.col("clase") == "sostenido").alias("sostenido"))
 
 
-def _members(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = cyc.filter("reached").select(*keys, *cycle, "length", "as_path")
-    table = blocks.block_table(rows, keys, cycle, "length", persistence)
-    own = blocks.block_members(rows, table, keys, cycle, "length").filter("own")
-    return rows, table, blocks.modal_path(own, [*keys, "block_id"], "as_path", "__i").drop("modal_path_n")
-
-
-def block_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4) -> DataFrame:
-    """K4: every block with its duration by cadence, its path and whether it has the
-    series' most frequent length."""
-    rows, table, route = _members(cyc, keys, cycle, persistence)
-    modal = mode_first_seen(with_position(rows, keys, cycle, "__i"), keys, "length", "__i", "modal_length").drop("modal_length_n")
-    out = table.join(route, [*keys, "block_id"], "left").join(modal, keys, "left").join(cadence(rows, keys, cycle, cycle[0]), keys, "left")
+def _routed(cyc: DataFrame, keys: list[str], cycle: list[str], fuse: bool) -> DataFrame:
+    """Reached cycles with their route: length, or its class where equivalent lengths are
+    fused, and AS path."""
+    rows = cyc.filter("reached")
+    clase = F.col("length")
+    if fuse:
+        found = blocks.length_classes(with_position(rows, keys, cycle, "__i"), keys, "length", "last_rtt", "as_path", "__i")
+        rows = rows.join(found.select(*keys, F.col("value").alias("length"), F.col("clase").alias("__clase")), [*keys, "length"], "left")
+        clase = F.coalesce("__clase", "length")
+    return rows.select(*keys, *cycle, "length", "as_path", F.struct(clase.alias("length"), F.col("as_path").alias("path")).alias("__route"))
+
+
+def _members(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int, fuse: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = _routed(cyc, keys, cycle, fuse)
+    table = blocks.block_table(rows, keys, cycle, "__route", persistence).withColumn("length", F.col("__route.length"))
+    own = blocks.block_members(rows, table.drop("length"), keys, cycle, "__route").filter("own")
+    route = blocks.modal_path(own, [*keys, "block_id"], "as_path", "__i").drop("modal_path_n")
+    lengths = own.groupBy(*keys, "block_id").agg(F.sort_array(F.collect_set("length")).alias("__lengths"))  # few: lengths are hop numbers
+    return rows, table.drop("__route"), route.join(lengths, [*keys, "block_id"])
+
+
+def block_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4, fuse: bool = False) -> DataFrame:
+    """K4: every block of one route (length or its class, and AS path) with its duration
+    by the cadence of all cycles, its path, its own lengths and whether it has the series'
+    most frequent length."""
+    rows, table, route = _members(cyc, keys, cycle, persistence, fuse)
+    modal = mode_first_seen(with_position(rows, keys, cycle, "__i").withColumn("__l", F.col("length")), keys, "__l", "__i", "modal_length").drop("modal_length_n")
+    if fuse:
+        modal = modal.join(rows.select(*keys, F.col("length").alias("modal_length"), F.col("__route.length").alias("__c")).distinct(), [*keys, "modal_length"]).select(*keys, F.col("__c").alias("modal_length"))
+    out = table.join(route, [*keys, "block_id"], "left").join(modal, keys, "left").join(cadence(cyc, keys, cycle, cycle[0]), keys, "left")
     return out.select(
         *keys, F.col("block_id").alias("bloque_id"), F.col("length").alias("longitud"), F.col("start_ts").alias("inicio"), F.col("end_ts").alias("fin"),
         (F.col("n_inside") * F.coalesce("cadence_s", F.lit(0.0)) / 3600).alias("duracion_h"), F.col("n_inside").alias("ciclos"), F.col("outside").alias("fuera"), F.col("merged").alias("tramos_sostenidos"),
-        (F.col("length") == F.col("modal_length")).alias("longitud_modal"), F.col("modal_path").alias("ruta"), F.array("length").alias("longitudes"),
+        (F.col("length") == F.col("modal_length")).alias("longitud_modal"), F.col("modal_path").alias("ruta"), F.col("__lengths").alias("longitudes"),
     )
 
 
-def main_block_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4, min_cycles: int = 200, min_cover: float = 0.8) -> DataFrame:
-    """K5: a row a series: the chosen block, the second one, and how near it comes."""
-    rows, table, route = _members(cyc, keys, cycle, persistence)
-    pace = cadence(rows, keys, cycle, cycle[0])
+def main_block_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4, min_cycles: int = 200, min_cover: float = 0.8, fuse: bool = False) -> DataFrame:
+    """K5: a row a series: the chosen block of one route, the second one, and how near it comes."""
+    _, table, route = _members(cyc, keys, cycle, persistence, fuse)
+    pace = cadence(cyc, keys, cycle, cycle[0])
     ranked = blocks.ranked_blocks(table, keys, pace, min_cycles, min_cover).filter("rank <= 2").join(route, [*keys, "block_id"], "left")
     clock = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     block = F.struct(
@@ -55,12 +72,12 @@ def main_block_report(cyc: DataFrame, keys: list[str], cycle: list[str], persist
     return out.select(*keys, "cadencia_s", "persistencia", "criterio", "elegido", "segundo", "duracion_segundo_sobre_elegido", "eleccion_ajustada")
 
 
-def excluded_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4, private: Column | None = None) -> DataFrame:
-    """Excluded cycles with their last hop, the run around them and the block
-    that holds them; one that doesn't reach is in a block if the reached cycles
+def excluded_report(cyc: DataFrame, keys: list[str], cycle: list[str], persistence: int = 4, private: Column | None = None, fuse: bool = False) -> DataFrame:
+    """Excluded cycles with their last hop, the run around them and the block (of
+    one route) that holds them; one that doesn't reach is in a block if the reached cycles
     on both of its sides are, or the only one is."""
-    reached = cyc.filter("reached").select(*keys, *cycle, "length")
-    found = blocks.blocks(reached, keys, cycle, "length", persistence).select(*keys, "block_id", "i0", "i1")
+    reached = _routed(cyc, keys, cycle, fuse)
+    found = blocks.blocks(reached, keys, cycle, "__route", persistence).select(*keys, "block_id", "i0", "i1")
     inside = band_join(with_position(reached.select(*keys, *cycle), keys, cycle, "__i"), found, keys, "__i", "i0", "i1", 4096).select(*keys, *cycle, "block_id")
     hidden = F.coalesce(private, F.lit(False)) if private is not None else F.lit(False)
     last = cyc.select(*keys, *cycle, "reached", "last_ip", "last_asn", "last_rtt", hidden.alias("privada")).join(inside, [*keys, *cycle], "left")

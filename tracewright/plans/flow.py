@@ -50,8 +50,8 @@ def verify(spark: SparkSession, history: str, folder: str, persistence: int = 4,
     cyc = spark.read.parquet(f"{folder.rstrip('/')}/ciclos")
     tables = {
         "tramos_longitud": (reports.run_table(cyc, KEYS, CYCLE, persistence), ["inicio"]),
-        "bloques_longitud": (reports.block_report(cyc, KEYS, CYCLE, persistence), ["bloque_id"]),
-        "ciclos_excluidos": (reports.excluded_report(cyc, KEYS, CYCLE, persistence, F.col("__private")), ["ciclo"]),
+        "bloques_longitud": (reports.block_report(cyc, KEYS, CYCLE, persistence, fuse), ["bloque_id"]),
+        "ciclos_excluidos": (reports.excluded_report(cyc, KEYS, CYCLE, persistence, F.col("__private"), fuse), ["ciclo"]),
         "destinos_ip_final": (reports.destination_report(cyc, KEYS, CYCLE), ["ciclos", "ip_final"]),
         "diagnostico_longitudes": (reports.length_report(cyc, KEYS, CYCLE, fuse), ["ciclos", "longitud"]),
         "caminos": (reports.path_report(cyc, KEYS, CYCLE), ["timestamp"]),
@@ -60,7 +60,7 @@ def verify(spark: SparkSession, history: str, folder: str, persistence: int = 4,
     files |= {name: write_file(df, name, folder, KEYS, order) for name, (df, order) in tables.items()}
     main = f"{folder.rstrip('/')}/bloque_principal"
     # One row a series, one file a folder: each file is one JSON object.
-    chosen = reports.main_block_report(cyc, KEYS, CYCLE, persistence).withColumns({"measurement": F.col(KEYS[0]).cast("string"), "probe": F.col(KEYS[1]).cast("string")})
+    chosen = reports.main_block_report(cyc, KEYS, CYCLE, persistence, fuse=fuse).withColumns({"measurement": F.col(KEYS[0]).cast("string"), "probe": F.col(KEYS[1]).cast("string")})
     chosen.repartition(*KEYS).write.mode("overwrite").partitionBy(*KEYS).json(main)
     return files | {"bloque_principal": main}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import blocks, graph, paths
+from ..operators import blocks, graph, paths, reports
 from ..sources.adapters import CYCLE as C
 from ..sources.adapters import HOP_KEYS as K
 from ..sources.adapters import HOPS_SQL, hops
@@ -158,6 +158,51 @@ def excluded_by_reason(spark, sf):
     return paths.excluded_cycles(reached(spark, sf), K, C, 2).groupBy(*K, "motivo").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Cycles of two lengths and two paths, so that routes last: several paths of one length.
+_ROUTED = _REACH + """, q AS (SELECT series_id, cycle_ts, cycle_id, reached, last_ip, last_asn, last_rtt, CASE WHEN length <= 5 THEN 5 ELSE 7 END AS length, CASE WHEN coalesce(last_asn, '') < '2' THEN 'A' ELSE 'B' END AS path FROM rc),
+  tq AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id) - 1 AS pos FROM q WHERE reached),
+  rs AS (SELECT *, CASE WHEN length = lag(length) OVER s AND path = lag(path) OVER s THEN 0 ELSE 1 END AS st FROM tq WINDOW s AS (PARTITION BY series_id ORDER BY pos)), rn AS (SELECT *, sum(st) OVER (PARTITION BY series_id ORDER BY pos) AS rn FROM rs),
+  kr AS (SELECT series_id, rn, length, path, min(pos) AS i0, max(pos) AS i1, min(cycle_ts) AS s, max(cycle_ts) AS e FROM rn GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+  ks AS (SELECT *, CASE WHEN length = lag(length) OVER o AND path = lag(path) OVER o THEN 0 ELSE 1 END AS st FROM kr WINDOW o AS (PARTITION BY series_id ORDER BY i0)), kb AS (SELECT *, CAST(sum(st) OVER (PARTITION BY series_id ORDER BY i0) AS BIGINT) AS block_id FROM ks),
+  bl AS (SELECT series_id, block_id, length, path, min(i0) AS i0, max(i1) AS i1, min(s) AS s, max(e) AS e, count(*) AS merged FROM kb GROUP BY 1, 2, 3, 4), mb AS (SELECT tq.*, bl.block_id, tq.length = bl.length AND tq.path = bl.path AS own FROM tq JOIN bl ON bl.series_id = tq.series_id AND pos BETWEEN i0 AND i1),
+  bt AS (SELECT bl.*, i1 - i0 + 1 AS n, fuera, lons FROM bl JOIN (SELECT series_id, block_id, CAST(sum(CASE WHEN own THEN 0 ELSE 1 END) AS BIGINT) AS fuera, string_agg(DISTINCT CASE WHEN own THEN length END, '|' ORDER BY CASE WHEN own THEN length END) AS lons FROM mb GROUP BY 1, 2) USING (series_id, block_id)),
+  gp AS (SELECT series_id, epoch_us(cycle_ts) - epoch_us(lag(cycle_ts) OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id)) AS dt FROM q), ca AS (SELECT series_id, list_sort(list(dt))[len(list(dt)) // 2 + 1] / 1e6 AS cad FROM gp WHERE dt IS NOT NULL GROUP BY 1),
+  mo AS (SELECT series_id, length AS modal FROM (SELECT series_id, length, count(*) AS n, min(pos) AS p FROM tq GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, p) = 1)"""
+
+
+def routed(spark, sf):
+    path = F.array(F.when(F.coalesce("last_asn", F.lit("")) < "2", "A").otherwise("B"))
+    return reached(spark, sf).withColumns({"length": F.when(F.col("length") <= 5, 5).otherwise(7), "as_path": path})
+
+
+@query(_ROUTED + """ SELECT series_id, block_id AS bloque_id, bt.length AS longitud, s AS inicio, e AS fin, round(n * coalesce(cad, 0) / 3600, 6) AS duracion_h, n AS ciclos, fuera, merged AS tramos_sostenidos, bt.length = modal AS longitud_modal, path AS ruta, lons AS longitudes
+  FROM bt JOIN mo USING (series_id) LEFT JOIN ca USING (series_id)""")
+def block_report(spark, sf):
+    out = reports.block_report(routed(spark, sf), K, C, 2)
+    return out.withColumns({"duracion_h": F.round("duracion_h", 6), "ruta": F.array_join("ruta", ">"), "longitudes": F.array_join(F.col("longitudes").cast("array<string>"), "|")})
+
+
+@query(_ROUTED + """, dn AS (SELECT bt.*, cad, n - fuera AS own, round((epoch_us(e) - epoch_us(s)) / 3.6e9, 1) AS dur, (n - fuera) / CASE WHEN cad > 0 THEN (epoch_us(e) - epoch_us(s)) / 1e6 / cad + 1 ELSE n END AS cob FROM bt JOIN ca USING (series_id)),
+  el AS (SELECT *, own >= 3 AND cob >= 0.2 AS ok FROM dn), po AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY dur DESC, block_id) AS rk FROM (SELECT *, bool_or(ok) OVER (PARTITION BY series_id) AS has_ok FROM el) WHERE ok OR NOT has_ok)
+  SELECT a.series_id, a.cad AS cadencia_s, a.block_id AS bloque_id, a.length AS longitud, a.path AS ruta, a.dur AS duracion_h, a.n AS ciclos, a.own AS ciclos_propios, round(a.cob, 3) AS cobertura, a.ok AS elegible, b.block_id AS segundo_id,
+    round(CASE WHEN b.block_id IS NOT NULL THEN CASE WHEN a.dur > 0 THEN b.dur / a.dur ELSE 0 END END, 6) AS segundo_sobre_elegido, coalesce(CASE WHEN a.dur > 0 THEN b.dur / a.dur ELSE 0 END >= 0.8, false) AND b.block_id IS NOT NULL AS eleccion_ajustada
+  FROM po a LEFT JOIN po b ON b.series_id = a.series_id AND b.rk = 2 WHERE a.rk = 1""")
+def main_block_report(spark, sf):
+    out = reports.main_block_report(routed(spark, sf), K, C, 2, 3, 0.2)
+    e = [F.col(f"elegido.{c}").alias(c) for c in ("bloque_id", "longitud", "ruta", "duracion_h", "ciclos", "ciclos_propios", "cobertura", "elegible")]
+    return out.select(*K, "cadencia_s", *e, F.col("segundo.bloque_id").alias("segundo_id"), F.round("duracion_segundo_sobre_elegido", 6).alias("segundo_sobre_elegido"), "eleccion_ajustada")
+
+
+@query(_ROUTED + _EXC[len(_REACH):].replace("rc.", "q.").replace("FROM rc", "FROM q") + """,
+  bp AS (SELECT q.series_id, q.cycle_ts, q.cycle_id, q.reached, q.last_ip, tq.pos, mb.block_id FROM q LEFT JOIN tq USING (series_id, cycle_ts, cycle_id) LEFT JOIN mb USING (series_id, cycle_ts, cycle_id)),
+  bn AS (SELECT *, last_value(CASE WHEN reached THEN {'b': block_id} END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv, first_value(CASE WHEN reached THEN {'b': block_id} END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM bp)
+  SELECT ex.series_id, ex.cycle_ts, ex.length AS salto, bn.last_ip AS ultimo_salto_ip, ex.motivo, ex.tramo_n, ex.entre_tramos, ex.tramo_siguiente_n,
+    CASE WHEN bn.reached THEN bn.block_id WHEN pv IS NULL THEN nx.b WHEN nx IS NULL THEN pv.b WHEN pv.b IS NOT DISTINCT FROM nx.b THEN pv.b END AS bloque_id FROM ex JOIN bn USING (series_id, cycle_ts, cycle_id)""")
+def excluded_report(spark, sf):
+    out = reports.excluded_report(routed(spark, sf), K, C, 2)
+    return out.select(*K, F.col("ciclo").alias("cycle_ts"), "salto", "ultimo_salto_ip", "motivo", "tramo_n", "entre_tramos", "tramo_siguiente_n", "bloque_id")
+
+
 _CROSS = _REACH + ", " + _EVENTS[5:] + """, mk AS (SELECT series_id, cycle_ts, cycle_id, length, as_path, reached, NOT reached OR coalesce(NOT lag(reached) OVER (PARTITION BY series_id ORDER BY cycle_ts, cycle_id), false) AS bad FROM rc),
   tw AS (SELECT series_id, cycle_ts, cycle_id, length <> lag(length) OVER o AS cl, as_path <> lag(as_path) OVER o AS cp FROM rc WHERE reached WINDOW o AS (PARTITION BY series_id ORDER BY cycle_ts, cycle_id)),
   fl AS (SELECT series_id, cycle_ts, cycle_id, bool_or(categoria = 'cambio_longitud') AS el, bool_or(categoria = 'cambio_ip_asn') AS ei FROM ev GROUP BY 1, 2, 3),

@@ -424,12 +424,13 @@ def error_summary(spark, sf):
 @query("""WITH b AS (SELECT series_id, cycle_ts, event_id, CASE WHEN state IN ('error', 'purchase') THEN 1 ELSE 0 END AS t, CASE WHEN rtt_ms > 30 THEN 1 ELSE 0 END AS p FROM v_series),
   s AS (SELECT *, CASE WHEN p = lag(p) OVER w THEN 0 ELSE 1 END AS sp, CASE WHEN t = lag(t) OVER w THEN 0 ELSE 1 END AS st FROM b WINDOW w AS (PARTITION BY series_id ORDER BY cycle_ts, event_id)),
   r AS (SELECT *, sum(sp) OVER w AS rp, sum(st) OVER w AS rt FROM s WINDOW w AS (PARTITION BY series_id ORDER BY cycle_ts, event_id)), k AS (SELECT *, p = 1 AND count(*) OVER (PARTITION BY series_id, rp) >= 2 AS keep FROM r),
-  a AS (SELECT series_id, rt, CASE WHEN avg(CASE WHEN keep THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS hit FROM k WHERE t = 1 GROUP BY 1, 2), f AS (SELECT series_id, rp, CASE WHEN max(t) = 0 THEN 1 ELSE 0 END AS fa FROM k WHERE keep GROUP BY 1, 2)
-  SELECT u.series_id, coalesce(x.episodes, 0) AS episodes, CAST(coalesce(x.found, 0) AS BIGINT) AS found, CAST(coalesce(y.fa, 0) AS BIGINT) AS false_alarms FROM (SELECT DISTINCT series_id FROM v_series) u
+  a AS (SELECT series_id, rt, CASE WHEN avg(CASE WHEN keep THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS hit FROM k WHERE t = 1 GROUP BY 1, 2 HAVING count(*) >= 2), f AS (SELECT series_id, rp, CASE WHEN max(t) = 0 THEN 1 ELSE 0 END AS fa FROM k WHERE keep GROUP BY 1, 2)
+  SELECT u.series_id, coalesce(x.episodes, 0) AS episodes, CAST(coalesce(x.found, 0) AS BIGINT) AS found, CAST(coalesce(y.fa, 0) AS BIGINT) AS false_alarms, round(CASE WHEN days > 0 THEN coalesce(y.fa, 0) / days END, 6) AS alarms_per_day
+  FROM (SELECT series_id, (epoch_us(max(cycle_ts)) - epoch_us(min(cycle_ts))) / 86.4e9 AS days FROM v_series GROUP BY 1) u
   LEFT JOIN (SELECT series_id, count(*) AS episodes, sum(hit) AS found FROM a GROUP BY 1) x USING (series_id) LEFT JOIN (SELECT series_id, sum(fa) AS fa FROM f GROUP BY 1) y USING (series_id)""")
 def episode_scores(spark, sf):
     rows = series(spark, sf).withColumns({"t": F.col("state").isin("error", "purchase").cast("int"), "p": (F.col("rtt_ms") > 30).cast("int")})
-    return evaluation.episode_scores(rows, K, O, "t", "p", 2)
+    return evaluation.episode_scores(rows, K, O, "t", "p", 2).withColumn("alarms_per_day", F.round("alarms_per_day", 6))
 
 
 @query("""WITH i AS (SELECT series_id, event_id, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM v_series)
