@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr, stats
-from tracewright.operators import blocks, chains, evaluation, graph, paths, reports, segments, synthesis, windows
+from tracewright.operators import blocks, chains, evaluation, graph, hmm, paths, reports, segments, synthesis, windows
 from tracewright.plans import flow
 from tracewright.sources import files, readers, sinks
 from tracewright.streaming import flows
@@ -161,7 +161,7 @@ def test_sweep_settings(spark, monkeypatch):
     from tracewright.plans import series_queries
 
     seen = []
-    monkeypatch.setattr(evaluation, "sweep", lambda rows, keys, configs, seeds, order, x: seen.append((rows, configs, seeds)))
+    monkeypatch.setattr(evaluation, "sweep", lambda rows, keys, configs, seeds, order, x, **_: seen.append((rows, configs, seeds)))
     monkeypatch.setattr(evaluation, "seed_stability", lambda runs, keys: runs)
     series_queries.parameter_sweep(spark, "/root/testdata/sf0.001")
     (rows, configs, seeds) = seen[0]
@@ -226,8 +226,8 @@ def test_chunked_passes_equal_plain_ones(n, starts, stay):
     ch = chains.Chunks(starts, n)
     f, back, scale, ends = np.empty((k, n)), np.empty((k, n)), np.empty(n), np.full((k, len(ch.length)), 0.25)
     heads, seen = ends.copy(), np.ascontiguousarray(like[ch.rows].T)
-    chains.forward(ch, seen, trans, begin, ends, f, scale)
-    chains.backward(ch, seen, trans, heads, f, scale, back)
+    chains.forward(ch, seen, trans, np.repeat(begin[:, None], len(ch.length), 1), ends, f, scale)
+    chains.backward(ch, seen, trans, np.ones_like(heads), heads, f, scale, back)
     got = np.empty((n, k))
     got[ch.rows] = (f * back).T
     want, pair = np.empty((n, k)), np.zeros((k, k))
@@ -250,6 +250,47 @@ def test_chunked_passes_equal_plain_ones(n, starts, stay):
     assert np.allclose(trans * chains.pairs(ch, f, seen * back / scale), pair, rtol=1e-7, atol=1e-9)
 
 
+def row_by_row(y, m):
+    """States of one sequence under a model, by plain forward-backward."""
+    like = np.exp(np.maximum(-650, (e := m.level + m.slope * (y[:, None] - m.at) ** 2) - e.max(1, keepdims=True)))
+    f, b = np.empty_like(like), np.ones_like(like)
+    for t in range(len(y)):
+        f[t] = (f[t - 1] @ m.trans if t else m.begin) * like[t]
+        f[t] /= f[t].sum()
+    for t in range(len(y) - 2, -1, -1):
+        b[t] = m.trans @ (like[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    return (f * b).argmax(1)
+
+
+def test_units_pass_messages_until_they_equal_one_pass():
+    g = np.random.default_rng(2)
+    y = np.concatenate([g.normal(v, 1.5, 150) for v in (0, 3, 0, 5, 3, 0)])
+    s, k = hmm.Setting(k=6), 6
+    whole = hmm.Unit(y, [0])
+    m = hmm.Model.of(whole.guess(np.linspace(-1, 6, k), 1.0, None), len(y), s)
+    want, _ = whole.expect(m, None, None)
+    assert (whole.states() == row_by_row(y, m)).mean() > 0.999
+    cuts = [0, 130, 131, 500, 900]
+    parts = [hmm.Unit(y[a:b], [0], a > 0, b < 900) for a, b in zip(cuts, cuts[1:])]
+    told = [(np.full(k, 1 / k), np.full(k, 1 / k))] * 4
+    for _ in range(8):
+        found = [u.expect(m, told[i - 1][0] if i else None, told[i + 1][1] if i < 3 else None) for i, u in enumerate(parts)]
+        told = [u.told() for u in parts]
+    assert np.concatenate([u.states() for u in parts]).tolist() == whole.states().tolist()
+    assert np.allclose(sum(f.flat() for f, _ in found), want.flat(), rtol=1e-6, atol=1e-6)
+
+
+def test_a_series_of_many_chunks_has_the_states_of_one(spark):
+    """Memoised rounds over chunks, with several sequences, against one task."""
+    g = np.random.default_rng(8)
+    level = np.repeat([30.0, 38.0, 30.0, 47.0, 38.0, 30.0], 400)
+    df = spark.createDataFrame(pd.DataFrame({"k": "s", "block_id": 1, "seq_id": np.arange(2400) // 900, "i": range(2400), "x": level + g.normal(0, 1.0, 2400)}))
+    one, many = ([(r.i, r.state) for r in segments.model_states(df, ["k"], ["i"], "x", chunk=c).orderBy("i").collect()] for c in (hmm.CHUNK, 350))
+    assert one == many
+    assert [len({s for _, s in one[a : a + 400]}) for a in range(0, 2400, 400)] == [1] * 6 and len({s for _, s in one}) == 3
+
+
 def test_model_on_a_long_series():
     """Row by row in Python, 200,000 rows and 20 laps took 39 s."""
     g = np.random.default_rng(6)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_ambiguous, micros, segment_class
 from ..functions.stats import auroc, average_precision, precision_recall
+from ..scratch import settled
 from .windows import band_join, over, with_runs
 
 
@@ -205,8 +208,6 @@ def episode_scores(rows: DataFrame, keys: list[str], order: list[str], truth: st
     without any true cycle (of a short episode either).  With a first column of ``order``
     that is a time, alarms_per_day is over the days from the first row to the last."""
     p = with_runs(rows, keys, order, [predicted], "__p")
-    from pyspark.sql import Window
-
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__p"))
     p = p.withColumn("__keep", (F.col(predicted) == 1) & (size >= min_run))
     q = with_runs(p, keys, order, [truth], "__t")
@@ -282,8 +283,6 @@ def gradient_boosting(train: DataFrame, test: DataFrame, features: list[str], la
 
 def temporal_split(rows: DataFrame, keys: list[str], order: list[str], share: float, purge: int) -> DataFrame:
     """Adds part: train, purged or test, by position."""
-    from pyspark.sql import Window
-
     n, i = F.count(F.lit(1)).over(Window.partitionBy(*keys)), F.row_number().over(over(keys, order))
     cut = F.floor(n * F.lit(share))
     return rows.withColumn("part", F.when(i <= cut, "train").when(i <= cut + purge, "purged").otherwise("test"))
@@ -351,37 +350,56 @@ def one_at_a_time(values: dict[str, list[float]]) -> list[dict[str, float]]:
     return [base, *[base | {k: x} for k, v in values.items() for x in v[1:]]]
 
 
-def sweep(rows: DataFrame, keys: list[str], configs: list[dict], seeds: list[int], order: list[str], x: str, dwell: int = 4) -> DataFrame:
-    """The model for each setting and seed; (keys, config_id, seed, states,
-    boundaries).  A task is one block with one setting.  A setting's percentile,
-    unless 0, cuts the values above it; boundaries count the rows that are left."""
-    from .segments import fuse_states, smooth_states, sticky_hmm
-    from .windows import dealt
+def grid(values: dict[str, list[float]]) -> list[dict[str, float]]:
+    """All combinations of the lists' values."""
+    return [dict(zip(values, x)) for x in product(*values.values())]
 
-    jobs = F.explode(F.array(*[F.struct(F.lit(i).alias("config_id"), F.lit(s).alias("seed")) for i in range(len(configs)) for s in seeds])).alias("__job")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        y, setting = pdf[x].to_numpy(float), dict(configs[int(key[-2])])
-        cut = setting.pop("percentile", 0.0)
-        if cut > 0:
-            y = y[y <= np.percentile(y, cut)]
-        states = smooth_states(fuse_states(y, sticky_hmm(y, [0], seed=int(key[-1]), **setting)), dwell)
-        return pd.DataFrame([(*key, len(set(states.tolist())), (np.flatnonzero(np.diff(states)) + 1).tolist())], columns=[*keys, "config_id", "seed", "states", "boundaries"])
+def sweep(rows: DataFrame, keys: list[str], configs: list[dict], seeds: list[int], order: list[str], x: str, dwell: int = 4, fuse: float | None = 0.5, interval_s: float | None = None, chunk: int | None = None) -> DataFrame:
+    """The model for each setting and seed; (keys, config_id, seed, states, macros,
+    boundaries, n, per_day).  A setting's percentile, unless 0, cuts the values above it;
+    boundaries count the rows that are left.  per_day: boundaries a day, a row lasting
+    ``interval_s`` (null without it).  All runs of all series go through the model at once."""
+    from . import hmm, segments
+
+    few, size = rows.select(*dict.fromkeys([*keys, *order, x])), chunk or hmm.CHUNK
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    expanded = rows.select(*dict.fromkeys([*keys, *order, x]), jobs).select("*", "__job.config_id", "__job.seed").drop("__job")
-    return dealt(expanded, [*keys, "config_id", "seed"]).groupBy(*keys, "config_id", "seed").applyInPandas(run, f"{kinds}, config_id int, seed int, states int, boundaries array<long>")
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        n, s = (np.concatenate(pdf[c].tolist()) for c in ("n", "state"))
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))  # runs go on over chunks
+        n, macros, total = np.add.reduceat(n, first), len(set(s.tolist())), int(n.sum())
+        n, s = segments.smooth_runs(n, s[first], dwell)
+        day = (len(n) - 1) / (total * interval_s / 86_400) if interval_s else None
+        return pd.DataFrame([(*key, len(set(s.tolist())), macros, np.cumsum(n)[:-1], total, day)], columns=["id", "run", "states", "macros", "boundaries", "n", "per_day"])
+
+    found = None
+    for cut in sorted({float(c.get("percentile", 0.0)) for c in configs}):
+        own = few
+        if cut > 0:
+            own = few.withColumn("__cut", F.percentile(x, cut / 100).over(Window.partitionBy(*keys))).filter(F.col(x) <= F.col("__cut")).drop("__cut")
+        chosen = [(i, c, s) for i, c in enumerate(configs) if float(c.get("percentile", 0.0)) == cut for s in seeds]
+        settings = [hmm.Setting(**{k: v for k, v in c.items() if k != "percentile"}) for _, c, _ in chosen]
+        at = segments.placed(own, keys, order, x)
+        states, table = segments.fitted(at, settings, [s for *_, s in chosen], size)
+        lengths = hmm.lengths(states, segments.fused(hmm.moments(states, table), fuse), size)
+        out = lengths.groupBy("id", "run").applyInPandas(summary, "id string, run int, states int, macros int, boundaries array<long>, n long, per_day double")
+        ids, seeds_ = F.array(*[F.lit(i) for i, *_ in chosen]), F.array(*[F.lit(s) for *_, s in chosen])
+        named = at.filter("__pos = 0").select(*keys, "__id")
+        out = named.join(out, F.col("__id") == F.col("id")).select(*keys, F.get(ids, "run").alias("config_id"), F.get(seeds_, "run").alias("seed"), "states", "macros", "boundaries", "n", "per_day")
+        found = out if found is None else found.unionByName(out)
+    return settled(found, "sweep-runs")
 
 
 def seed_stability(runs: DataFrame, keys: list[str], tolerance: float = 2.0) -> DataFrame:
-    """Mean pairwise F1 of boundaries over the seeds of a setting."""
+    """Per setting, over its seeds: mean number of boundaries, its range, least and
+    most boundaries a day, and the mean pairwise F1 of boundaries."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b = [np.asarray(x, float) for x in pdf.sort_values("seed")["boundaries"]]
         f1 = [2 * match_in_order(p, q, tolerance) / (len(p) + len(q)) if len(p) + len(q) else 1.0 for i, p in enumerate(b) for q in b[i + 1 :]]
-        n = [len(x) for x in b]
-        return pd.DataFrame([(*key, len(b), float(np.mean(n)), int(max(n) - min(n)), float(np.mean(f1)) if f1 else None)], columns=[*keys, "config_id", "seeds", "mean_boundaries", "range", "f1"])
+        n, day = [len(x) for x in b], pdf["per_day"].astype(float)
+        return pd.DataFrame([(*key, len(b), float(np.mean(n)), int(max(n) - min(n)), float(np.mean(f1)) if f1 else None, day.min(), day.max())], columns=[*keys, "config_id", "seeds", "mean_boundaries", "range", "f1", "least_per_day", "most_per_day"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema if f.name in keys)
-    return runs.groupBy(*keys, "config_id").applyInPandas(run, f"{kinds}, config_id int, seeds int, mean_boundaries double, range int, f1 double")
+    return runs.groupBy(*keys, "config_id").applyInPandas(run, f"{kinds}, config_id int, seeds int, mean_boundaries double, range int, f1 double, least_per_day double, most_per_day double")

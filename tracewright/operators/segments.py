@@ -1,7 +1,7 @@
 """Segmentation by a sticky HDP-HMM and what is read off its states.
 
-The model runs per block in a grouped function; forward-backward over a block's chunks is in ``chains``.
-Everything before and after is windows and joins.
+The model is in ``hmm``: chunks of blocks over many tasks.  Everything before and after is windows,
+joins, and small functions over a block's states or runs.
 """
 
 from __future__ import annotations
@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import bhattacharyya, micros, route_change_class, segment_class
 from ..functions.stats import pooled
-from .chains import Chunks, backward, forward, pairs
-from .windows import dealt, over, with_runs
+from ..scratch import settled
+from . import hmm
+from .windows import band_join, over, with_runs
 
 
 def block_series(series: DataFrame, found: DataFrame, excluded: DataFrame | None, keys: list[str], ts: str, min_rows: int = 10, trim: float = 0.0, cell_us: int = 86_400_000_000) -> DataFrame:
     """Rows of each block (both ends inside, length among the block's lengths,
     not excluded), for blocks with enough rows; ``trim`` cuts above a percentile."""
-    from .windows import band_join
-
     rows = series if excluded is None else series.join(excluded, [*keys, ts], "left_anti")
     bands = found.withColumns({"__lo": micros("start_ts"), "__hi": micros("end_ts")})
     inside = band_join(rows.withColumn("__t", micros(ts)), bands, keys, "__t", "__lo", "__hi", cell_us).drop("__lo", "__hi", "__t")
@@ -33,160 +32,125 @@ def block_series(series: DataFrame, found: DataFrame, excluded: DataFrame | None
     return inside.withColumn("__n", F.count(F.lit(1)).over(w)).filter(F.col("__n") >= min_rows).drop("__n")
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, float)
-    shift = np.zeros_like(x)
-    while (x < 6).any():
-        small = x < 6
-        shift = np.where(small, shift - 1 / np.where(small, x, 1), shift)
-        x = np.where(small, x + 1, x)
-    f = 1 / (x * x)
-    return shift + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
-
-
-#: Rows whose states are weighed at once: they stay in the processor's cache.
-ROWS = 8192
-
-
 def sticky_hmm(y: np.ndarray, starts: list[int], k: int = 15, laps: int = 100, trans_alpha: float = 0.5, start_alpha: float = 10.0, kappa: float = 1000.0, sf: float = 1.0, seed: int = 0) -> np.ndarray:
-    """States of concatenated sequences (``starts`` are their first places).
-
-    Variational mean field for a truncated sticky HDP-HMM (Fox et al. 2011, Hughes
-    et al. 2015): Dirichlet rows with extra mass kappa on staying, normal-gamma
-    emissions with prior spread sf, responsibilities by forward-backward; a state
-    is the largest marginal.  Emissions start at ``k`` observations drawn at random."""
-    n = len(y)
-    k = max(1, min(k, n))
-    rng = np.random.default_rng(seed)
-    mu0, lam0, a0 = float(y.mean()), 0.1, 2.0
-    b0 = sf * 0.5
-    near = np.sort(rng.choice(y, k, replace=False))[:, None]
-    width = max(y.std() / k, 1e-3)
-    ch = Chunks(starts, n)
-    y, begins = y[ch.rows], np.flatnonzero(ch.head)
-    blocks = [slice(i, min(i + ROWS, n)) for i in range(0, n, ROWS)]
-    like, f, back, scale, raw = np.empty((k, n)), np.empty((k, n)), np.empty((k, n)), np.empty(n), np.empty(n, np.int64)
-
-    def weighed(at: slice, resp: np.ndarray) -> np.ndarray:
-        """Weights of the states, sums of distances to ``near`` and of their squares."""
-        d = y[at] - near
-        by = resp * d
-        return np.stack([resp.sum(1), by.sum(1), (by * d).sum(1)])
-
-    sums = np.zeros((3, k))
-    for at in blocks:
-        resp = np.exp(-0.5 * ((y[at] - near) / width) ** 2) + 1e-12
-        resp /= resp.sum(0)
-        back[:, at] = resp
-        sums += weighed(at, resp)
-    pair, first = pairs(ch, back, back), back[:, begins].sum(1)
-    ends, heads = np.full((k, len(ch.length)), 1 / k), np.full((k, len(ch.length)), 1 / k)
-    last = -np.inf
-    for _ in range(laps):
-        weight, move = sums[0], sums[1] / np.maximum(sums[0], 1e-12)
-        mean, spread = near[:, 0] + move, np.maximum(sums[2] - sums[1] * move, 0.0)
-        lam, a = lam0 + weight, a0 + weight / 2
-        m = (lam0 * mu0 + weight * mean) / lam
-        b = b0 + 0.5 * (spread + lam0 * weight * (mean - mu0) ** 2 / lam)
-        near, slope = m[:, None], (-0.5 * a / b)[:, None]
-        level = (0.5 * (_digamma(a) - np.log(b)) - 0.5 * np.log(2 * np.pi) - 0.5 / lam)[:, None]
-        share = (weight + 1) / (n + k)  # the global weights of the states
-        rows = trans_alpha * share[None, :] + kappa * np.eye(k) + pair
-        trans = np.exp(_digamma(rows) - _digamma(rows.sum(1, keepdims=True)))
-        begin = start_alpha * share + first
-        begin = np.exp(_digamma(begin) - _digamma(begin.sum()))
-        sums, bound = np.zeros((3, k)), 0.0
-        for at in blocks:
-            emit = y[at] - near
-            emit *= emit
-            emit *= slope
-            emit += level
-            top = emit.max(0)
-            emit -= top
-            np.exp(np.maximum(emit, -650.0, out=emit), out=like[:, at])  # never 0: a row far from a state may still be its own
-            bound += float(top.sum())
-        forward(ch, like, trans, begin, ends, f, scale)
-        backward(ch, like, trans, heads, f, scale, back)
-        for at in blocks:
-            resp = f[:, at] * back[:, at]
-            resp /= np.maximum(resp.sum(0), 1e-300)
-            resp.argmax(0, out=raw[at])
-            sums += weighed(at, resp)
-            like[:, at] *= back[:, at]
-            like[:, at] /= scale[at]
-            bound += float(np.log(scale[at]).sum())
-        pair, first = trans * pairs(ch, f, like), (f[:, begins] * back[:, begins]).sum(1)
-        if abs(bound - last) < 1e-6 * abs(bound):
-            break
-        last = bound
-    states = np.empty(n, np.int64)
-    states[ch.rows] = raw
-    return states
+    """O18 in memory: states of concatenated sequences (``starts`` are their first places)."""
+    s = hmm.Setting(k, laps, trans_alpha, start_alpha, kappa, sf)
+    near = y[hmm.drawn_places(len(y), s, seed)] - y.mean()
+    return hmm.fit_alone(hmm.Unit(y - y.mean(), starts), near, hmm.width_of(float(y.std()), s, len(y)), s)
+
+
+def linked(mean: np.ndarray, std: np.ndarray, limit: float = 0.5) -> np.ndarray:
+    """Each state's class by complete linkage on Bhattacharyya distances up to
+    ``limit``: the matrix of distances between classes has, for a union, the greater of its
+    parts' rows.  Classes are numbered by the least mean of their states."""
+    v = np.maximum(std, 1e-6) ** 2
+    both = v[:, None] + v
+    far = 0.25 * (mean[:, None] - mean) ** 2 / both + 0.5 * np.log(both / (2 * np.sqrt(v[:, None] * v)))
+    np.fill_diagonal(far, np.inf)
+    of = np.arange(len(mean))
+    while far.size and far.min() <= limit:
+        a, b = np.unravel_index(far.argmin(), far.shape)  # of equal distances the first pair
+        far[a] = far[:, a] = np.maximum(far[a], far[b])
+        far[b] = far[:, b] = np.inf
+        of[of == b] = a
+    least = np.full(len(mean), np.inf)
+    np.minimum.at(least, of, mean)
+    rank = np.empty(len(mean), np.int64)
+    rank[np.argsort(least, kind="stable")] = np.arange(len(mean))
+    return rank[of]
 
 
 def fuse_states(y: np.ndarray, states: np.ndarray, limit: float = 0.5) -> np.ndarray:
-    """Agglomerative complete linkage on the states' Bhattacharyya distances up
-    to ``limit``; new states are numbered by their least mean."""
-    ids = sorted(set(states.tolist()))
-    mean = {s: float(y[states == s].mean()) for s in ids}
-    std = {s: max(float(y[states == s].std()), 1e-6) for s in ids}
-
-    def distance(a: int, b: int) -> float:
-        v = std[a] ** 2 + std[b] ** 2
-        return 0.25 * (mean[a] - mean[b]) ** 2 / v + 0.5 * float(np.log(v / (2 * std[a] * std[b])))
-
-    groups = [[s] for s in ids]
-    while len(groups) > 1:
-        best, where = np.inf, (0, 0)
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                d = max(distance(a, b) for a in groups[i] for b in groups[j])
-                if d < best:
-                    best, where = d, (i, j)
-        if best > limit:
+    """O19 on arrays."""
+    ids, at = np.unique(states, return_inverse=True)
+    n = np.bincount(at)
+    mean = np.bincount(at, y) / n
+    return linked(mean, np.sqrt(np.bincount(at, (y - mean[at]) ** 2) / n), limit)[at]
+
+
+def smooth_runs(size: np.ndarray, value: np.ndarray, dwell: int, passes: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """O21 on run lengths: runs shorter than ``dwell`` take the value of the longer
+    neighbour (left if equal) as it was when the pass began; until nothing is short or 20 passes."""
+    for _ in range(passes if dwell > 1 else 0):
+        short = size < dwell
+        if len(size) <= 1 or not short.any():
             break
-        groups[where[0]] += groups.pop(where[1])
-    order = sorted(groups, key=lambda g: min(mean[s] for s in g))
-    new = {s: i for i, g in enumerate(order) for s in g}
-    return np.array([new[s] for s in states.tolist()], int)
+        left, right = np.concatenate([[-1], size[:-1]]), np.concatenate([size[1:], [-1]])
+        near = np.where(left >= right, np.roll(value, 1), np.roll(value, -1))
+        value = np.where(short, near, value)
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size, value = np.add.reduceat(size, first), value[first]
+    return size, value
 
 
-def smooth_states(states: np.ndarray, dwell: int, passes: int = 20) -> np.ndarray:
-    """Runs shorter than ``dwell`` take the value of the longer neighbour (left
-    if equal) as it was when the pass began; until nothing is short or 20 passes."""
+def smooth_states(states: np.ndarray, dwell: int) -> np.ndarray:
+    """O21 on states."""
     s = np.array(states)
-    if dwell <= 1 or not len(s):
+    if not len(s):
         return s
-    for _ in range(passes):
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1, [len(s)]])
-        size, value = np.diff(cut), s[cut[:-1]]
-        short = np.flatnonzero(size < dwell)
-        if len(size) == 1 or not len(short):
-            break
-        for r in short:
-            left, right = (size[r - 1] if r else -1), (size[r + 1] if r + 1 < len(size) else -1)
-            s[cut[r] : cut[r + 1]] = value[r - 1] if left >= right else value[r + 1]
-    return s
+    first = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1])
+    size, value = smooth_runs(np.diff(np.append(first, len(s))), s[first], dwell)
+    return np.repeat(value, size)
 
 
-def model_states(rows: DataFrame, keys: list[str], order: list[str], x: str, dwell: int = 3, fuse: float | None = 0.5, **model) -> DataFrame:
-    """Adds state_raw and state; rows carry block_id and seq_id.  Sequences
-    with one row are left out.  Grouped function per block."""
+def fused(moments: DataFrame, limit: float | None) -> DataFrame:
+    """(id, run, macros: each raw state's class) of ``hmm.moments``; a row a state goes in."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["state"].to_numpy(np.int64)
+        out = np.full(at.max() + 1, -1)
+        order = np.argsort(at)
+        m, sd = (pdf[c].to_numpy(float)[order] for c in ("m", "sd"))
+        out[at[order]] = at[order] if limit is None else linked(m, sd, limit)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "run": [pdf["run"].iloc[0]], "macros": [out]})
+
+    return moments.groupBy("id", "run").applyInPandas(run, "id string, run int, macros array<long>")
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], x: str, sequence: str | None = None) -> DataFrame:
+    """Settled rows with __id (their series), __pos, __head (begins a sequence) and __y."""
+    one = rows.withColumns({"__id": F.to_json(F.struct(*keys)), "__y": F.col(x).cast("double")})
+    at = hmm.numbered(one, "__id", [*([sequence] if sequence else []), *order], "__pos")
+    first = F.col("__pos") == 0
+    if sequence:
+        first = F.coalesce(F.col(sequence) != F.lag(sequence).over(Window.partitionBy("__id").orderBy("__pos")), F.lit(True))
+    return settled(at.withColumn("__head", first), "numbered")
+
+
+def fitted(at: DataFrame, settings: list[hmm.Setting], seeds: list[int], chunk: int = hmm.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """O18 over ``placed`` rows: ``hmm.fit``."""
+    return hmm.fit(at.select(F.col("__id").alias("id"), F.col("__pos").alias("pos"), F.col("__y").alias("y"), F.col("__head").alias("head")), settings, seeds, chunk)
+
+
+def smoothed_runs(states: DataFrame, by: list[str], order: str, state: str, dwell: int) -> DataFrame:
+    """O21 on runs: (by, i0, n, state) with i0 the first ``order`` of each run, smoothed and
+    put together.  Rows become runs in a window; only runs meet in a group."""
+    runs_ = with_runs(states, by, [order], [state], "__r").groupBy(*by, "__r").agg(F.min(order).alias("i0"), F.count(F.lit(1)).alias("n"), F.first(state).alias("state"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq_id", *order])
-        pdf = pdf[pdf.groupby("seq_id")["seq_id"].transform("size") >= 2]
-        if not len(pdf):
-            return pdf.assign(state_raw=pd.Series(dtype="int64"), state=pd.Series(dtype="int64"))
-        y, seq = pdf[x].to_numpy(float), pdf["seq_id"].to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(seq)) + 1])
-        raw = sticky_hmm(y, starts.tolist(), **model)
-        macro = fuse_states(y, raw, fuse) if fuse is not None else raw
-        parts = [smooth_states(p, dwell) for p in np.split(macro, starts[1:])]
-        return pdf.assign(state_raw=raw.astype("int64"), state=np.concatenate(parts).astype("int64"))
+        pdf = pdf.sort_values("i0")
+        size, value = smooth_runs(pdf["n"].to_numpy(np.int64), pdf["state"].to_numpy(np.int64), dwell)
+        begin = int(pdf["i0"].iloc[0]) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(size) for k in by}, "i0": begin, "n": size, "state": value})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", state_raw long, state long"
-    return dealt(rows, [*keys, "block_id"]).groupBy(*keys, "block_id").applyInPandas(run, schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in states.schema if f.name in by)
+    return runs_.drop("__r").groupBy(*by).applyInPandas(run, f"{kinds}, i0 long, n long, state long")
+
+
+def model_states(rows: DataFrame, keys: list[str], order: list[str], x: str, dwell: int = 3, fuse: float | None = 0.5, chunk: int = hmm.CHUNK, seed: int = 0, **model) -> DataFrame:
+    """Adds state_raw and state; rows carry block_id and seq_id.  Sequences
+    with one row are left out.  A block may span many tasks; fusing sees its states and
+    smoothing its runs only."""
+    by = [*keys, "block_id"]
+    long = rows.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(*by, "seq_id"))).filter("__m >= 2").drop("__m")
+    at = placed(long, by, order, x, "seq_id")
+    states, table = fitted(at, [hmm.Setting(**model)], [seed], chunk)
+    each = states.join(fused(hmm.moments(states, table), fuse), ["id", "run"]).select(F.col("id").alias("__i"), "macros", F.col("chunk").alias("__c"), F.posexplode("states").alias("__p", "__s"))
+    each = each.select("__i", (F.col("__c") * chunk + F.col("__p")).alias("__q"), F.col("__s").cast("long").alias("state_raw"), F.get("macros", F.col("__s").cast("int")).alias("macro"))
+    told = settled(at.join(each, (F.col("__id") == F.col("__i")) & (F.col("__pos") == F.col("__q"))).drop("__i", "__q", "__y", "__head"), "states")
+    found = smoothed_runs(told.select("__id", "seq_id", "__pos", "macro"), ["__id", "seq_id"], "__pos", "macro", dwell)
+    bands = found.select("__id", F.col("i0").alias("__lo"), (F.col("i0") + F.col("n") - 1).alias("__hi"), "state")
+    return band_join(told.drop("macro"), bands, ["__id"], "__pos", "__lo", "__hi", 4096).select(*rows.columns, "state_raw", "state")
 
 
 def smoothed(rows: DataFrame, keys: list[str], order: list[str], state: str, dwell: int) -> DataFrame:
@@ -274,8 +238,6 @@ def variance_quality(segs: DataFrame, keys: list[str]) -> DataFrame:
 
 def topology_near(points: DataFrame, events: DataFrame, keys: list[str], ts: str, ordinal: str, minutes: float = 15.0) -> DataFrame:
     """Change points with the first (by ordinal) event within some minutes."""
-    from .windows import band_join
-
     half = round(minutes * 6e7)
     bands = events.select(*keys, F.col(ordinal).alias("__o"), "categoria", (micros(ts) - half).alias("__lo"), (micros(ts) + half).alias("__hi"))
     own = points.select(*keys, micros(ts).alias("__t")).distinct()

@@ -677,4 +677,4 @@ def logistic_cv(spark, sf):
 @query()
 def parameter_sweep(spark, sf):
     configs = evaluation.one_at_a_time({"sf": [20.0, 5.0, 1.0], "kappa": [1000.0, 3000.0, 6000.0], "percentile": [0.0, 98.0]})
-    return evaluation.seed_stability(evaluation.sweep(_long(spark, sf), K, [c | {"k": 15, "laps": 300} for c in configs], [0, 1, 2], O, "rtt_ms"), K)
+    return evaluation.seed_stability(evaluation.sweep(_long(spark, sf), K, [c | {"k": 15, "laps": 300} for c in configs], [0, 1, 2], O, "rtt_ms", interval_s=1200.0), K)
