@@ -322,18 +322,56 @@ def test_resampling_and_plans():
     assert len(plan) == 200 and all(0 <= s < 50 or 70 <= s < 120 for s in src)
     jumps = np.flatnonzero(np.diff(src) != 1) + 1
     assert plan["seam"].to_numpy()[jumps].all() and plan.equals(synthesis.resample_plan([(0, 50), (70, 120)], 200, 10, 3))
-    steps = synthesis.step_plan(4.0, 8, 1)
-    assert len(steps) == 30 and (steps["i0"].to_numpy()[1:] > steps["i1"].to_numpy()[:-1]).all() and steps["hop"].between(5, 8).all()
-    starts = synthesis.simple_plan(100, 3, 20, 42)
-    assert all(b - a >= 25 for a, b in zip(starts, starts[1:])) and starts[-1] + 20 <= 100
-    with pytest.raises(ValueError):
-        synthesis.simple_plan(50, 3, 20, 1)
     x = np.sin(np.arange(400) / 9)
     assert synthesis.choose_length(x, [(0, 400)], [6, 48, 200], 5, 1) in (6, 48, 200)
     lo, hi = synthesis.densest_band(np.array([1.0, 5.0, 5.5, 6.0, 6.9, 9.0]))
     assert lo == pytest.approx(5.0) and hi == pytest.approx(6.99)
 
 
+def test_designs_are_apart_and_whole(spark):
+    """Steps and changes: a full factorial a series, never overlapping, the same on reruns; series without room have none."""
+    series = spark.createDataFrame([("a", 4.0, 8), ("b", 0.5, 3)], "k string, cycles_per_h double, path_length int")
+    got = sorted(tuple(r) for r in synthesis.step_design(series, ["k"], 1).collect())
+    assert got == sorted(tuple(r) for r in synthesis.step_design(series.repartition(3), ["k"], 1).collect())
+    for k, per_h, hops in (("a", 4, range(5, 9)), ("b", 0.5, range(2, 4))):
+        own = sorted(r[1:] for r in got if r[0] == k)
+        assert sorted((d, n) for _, _, d, _, _ in own for n in [0])[::6] == [(d, 0) for d in synthesis.DELTAS] and len(own) == 30
+        assert all(b[0] - a[1] - 1 >= round(12 * per_h) for a, b in zip(own, own[1:])) and all(r[3] in hops for r in own)
+        assert {r[4] for r in own if r[2] >= 5} == {"severa"} and own[0][0] >= 2 * round(12 * per_h)
+        assert sorted(r[1] - r[0] + 1 for r in own) == sorted([max(1, round(h * per_h)) for h in synthesis.HOURS] * 10)
+    cyc = spark.createDataFrame([("a", i, 10.0) for i in range(100)] + [("c", i, 10.0) for i in range(71)] + [("d", i, 10.0) for i in range(72)], "k string, t int, last_rtt double")
+    plan = synthesis.simple_design(cyc, ["k"], 3, 20, 42)
+    found = sorted(tuple(r) for r in plan.collect())
+    assert [(r[0], r[1]) for r in found] == [("a", 1), ("a", 2), ("a", 3), ("d", 1), ("d", 2), ("d", 3)] and all(b[2] - a[3] - 1 > 5 for a, b in zip(found, found[1:]) if a[0] == b[0]) and all(0 <= r[2] and r[3] < 100 for r in found)
+    truth = synthesis.simple_truth(synthesis.inject_simple(cyc, plan, ["k"], ["t"], 5.0), ["k"], "t", 5.0).collect()
+    assert len(truth) == 6 and all((r.duration_cycles, r.original_mean_rtt_ms, r.injected_mean_rtt_ms) == (20, 10.0, 15.0) for r in truth)
+
+
+def test_residual_mode_and_spikes(spark):
+    hops = spark.createDataFrame([("s", i, h, 10.0 + h, 4.0 if i == 1 else 0.0) for i in range(3) for h in range(1, 7)], "k string, idx long, hop int, rtt_ms double, excess double").withColumns({"base": F.lit(8.0), "level": F.lit(30.0), "len": F.lit(6)})
+    plan = spark.createDataFrame([("s", 2, 2, 5.0, 6, "severa")], "k string, i0 long, i1 long, delta_ms double, hop int, kind string")
+    got = {(r.idx, r.hop): r.rtt_ms for r in synthesis.inject_steps(hops, plan, ["k"], base="base", level="level", length="len", spike="excess").collect()}
+    assert got[0, 2] == 12.0 and got[0, 3] == 0.01 and got[2, 6] == pytest.approx(5.01) and got[2, 5] == 0.01
+    kept = {(r.idx, r.hop): r.rtt_ms for r in synthesis.inject_steps(hops, plan, ["k"], length="len", spike="excess").collect()}
+    assert kept[1, 6] == 12.0 and kept[0, 6] == 16.0 and kept[2, 6] == 21.0
+
+
+def test_matching_in_order_equals_the_plain_rule():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([float(r.randint(0, 30)) / 2 for _ in range(r.randint(0, 12))] for _ in "ab")
+        free, n = sorted(b), 0
+        for t in sorted(a):
+            near = min(free, key=lambda x: (abs(x - t), x), default=None)
+            if near is not None and abs(near - t) <= 2:
+                free.remove(near)
+                n += 1
+        assert evaluation.match_in_order(np.array(a), np.array(b), 2.0) == n
+    began = time.time()
+    assert evaluation.match_in_order(np.arange(200_000.0), np.arange(200_000.0) + 1.0, 2.0) == 200_000
+    assert time.time() - began < 10
+
+
 def test_injection_adds_only_where_it_should(spark):
     hops = spark.createDataFrame([("s", i, h, 10.0) for i in range(10) for h in (1, 2, 3)], "series_id string, idx long, hop int, rtt_ms double")
     plan = spark.createDataFrame([("s", 3, 5, 4.0, 2, "moderada")], "series_id string, i0 long, i1 long, delta_ms double, hop int, kind string")

@@ -39,14 +39,25 @@ def match_nearest(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[
 
 
 def match_in_order(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
-    """Each of a, in order, takes the nearest free one of b within the
-    tolerance; the number of matches."""
-    free, n = sorted(b.tolist()), 0
-    for t in sorted(a.tolist()):
-        near = min(free, key=lambda x: (abs(x - t), x), default=None)
-        if near is not None and abs(near - t) <= tolerance:
-            free.remove(near)
-            n += 1
+    """Each of a, in order, takes the nearest free one of b within the tolerance (the
+    earlier of two); the number of matches.  What is taken points on to its neighbour on
+    either side, so a look-up skips it."""
+    a, b = np.sort(np.asarray(a, float)), np.sort(np.asarray(b, float))
+    places, values, m, n = np.searchsorted(b, a).tolist(), b.tolist(), len(b), 0
+    down, up = list(range(m + 1)), list(range(m + 1))  # down[j]: free one before place j, plus 1; up[j]: free one from j on
+
+    def end(link: list[int], j: int) -> int:
+        while link[j] != j:
+            link[j] = link[link[j]]
+            j = link[j]
+        return j
+
+    for t, p in zip(a.tolist(), places):
+        i, j = end(down, p), end(up, p)
+        before, after = t - values[i - 1] if i else np.inf, values[j] - t if j < m else np.inf
+        if min(before, after) <= tolerance:
+            k = i - 1 if before <= after else j
+            down[k + 1], up[k], n = k, k + 1, n + 1
     return n
 
 

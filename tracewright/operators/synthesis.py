@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import robust_sigma
-from .windows import band_join, over
+from ..functions.stats import robust_sigma, upper_median_of
+from .windows import band_join, over, with_position
 
 #: Defaults of the design.
 DELTAS, HOURS, REPEATS = (2.0, 3.0, 5.0, 10.0, 20.0), (1.0, 6.0, 48.0), 2
@@ -152,23 +152,65 @@ def drawn(below, *what) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(w).cast("string") if isinstance(w, str) else w for w in what])), 1, 12), 16, 10).cast("long"), F.greatest(below, F.lit(1)))
 
 
-def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str, length: int, seed: int, level: str | None = None) -> DataFrame:
+def chosen_draws(src: DataFrame, keys: list[str], length: int, seed: int, spike: str, fail: str, tries: int = 30, tolerance: float = 0.25) -> DataFrame:
+    """(keys, attempt, deviation): the first of ``tries`` draws whose shares of spikes
+    and of failures are within ``tolerance`` of the series' own (relative; a share that is
+    nothing must stay under 0.001), else the nearest, the first of equals.
+    src: (keys, src_idx, and the two flags).
+
+    Draws are a dimension: a block's counts are differences of running counts, so a draw
+    costs a row a block, not a row a row."""
+    w = over(keys, ["src_idx"])
+    run = src.select(*keys, F.col("src_idx").alias("__at"), *[(F.sum(F.col(c).cast("long")).over(w)).alias(n) for c, n in ((spike, "__s"), (fail, "__f"))])
+    size = run.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("__s").alias("__ns"), F.max("__f").alias("__nf"))
+    blocks = size.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / length))))
+    blocks = blocks.withColumn("__first", _start(F.col("__n"), length, seed, keys))
+    rows = F.least(F.lit(length).cast("long"), F.col("__n") - F.col("__b") * length, F.col("__n") - F.col("__first"))
+    blocks = blocks.withColumns({"__k": rows, "__last": F.col("__first") + rows - 1, "__before": F.col("__first") - 1})
+    at = lambda at_, s, f: run.select(*keys, F.col("__at").alias(at_), F.col("__s").alias(s), F.col("__f").alias(f))
+    both = blocks.join(at("__last", "__s1", "__f1"), [*keys, "__last"]).join(at("__before", "__s0", "__f0"), [*keys, "__before"], "left")
+    zero = F.lit(0).cast("long")
+    told = both.groupBy(*keys, "attempt").agg(F.sum("__k").alias("__k"), *[F.sum(F.col(f"__{c}1") - F.coalesce(f"__{c}0", zero)).alias(f"__{c}") for c in "sf"], *[F.first(c).alias(c) for c in ("__n", "__ns", "__nf")])
+
+    def off(c: str) -> Column:
+        own, got = F.col(f"__n{c}") / F.col("__n"), F.col(f"__{c}") / F.col("__k")
+        return F.when(own > 1e-9, F.abs(got - own) / own).when(got < 1e-3, 0.0).otherwise(1.0)
+
+    told = told.withColumn("deviation", F.greatest(off("s"), off("f")))
+    best = F.min(F.struct((F.col("deviation") > tolerance).alias("o"), F.when(F.col("deviation") > tolerance, F.col("deviation")).otherwise(0.0).alias("d"), "attempt", "deviation")).alias("t")
+    return told.groupBy(*keys).agg(best).select(*keys, F.col("t.attempt").alias("attempt"), F.col("t.deviation").alias("deviation"))
+
+
+def _start(n: Column, length: int, seed: int, keys: list[str]) -> Column:
+    """First row of block __b in a draw (column attempt)."""
+    return drawn(n - length + 1, F.lit(seed), *keys, "__b", "attempt")
+
+
+def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str, length: int, seed: int, level: str | None = None, spike: str | None = None, fail: str | None = None, tries: int = 30) -> DataFrame:
     """O34 for all series at once: (keys, idx, src_idx, seam, dt_us, x, jump).
 
     A series of n rows is drawn again as blocks of ``length`` neighbouring rows with
     starts drawn with replacement; only the blocks' starts are planned, and exploded to
-    rows where they run.  Inside a block the real time step is kept; a block's first
-    step is drawn from the series' steps of half to one and a half of the upper median
-    (which stands in if there are none).  jump: step of the level at a seam (null elsewhere)."""
+    rows where they run.  With flags of spikes and failures the draw is the one that
+    ``chosen_draws`` names, else the first.  Inside a block the real time step is kept; a
+    block's first step is drawn from the series' steps of half to one and a half of the
+    upper median (which stands in if there are none).  jump: step of the level at a seam
+    (null elsewhere)."""
     w = over(keys, order)
     step = F.unix_micros(F.col(t).cast("timestamp")) - F.lag(F.unix_micros(F.col(t).cast("timestamp"))).over(w)
-    src = rows.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("src_idx"), F.col(x).alias("__x"), F.col(level or x).alias("__l"), step.alias("__dt"))
-    middle = src.filter("__dt is not null").groupBy(*keys).agg(F.sort_array(F.collect_list("__dt")).alias("s")).select(*keys, F.element_at("s", (F.size("s") / 2).cast("int") + 1).alias("__mid"))
+    flags = [F.col(c).alias(n) for c, n in ((spike, "__spike"), (fail, "__fail")) if c]
+    src = rows.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("src_idx"), F.col(x).alias("__x"), F.col(level or x).alias("__l"), step.alias("__dt"), *flags)
+    steps = src.filter("__dt is not null")
+    middle = upper_median_of(steps, keys, "__dt", "__mid")
     usual = src.join(middle, keys).filter((F.col("__dt") > 0.5 * F.col("__mid")) & (F.col("__dt") < 1.5 * F.col("__mid")))
     usual = usual.select(*keys, (F.row_number().over(over(keys, ["src_idx"])) - 1).cast("long").alias("__k"), F.col("__dt").alias("__drawn"))
     size = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys, "left").join(middle, keys, "left")
+    if len(flags) == 2:
+        size = size.join(chosen_draws(src, keys, length, seed, "__spike", "__fail", tries).drop("deviation"), keys)
+    else:
+        size = size.withColumn("attempt", F.lit(1))
     blocks = size.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / length))))
-    blocks = blocks.withColumns({"__start": drawn(F.col("__n") - length + 1, F.lit(seed), *keys, "__b"), "__k": drawn(F.coalesce("__m", F.lit(1)), F.lit(seed), *keys, "__b", F.lit("dt"))})
+    blocks = blocks.withColumns({"__start": _start(F.col("__n"), length, seed, keys), "__k": drawn(F.coalesce("__m", F.lit(1)), F.lit(seed), *keys, "__b", F.lit("dt"))})
     plan = blocks.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))).withColumns({"idx": F.col("__b") * length + F.col("__o"), "src_idx": F.col("__start") + F.col("__o")})
     plan = plan.filter((F.col("idx") < F.col("__n")) & (F.col("src_idx") < F.col("__n"))).join(usual, [*keys, "__k"], "left")
     out = plan.join(src, [*keys, "src_idx"]).withColumn("seam", (F.col("__o") == 0) & (F.col("idx") > 0))
@@ -177,50 +219,75 @@ def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str
     return out.select(*keys, "idx", "src_idx", "seam", dt.alias("dt_us"), F.col("__x").alias(x), jump.alias("jump"))
 
 
-def step_plan(cycles_per_h: float, path_length: int, seed: int, deltas=DELTAS, hours=HOURS, repeats: int = REPEATS, separation_h: float = 12.0, margin_h: float = 12.0, severe_ms: float = 5.0) -> pd.DataFrame:
-    """A shuffled factorial design of steps: (i0, i1, delta_ms, hop, kind)."""
-    rng = np.random.default_rng(seed)
-    design = [(d, h) for d in deltas for h in hours for _ in range(repeats)]
-    rng.shuffle(design)
-    at, rows = margin_h * cycles_per_h, []
-    for d, h in design:
-        i0 = round(at + separation_h * cycles_per_h * rng.uniform(1.0, 1.5))
-        n = max(1, round(h * cycles_per_h))
-        rows.append((i0, i0 + n - 1, d, int(rng.integers(max(2, path_length - 3), path_length + 1)), "severa" if d >= severe_ms else "moderada"))
-        at = i0 + n
-    return pd.DataFrame(rows, columns=["i0", "i1", "delta_ms", "hop", "kind"])
-
-
-def inject_steps(hops: DataFrame, plan: DataFrame, keys: list[str], idx: str = "idx") -> DataFrame:
+def step_design(series: DataFrame, keys: list[str], seed: int, deltas=DELTAS, hours=HOURS, repeats: int = REPEATS, separation_h: float = 12.0, margin_h: float = 12.0, severe_ms: float = 5.0) -> DataFrame:
+    """A design of steps for each series (keys, cycles_per_h, path_length):
+    (keys, i0, i1, delta_ms, hop, kind).
+
+    Every cell of the factorial is a row; its place in the series is the rank of a hash
+    draw.  A gap (the separation, up to half as long again) goes before each step, so a
+    step begins behind the gaps and lengths of those before it: a running sum."""
+    cells = F.array(*[F.struct(F.lit(float(d)).alias("delta_ms"), F.lit(float(h)).alias("h"), F.lit(r).alias("rep")) for d in deltas for h in hours for r in range(repeats)])
+    each = series.select(*keys, "cycles_per_h", "path_length", F.explode(cells).alias("cell")).select("*", "cell.*").drop("cell")
+    draw = lambda below, what: drawn(below, F.lit(seed), *keys, F.col("delta_ms").cast("int"), F.col("h").cast("int"), "rep", F.lit(what))
+    part, first = F.lit(1 << 20), F.greatest(F.lit(2), F.col("path_length") - 3)
+    each = each.withColumns({
+        "n": F.greatest(F.lit(1), F.round(F.col("h") * F.col("cycles_per_h")).cast("long")), "gap": F.round(separation_h * F.col("cycles_per_h") * (1 + draw(part, "gap") / (2.0 * (1 << 20)))).cast("long"),
+        "hop": (first + draw(F.col("path_length") - first + 1, "hop")).cast("int"), "place": draw(F.lit(1 << 40), "place"),
+    })
+    w = over(keys, ["place", "delta_ms", "h", "rep"])
+    i0 = F.round(margin_h * F.col("cycles_per_h")).cast("long") + F.sum(F.col("gap") + F.col("n")).over(w) - F.col("n")
+    kind = F.when(F.col("delta_ms") >= severe_ms, "severa").otherwise("moderada")
+    return each.select(*keys, i0.alias("i0"), (i0 + F.col("n") - 1).alias("i1"), "delta_ms", "hop", kind.alias("kind"))
+
+
+def inject_steps(hops: DataFrame, plan: DataFrame, keys: list[str], idx: str = "idx", base: str | None = None, level: str | None = None, length: str | None = None, spike: str | None = None, floor_ms: float = 0.01) -> DataFrame:
     """Adds each step's delta to hops at or beyond its hop; rows carry the truth
-    (delta_ms, regimen).  plan: keys, i0, i1, delta_ms, hop, kind; steps don't overlap."""
+    (delta_ms, regimen).  plan: keys, i0, i1, delta_ms, hop, kind; steps don't overlap.
+
+    In this order: with ``spike`` (a row's excess, 0 if none) the last hop (``length``)
+    loses it; with ``base`` and ``level`` (residual mode) hops from three before the last
+    on move from their level to the base, never under ``floor_ms``; then the step."""
     steps = plan.withColumnRenamed("hop", "__at")
     out = band_join(hops, steps.withColumns({"__lo": F.col("i0"), "__hi": F.col("i1")}), keys, idx, "__lo", "__hi", 256, "left").drop("__lo", "__hi", "i0", "i1")
+    value = F.col("rtt_ms")
+    if spike:
+        value = F.when(F.col("hop") == F.col(length), value - F.col(spike)).otherwise(value)
+    if base and level:
+        value = F.when(F.col("hop") >= F.greatest(F.lit(2), F.col(length) - 3), F.greatest(value + F.col(base) - F.col(level), F.lit(floor_ms))).otherwise(value)
     reached = F.col("hop") >= F.col("__at")
     return out.withColumns({
-        "rtt_ms": F.col("rtt_ms") + F.when(reached, F.col("delta_ms")).otherwise(0.0), "regimen": F.coalesce("kind", F.lit("base")), "delta_ms": F.coalesce("delta_ms", F.lit(0.0)),
+        "rtt_ms": value + F.when(reached, F.col("delta_ms")).otherwise(0.0), "regimen": F.coalesce("kind", F.lit("base")), "delta_ms": F.coalesce("delta_ms", F.lit(0.0)),
     }).drop("__at", "kind")
 
 
-def simple_plan(n: int, changes: int, duration: int, seed: int, buffer: int = 5) -> list[int]:
-    """Starts of changes that don't overlap and keep a buffer; fails if they can't fit."""
-    room = n - changes * duration - (changes - 1) * buffer
-    if room < 0:
-        raise ValueError("the changes don't fit")
-    at = np.sort(np.random.default_rng(seed).integers(0, room + 1, changes))
-    return [int(a) + i * (duration + buffer) for i, a in enumerate(at)]
+def simple_design(cyc: DataFrame, keys: list[str], changes: int, duration: int, seed: int, buffer: int = 5) -> DataFrame:
+    """(keys, evento_id, i0, i1): changes more than ``buffer`` cycles apart.  Sorted
+    hash draws over the room that is left, each moved behind the changes before it; a
+    series without that room has none."""
+    step = duration + buffer + 1
+    room = cyc.groupBy(*keys).agg((F.count(F.lit(1)) - (changes * step - buffer - 1)).alias("__room")).filter("__room >= 0")
+    each = room.withColumn("__e", F.explode(F.sequence(F.lit(1), F.lit(changes)))).withColumn("__d", drawn(F.col("__room") + 1, F.lit(seed), *keys, "__e", F.lit("change")))
+    n = F.row_number().over(over(keys, ["__d", "__e"]))
+    i0 = (F.col("__d") + (n - 1) * step).cast("long")
+    return each.select(*keys, n.alias("evento_id"), i0.alias("i0"), (i0 + duration - 1).alias("i1"))
 
 
-def inject_simple(cyc: DataFrame, keys: list[str], order: list[str], starts: list[int], duration: int, delta_ms: float) -> DataFrame:
+def inject_simple(cyc: DataFrame, plan: DataFrame, keys: list[str], order: list[str], delta_ms: float) -> DataFrame:
     """Adds delta_ms to the last hop's value within the changes; evento_id names them."""
-    i = F.row_number().over(over(keys, order)) - 1
-    event = F.lit(None).cast("int")
-    for n, s in enumerate(starts, 1):
-        event = F.when(i.between(s, s + duration - 1), n).otherwise(event)
-    rows = cyc.withColumn("evento_id", event)
+    placed = with_position(cyc, keys, order, "__i")
+    rows = band_join(placed, plan, keys, "__i", "i0", "i1", 256, "left").drop("__i", "i0", "i1")
     return rows.withColumn("last_rtt", F.when(F.col("evento_id").isNotNull(), F.col("last_rtt") + delta_ms).otherwise(F.col("last_rtt")))
 
 
+def simple_truth(injected: DataFrame, keys: list[str], ts: str, delta_ms: float) -> DataFrame:
+    """The truth of ``inject_simple``: a row for each change."""
+    mean = F.avg(F.col("last_rtt") - delta_ms)
+    return injected.filter("evento_id is not null").groupBy(*keys, "evento_id").agg(
+        F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("duration_cycles"), F.round(mean, 3).alias("original_mean_rtt_ms"),
+        F.round(mean + delta_ms, 3).alias("injected_mean_rtt_ms"), F.lit(float(delta_ms)).alias("magnitude_injected_ms"),
+    )
+
+
 def realism(real: DataFrame, synthetic: DataFrame, keys: list[str], real_order: list[str], order: list[str], x: str, tolerances: dict[str, float], spike_ms: float = 3.0) -> DataFrame:
     """(keys, metrica, pool_real, sintetico, estado): quantiles, mean, spread, robust
     sigma, correlation of neighbours and share of spikes (over the median by more than

@@ -495,7 +495,7 @@ _RESAMPLED = "WITH " + _LONG + """, sr AS (SELECT series_id, rtt_ms, row_number(
   md AS (SELECT series_id, (list(dt ORDER BY dt) FILTER (dt IS NOT NULL))[(count(dt) // 2) + 1] AS mid FROM sr GROUP BY 1),
   us AS (SELECT series_id, dt, row_number() OVER (PARTITION BY series_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS m FROM sr JOIN md USING (series_id) WHERE 2 * dt > mid AND 2 * dt < 3 * mid),
   out_ AS (SELECT series_id, i AS idx, n, i // 24 AS b, i % 24 AS o FROM sr),
-  pl AS (SELECT *, """ + _DRAW("'1|' || series_id || '|' || b") + " % greatest(n - 23, 1) + o AS src_idx, " + _DRAW("'1|' || series_id || '|' || b || '|dt'") + """ AS dr FROM out_),
+  pl AS (SELECT *, """ + _DRAW("'1|' || series_id || '|' || b || '|1'") + " % greatest(n - 23, 1) + o AS src_idx, " + _DRAW("'1|' || series_id || '|' || b || '|dt'") + """ AS dr FROM out_),
   rs AS (SELECT pl.series_id, pl.idx, pl.src_idx, o = 0 AND pl.idx > 0 AS seam, CASE WHEN o > 0 THEN sr.dt ELSE coalesce((SELECT us.dt FROM us WHERE us.series_id = pl.series_id AND us.k = dr % us.m), mid) END AS dt_us, sr.rtt_ms
     FROM pl JOIN sr ON sr.series_id = pl.series_id AND sr.i = pl.src_idx JOIN md ON md.series_id = pl.series_id)"""
 
@@ -509,25 +509,71 @@ def bootstrap_series(spark, sf):
     return _resampled(spark, sf).select(*K, "idx", "src_idx", "seam", "dt_us", *r6("rtt_ms", "jump"))
 
 
-_STEPS = synthesis.step_plan(0.5, 8, 1, hours=(6.0, 24.0))
+#: Each series' 30 draws of blocks of 24, with their shares of high values and of failures.
+_DRAWS = "WITH " + _LONG + """, fl AS (SELECT series_id, rtt_ms > 39.2 AS s, event_id % 7 = 0 AS f, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM sl),
+  tr AS (SELECT * FROM fl CROSS JOIN (SELECT unnest(range(1, 31)) AS attempt)), pk AS (SELECT series_id, attempt, n, i % 24 + """ + _DRAW("'2|' || series_id || '|' || (i // 24) || '|' || attempt") + """ % greatest(n - 23, 1) AS src FROM tr),
+  rt AS (SELECT pk.series_id, attempt, avg(CASE WHEN s THEN 1.0 ELSE 0 END) AS s, avg(CASE WHEN f THEN 1.0 ELSE 0 END) AS f FROM pk JOIN fl ON fl.series_id = pk.series_id AND fl.i = pk.src GROUP BY 1, 2),
+  ow AS (SELECT series_id, avg(CASE WHEN s THEN 1.0 ELSE 0 END) AS s0, avg(CASE WHEN f THEN 1.0 ELSE 0 END) AS f0 FROM fl GROUP BY 1),
+  dv AS (SELECT series_id, attempt, greatest(CASE WHEN s0 > 1e-9 THEN abs(s - s0) / s0 WHEN s < 0.001 THEN 0.0 ELSE 1.0 END, CASE WHEN f0 > 1e-9 THEN abs(f - f0) / f0 WHEN f < 0.001 THEN 0.0 ELSE 1.0 END) AS d FROM rt JOIN ow USING (series_id))"""
 
 
-@query("WITH " + _LONG + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({r.i0}, {r.i1}, {r.delta_ms}::DOUBLE, {r.hop}, '{r.kind}')" for r in _STEPS.itertuples()) + """) AS t(i0, i1, delta, hop, kind)), ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS idx FROM sl)
-  SELECT series_id, idx, round(rtt_ms + CASE WHEN hop <= 8 THEN delta ELSE 0 END, 6) AS rtt_ms, coalesce(delta, 0.0) AS delta_ms, coalesce(kind, 'base') AS regimen FROM ix LEFT JOIN st ON idx BETWEEN i0 AND i1""".replace("CASE WHEN hop <= 8 THEN delta ELSE 0 END", "coalesce(CASE WHEN hop <= 8 THEN delta END, 0)"))
+def _flagged(spark, sf):
+    rows = _long(spark, sf).withColumns({"spike": F.col("rtt_ms") > 39.2, "fail": F.col("event_id") % 7 == 0})
+    return rows.withColumn("src_idx", (F.row_number().over(windows.over(K, O)) - 1).cast("long"))
+
+
+@query(_DRAWS + " SELECT series_id, attempt, round(d, 6) AS deviation FROM dv QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY d > 0.25, CASE WHEN d > 0.25 THEN d ELSE 0 END, attempt) = 1")
+def bootstrap_draws(spark, sf):
+    return synthesis.chosen_draws(_flagged(spark, sf), K, 24, 2, "spike", "fail").withColumn("deviation", F.round("deviation", 6))
+
+
+@query(_DRAWS + " SELECT series_id, attempt, round(d, 6) AS deviation FROM dv QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY d > 0.01, CASE WHEN d > 0.01 THEN d ELSE 0 END, attempt) = 1")
+def bootstrap_draws_strict(spark, sf):
+    return synthesis.chosen_draws(_flagged(spark, sf), K, 24, 2, "spike", "fail", 30, 0.01).withColumn("deviation", F.round("deviation", 6))
+
+
+_CELL = "'1|' || series_id || '|' || CAST(d AS INT) || '|' || CAST(h AS INT) || '|' || r || '|"
+_DESIGN = "WITH " + _LONG + """, ce AS (SELECT DISTINCT series_id, d, h, r FROM sl CROSS JOIN (SELECT unnest([2.0, 3.0, 5.0, 10.0, 20.0]::DOUBLE[]) AS d) CROSS JOIN (SELECT unnest([6.0, 24.0]::DOUBLE[]) AS h) CROSS JOIN (SELECT unnest([0, 1]) AS r)),
+  dr AS (SELECT *, greatest(1, CAST(round(h * 0.5) AS BIGINT)) AS n, CAST(round(12.0 * 0.5 * (1 + """ + _DRAW(_CELL + "gap'") + " % 1048576 / 2097152.0::DOUBLE)) AS BIGINT) AS gap, CAST(5 + " + _DRAW(_CELL + "hop'") + " % 4 AS INT) AS hop, " + _DRAW(_CELL + "place'") + """ % 1099511627776 AS place FROM ce),
+  st AS (SELECT series_id, d AS delta, hop, CASE WHEN d >= 5 THEN 'severa' ELSE 'moderada' END AS kind, n, CAST(6 + sum(gap + n) OVER (PARTITION BY series_id ORDER BY place, d, h, r) - n AS BIGINT) AS i0 FROM dr)"""
+
+
+def _design(spark, sf):
+    one = _long(spark, sf).select(*K).distinct().withColumns({"cycles_per_h": F.lit(0.5), "path_length": F.lit(8)})
+    return synthesis.step_design(one, K, 1, hours=(6.0, 24.0))
+
+
+@query(_DESIGN + " SELECT series_id, i0, i0 + n - 1 AS i1, delta AS delta_ms, hop, kind FROM st")
+def step_design(spark, sf):
+    return _design(spark, sf)
+
+
+@query(_DESIGN + """, ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS idx FROM sl)
+  SELECT ix.series_id, idx, round(rtt_ms + coalesce(CASE WHEN hop <= 8 THEN delta END, 0), 6) AS rtt_ms, coalesce(delta, 0.0) AS delta_ms, coalesce(kind, 'base') AS regimen FROM ix LEFT JOIN st ON st.series_id = ix.series_id AND idx BETWEEN i0 AND i0 + n - 1""")
 def injected_steps(spark, sf):
     rows = windows.with_position(_long(spark, sf), K, O, "idx").withColumn("hop", F.lit(8))
-    plan = spark.createDataFrame(_STEPS).crossJoin(rows.select(*K).distinct())  # a few dozen steps for each series
-    return synthesis.inject_steps(rows, plan, K).select(*K, "idx", *r6("rtt_ms"), "delta_ms", "regimen")
+    return synthesis.inject_steps(rows, _design(spark, sf), K).select(*K, "idx", *r6("rtt_ms"), "delta_ms", "regimen")
 
 
-_STARTS = synthesis.simple_plan(300, 3, 20, 42)
+_CHANGES = "WITH " + _LONG + """, ro AS (SELECT series_id, count(*) - 72 AS room FROM sl GROUP BY 1 HAVING count(*) >= 72), dc AS (SELECT series_id, e, """ + _DRAW("'42|' || series_id || '|' || e || '|change'") + """ % (room + 1) AS d FROM ro CROSS JOIN (SELECT unnest([1, 2, 3]) AS e)),
+  ch AS (SELECT series_id, CAST(row_number() OVER o AS INT) AS e, d + 26 * (row_number() OVER o - 1) AS a FROM dc WINDOW o AS (PARTITION BY series_id ORDER BY d, e)), ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS i FROM sl),
+  ij AS (SELECT ix.series_id, event_id, cycle_ts, rtt_ms, e FROM ix LEFT JOIN ch ON ch.series_id = ix.series_id AND i >= a AND i < a + 20)"""
 
 
-@query("WITH " + _LONG + ", st AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {a})" for n, a in enumerate(_STARTS, 1)) + """) AS t(e, a)), ix AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY cycle_ts, event_id) - 1 AS i FROM sl)
-  SELECT series_id, event_id, round(CASE WHEN e IS NULL THEN rtt_ms ELSE rtt_ms + 5.0 END, 6) AS last_rtt, e AS evento_id FROM ix LEFT JOIN st ON i >= a AND i < a + 20""")
-def simple_injection(spark, sf):
+def _changed(spark, sf):
     rows = _long(spark, sf).withColumn("last_rtt", F.col("rtt_ms"))
-    return synthesis.inject_simple(rows, K, O, _STARTS, 20, 5.0).select(*K, "event_id", *r6("last_rtt"), "evento_id")
+    return synthesis.inject_simple(rows, synthesis.simple_design(rows, K, 3, 20, 42), K, O, 5.0)
+
+
+@query(_CHANGES + " SELECT series_id, event_id, round(CASE WHEN e IS NULL THEN rtt_ms ELSE rtt_ms + 5.0 END, 6) AS last_rtt, e AS evento_id FROM ij")
+def simple_injection(spark, sf):
+    return _changed(spark, sf).select(*K, "event_id", *r6("last_rtt"), "evento_id")
+
+
+@query(_CHANGES + " SELECT series_id, e AS evento_id, min(cycle_ts) AS start_ts, max(cycle_ts) AS end_ts, count(*) AS duration_cycles, round(avg(rtt_ms), 2) AS original_mean_rtt_ms, round(avg(rtt_ms) + 5.0, 2) AS injected_mean_rtt_ms, 5.0::DOUBLE AS magnitude_injected_ms FROM ij WHERE e IS NOT NULL GROUP BY 1, 2")
+def synthetic_truth(spark, sf):
+    out = synthesis.simple_truth(_changed(spark, sf), K, "cycle_ts", 5.0)
+    return out.withColumns({c: F.round(c, 2) for c in ("original_mean_rtt_ms", "injected_mean_rtt_ms")})
 
 
 _REALISM = lambda t, order, name: f"""s_{name} AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS s, median(x) AS q2, {", ".join(f"quantile_cont(x, {q}) AS p{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))} FROM (SELECT series_id, rtt_ms AS x FROM {t}) GROUP BY 1),
