@@ -619,15 +619,21 @@ def test_wrapper_inference():
 
 def test_main_text_follows_the_wrapper(spark):
     """Template texts go without any mark of tag or class; the region is an element of
-    the wrapper, which a path of tags can't tell from its neighbours."""
+    the wrapper, which a path of tags can't tell from its neighbours.  What only repeats
+    inside articles stays (an earlier form of this test asked for its loss)."""
     notice = "We use small files to remember you on this site and elsewhere, read on."
     inside = "<html><body><article><h1>Title %d</h1><p>" + notice + "</p><p>Text number %d of this page.</p></article></body></html>"
     bare = "<html><body><div><p>" + notice + "</p><p>%d of 9</p></div><div><p>Running text of page %d, long enough.</p><p>And more of it, number %d, to the end.</p></div></body></html>"
     rows = [(i, f"http://a.example/{i}", inside % (i, i)) for i in range(4)]
     rows += [(10 + i, f"http://b.example/{i}", bare % (i, i, i)) for i in range(4)]
+    rows += [(30 + i, f"http://d.example/{i}", (inside % (i, i)).replace("<article>", "<div><p>" + notice + "</p></div><article>")) for i in range(4)]
+    parts = "<html><body><article><h2>Introduction</h2><p>First of %d.</p><h2>Summary</h2><p>Prices include tax.</p></article></body></html>"
+    rows += [(40 + i, f"http://e.example/{i}", parts % i) for i in range(6)]
     rows += [(20 + i, "http://c.example/same", inside % (5, 5)) for i in range(4)]  # copies of one page show nothing
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == f"Title {i} Text number {i} of this page." for i in range(4))
+    assert all(got[i] == f"Title {i} {notice} Text number {i} of this page." for i in range(4))
+    assert all(got[30 + i] == f"Title {i} Text number {i} of this page." for i in range(4))
+    assert all(got[40 + i] == f"Introduction First of {i}. Summary Prices include tax." for i in range(6))
     assert all(got[10 + i] == f"Running text of page {i}, long enough. And more of it, number {i}, to the end." for i in range(4))
     assert all(got[20 + i] == f"Title 5 {notice} Text number 5 of this page." for i in range(4))
 
