@@ -8,8 +8,8 @@ after the other: what both have stays, what only one has becomes an optional
 group, groups that repeat in either become repeated groups, and texts become
 slots, unless they belong to the template: a text that stands under the same
 path on at least three different pages of the host, and on half of those with
-that path, is a constant of the wrapper; inside article or main elements only if
-it also stands so outside of them.  The result is the host's wrapper, a
+that path, is a constant of the wrapper; inside article or main elements only
+pages count where it also stands outside of them.  The result is the host's wrapper, a
 regular expression without alternatives.
 
 Each page is aligned with its host's wrapper, so its elements and texts have
@@ -405,25 +405,26 @@ def extract(slots, region: int) -> str:
 
 def constants(parsed: DataFrame) -> DataFrame:
     """(host, fixed): codes of the texts that are constants; hosts without any are left out.
-    A text inside article or main is one only if it also stands outside of them on as many
-    pages: what merely repeats within articles is theirs."""
+    A text inside article or main counts only on pages where it also stands outside of
+    them: what merely repeats within articles is theirs."""
 
     def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for host, source in zip(b["host"], b["page"]):
-                found = {(code_of(p, ""), code_of(p, t), code_of((), t), any(x in MAIN for x in p)) for _, _, p, t, _ in Read(source).texts}
-                rows += [(host, code_of((), source), *x) for x in sorted(found | {(p, p, p, i) for p, _, _, i in found})]
-            yield pd.DataFrame(rows, columns=["host", "copy", "p", "t", "x", "inside"]).astype({"copy": "int64", "p": "int64", "t": "int64", "x": "int64", "inside": bool})
+                texts = [(p, t, any(x in MAIN for x in p)) for _, _, p, t, _ in Read(source).texts]
+                outside = {t for _, t, inside in texts if not inside}
+                found = {(code_of(p, ""), code_of(p, t)) for p, t, _ in texts if t in outside}
+                paths = {code_of(p, "") for p in {p for p, _, _ in texts}}
+                rows += [(host, code_of((), source), p, t) for p, t in sorted(found | {(p, p) for p in paths})]
+            yield pd.DataFrame(rows, columns=["host", "copy", "p", "t"]).astype({"copy": "int64", "p": "int64", "t": "int64"})
 
     # Copies of a page count once.
-    pages = parsed.select("host", "page").mapInPandas(codes, "host string, copy long, p long, t long, x long, inside boolean")
-    counts = pages.groupBy("host", "p", "t", "x", "inside").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    pages = parsed.select("host", "page").mapInPandas(codes, "host string, copy long, p long, t long")
+    counts = pages.groupBy("host", "p", "t").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     counts = settle(counts, "texts")
     of_path = counts.filter("p = t").select("host", "p", F.col("n").alias("all"))
     often = counts.filter("p <> t").join(of_path, ["host", "p"]).filter(F.col("n") >= LEAST_SHARE * F.col("all"))
-    outside = often.filter("NOT inside").select("host", "x").distinct()
-    often = often.filter("NOT inside").select("host", "t").union(often.filter("inside").join(outside, ["host", "x"], "left_semi").select("host", "t"))
     return often.groupBy("host").agg(F.sort_array(F.collect_set("t")).alias("fixed"))  # at most 1 / LEAST_SHARE for each path and text of a page
 
 
