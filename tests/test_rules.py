@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr, stats
-from tracewright.operators import blocks, chains, evaluation, graph, hmm, paths, reports, segments, synthesis, windows
+from tracewright.operators import blocks, chains, evaluation, graph, hmm, logistic, paths, reports, segments, synthesis, windows
 from tracewright.plans import flow
 from tracewright.sources import files, readers, sinks
 from tracewright.streaming import flows
@@ -397,16 +397,68 @@ def test_matching_is_one_to_one():
     assert evaluation.match_in_order(np.array([1.0, 2.0]), np.array([1.6]), 1.0) == 1
 
 
-def test_logistic_separates():
+def whole_range(at):
+    """One model over all rows of each series."""
+    n, zero = F.count(F.lit(1)), F.lit(0).cast("long")
+    return at.groupBy("__id").agg(n.alias("__n")).select("__id", "__n", F.lit("all").alias("model"), zero.alias("learn_from"), F.col("__n").alias("learn_to"), zero.alias("gap_from"), zero.alias("gap_to"), zero.alias("test_from"), F.col("__n").alias("test_to"))
+
+
+def test_logistic_separates(spark):
     g = np.random.default_rng(1)
     x = g.normal(size=(400, 3))
     y = (x @ [2.0, -1.0, 0.0] + 0.5 + g.logistic(size=400) > 0).astype(float)
-    w, mu, sd = evaluation.logistic_fit(x, y)
+    rows = spark.createDataFrame([("s", i, *map(float, x[i]), float(y[i])) for i in range(400)], "series_id string, i long, a double, b double, c double, y double")
+    at = logistic.placed(rows, ["series_id"], ["i"], ["a", "b", "c"], "y")
+    m = logistic.fit(at, whole_range(at), 3).first()
+    w, mu, sd = np.array(m.weights), np.array(m.mean), np.array(m.spread)
+    assert np.allclose(mu, x.mean(0)) and np.allclose(sd, x.std(0) + 1e-9) and m.learned == 400 and m.share == pytest.approx(y.mean())
     z = np.column_stack([np.ones(400), (x - mu) / sd])
     gradient = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.r_[0.0, w[1:]]
     assert np.abs(gradient).max() < 1e-3
 
 
+def fitted_beside(x, y):
+    """Brute force: the penalised optimum by many small steps on dense arrays."""
+    mu, sd = x.mean(0), x.std(0) + 1e-9
+    z, w = np.column_stack([np.ones(len(x)), (x - mu) / sd]), np.zeros(x.shape[1] + 1)
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += 2.0 / len(x) * (z.T @ (y - p) - np.r_[0.0, w[1:]])
+    return lambda q: 1 / (1 + np.exp(-np.column_stack([np.ones(len(q)), (q - mu) / sd]) @ w))
+
+
+@pytest.mark.parametrize("sent, part, alone", [(1 << 20, 1 << 17, 1 << 17), (1 << 20, 16, 0), (0, 16, 20)])
+def test_folds_learn_from_the_rest(spark, monkeypatch, sent, part, alone):
+    """Every fold equals a model fitted beside, in one group or by jobs, whether models are
+    sent or meet rows by a shuffle of parts; nulls, one class, one row, no row and clashing names have their results."""
+    monkeypatch.setattr(logistic, "SENT", sent), monkeypatch.setattr(logistic, "PART", part), monkeypatch.setattr(logistic, "ALONE", alone)
+    g = np.random.default_rng(4)
+    n, purge = 103, 3
+    x = g.normal(size=(n, 2))
+    y = (x[:, 0] - x[:, 1] + g.normal(size=n) > 0).astype(float)
+    rows = [("s", i, float(x[i, 0]), float(x[i, 1]), int(y[i]), "m") for i in range(n)]
+    rows[20], rows[50] = ("s", 20, None, 1.0, 1, "m"), ("s", 50, float("nan"), 1.0, 0, "m")
+    rows[70] = (*rows[70][:4], None, "m")
+    rows += [("one", i, float(i), 0.0, 1, "m") for i in range(10)] + [("few", 0, 1.0, 1.0, 1, "m")] + [(None, i, float(i % 3), 0.0, i % 2, "m") for i in range(12)]
+    schema = "series_id string, i long, a double, b double, y int, mean string"
+    df = spark.createDataFrame(rows, schema)
+    out = evaluation.blocked_cv(df, ["series_id"], ["i"], ["a", "b"], "y", 5, purge)
+    assert out.columns == [*df.columns, "probability"]
+    got = out.toPandas()
+    assert len(got) == len(rows) and (got["mean"] == "m").all()
+    s = got[got["series_id"] == "s"].sort_values("i")["probability"].to_numpy(float)
+    cuts = np.linspace(0, n, 6).astype(int)
+    for a, b in zip(cuts, cuts[1:]):
+        learn = np.ones(n, bool)
+        learn[[20, 50, 70]], learn[max(0, a - purge) : b + purge] = False, False
+        ask = [i for i in range(a, b) if i not in (20, 50)]
+        assert np.allclose(s[ask], fitted_beside(x[learn], y[learn])(x[ask]), atol=1e-5)
+    assert np.isnan(s[[20, 50]]).all()
+    assert (got[got["series_id"] == "one"]["probability"] == 1.0).all() and (got[got["series_id"] == "few"]["probability"] == 0.0).all()
+    assert got[got["series_id"].isna()]["probability"].notna().sum() == 12
+    assert evaluation.blocked_cv(df.limit(0), ["series_id"], ["i"], ["a", "b"], "y", 5, purge).count() == 0
+
+
 def test_cycles_reachability_and_exclusion(spark):
     rows = []
     for i, (ip, asn) in enumerate([("d", "9")] * 6 + [("m", "5")] + [("d", "9")] * 5):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import is_ambiguous, micros, segment_class
 from ..functions.stats import auroc, average_precision, precision_recall
 from ..scratch import settled
+from . import logistic
 from .windows import band_join, over, with_runs
 
 
@@ -234,50 +235,14 @@ def episode_scores(rows: DataFrame, keys: list[str], order: list[str], truth: st
     return out.withColumn("alarms_per_day", F.when(F.col("__days") > 0, F.col("false_alarms") / F.col("__days"))).drop("__days")
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, means, spreads) of L2 logistic regression by reweighted least
-    squares on standardised columns, the constant not penalised."""
-    mu, sd = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mu) / sd])
-    r = np.diag([0.0] + [penalty] * x.shape[1])
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + r + 1e-9 * np.eye(len(w)), z.T @ (y - p) - r @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w, mu, sd
-
-
-def logistic_probability(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
-    w, mu, sd = model
-    return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), (x - mu) / sd]) @ w, -30, 30)))
-
-
 def blocked_cv(rows: DataFrame, keys: list[str], order: list[str], features: list[str], label: str, folds: int = 5, purge: int = 0) -> DataFrame:
-    """Probabilities by contiguous folds, rows within ``purge`` of a fold left
-    out of its training; one class in training gives that class's share.
-    Grouped function per series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        x, y, n = pdf[features].to_numpy(float), pdf[label].to_numpy(float), len(pdf)
-        cuts = np.linspace(0, n, folds + 1).astype(int)
-        p = np.full(n, np.nan)
-        for a, b in zip(cuts, cuts[1:]):
-            train = np.ones(n, bool)
-            train[max(0, a - purge) : b + purge] = False
-            if a == b:
-                continue
-            if not train.any() or len(set(y[train])) < 2:
-                p[a:b] = y[train].mean() if train.any() else 0.0
-            else:
-                p[a:b] = logistic_probability(logistic_fit(x[train], y[train]), x[a:b])
-        return pdf.assign(probability=p)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", probability double"
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    """Adds probability by contiguous folds, rows within ``purge`` of a fold left
+    out of its training; one class in training gives that class's share, no row gives 0.
+    The models of all folds of all series are fitted together (``logistic``)."""
+    at = logistic.placed(rows, keys, order, features, label)
+    series = at.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).withColumns({"__from": F.lit(0).cast("long"), "__rows": F.col("__n")})
+    models = logistic.fit(at, logistic.folds(series, folds, purge), len(features))
+    return logistic.asked(at, models, len(features)).select(*[c for c in rows.columns if c != "probability"], "probability")
 
 
 def gradient_boosting(train: DataFrame, test: DataFrame, features: list[str], label: str, seed: int = 1) -> DataFrame:
@@ -311,27 +276,23 @@ def scenarios(real: DataFrame, synthetic: DataFrame, keys: list[str], order: lis
     the real rows of part test.  TSTS is the blocked validation within the synthetic
     rows.  A scenario whose training rows hold one class only has no rows.
 
-    Grouped function per series: a model takes all rows of its training side."""
-    cols = [*keys, *order, *features, label]
-    both = real.select(*cols, "part").unionByName(synthetic.select(*cols, F.lit("synthetic").alias("part")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        side = {k: pdf[pdf["part"] == k] for k in ("train", "test", "synthetic")}
-        test, out = side["test"], []
-        for name, learn in (("TSTR", side["synthetic"]), ("TRTR", side["train"])):
-            y = learn[label].to_numpy(float)
-            if len(test) and len(set(y)) == 2:
-                model = logistic_fit(learn[features].to_numpy(float), y)
-                out.append(test.assign(scenario=name, probability=logistic_probability(model, test[features].to_numpy(float))))
-        out.append(test.assign(scenario="regla", probability=(test[median] >= threshold).astype(float)))
-        return pd.concat(out)[[*keys, "scenario", *order, label, "probability"]]
-
-    kind = {f.name: f.dataType.simpleString() for f in both.schema}
-    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in keys], "scenario string", *[f"`{k}` {kind[k]}" for k in order], f"`{label}` {kind[label]}", "probability double"])
-    mixed = synthetic.groupBy(*keys).agg(F.count_distinct(label).alias("__c")).filter("__c = 2")
-    own = blocked_cv(synthetic.select(*cols).join(mixed, keys, "left_semi"), keys, order, features, label, folds, purge)
-    return both.groupBy(*keys).applyInPandas(run, schema).unionByName(own.select(*keys, F.lit("TSTS").alias("scenario"), *order, label, "probability"))
+    A series is numbered part by part, so a part is a range of places, and all models of
+    all scenarios and series are fitted together (``logistic``)."""
+    cols, width = list(dict.fromkeys([*keys, *order, *features, label, median])), len(features)
+    both = real.select(*cols, "part").filter("part in ('train', 'test')").unionByName(synthetic.select(*cols, F.lit("synthetic").alias("part")))
+    at = logistic.placed(both, keys, ["part", *order], features, label)
+    mine = lambda name: F.col("part") == name
+    ends = [e for k in ("train", "test", "synthetic") for e in (F.coalesce(F.min(F.when(mine(k), F.col("__pos"))), F.lit(0)).alias(f"{k}_from"), F.coalesce(F.max(F.when(mine(k), F.col("__pos"))) + 1, F.lit(0)).alias(f"{k}_to"))]
+    own = F.when(mine("synthetic"), F.col("__y"))
+    series = settled(at.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), *ends, (F.min(own) < F.max(own)).alias("__both")), "series")
+    side = lambda name, k: series.select("__id", "__n", F.lit(name).alias("model"), F.col(f"{k}_from").alias("learn_from"), F.col(f"{k}_to").alias("learn_to"), F.lit(0).cast("long").alias("gap_from"), F.lit(0).cast("long").alias("gap_to"), F.col("test_from"), F.col("test_to"))
+    parts = logistic.folds(series.filter("__both").withColumns({"__from": F.col("synthetic_from"), "__rows": F.col("synthetic_to") - F.col("synthetic_from")}), folds, purge)
+    models = logistic.fit(at, side("TSTR", "synthetic").unionByName(side("TRTR", "train")).unionByName(parts), width)
+    scored = logistic.asked(at, models.filter(F.col("model").startswith("fold") | ~F.col("one_class")), width)
+    scored = scored.withColumn("scenario", F.when(F.col("__model").startswith("fold"), "TSTS").otherwise(F.col("__model")))
+    rule = at.filter(mine("test")).withColumns({"scenario": F.lit("regla"), "probability": F.coalesce(F.col(median) >= threshold, F.lit(False)).cast("double")})
+    out = [*keys, "scenario", *order, label, "probability"]
+    return scored.select(*out).unionByName(rule.select(*out))
 
 
 def scenario_scores(scored: DataFrame, keys: list[str], order: list[str], label: str, limit: float = 0.5, min_run: int = 5, cover: float = 0.5) -> DataFrame:

@@ -720,6 +720,62 @@ def logistic_cv(spark, sf):
     return evaluation.blocked_cv(rows, K, O, ["median_3", "p90_3", "median_12", "above_12"], "y", 5, 12).select(*K, "event_id", "y", F.round("probability", 6).alias("probability"))
 
 
+def _newton(steps: int = 25) -> str:
+    """CTEs after learn (series_id, k, x, y): the fit of each (series_id, k) with one feature,
+    Newton steps one by one with the 2 x 2 system solved by its determinant."""
+    out = """m AS (SELECT series_id, k, avg(x) AS mu, stddev_pop(x) + 1e-9 AS sd, min(y) AS lo, max(y) AS hi, avg(y) AS share, count(*) AS learned FROM learn GROUP BY 1, 2),
+  z AS MATERIALIZED (SELECT series_id, k, (x - mu) / sd AS z, y FROM learn JOIN m USING (series_id, k)), w0 AS MATERIALIZED (SELECT series_id, k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM m)"""
+    for i in range(steps):
+        out += f""", w{i + 1} AS MATERIALIZED (SELECT series_id, k, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
+    SELECT series_id, k, a, b, sum(y - p) AS g0, sum((y - p) * z) - b AS g1, sum(p * (1 - p) + 1e-6) AS h00, sum((p * (1 - p) + 1e-6) * z) AS h01, sum((p * (1 - p) + 1e-6) * z * z) + 1 AS h11
+    FROM (SELECT series_id, k, a, b, y, z, 1 / (1 + exp(-greatest(-30, least(30, a + b * z)))) AS p FROM z JOIN w{i} USING (series_id, k)) GROUP BY series_id, k, a, b))"""
+    return out + f", w AS (SELECT * FROM w{steps})"
+
+
+_PROBABILITY = "1 / (1 + exp(-greatest(-30, least(30, w.a + w.b * (q.x - m.mu) / m.sd))))"
+_WEEKS = """r AS (SELECT state AS series_id, event_id, row_number() OVER (PARTITION BY state ORDER BY cycle_ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY state) AS n,
+    CAST(floor((epoch_us(cycle_ts) - 1704067200000000) / 604800000000.0::DOUBLE) AS BIGINT) % 2 = 1 AS odd, rtt_ms / 100 + CASE WHEN odd THEN 8.0 ELSE 0.0 END + 30 AS x, CASE WHEN (event_id % 5 = 0) <> odd THEN 1 ELSE 0 END AS y FROM v_series)"""
+
+
+def _folds(of: str) -> str:
+    """Folds (series_id, k, a, b) of the places of ``of``."""
+    cut = "CASE WHEN {k} = 5 THEN n ELSE CAST(floor({k} * (n / 5.0::DOUBLE)) AS BIGINT) END"
+    return f"f AS (SELECT series_id, k, {cut.format(k='k')} AS a, {cut.format(k='(k + 1)')} AS b FROM (SELECT DISTINCT series_id, n FROM {of}), (SELECT unnest(range(5)) AS k))"
+
+
+def _weeks(spark, sf):
+    """``_long`` with y: the odd weeks, a fifth of the rows turned around."""
+    odd = F.floor((micros("cycle_ts") - F.lit(1_704_067_200_000_000)) / F.lit(604_800_000_000)) % 2 == 1
+    return _long(spark, sf).withColumn("y", F.when((F.col("event_id") % 5 == 0) != odd, 1).otherwise(0))
+
+
+_LEARN = "learn AS MATERIALIZED (SELECT r.series_id, k, x, y FROM r JOIN f ON r.series_id = f.series_id AND NOT (pos >= a - 12 AND pos < b + 12))"
+
+
+@query(f"""WITH {_WEEKS}, {_folds('r')}, {_LEARN}, {_newton()}
+  SELECT q.series_id, q.event_id, q.y, round(CASE WHEN lo IS NULL THEN 0 WHEN lo = hi THEN share ELSE {_PROBABILITY} END, 6) AS probability
+  FROM r q JOIN f ON q.series_id = f.series_id AND pos >= f.a AND pos < f.b LEFT JOIN m ON m.series_id = f.series_id AND m.k = f.k LEFT JOIN w ON w.series_id = f.series_id AND w.k = f.k""")
+def logistic_folds(spark, sf):
+    return evaluation.blocked_cv(_weeks(spark, sf), K, O, ["rtt_ms"], "y", 5, 12).select(*K, "event_id", "y", F.round("probability", 6).alias("probability"))
+
+
+_MADE = "s AS (SELECT series_id, event_id, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n, x + 1 + y AS x, y FROM r WHERE pos < floor(n * 0.5) AND event_id % 2 = 0)"
+_BOTH = "(SELECT min(y) < max(y) FROM s t WHERE t.series_id = s.series_id)"
+
+
+@query(f"""WITH {_WEEKS}, {_MADE}, {_folds('s')}, learn AS MATERIALIZED (SELECT s.series_id, CAST(k AS VARCHAR) AS k, x, y FROM s JOIN f ON s.series_id = f.series_id AND NOT (pos >= a - 12 AND pos < b + 12)
+    UNION ALL SELECT series_id, 'TSTR', x, y FROM s UNION ALL SELECT series_id, 'TRTR', x, y FROM r WHERE pos < floor(n * 0.5)), {_newton()},
+  test AS (SELECT * FROM r WHERE pos >= floor(n * 0.5) + 12), q AS (SELECT series_id, event_id, 'TSTR' AS k, x, y FROM test UNION ALL SELECT series_id, event_id, 'TRTR', x, y FROM test
+    UNION ALL SELECT s.series_id, event_id, CAST(k AS VARCHAR), x, y FROM s JOIN f ON s.series_id = f.series_id AND pos >= a AND pos < b WHERE {_BOTH})
+  SELECT q.series_id, q.event_id, CASE WHEN k LIKE 'T%' THEN k ELSE 'TSTS' END AS scenario, q.y, round(CASE WHEN lo = hi THEN share ELSE {_PROBABILITY} END, 6) AS probability
+  FROM q JOIN m USING (series_id, k) JOIN w USING (series_id, k) WHERE k NOT LIKE 'T%' OR lo <> hi UNION ALL SELECT series_id, event_id, 'regla', y, CASE WHEN x >= 36 THEN 1.0 ELSE 0.0 END FROM test""")
+def scenario_probabilities(spark, sf):
+    parts = evaluation.temporal_split(_weeks(spark, sf), K, O, 0.5, 12)
+    made = parts.filter("part = 'train' and event_id % 2 = 0").withColumn("rtt_ms", F.col("rtt_ms") + 1 + F.col("y"))
+    out = evaluation.scenarios(parts, made, K, O, ["rtt_ms"], "y", "rtt_ms", 36.0, 5, 12)
+    return out.select(*K, "event_id", "scenario", "y", F.round("probability", 6).alias("probability"))
+
+
 @query()
 def parameter_sweep(spark, sf):
     configs = evaluation.one_at_a_time({"sf": [20.0, 5.0, 1.0], "kappa": [1000.0, 3000.0, 6000.0], "percentile": [0.0, 98.0]})
