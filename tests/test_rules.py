@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import expr, stats
-from tracewright.operators import blocks, chains, evaluation, graph, hmm, logistic, paths, reports, segments, synthesis, windows
+from tracewright.operators import blocks, chains, evaluation, graph, hmm, logistic, paths, profile, reports, segments, synthesis, windows
 from tracewright.plans import flow
 from tracewright.sources import files, readers, sinks
 from tracewright.streaming import flows
@@ -665,6 +665,42 @@ def test_files_hold_tables_to_their_columns(spark):
         files.as_file(segs, "segmentos_caracterizados", k)
 
 
+def test_profiles_and_route_changes_fill_their_files(spark):
+    k = ["series_id"]
+    rows = [("s", i // 30, i, 30.0 + (8 if i >= 30 else 0) + (i % 3), times([i])[0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "series_id string, block_id int, i long, x double, cycle_ts timestamp_ntz")
+    found = spark.createDataFrame([("s", 0, 4, ["1", "2"]), ("s", 1, 6, ["1", "3"])], "series_id string, block_id int, length int, path array<string>")
+    change = files.as_file(segments.route_change_columns(segments.route_changes(df, k, ["i"], "x"), found, k), "cambios_de_ruta", k).collect()
+    assert [(r.bloque_anterior, r.bloque_siguiente, r.longitud_anterior, r.longitud_siguiente, r.delta_saltos, r.delta_rtt_ms, r.ciclos_ventana, r.ruta_anterior, r.ruta_siguiente) for r in change] == [(0, 1, 4, 6, 2, "8.000", 10, "1>2", "1>3")]
+    step = (times([1])[0] - times([0])[0]).total_seconds()
+    moving = windows.moving_quantiles(df, k, "cycle_ts", "x", 10 * step, 5 * step, step, 0.5)
+    got = files.as_file(profile.quantile_columns(moving), "percentiles_moviles", k).orderBy("timestamp").collect()
+    assert [str(r.timestamp) for r in got] == [t.strftime("%Y-%m-%d %H:%M:%S") for t in times(range(5, 55, 5))] and got[0].iqr == "1.500" and got[0].p50 == "31.000"
+    # Ranges: 8 ms for floor, so it is the floor that moves.
+    assert profile.moving_spread(moving, k).first().reading == "mueve el piso"
+    spread = lambda lo, hi: [("s", j, [float(lo * (j % 2)), 0.0, 0.0, 0.0, float(hi * (j % 2))]) for j in range(40)]
+    reading = lambda lo, hi: profile.moving_spread(spark.createDataFrame(spread(lo, hi), "series_id string, center_us long, q array<double>"), k).first().reading
+    assert [reading(1, 3), reading(1, 2), reading(2, 9), reading(0, 0)] == ["dispersion", "estable", "mueve el piso", "estable"]
+    high = profile.floor_elevation(df, k, "cycle_ts", "x", step, 10 * step, 5 * step, 0.25, (2.0, 50.0), 5 * step)
+    lines = files.as_file(profile.elevation_columns(high), "elevaciones_piso", k).collect()
+    hours = sum(r.duration_us for r in high.collect()) / 3.6e9
+    assert len(lines) == 1 and lines[0].umbral_ms == 2.0 and lines[0].duracion_h == f"{hours:.1f}"
+    told = {r.threshold: (r.episodes, r.hours, r.share) for r in profile.elevated_time(high, df, k, "cycle_ts", (2.0, 50.0)).collect()}
+    assert told == {2.0: (1, pytest.approx(hours), pytest.approx(hours * 3600 / (59 * step))), 50.0: (0, 0.0, 0.0)}
+    for name, by in (("perfil_horario", profile.hourly(df, k, "cycle_ts", "x", min_n=1)), ("perfil_diario", profile.daily(df, k, "cycle_ts", "x", min_n=1))):
+        assert files.as_file(profile.quantile_columns(by), name, k).columns == ["series_id", *files.columns(name)]
+
+
+def test_silent_cycles_stay_for_resampling(spark):
+    raw = [("s", "2026-01-01 00:00:00", "1", "a", "5", "1.0", 0), ("s", "2026-01-01 00:00:00", "2", "", "", "", 1), ("s", "2026-01-01 01:00:00", "1", "", "", "", 2),
+           ("s", "2026-01-01 01:00:00", "x", None, None, None, 3), ("s", "2026-01-01 02:00:00", "1", "a", "5", "1.0", 4), ("s", "2026-01-01 02:00:00", "1", "b", "6", "2.0", 5), ("s", "", "1", "a", "5", "1.0", 6)]
+    df = spark.createDataFrame(raw, "series_id string, timestamp string, hop string, ip string, asn string, rtt_ms string, row long")
+    told = lambda mode: sorted((r.cycle_ts.hour, r.hop, r.ip) for r in readers.typed_hops(df, ["series_id"], mode).collect())
+    assert told("resample") == [(0, 1, "a"), (1, None, None), (2, 1, "b")] and told("verify") == [(0, 1, "a"), (2, 1, "b")]
+    plain = readers.apply_macro_map(spark.createDataFrame([(10,), (5,), (7,)], "state int"), readers.default_macro_map(spark))
+    assert sorted(r.state for r in plain.collect()) == [0, 3, 7]
+
+
 def test_blocks_of_two_paths_of_one_length(spark):
     """A change of path with one length opens a block, and duration goes by the cadence of all cycles."""
     rows = [("m", i, 8, ["10", "20"] if i < 10 else ["10", "30"], True, f"ip{i // 10}", "20", 5.0) for i in range(20)] + [("m", 20 + i, 5, ["10"], False, "x", "10", 9.0) for i in range(4)]

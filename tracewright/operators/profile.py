@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import day_of, hour_of
+from ..functions.expr import day_of, hour_of, micros
 from ..functions.stats import quantile
 from .windows import QS, episodes, moving_quantiles
 
@@ -29,10 +29,33 @@ def drift(profile: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def moving_spread(moving: DataFrame, keys: list[str]) -> DataFrame:
-    """P95 - P5 over time of the floor (p10) and the tail (p90), and which moves more."""
+    """P95 - P5 over time of the floor (p10), the median and the tail (p90), and
+    what it means: the floor moves 2 ms or more, only the dispersion does, or neither."""
     r = lambda i: F.percentile(F.col("q")[i], 0.95) - F.percentile(F.col("q")[i], 0.05)
-    out = moving.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), r(0).alias("floor_range"), r(4).alias("tail_range"))
-    return out.withColumn("reading", F.when(F.col("floor_range") >= F.col("tail_range"), "piso").otherwise("cola"))
+    out = moving.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), r(0).alias("floor_range"), r(2).alias("median_range"), r(4).alias("tail_range"))
+    wide = F.col("tail_range") > 2 * F.col("floor_range")
+    return out.withColumn("reading", F.when(F.col("floor_range") >= 2, "mueve el piso").when(wide, "dispersion").otherwise("estable"))
+
+
+def quantile_columns(profile: DataFrame) -> DataFrame:
+    """The array q of a profile as p10 to p90 and iqr, and the timestamp of a moving one."""
+    out = profile.withColumns({**{f"p{round(100 * v)}": F.col("q")[i] for i, v in enumerate(QS)}, "iqr": F.col("q")[3] - F.col("q")[1]})
+    return out.withColumn("timestamp", F.timestamp_micros("center_us").cast("timestamp_ntz")) if "center_us" in profile.columns else out
+
+
+def elevation_columns(found: DataFrame) -> DataFrame:
+    """Episodes of the floor with times and hours."""
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.withColumns({"start_ts": at("start_us"), "end_ts": at("end_us"), "hours": F.col("duration_us") / 3.6e9})
+
+
+def elevated_time(found: DataFrame, df: DataFrame, keys: list[str], ts: str, thresholds=(2.0, 5.0)) -> DataFrame:
+    """Episodes, hours in them and the share of the series' time, for every series and
+    threshold (none: 0; a series without duration: null)."""
+    span = df.groupBy(*keys).agg((F.max(micros(ts)) - F.min(micros(ts))).alias("__span")).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    sums = found.groupBy(*keys, "threshold").agg(F.count(F.lit(1)).alias("__n"), F.sum("duration_us").alias("__us"))
+    us, zero = F.coalesce("__us", F.lit(0).cast("long")), F.lit(0).cast("long")
+    return span.join(sums, [*keys, "threshold"], "left").select(*keys, "threshold", F.coalesce("__n", zero).alias("episodes"), (us / 3.6e9).alias("hours"), F.try_divide(us, "__span").alias("share"))
 
 
 def floor_elevation(df: DataFrame, keys: list[str], ts: str, x: str, interval_s: float, width_s: float = 6 * 3600, step_s: float = 3600, q: float = 0.25, thresholds=(2.0, 5.0), min_s: float = 6 * 3600, min_cover: float = 0.5) -> DataFrame:
@@ -46,8 +69,6 @@ def floor_elevation(df: DataFrame, keys: list[str], ts: str, x: str, interval_s:
 
 def downsample(df: DataFrame, keys: list[str], ts: str, x: str, columns: int) -> DataFrame:
     """A series in so many columns of time: least, greatest and mean value."""
-    from ..functions.expr import micros
-
     span = df.groupBy(*keys).agg(F.min(micros(ts)).alias("__a"), F.max(micros(ts)).alias("__b"))
     at = F.least(F.floor(F.try_divide((micros(ts) - F.col("__a")) * F.lit(columns), F.col("__b") - F.col("__a") + 1)), F.lit(columns - 1))
     return df.join(span, keys).groupBy(*keys, at.cast("long").alias("column")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"))

@@ -219,6 +219,14 @@ def route_changes(members: DataFrame, keys: list[str], order: list[str], x: str,
     return out.select(*keys, "block_id", (F.col("block_id") + 1).alias("next_block_id"), F.col("start_ts").alias("ts"), "before_ms", "after_ms", "delta_ms", F.col("k").alias("window"), route_change_class("delta_ms").alias("kind"))
 
 
+def route_change_columns(changes: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Lengths and paths on both sides of each route change.
+    found: blocks with block_id, length and path (an array)."""
+    side = lambda id_, name: found.select(*keys, F.col("block_id").alias(id_), F.col("length").alias(f"longitud_{name}"), F.col("path").alias(f"ruta_{name}"))
+    out = changes.join(side("block_id", "anterior"), [*keys, "block_id"], "left").join(side("next_block_id", "siguiente"), [*keys, "next_block_id"], "left")
+    return out.withColumn("delta_saltos", F.col("longitud_siguiente") - F.col("longitud_anterior"))
+
+
 def state_distances(rows: DataFrame, keys: list[str], state: str, x: str) -> DataFrame:
     """Bhattacharyya distance of each pair of a group's states."""
     s = rows.groupBy(*keys, F.col(state).alias("a")).agg(F.avg(x).alias("ma"), F.stddev_pop(x).alias("sa"))

@@ -80,13 +80,13 @@ def moving_quantiles_grid(spark, sf):
     return windows.moving_quantiles(by_state(spark, sf), K, "cycle_ts", "rtt_ms", DAY, 6 * HOUR, 1800.0).select(*K, "center_us", "n", *q5())
 
 
-@query(_GRID.format(half=43_200_000_000, step=21_600_000_000) + """, m AS (SELECT g.series_id, center_us, quantile_cont(rtt_ms, 0.1) AS f, quantile_cont(rtt_ms, 0.9) AS t
+@query(_GRID.format(half=43_200_000_000, step=21_600_000_000) + """, m AS (SELECT g.series_id, center_us, quantile_cont(rtt_ms, 0.1) AS f, quantile_cont(rtt_ms, 0.5) AS h, quantile_cont(rtt_ms, 0.9) AS t
   FROM g JOIN p ON p.series_id = g.series_id AND p.t BETWEEN center_us - 43200000000 AND center_us + 43200000000 GROUP BY 1, 2 HAVING count(*) >= 24),
-  r AS (SELECT series_id, count(*) AS windows, quantile_cont(f, 0.95) - quantile_cont(f, 0.05) AS floor_range, quantile_cont(t, 0.95) - quantile_cont(t, 0.05) AS tail_range FROM m GROUP BY 1)
-  SELECT series_id, windows, round(floor_range, 6) AS floor_range, round(tail_range, 6) AS tail_range, CASE WHEN floor_range >= tail_range THEN 'piso' ELSE 'cola' END AS reading FROM r""")
+  r AS (SELECT series_id, count(*) AS windows, quantile_cont(f, 0.95) - quantile_cont(f, 0.05) AS floor_range, quantile_cont(h, 0.95) - quantile_cont(h, 0.05) AS median_range, quantile_cont(t, 0.95) - quantile_cont(t, 0.05) AS tail_range FROM m GROUP BY 1)
+  SELECT series_id, windows, round(floor_range, 6) AS floor_range, round(median_range, 6) AS median_range, round(tail_range, 6) AS tail_range, CASE WHEN floor_range >= 2 THEN 'mueve el piso' WHEN tail_range > 2 * floor_range THEN 'dispersion' ELSE 'estable' END AS reading FROM r""")
 def moving_profile_reading(spark, sf):
     m = windows.moving_quantiles(by_state(spark, sf), K, "cycle_ts", "rtt_ms", DAY, 6 * HOUR, 1800.0)
-    return profile.moving_spread(m, K).select(*K, "windows", *r6("floor_range", "tail_range"), "reading")
+    return profile.moving_spread(m, K).select(*K, "windows", *r6("floor_range", "median_range", "tail_range"), "reading")
 
 
 @query("SELECT series_id, cycle_ts, event_id, round(quantile_cont(rtt_ms, 0.25) OVER w, 6) AS p25, round(quantile_cont(rtt_ms, 0.5) OVER w, 6) AS p50 FROM v_series WINDOW w AS (PARTITION BY series_id ORDER BY epoch_us(cycle_ts) RANGE BETWEEN 43200000000 PRECEDING AND 43200000000 FOLLOWING)")

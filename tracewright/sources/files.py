@@ -23,7 +23,7 @@ COLUMNS = {
     "cambios_de_ruta": "timestamp bloque_anterior bloque_siguiente longitud_anterior longitud_siguiente delta_saltos rtt_antes_ms:3 rtt_despues_ms:3 delta_rtt_ms:3 tipo_cambio ciclos_ventana ruta_anterior ruta_siguiente",
     "change_points": "timestamp estado_anterior estado_nuevo",
     "percentiles_moviles": "timestamp n p10:3 p25:3 p50:3 p75:3 p90:3 iqr:3",
-    "elevaciones_piso": "umbral_ms inicio fin duracion_h elevacion_max_ms",
+    "elevaciones_piso": "umbral_ms inicio fin duracion_h:1 elevacion_max_ms:2",
     "perfil_horario": "hora n p10:3 p25:3 p50:3 p75:3 p90:3 media:3 tasa_picos:4",
     "perfil_diario": "dia n p10:3 p25:3 p50:3 p75:3 p90:3",
     "verdad_ciclos": "idx timestamp hueco regimen delta_ms salto_localizacion nivel_ultimo_ms spike_ms sin_destino modo_fallo n_saltos_emitidos rtt_ultimo_ms",
@@ -49,6 +49,7 @@ NAMES = {
     "historial_traceroute": {"timestamp": "cycle_ts"},
     "eventos": {"timestamp": "cycle_ts"},
     "perfil_horario": {"hora": "hour", "media": "mean", "tasa_picos": "spike_rate"},
+    "elevaciones_piso": {"umbral_ms": "threshold", "inicio": "start_ts", "fin": "end_ts", "duracion_h": "hours", "elevacion_max_ms": "max_x"},
     "perfil_diario": {"dia": "day"},
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import number, parse_time
@@ -11,6 +11,8 @@ from .schemas import CSV, MAIN_BLOCK, RAW
 #: Fixed value: how file names name a series.
 IDENTITY = r"measurement(\d+)_probe(\d+)"
 SERIES = ["measurement_id", "probe_id"]
+#: Macro states where no map is given (best base, slight, congestion, outlier).
+DEFAULT_MACROS = {10: 0, 13: 0, 14: 0, 0: 1, 1: 1, 2: 2, 5: 3}
 
 
 def with_identity(df: DataFrame) -> DataFrame:
@@ -36,17 +38,24 @@ def raw_hops(spark: SparkSession, path: str) -> DataFrame:
 
 def hops(spark: SparkSession, path: str, mode: str = "verify") -> DataFrame:
     """S3 (verify: an ip is needed, a round trip isn't), S4 (segment: hop and round
-    trip are needed), S5 (resample: like verify, for use with all cycles).  Of rows
-    for one cycle and hop the last in the file counts."""
+    trip are needed), S5 (resample: like verify, but a cycle in which no hop answered
+    stays, as one row without a hop).  Of rows for one cycle and hop the last in the file
+    counts."""
     return typed_hops(raw_hops(spark, path), SERIES, mode)
 
 
 def typed_hops(raw: DataFrame, keys: list[str], mode: str = "verify", row: str = "row") -> DataFrame:
     cols = {"cycle_ts": parse_time("timestamp"), "hop": F.trim("hop").try_cast("int"), "ip": F.trim("ip"), "asn": F.trim("asn"), "rtt_ms": number("rtt_ms")}
-    rows = raw.select(*keys, row, *[v.alias(k) for k, v in cols.items()]).filter("cycle_ts is not null and hop is not null")
-    rows = rows.filter("rtt_ms is not null") if mode == "segment" else rows.filter("ip is not null and ip <> ''")
-    last = F.max_by(F.struct("ip", "asn", "rtt_ms"), row).alias("r")
-    return rows.groupBy(*keys, "cycle_ts", "hop").agg(last).select(*keys, "cycle_ts", "hop", "r.ip", "r.asn", "r.rtt_ms")
+    rows = raw.select(*keys, row, *[v.alias(k) for k, v in cols.items()]).filter("cycle_ts is not null")
+    usable = F.col("hop").isNotNull() & (F.col("rtt_ms").isNotNull() if mode == "segment" else F.coalesce(F.col("ip") != "", F.lit(False)))
+    if mode != "resample":
+        rows = rows.filter(usable)
+    r = F.when(usable, F.struct("ip", "asn", "rtt_ms"))
+    last = rows.groupBy(*keys, "cycle_ts", F.when(usable, F.col("hop")).alias("hop")).agg(F.max_by(r, row).alias("r"))
+    if mode == "resample":
+        answers = F.count("hop").over(Window.partitionBy(*keys, "cycle_ts"))
+        last = last.withColumn("__a", answers).filter("hop is not null or __a = 0")
+    return last.select(*keys, "cycle_ts", "hop", "r.ip", "r.asn", "r.rtt_ms")
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +109,11 @@ def macro_map(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.trim("state").try_cast("int").alias("state"), F.trim("macro").try_cast("int").alias("macro")).filter("state is not null and macro is not null")
 
 
+def default_macro_map(spark: SparkSession) -> DataFrame:
+    """The map that holds where no file is given."""
+    return spark.createDataFrame(list(DEFAULT_MACROS.items()), "state int, macro int")
+
+
 def apply_macro_map(rows: DataFrame, mapping: DataFrame, state: str = "state") -> DataFrame:
     """States without an entry stay as they are."""
     m = mapping.select(F.col("state").cast("long").alias("__s"), F.col("macro").cast("long").alias("__m"))
