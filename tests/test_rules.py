@@ -714,3 +714,11 @@ def test_short_true_episodes_do_not_count(spark):
     rows = [("s", i, int(i in (3, 4) or 10 <= i < 20), int(10 <= i < 20)) for i in range(30)]
     got = evaluation.episode_scores(spark.createDataFrame(rows, "k string, i int, y int, p int"), ["k"], ["i"], "y", "p", 5).first()
     assert (got.episodes, got.found, got.false_alarms, got.alarms_per_day) == (1, 1, 0, None)
+
+
+def test_means_of_the_truth_are_rounded_once(spark):
+    """30.494665 is 30.49; by way of 30.495 it was 30.50."""
+    rows = spark.createDataFrame([("s", T0 + dt.timedelta(minutes=i), 35.494665, 1) for i in range(4)], "k string, t timestamp, last_rtt double, evento_id int")
+    got = synthesis.simple_truth(rows, ["k"], "t", 5.0, 2).first()
+    assert (got.original_mean_rtt_ms, got.injected_mean_rtt_ms) == (30.49, 35.49)
+    assert synthesis.simple_truth(rows, ["k"], "t", 5.0).first().original_mean_rtt_ms == 30.495

@@ -279,12 +279,12 @@ def inject_simple(cyc: DataFrame, plan: DataFrame, keys: list[str], order: list[
     return rows.withColumn("last_rtt", F.when(F.col("evento_id").isNotNull(), F.col("last_rtt") + delta_ms).otherwise(F.col("last_rtt")))
 
 
-def simple_truth(injected: DataFrame, keys: list[str], ts: str, delta_ms: float) -> DataFrame:
-    """The truth of ``inject_simple``: a row for each change."""
+def simple_truth(injected: DataFrame, keys: list[str], ts: str, delta_ms: float, digits: int = 3) -> DataFrame:
+    """The truth of ``inject_simple``: a row for each change; means are rounded once, to ``digits``."""
     mean = F.avg(F.col("last_rtt") - delta_ms)
     return injected.filter("evento_id is not null").groupBy(*keys, "evento_id").agg(
-        F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("duration_cycles"), F.round(mean, 3).alias("original_mean_rtt_ms"),
-        F.round(mean + delta_ms, 3).alias("injected_mean_rtt_ms"), F.lit(float(delta_ms)).alias("magnitude_injected_ms"),
+        F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("duration_cycles"), F.round(mean, digits).alias("original_mean_rtt_ms"),
+        F.round(mean + delta_ms, digits).alias("injected_mean_rtt_ms"), F.lit(float(delta_ms)).alias("magnitude_injected_ms"),
     )
 
 

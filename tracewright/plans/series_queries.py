@@ -572,8 +572,7 @@ def simple_injection(spark, sf):
 
 @query(_CHANGES + " SELECT series_id, e AS evento_id, min(cycle_ts) AS start_ts, max(cycle_ts) AS end_ts, count(*) AS duration_cycles, round(avg(rtt_ms), 2) AS original_mean_rtt_ms, round(avg(rtt_ms) + 5.0, 2) AS injected_mean_rtt_ms, 5.0::DOUBLE AS magnitude_injected_ms FROM ij WHERE e IS NOT NULL GROUP BY 1, 2")
 def synthetic_truth(spark, sf):
-    out = synthesis.simple_truth(_changed(spark, sf), K, "cycle_ts", 5.0)
-    return out.withColumns({c: F.round(c, 2) for c in ("original_mean_rtt_ms", "injected_mean_rtt_ms")})
+    return synthesis.simple_truth(_changed(spark, sf), K, "cycle_ts", 5.0, 2)
 
 
 _REALISM = lambda t, order, name: f"""s_{name} AS (SELECT series_id, avg(x) AS m, stddev_pop(x) AS s, median(x) AS q2, {", ".join(f"quantile_cont(x, {q}) AS p{round(100 * q)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))} FROM (SELECT series_id, rtt_ms AS x FROM {t}) GROUP BY 1),
