@@ -722,3 +722,40 @@ def test_means_of_the_truth_are_rounded_once(spark):
     got = synthesis.simple_truth(rows, ["k"], "t", 5.0, 2).first()
     assert (got.original_mean_rtt_ms, got.injected_mean_rtt_ms) == (30.49, 35.49)
     assert synthesis.simple_truth(rows, ["k"], "t", 5.0).first().original_mean_rtt_ms == 30.495
+
+
+def test_matching_by_stretches_against_one_by_one(spark):
+    """Long series, dense and sparse, equal times, series of one side only: each pair, one by one from the nearest."""
+    rng = random.Random(5)
+    rows = {s: ([rng.randint(0, span) / 4 for _ in range(n)], [rng.randint(0, span) / 4 for _ in range(m)]) for s, n, m, span in (("a", 60, 70, 300), ("b", 40, 50, 9000), ("c", 5, 0, 100), ("d", 0, 4, 100), ("e", 1, 1, 8))}
+    side = lambda k: spark.createDataFrame([(s, x) for s, v in rows.items() for x in v[k]], "k string, t double")
+
+    def greedy(a, b, most):
+        pairs, left, right = sorted((abs(y - x), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if abs(y - x) <= most), set(), set()
+        for _, i, j in pairs:
+            if i not in left and j not in right:
+                left.add(i), right.add(j)
+                yield i, j
+
+    want, curve = [], []
+    for s, (a, b) in rows.items():
+        a, b = sorted(a), sorted(b)
+        curve += [(s, most, len(list(greedy(a, b, most))), len(a), len(b)) for most in (0.0, 1.0, 6.0)]
+        for result, most in (("VP", 1.0), ("desfase", 6.0)):
+            pairs = list(greedy(a, b, most))
+            want += [(s, result, a[i], b[j]) for i, j in pairs]
+            a, b = [x for i, x in enumerate(a) if i not in {i for i, _ in pairs}], [x for j, x in enumerate(b) if j not in {j for _, j in pairs}]
+        want += [(s, "FN", x, None) for x in a] + [(s, "FP", None, x) for x in b]
+    got = evaluation.match_events(side(0), side(1), ["k"], "t", 1.0, 6.0)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert sorted(map(tuple, evaluation.tolerance_curve(side(0), side(1), ["k"], "t", [0.0, 1.0, 6.0]).collect())) == sorted(curve)
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan  # a call a series
+
+
+def test_causes_come_from_one_matching(spark):
+    """The matches were computed anew for each of the parts and marks."""
+    own = spark.createDataFrame([("s", 10.0), ("s", 90.0)], "k string, t double")
+    m = evaluation.match_events(own, own.filter("t > 50"), ["k"], "t", 1.0, 5.0)
+    out = evaluation.event_causes(m, own.withColumn("structural", F.lit(None).cast("string")), own, own, ["k"], "t", 1.0, 1.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1

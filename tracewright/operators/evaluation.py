@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -17,11 +18,7 @@ from .windows import band_join, over, with_runs
 
 
 def match_nearest(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """One-to-one, nearest pairs first, ties by place.
-
-    All pairs in reach stand in one order.  In each round every pair that comes first
-    for both of its ends is taken, and with it go all other pairs of these ends; that
-    is the choice one by one from the front, but many at a time."""
+    """One-to-one, nearest pairs first, ties by place."""
     by_time = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[by_time], a - tolerance), np.searchsorted(b[by_time], a + tolerance, "right")
     i = np.repeat(np.arange(len(a)), hi - lo)
@@ -29,14 +26,67 @@ def match_nearest(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[
     gap = np.abs(b[j] - a[i])
     order = np.lexsort((j, i, gap))
     i, j, gap = i[order], j[order], gap[order]
-    taken: list[tuple[float, int, int]] = []
-    while len(i):
-        first_i, first_j = (np.unique(x, return_index=True)[1] for x in (i, j))
-        both = np.intersect1d(first_i, first_j)
-        taken += zip(gap[both].tolist(), i[both].tolist(), j[both].tolist())
-        left = ~(np.isin(i, i[both]) | np.isin(j, j[both]))
-        i, j, gap = i[left], j[left], gap[left]
-    return [(x, y) for _, x, y in sorted(taken)]
+    first = nearest_first(i, j, len(a), len(b))
+    return list(zip(i[first].tolist(), j[first].tolist()))
+
+
+def nearest_first(i: np.ndarray, j: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Places of the pairs (i under n, j under m; the best first) that a choice one by one
+    from the front takes.
+
+    In each round every pair that comes first for both of its ends is taken, and with it
+    go all other pairs of these ends; that is the same choice, but many at a time."""
+    taken, left = [np.empty(0, np.int64)], np.arange(len(i))
+    front_i, front_j, used_i, used_j = np.empty(n, np.int64), np.empty(m, np.int64), np.zeros(n, bool), np.zeros(m, bool)
+    while len(left):
+        a, b = i[left], j[left]
+        front_i[a[::-1]], front_j[b[::-1]] = left[::-1], left[::-1]
+        both = left[(front_i[a] == left) & (front_j[b] == left)]
+        taken.append(both)
+        used_i[i[both]] = used_j[j[both]] = True
+        left = left[~(used_i[a] | used_j[b])]
+    return np.sort(np.concatenate(taken))
+
+
+def near_pairs(group: np.ndarray, t: np.ndarray, own: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (of an own row, of another row) and distances of all pairs of a group within
+    ``tolerance``, nearest first, then by places; rows stand by group and time."""
+    at, found, k = np.arange(len(t)), [(np.empty(0, np.int64),) * 2], 1
+    while len(at):
+        at = at[at + k < len(t)]
+        at = at[(group[at + k] == group[at]) & (t[at + k] - t[at] <= tolerance)]
+        pair = at[own[at] != own[at + k]]
+        found.append((np.where(own[pair], pair, pair + k), np.where(own[pair], pair + k, pair)))
+        k += 1
+    i, j = (np.concatenate(x) for x in zip(*found))
+    gap = np.abs(t[j] - t[i])
+    order = np.lexsort((j, i, gap))
+    return i[order], j[order], gap[order]
+
+
+def _reachable(truth: DataFrame, found: DataFrame, keys: list[str], t: str, reach: float) -> DataFrame:
+    """(keys, __own, __other): times of both sides, in order, of each stretch of a series
+    without a step over ``reach``; no pair within it reaches over such a step."""
+    both = truth.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(True).alias("__is")).unionByName(found.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(False).alias("__is")))
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("__t"))
+    step = F.coalesce((F.col("__t") - F.lag("__t").over(w) > reach).cast("long"), F.lit(0).cast("long"))
+    cut = both.withColumn("__s", step).withColumn("__g", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    side = lambda own: F.sort_array(F.collect_list(F.when(F.col("__is") == F.lit(own), F.coalesce("__t", F.lit(float("nan"))))))
+    return cut.groupBy(*keys, "__g").agg(side(True).alias("__own"), side(False).alias("__other")).drop("__g")
+
+
+def _laid_out(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of pdf, time, own) of all times of the rows' stretches, by row and time."""
+    n, m = (pdf[c].map(len).to_numpy(np.int64) for c in ("__own", "__other"))
+    t = np.concatenate([np.empty(0), *pdf["__own"], *pdf["__other"]]).astype(float)
+    row = np.concatenate([np.repeat(np.arange(len(pdf)), n), np.repeat(np.arange(len(pdf)), m)])
+    own = np.arange(len(t)) < n.sum()
+    order = np.lexsort((t, row))
+    return row[order], t[order], own[order]
+
+
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k in keys for f in df.schema if f.name == k)
 
 
 def match_in_order(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
@@ -64,21 +114,30 @@ def match_in_order(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
 
 def match_events(truth: DataFrame, found: DataFrame, keys: list[str], t: str, tolerance: float, wide: float) -> DataFrame:
     """Every true and found time with its partner: result VP, desfase (matched
-    only with the wide tolerance), FN or FP.  Grouped function per series."""
-
-    def run(key: tuple, own: pd.DataFrame, det: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.sort(own[t].to_numpy(float)), np.sort(det[t].to_numpy(float))
-        first = match_nearest(a, b, tolerance)
-        ra = [i for i in range(len(a)) if i not in {i for i, _ in first}]
-        rb = [j for j in range(len(b)) if j not in {j for _, j in first}]
-        late = [(ra[i], rb[j]) for i, j in match_nearest(a[ra], b[rb], wide)]
-        rows = [(*key, "VP", a[i], b[j]) for i, j in first] + [(*key, "desfase", a[i], b[j]) for i, j in late]
-        rows += [(*key, "FN", a[i], None) for i in ra if i not in {i for i, _ in late}]
-        rows += [(*key, "FP", None, b[j]) for j in rb if j not in {j for _, j in late}]
-        return pd.DataFrame(rows, columns=[*keys, "result", "t_true", "t_found"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in truth.schema if f.name in keys)
-    return truth.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInPandas(run, f"{kinds}, result string, t_true double, t_found double")
+    only with the wide tolerance), FN or FP.  Series are cut where no pair reaches over,
+    and many such stretches are matched at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, at, own = _laid_out(pdf)
+            i, j, gap = near_pairs(row, at, own, max(tolerance, wide))
+            close = np.flatnonzero(gap <= tolerance)
+            first = close[nearest_first(i[close], j[close], len(at), len(at))]
+            free = np.ones(len(at), bool)
+            free[i[first]] = free[j[first]] = False
+            rest = np.flatnonzero((gap <= wide) & free[i] & free[j])
+            late = rest[nearest_first(i[rest], j[rest], len(at), len(at))]
+            free[i[late]] = free[j[late]] = False
+            lost, false = np.flatnonzero(free & own), np.flatnonzero(free & ~own)
+            of = np.concatenate([row[i[first]], row[i[late]], row[lost], row[false]])
+            out = pdf[keys].iloc[of].reset_index(drop=True)
+            none = lambda x: np.full(len(x), np.nan)
+            yield out.assign(
+                result=np.repeat(np.array(["VP", "desfase", "FN", "FP"], object), [len(first), len(late), len(lost), len(false)]),
+                t_true=np.concatenate([at[i[first]], at[i[late]], at[lost], none(false)]), t_found=np.concatenate([at[j[first]], at[j[late]], none(lost), at[false]]),
+            )
+
+    return _reachable(truth, found, keys, t, max(tolerance, wide)).mapInPandas(run, f"{_kinds(truth, keys)}, result string, t_true double, t_found double")
 
 
 def event_causes(matches: DataFrame, truth: DataFrame, spikes: DataFrame, small: DataFrame, keys: list[str], t: str, near: float, tolerance: float) -> DataFrame:
@@ -89,20 +148,23 @@ def event_causes(matches: DataFrame, truth: DataFrame, spikes: DataFrame, small:
     a false alarm (desfase_de_evento).  Other false alarms: within ``near`` of a spike,
     within ``tolerance`` of a change below the threshold, else without a cause."""
     kind = truth.groupBy(*keys, F.col(t).alias("t_true")).agg(F.min("structural").alias("structural"))
-    known = matches.join(kind, [*keys, "t_true"], "left")
-    cols = [*keys, "result", "t_true", "t_found", "structural", "cause"]
-    none = F.lit(None).cast("string")
-    hit = known.filter("result = 'VP'").withColumn("cause", none).select(*cols)
-    cause = F.coalesce("structural", F.when(F.col("result") == "desfase", "detectado_con_desfase").otherwise("no_detectado"))
-    missed = known.filter("result in ('FN', 'desfase')").withColumn("cause", cause).withColumn("result", F.lit("FN")).select(*cols)
-    late = F.col("result") == "desfase"
-    false = matches.filter("result in ('FP', 'desfase')").select(*keys, F.lit("FP").alias("result"), F.lit(None).cast("double").alias("t_true"), "t_found", none.alias("structural"), late.alias("__late"), F.round(F.col("t_found") * 1e6).cast("long").alias("__us"))
-    for marks, reach, name in ((spikes, near, "__spike"), (small, tolerance, "__small")):
-        at = marks.select(*keys, F.round(F.col(t) * 1e6).cast("long").alias("__us")).distinct()
-        spot = near_any(false.select(*keys, "__us").distinct(), at, keys, "__us", round(reach * 1e6)).withColumn(name, F.lit(True))
-        false = false.join(spot, [*keys, "__us"], "left")
-    why = F.when(F.col("__late"), "desfase_de_evento").when(F.col("__spike"), "cerca_de_spike").when(F.col("__small"), "cambio_subumbral").otherwise("sin_causa_identificada")
-    return hit.unionByName(missed).unionByName(false.withColumn("cause", why).select(*cols))
+    known = matches.join(kind, [*keys, "t_true"], "left").withColumn("__us", F.round(F.col("t_found") * 1e6).cast("long"))
+    known = known.select(*keys, "result", "t_true", "t_found", "structural", "__us", F.lit(None).cast("int").alias("__mark"))
+    for n, marks in enumerate((spikes, small)):
+        known = known.unionByName(marks.select(*keys, F.round(F.col(t) * 1e6).cast("long").alias("__us"), F.lit(n).alias("__mark")), allowMissingColumns=True)
+    # The nearest mark on either side; both frames look back, one from each end of the series.
+    ends = [w.rangeBetween(Window.unboundedPreceding, 0) for w in (Window.partitionBy(*keys).orderBy("__us"), Window.partitionBy(*keys).orderBy(F.desc("__us")))]
+    at = [F.when(F.col("__mark") == n, F.col("__us")) for n in (0, 1)]
+    known = known.withColumns({f"__before{n}": F.max(at[n]).over(ends[0]) for n in (0, 1)} | {f"__after{n}": F.min(at[n]).over(ends[1]) for n in (0, 1)}).filter("__mark is null")
+    close = lambda n, reach: F.coalesce(F.col("__us") - F.col(f"__before{n}") <= round(reach * 1e6), F.lit(False)) | F.coalesce(F.col(f"__after{n}") - F.col("__us") <= round(reach * 1e6), F.lit(False))
+    none, late = F.lit(None).cast("string"), F.col("result") == "desfase"
+    miss = F.coalesce("structural", F.when(late, "detectado_con_desfase").otherwise("no_detectado"))
+    why = F.when(late, "desfase_de_evento").when(close(0, near), "cerca_de_spike").when(close(1, tolerance), "cambio_subumbral").otherwise("sin_causa_identificada")
+    side = lambda result, true, found, structural, cause: F.struct(F.lit(result).alias("result"), true.alias("t_true"), found.alias("t_found"), structural.alias("structural"), cause.alias("cause"))
+    no, true, found, structural = F.lit(None).cast("double"), F.col("t_true"), F.col("t_found"), F.col("structural")
+    hit, missed, false = side("VP", true, found, structural, none), side("FN", true, found, structural, miss), side("FP", no, found, none, why)
+    rows = F.when(F.col("result") == "VP", F.array(hit)).when(late, F.array(missed, false)).when(F.col("result") == "FN", F.array(missed)).otherwise(F.array(false))
+    return known.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
 def detection_scores(causes: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,15 +190,22 @@ def detection_scores(causes: DataFrame, keys: list[str]) -> DataFrame:
 
 def tolerance_curve(truth: DataFrame, found: DataFrame, keys: list[str], t: str, tolerances: list[float]) -> DataFrame:
     """Matches at each tolerance."""
-    grid = F.explode(F.array(*[F.lit(float(x)) for x in tolerances])).alias("tolerance")
-
-    def run(key: tuple, own: pd.DataFrame, det: pd.DataFrame) -> pd.DataFrame:
-        n = len(match_nearest(np.sort(own[t].to_numpy(float)), np.sort(det[t].to_numpy(float)), key[-1]))
-        return pd.DataFrame([(*key, n, len(own), len(det))], columns=[*keys, "tolerance", "matched", "n_true", "n_found"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in truth.schema if f.name in keys)
-    both = [*keys, "tolerance"]
-    return truth.select("*", grid).groupBy(*both).cogroup(found.select("*", grid).groupBy(*both)).applyInPandas(run, f"{kinds}, tolerance double, matched long, n_true long, n_found long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, at, own = _laid_out(pdf)
+            i, j, gap = near_pairs(row, at, own, max(tolerances, default=0.0))
+            matched = np.zeros((len(pdf), len(tolerances)), np.int64)
+            for n, most in enumerate(tolerances):
+                close = np.flatnonzero(gap <= most)
+                np.add.at(matched[:, n], row[i[close[nearest_first(i[close], j[close], len(at), len(at))]]], 1)
+            yield pdf[keys].assign(__m=list(matched), __n=pdf["__own"].map(len), __k=pdf["__other"].map(len))
+
+    cut = _reachable(truth, found, keys, t, float(max(tolerances, default=0.0)))
+    part = cut.mapInPandas(run, f"{_kinds(truth, keys)}, __m array<long>, __n long, __k long")
+    sums = part.groupBy(*keys).agg(*[F.sum(F.col("__m")[n]).alias(f"__{n}") for n in range(len(tolerances))], F.sum("__n").alias("n_true"), F.sum("__k").alias("n_found"))
+    each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("tolerance"), F.col(f"__{n}").alias("matched")) for n, x in enumerate(tolerances)])).alias("r")
+    return sums.select(*keys, each, "n_true", "n_found").select(*keys, "r.tolerance", "r.matched", "n_true", "n_found")
 
 
 def near_any(rows: DataFrame, marks: DataFrame, keys: list[str], t: str, reach: int) -> DataFrame:
