@@ -759,3 +759,22 @@ def test_causes_come_from_one_matching(spark):
     m = evaluation.match_events(own, own.filter("t > 50"), ["k"], "t", 1.0, 5.0)
     out = evaluation.event_causes(m, own.withColumn("structural", F.lit(None).cast("string")), own, own, ["k"], "t", 1.0, 1.0)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_graph_folds_each_cycle_once(spark):
+    """Unknown hops join the AS around them, or are a node; no sort or window a hop, and one pass for all of a node's figures."""
+    paths_ = {1: ["1", None, "1", None, None, "2", "2"], 2: [None, "1", "NaN", "2"], 3: [None, None], 4: ["1", "2", None, "1"]}
+    rows = [("s", i, i, h + 1, f"a{h}", a, None if (i, h) == (3, 0) else float(10 * i + h)) for i, path in paths_.items() for h, a in enumerate(path)]
+    hops = spark.createDataFrame(rows, "k string, t int, c int, hop int, ip string, asn string, rtt_ms double")
+    view = graph.asn_view(hops, ["k"], ["t", "c"])
+    got = {}
+    for r in view.orderBy("t", "layer").collect():
+        got.setdefault(r.t, []).append((r.layer, r.node, r.rtt_ms, r.hops, r.next))
+    assert got[1] == [(1, "AS1", 11.0, 3, "?"), (2, "?", 13.5, 2, "AS2"), (3, "AS2", 15.5, 2, None)]
+    assert got[2] == [(1, "?", 20.0, 1, "AS1"), (2, "AS1", 21.0, 1, "?"), (3, "?", 22.0, 1, "AS2"), (4, "AS2", 23.0, 1, None)]
+    assert got[3] == [(1, "?", 31.0, 2, None)] and [x[1] for x in got[4]] == ["AS1", "AS2", "?", "AS1"]
+    node = {r.node: (r.n, r.modal_layer, r.median_rtt, r.n_last) for r in graph.nodes(view, ["k"], ["t", "c"]).collect()}
+    assert node["AS1"] == (4, 1, 30.5, 1) and node["?"] == (5, 1, 22.0, 1) and node["AS2"] == (3, 2, 23.0, 2)
+    found = graph.edges(view, ["k"], ["t", "c"])
+    assert {(r.source, r.target): r.n for r in found.collect()} == {("AS1", "?"): 2, ("?", "AS2"): 2, ("?", "AS1"): 2, ("AS1", "AS2"): 1, ("AS2", "?"): 1}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
