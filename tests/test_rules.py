@@ -778,3 +778,24 @@ def test_graph_folds_each_cycle_once(spark):
     found = graph.edges(view, ["k"], ["t", "c"])
     assert {(r.source, r.target): r.n for r in found.collect()} == {("AS1", "?"): 2, ("?", "AS2"): 2, ("?", "AS1"): 2, ("AS1", "AS2"): 1, ("AS2", "?"): 1}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hops_meet_the_cycle_before_in_one_pass(spark):
+    """Against a join by number; gone and blank hops, cycles without an address, hops that come twice; no join of hops with hops."""
+    rng = random.Random(3)
+    rows = [(s, t, 10 * t, h, rng.choice(["a", "b", "", None, "Unknown"]), rng.choice([None, "1", "2"]), rng.choice([None, 1.0, 5.0, 40.0])) for s in "xy" for t in range(12) for h in range(1, 5) for _ in range(rng.choice([0, 1, 1, 2]))]
+    rows += [("x", 20, 200, 1, None, "1", 3.0)]
+    k, c = ["s"], ["t", "i"]
+    hops = spark.createDataFrame(rows, "s string, t int, i int, hop int, ip string, asn string, rtt_ms double")
+    number, want = {}, []
+    for s, t in sorted({(r[0], r[1]) for r in rows if r[4]}):
+        number[s, t] = sum(x == s for x, _ in number)
+    for r in rows:
+        want += [(*r, *p[4:]) for p in rows if p[0] == r[0] and p[3] == r[3] and (r[0], r[1]) in number and number.get((p[0], p[1])) == number[r[0], r[1]] - 1]
+    cols = [*hops.columns, "prev_ip", "prev_asn", "prev_rtt"]
+    got = paths.with_previous(hops, None, k, c)
+    for found in (got, paths.with_previous(hops, paths.cycles(hops, k, c), k, c)):
+        assert sorted(map(repr, map(tuple, found.select(*cols).collect()))) == sorted(map(repr, want))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    both = paths.rtt_events(got).select(*cols, "categoria").unionByName(paths.ip_asn_events(got).select(*cols, "categoria"))
+    assert sorted(map(repr, paths.hop_events(got).select(*cols, "categoria").collect())) == sorted(map(repr, both.collect()))

@@ -56,8 +56,7 @@ _PAIRS = """WITH num AS (SELECT *, dense_rank() OVER (PARTITION BY series_id ORD
 
 
 def pairs(spark, sf):
-    h = hops(spark, sf)
-    return paths.with_previous(h, paths.cycles(h, K, C), K, C)
+    return paths.with_previous(hops(spark, sf), None, K, C)
 
 
 @query(_PAIRS + " SELECT series_id, cycle_ts, cycle_id, hop, round(diff_ms, 6) AS diff_ms, round(pct, 6) AS pct, categoria FROM re")
@@ -76,13 +75,12 @@ _UNKNOWN = "WITH v_unknown AS (SELECT series_id, cycle_ts, cycle_id, hop, CASE W
 
 def pairs_with_unknown(spark, sf):
     h = hops(spark, sf).withColumn("ip", F.when(F.substring("ip", -1, 1).cast("int") < 3, "Unknown").otherwise(F.col("ip")))
-    return paths.with_previous(h, paths.cycles(h, K, C), K, C)
+    return paths.with_previous(h, None, K, C)
 
 
 @query(_UNKNOWN + _PAIRS[5:].replace("v_hops", "v_unknown") + " SELECT series_id, cycle_ts, cycle_id, hop, prev_ip, ip, categoria FROM ie UNION ALL SELECT series_id, cycle_ts, cycle_id, hop, prev_ip, ip, categoria FROM re")
 def events_beside_unknown_addresses(spark, sf):
-    p, cols = pairs_with_unknown(spark, sf), [*K, *C, "hop", "prev_ip", "ip", "categoria"]
-    return paths.ip_asn_events(p).select(*cols).unionByName(paths.rtt_events(p).select(*cols))
+    return paths.hop_events(pairs_with_unknown(spark, sf)).select(*K, *C, "hop", "prev_ip", "ip", "categoria")
 
 
 @query("""WITH d AS (SELECT series_id, cycle_ts, cycle_id, arg_min(ip, hop) AS dst, (array_agg(asn ORDER BY hop))[1] AS dst_asn FROM v_hops GROUP BY 1, 2, 3),
@@ -103,7 +101,7 @@ _EVENTS = _PAIRS + """, ev AS (SELECT series_id, cycle_ts, cycle_id, categoria,
 
 def events(spark, sf):
     h = hops(spark, sf)
-    return paths.events(h, paths.cycles(h, K, C), K, C)
+    return paths.events(h, paths.cycles(h, K, C), K, C, every=True)
 
 
 @query(_EVENTS + " SELECT series_id, cycle_ts, cycle_id, categoria, CAST(row_number() OVER (PARTITION BY series_id, cycle_ts, cycle_id ORDER BY h, k) AS INTEGER) AS ordinal FROM ev")
