@@ -799,3 +799,27 @@ def test_hops_meet_the_cycle_before_in_one_pass(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     both = paths.rtt_events(got).select(*cols, "categoria").unionByName(paths.ip_asn_events(got).select(*cols, "categoria"))
     assert sorted(map(repr, paths.hop_events(got).select(*cols, "categoria").collect())) == sorted(map(repr, both.collect()))
+
+
+def test_resampling_sorts_no_whole_series(spark, monkeypatch):
+    """Series cut into parts of 7 rows give the rows of one part, and no window is over a series."""
+    rng = np.random.default_rng(3)
+    data = [(k, i, T0 + dt.timedelta(seconds=int(t)), float(v)) for k, n in (("a", 95), ("b", 5), ("c", 1)) for i, (t, v) in enumerate(zip(np.cumsum(rng.integers(1, 90, n)), rng.normal(size=n).round(3)))]
+    rows = spark.createDataFrame(data, "k string, id long, ts timestamp, x double")
+    got = []
+    for size in (1 << 17, 7):
+        monkeypatch.setattr(windows, "PART", size)
+        out = synthesis.resampled(rows, ["k"], ["ts", "id"], "x", "ts", 4, 1)
+        got.append(sorted(map(tuple, out.select("k", "idx", "src_idx", "seam", "dt_us", "x", "jump").collect()), key=lambda r: r[:2]))
+    assert got[0] == got[1] and len(got[0]) == 101
+    by = {k: [r for r in got[0] if r[0] == k] for k in "abc"}
+    assert all(r[5] == data[[d[0] for d in data].index(k) + r[2]][3] for k in "abc" for r in by[k])
+    assert all((r[6] is None) if not r[3] else r[6] == r[5] - by[r[0]][r[1] - 1][5] for r in got[0])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__part" in line for line in plan.splitlines() if "Window [" in line and "src_idx" in line)
+
+
+def test_upper_median_over_cells(spark):
+    values = [3, 1 << 21, 5, 1 << 22, (1 << 21) + 1, 3, -7]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 9), ("b", None)], "k string, x long")
+    assert {tuple(r) for r in stats.upper_median_of(df, ["k"], "x", "m", 4).collect()} == {("a", sorted(values)[len(values) // 2]), ("b", 9)}

@@ -26,14 +26,16 @@ def upper_median(x: str | Column) -> Column:
     return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
-def upper_median_of(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-    """The same by counts of distinct values: what meets in a group is its
-    distinct values with their counts."""
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+def upper_median_of(df: DataFrame, keys: list[str], x: str, out: str, cell: int = 1 << 20) -> DataFrame:
+    """The same by counts of distinct values, in two levels: cells of ``cell`` values name the
+    one that holds the place, and only its distinct values meet in a group."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n")).withColumn("__cell", F.floor(F.col(x) / cell))
     w = Window.partitionBy(*keys)
-    up = w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"__up": F.sum("__n").over(up), "__all": F.sum("__n").over(w)})
-    return placed.filter(F.col("__up") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min(x).alias(out))
+    up = lambda by: F.sum("__n").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    cells = counts.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__n")).withColumns({"__up": up("__cell"), "__all": F.sum("__n").over(w)})
+    cells = cells.filter((F.col("__up") > F.floor(F.col("__all") / 2)) & (F.col("__up") - F.col("__n") <= F.floor(F.col("__all") / 2)))
+    inside = counts.join(cells.select(*keys, "__cell", (F.floor(F.col("__all") / 2) - F.col("__up") + F.col("__n")).alias("__place")), [*keys, "__cell"])
+    return inside.withColumn("__up", up(x)).filter(F.col("__up") > F.col("__place")).groupBy(*keys).agg(F.min(x).alias(out))
 
 
 def mode_first_seen(df: DataFrame, keys: list[str], value: str, position: str | Column, out: str, nulls: bool = False) -> DataFrame:

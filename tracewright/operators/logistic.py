@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import dropped, settled
-from .hmm import numbered
+from .windows import numbered
 
 #: Added to the spread and to the weight of a row, bound of the exponent, last step.
 SPREAD, WEIGHT, EXPONENT, STEP = 1e-9, 1e-6, 30.0, 1e-6

@@ -6,11 +6,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import robust_sigma, upper_median_of
-from .windows import band_join, over, with_position
+from ..scratch import settled
+from .windows import band_join, in_parts, numbered, over, running_before, with_position
 
 #: Defaults of the design.
 DELTAS, HOURS, REPEATS = (2.0, 3.0, 5.0, 10.0, 20.0), (1.0, 6.0, 48.0), 2
@@ -195,15 +196,15 @@ def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str
     ``chosen_draws`` names, else the first.  Inside a block the real time step is kept; a
     block's first step is drawn from the series' steps of half to one and a half of the
     upper median (which stands in if there are none).  jump: step of the level at a seam
-    (null elsewhere)."""
-    w = over(keys, order)
-    step = F.unix_micros(F.col(t).cast("timestamp")) - F.lag(F.unix_micros(F.col(t).cast("timestamp"))).over(w)
+    (null elsewhere).  Rows are numbered and stepped by parts: no task sorts a series."""
     flags = [F.col(c).alias(n) for c, n in ((spike, "__spike"), (fail, "__fail")) if c]
-    src = rows.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("src_idx"), F.col(x).alias("__x"), F.col(level or x).alias("__l"), step.alias("__dt"), *flags)
-    steps = src.filter("__dt is not null")
-    middle = upper_median_of(steps, keys, "__dt", "__mid")
+    placed = numbered(rows.select(*keys, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.unix_micros(F.col(t).cast("timestamp")).alias("__t"), F.col(x).alias("__x"), F.col(level or x).alias("__l"), *flags), keys, [f"__o{i}" for i in range(len(order))], "src_idx")
+    part = Window.partitionBy(*keys, "__part").orderBy("src_idx")
+    src = in_parts(placed, "src_idx", 1).withColumn("__dt", F.col("__t") - F.lag("__t").over(part)).filter("not __copy")
+    src = settled(src.select(*keys, "src_idx", "__part", "__x", "__l", "__dt", *[n for n in ("__spike", "__fail") if n in placed.columns]), "source")
+    middle = settled(upper_median_of(src.filter("__dt is not null"), keys, "__dt", "__mid"), "steps")
     usual = src.join(middle, keys).filter((F.col("__dt") > 0.5 * F.col("__mid")) & (F.col("__dt") < 1.5 * F.col("__mid")))
-    usual = usual.select(*keys, (F.row_number().over(over(keys, ["src_idx"])) - 1).cast("long").alias("__k"), F.col("__dt").alias("__drawn"))
+    usual = running_before(usual.select(*keys, "__part", "src_idx", F.col("__dt").alias("__drawn")), keys, ["src_idx"], {"__k": F.lit(1).cast("long")}).select(*keys, "__k", "__drawn")
     size = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys, "left").join(middle, keys, "left")
     if len(flags) == 2:
         size = size.join(chosen_draws(src, keys, length, seed, "__spike", "__fail", tries).drop("deviation"), keys)
@@ -211,12 +212,15 @@ def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str
         size = size.withColumn("attempt", F.lit(1))
     blocks = size.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / length))))
     blocks = blocks.withColumns({"__start": _start(F.col("__n"), length, seed, keys), "__k": drawn(F.coalesce("__m", F.lit(1)), F.lit(seed), *keys, "__b", F.lit("dt"))})
+    # A series has one row of sizes: its blocks are dealt out before they become rows.
+    blocks = blocks.repartition(*keys, "__k").join(usual, [*keys, "__k"], "left")
     plan = blocks.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))).withColumns({"idx": F.col("__b") * length + F.col("__o"), "src_idx": F.col("__start") + F.col("__o")})
-    plan = plan.filter((F.col("idx") < F.col("__n")) & (F.col("src_idx") < F.col("__n"))).join(usual, [*keys, "__k"], "left")
-    out = plan.join(src, [*keys, "src_idx"]).withColumn("seam", (F.col("__o") == 0) & (F.col("idx") > 0))
-    jump = F.when(F.col("seam"), F.col("__l") - F.lag("__l").over(over(keys, ["idx"])))
+    plan = plan.filter((F.col("idx") < F.col("__n")) & (F.col("src_idx") < F.col("__n"))).select(*keys, "idx", "src_idx", "__o", "__drawn", "__mid")
+    out = plan.join(src.drop("__part"), [*keys, "src_idx"]).withColumn("seam", (F.col("__o") == 0) & (F.col("idx") > 0))
     dt = F.when(F.col("__o") > 0, F.col("__dt")).otherwise(F.coalesce("__drawn", "__mid"))
-    return out.select(*keys, "idx", "src_idx", "seam", dt.alias("dt_us"), F.col("__x").alias(x), jump.alias("jump"))
+    out = in_parts(out.select(*keys, "idx", "src_idx", "seam", dt.alias("dt_us"), F.col("__x").alias(x), "__l"), "idx", 1)
+    jump = F.when(F.col("seam"), F.col("__l") - F.lag("__l").over(Window.partitionBy(*keys, "__part").orderBy("idx")))
+    return out.withColumn("jump", jump).filter("not __copy").select(*keys, "idx", "src_idx", "seam", "dt_us", x, "jump")
 
 
 def step_design(series: DataFrame, keys: list[str], seed: int, deltas=DELTAS, hours=HOURS, repeats: int = REPEATS, separation_h: float = 12.0, margin_h: float = 12.0, severe_ms: float = 5.0) -> DataFrame:
