@@ -823,3 +823,49 @@ def test_upper_median_over_cells(spark):
     values = [3, 1 << 21, 5, 1 << 22, (1 << 21) + 1, 3, -7]
     df = spark.createDataFrame([("a", v) for v in values] + [("b", 9), ("b", None)], "k string, x long")
     assert {tuple(r) for r in stats.upper_median_of(df, ["k"], "x", "m", 4).collect()} == {("a", sorted(values)[len(values) // 2]), ("b", 9)}
+
+
+def test_exclusion_by_parts_equals_the_plain_rule(spark, monkeypatch):
+    """Series over many parts of 5 cycles: exclusion and its report as windows over whole series say them."""
+    rng = np.random.default_rng(5)
+    data = [(k, T0 + dt.timedelta(minutes=i), int(n), ["A"] if n < 8 else ["B"], bool(r), "x", "9", 1.0) for k, m in (("a", 83), ("b", 4), ("c", 9)) for i, (n, r) in enumerate(zip(np.repeat(rng.integers(5, 9, m), 3)[:m], rng.random(m) < 0.7))]
+    data += [("d", T0 + dt.timedelta(minutes=i), 5, ["A"], False, "x", "9", 1.0) for i in range(7)]
+    cyc = spark.createDataFrame(data, "k string, ts timestamp_ntz, length int, as_path array<string>, reached boolean, last_ip string, last_asn string, last_rtt double")
+    want, blocks_ = [], {}
+    for k in "abcd":
+        rows = [d for d in data if d[0] == k]
+        there = [i for i, d in enumerate(rows) if d[4]]
+        run, n = {}, 0
+        for p, i in enumerate(there):
+            n += p == 0 or rows[there[p - 1]][2] != rows[i][2]
+            run[i] = n
+        size = {x: list(run.values()).count(x) for x in run.values()}
+        told = lambda i: (run[i], rows[i][2], size[run[i]] >= 3)  # noqa: B023, E731
+        for i, d in enumerate(rows):
+            if d[4]:
+                if size[run[i]] < 3:
+                    want.append((k, d[1], "parpadeo" if size[run[i]] == 1 else "transitorio", run[i], d[2], False, True, False, None))
+                continue
+            prev, nxt = max([j for j in there if j < i], default=None), min([j for j in there if j > i], default=None)
+            own = told(prev) if prev is not None else told(nxt) if nxt is not None else (None, None, None)
+            gap = prev is not None and nxt is not None and run[prev] != run[nxt]
+            want.append((k, d[1], "sin_destino", *own, None if own[1] is None else d[2] == own[1], gap, run[nxt] if gap else None))
+        # Blocks: runs of a route of 3 or more, put together with the next one of the same route.
+        lasting = [(rows[next(i for i in run if run[i] == x)][2], [i for i in run if run[i] == x]) for x in sorted(size) if size[x] >= 3]
+        b, before = 0, None
+        spans = {}
+        for route, ids in lasting:
+            b += route != before
+            before = route
+            spans[b] = (min(ids + [spans[b][0]] if b in spans else ids), max(ids))
+        blocks_ |= {(k, rows[i][1]): x for i in there for x, (lo, hi) in spans.items() if lo <= i <= hi}
+        for i, d in enumerate(rows):
+            if not d[4] and there:
+                sides = [blocks_.get((k, rows[j][1])) for j in (max([j for j in there if j < i], default=None), min([j for j in there if j > i], default=None)) if j is not None]
+                blocks_[(k, d[1])] = sides[0] if len(set(sides)) == 1 else None
+    monkeypatch.setattr(windows, "PART", 5)
+    key = lambda r: (r[0], r[1])
+    got = paths.excluded_cycles(cyc, ["k"], ["ts"], 3).select("k", "ts", "motivo", "tramo_n", "tramo_longitud", "tramo_sostenido", "misma_longitud_que_tramo", "entre_tramos", "tramo_siguiente_n").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    report = reports.excluded_report(cyc, ["k"], ["ts"], 3)
+    assert {(r.k, r.ciclo): (r.motivo, r.tramo_n, r.bloque_id) for r in report.collect()} == {(w[0], w[1]): (w[2], w[3], blocks_.get((w[0], w[1]))) for w in want}

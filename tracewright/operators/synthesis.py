@@ -204,7 +204,7 @@ def resampled(rows: DataFrame, keys: list[str], order: list[str], x: str, t: str
     src = settled(src.select(*keys, "src_idx", "__part", "__x", "__l", "__dt", *[n for n in ("__spike", "__fail") if n in placed.columns]), "source")
     middle = settled(upper_median_of(src.filter("__dt is not null"), keys, "__dt", "__mid"), "steps")
     usual = src.join(middle, keys).filter((F.col("__dt") > 0.5 * F.col("__mid")) & (F.col("__dt") < 1.5 * F.col("__mid")))
-    usual = running_before(usual.select(*keys, "__part", "src_idx", F.col("__dt").alias("__drawn")), keys, ["src_idx"], {"__k": F.lit(1).cast("long")}).select(*keys, "__k", "__drawn")
+    usual = running_before(usual.select(*keys, "__part", "src_idx", F.col("__dt").alias("__drawn")), keys, "src_idx", {"__k": F.lit(1).cast("long")}).select(*keys, "__k", "__drawn")
     size = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(usual.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")), keys, "left").join(middle, keys, "left")
     if len(flags) == 2:
         size = size.join(chosen_draws(src, keys, length, seed, "__spike", "__fail", tries).drop("deviation"), keys)

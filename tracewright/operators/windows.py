@@ -49,17 +49,39 @@ def in_parts(df: DataFrame, pos: str, back: int = 0) -> DataFrame:
     return df.select("*", F.inline(both))
 
 
-def running_before(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+def _with_earlier(df: DataFrame, totals: DataFrame, keys: list[str], earlier: list[Column]) -> DataFrame:
+    """Rows with what the totals (a row for each part) say of the parts before: __t0, __t1, ..."""
+    names, seen = [f"__of{i}" for i in range(len(keys))], [v.alias(f"__t{i}") for i, v in enumerate(earlier)]
+    totals = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__part").alias("__p"), *seen)
+    on = [*[F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.col("__part") == F.col("__p")]
+    return df.join(totals, on).drop("__p", *names)
+
+
+def running_before(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column]) -> DataFrame:
     """Adds sums over the rows before each one in its series, in two levels: within the part
     (__part) by a window, and over the parts before by one over the parts' sums."""
-    total = df.groupBy(*keys, "__part").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(sums.values())])
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    total = total.select(*[F.col(k).alias(f"__of{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__t{i}").over(earlier), zero).alias(f"__t{i}") for i in range(len(sums))])
-    w = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    on = [*[F.col(k).eqNullSafe(F.col(f"__of{i}")) for i, k in enumerate(keys)], F.col("__part") == F.col("__p")]
-    out = df.withColumns({name: F.coalesce(F.sum(v).over(w), zero) for name, v in sums.items()}).join(total, on)
-    return out.withColumns({name: F.col(name) + F.col(f"__t{i}") for i, name in enumerate(sums)}).drop("__p", *[f"__of{i}" for i in range(len(keys))], *[f"__t{i}" for i in range(len(sums))])
+    totals = df.groupBy(*keys, "__part").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(sums.values())])
+    before = Window.unboundedPreceding, -1
+    w, parts, zero = over([*keys, "__part"], [pos]).rowsBetween(*before), over(keys, ["__part"]).rowsBetween(*before), F.lit(0).cast("long")
+    out = _with_earlier(df.withColumns({name: F.sum(v).over(w) for name, v in sums.items()}), totals, keys, [F.sum(f"__t{i}").over(parts) for i in range(len(sums))])
+    return out.withColumns({name: F.coalesce(name, zero) + F.coalesce(f"__t{i}", zero) for i, name in enumerate(sums)}).drop(*[f"__t{i}" for i in range(len(sums))])
+
+
+def carried(df: DataFrame, keys: list[str], pos: str, values: dict[str, Column], ahead: bool = False) -> DataFrame:
+    """Adds the last value that isn't null of the rows before each one (``ahead``: the first
+    of those behind it) in its series, in the same two levels."""
+    edge, turn, before = F.min_by if ahead else F.max_by, F.desc if ahead else F.col, (Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "__part").agg(*[edge(v, F.when(v.isNotNull(), F.col(pos))).alias(f"__t{i}") for i, v in enumerate(values.values())])
+    w, parts = over([*keys, "__part"], [turn(pos)]).rowsBetween(*before), over(keys, [turn("__part")]).rowsBetween(*before)
+    out = _with_earlier(df.withColumns({name: F.last(v, True).over(w) for name, v in values.items()}), totals, keys, [F.last(f"__t{i}", True).over(parts) for i in range(len(values))])
+    return out.withColumns({name: F.coalesce(name, f"__t{i}") for i, name in enumerate(values)}).drop(*[f"__t{i}" for i in range(len(values))])
+
+
+def with_runs_by_part(df: DataFrame, keys: list[str], pos: str, by: list[str], out: str = "run_id") -> DataFrame:
+    """W2 for rows with a place and its part."""
+    rows = carried(df, keys, pos, {"__before": F.struct(*by)})
+    rows = rows.withColumn("__start", F.when(F.struct(*by).eqNullSafe(F.col("__before")), 0).otherwise(1).cast("long"))
+    return running_before(rows, keys, pos, {out: F.col("__start")}).withColumn(out, F.col(out) + F.col("__start")).drop("__start", "__before")
 
 
 def with_runs(df: DataFrame, keys: list[str], order: list[str], by: list[str], out: str = "run_id") -> DataFrame:
