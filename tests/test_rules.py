@@ -281,6 +281,25 @@ def test_units_pass_messages_until_they_equal_one_pass():
     assert np.allclose(sum(f.flat() for f, _ in found), want.flat(), rtol=1e-6, atol=1e-6)
 
 
+def test_units_by_value_equal_units_by_row():
+    """Values weighed once with the places of the rows, in a room of a step's arrays, against rows in one array."""
+    g = np.random.default_rng(5)
+    y = np.round(g.exponential(1.0, 3000), 2) + np.repeat([0.0, 8.0, 0.0], 1000)
+    values, kinds = np.unique(y, return_inverse=True)
+    units = [hmm.Unit(values, [0, 700], kinds=kinds), hmm.Unit(y, [0, 700])]
+    first = [u.guess(np.linspace(0, 9, 6), 1.0, None) for u in units]
+    m = hmm.Model.of(first[0], len(y), hmm.Setting(k=6))
+    a, b = ([u.expect(m, None, None), u.states()] for u in units)
+    assert np.array_equal(a[1], b[1]) and np.allclose(a[0][0].flat(), b[0][0].flat(), rtol=1e-12) and np.isclose(a[0][1], b[0][1])
+    assert np.isclose(a[0][0].moments[1].sum(), y.sum()) and np.isclose(a[0][0].pair.sum(), len(y) - 2)
+    ch = units[0].ch
+    like = np.exp(np.maximum(-650, (e := m.level[:, None] + m.slope[:, None] * (y[ch.rows] - m.at[:, None]) ** 2) - e.max(0)))
+    f, back, scale, ends = np.empty_like(like), np.empty_like(like), np.empty(len(y)), np.full((6, len(ch.length)), 1 / 6)
+    chains.forward(ch, like, m.trans, np.repeat(m.begin[:, None], len(ch.length), 1), ends, f, scale)
+    chains.backward(ch, like, m.trans, np.ones_like(ends), ends.copy(), f, scale, back)
+    assert np.allclose(np.concatenate(units[0].f, 1), f, rtol=1e-7, atol=1e-12) and np.allclose((f * back).sum(1), a[0][0].moments[0], rtol=1e-7)
+
+
 def test_a_series_of_many_chunks_has_the_states_of_one(spark):
     """Memoised rounds over chunks, with several sequences, against one task."""
     g = np.random.default_rng(8)
