@@ -478,6 +478,18 @@ def test_folds_learn_from_the_rest(spark, monkeypatch, sent, part, alone):
     assert evaluation.blocked_cv(df.limit(0), ["series_id"], ["i"], ["a", "b"], "y", 5, purge).count() == 0
 
 
+def test_packed_rows_add_up_to_the_sums_of_rows(spark):
+    """A step on packs of rows has the gradient and Hessian of one on rows; null rows teach nothing."""
+    g = np.random.default_rng(11)
+    rows = [(k, i, float(v), None if i == 7 else float(v * v), int(g.integers(0, 2))) for k in "st" for i, v in enumerate(g.normal(size=60))]
+    at = logistic.placed(spark.createDataFrame(rows, "series_id string, i long, a double, b double, y int"), ["series_id"], ["i"], ["a", "b"], "y")
+    series = at.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).withColumns({"__from": F.lit(0).cast("long"), "__rows": F.col("__n")})
+    models = logistic.begun(at, logistic.folds(series, 3, 2), 2).withColumn("weights", F.expr("array(0.5D, -0.25D, 1D)"))
+    got, want = ({(r["__id"], r.model): (r.gradient, r.hessian) for r in f.collect()} for f in (logistic.newton_sums_of(logistic.packed(at, 2), models, 2), logistic.newton_sums(at, models, 2)))
+    assert set(got) == set(want) and len(got) == 6
+    assert all(np.allclose(a, b, rtol=1e-10, atol=1e-12) for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_cycles_reachability_and_exclusion(spark):
     rows = []
     for i, (ip, asn) in enumerate([("d", "9")] * 6 + [("m", "5")] + [("d", "9")] * 5):

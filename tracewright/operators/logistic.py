@@ -3,8 +3,8 @@
 Rows are numbered over their series, and a model is a row of places: it learns from
 [learn_from, learn_to) without [gap_from, gap_to), and is asked on [test_from, test_to).
 So a fold with its purge is one gap, and a side of a scenario one range.  All models take
-their Newton steps together: a job goes over the rows once, each row adds to the sums
-(gradient and Hessian) of the models that it teaches, tasks add up first what they hold,
+their Newton steps together: a job goes over the rows once, put together as arrays (``packed``),
+each adds to the sums (gradient and Hessian) of the models that it teaches, tasks add up first what they hold,
 and the steps are solved on the sums, a few numbers a model.  What has converged is left
 out of later rounds.  No task holds a long series or fold of one; a series of at most
 ``ALONE`` rows is one bounded group, which saves it the jobs.
@@ -42,7 +42,10 @@ def placed(rows: DataFrame, keys: list[str], order: list[str], features: list[st
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v))
     y = F.nanvl(F.col(label).cast("double"), F.lit(None).cast("double"))
     one = rows.withColumns({"__id": F.to_json(F.struct(*keys)), "__x": F.when(whole, x), "__y": y})
-    return settled(numbered(one, "__id", order, "__pos"), "places")
+    one = settled(one, "features")  # a range sort reads its rows twice
+    out = settled(numbered(one, "__id", order, "__pos"), "places")
+    dropped(one)
+    return out
 
 
 def folds(series: DataFrame, n: int, purge: int) -> DataFrame:
@@ -55,10 +58,14 @@ def folds(series: DataFrame, n: int, purge: int) -> DataFrame:
     )
 
 
+def _few(n: int, width: int) -> bool:
+    return n * (3 * width + len(PLACES) + 6) <= SENT
+
+
 def beside(rows: DataFrame, models: DataFrame, width: int, n: int | None = None) -> DataFrame:
     """Each row with the models (``n``, if counted) of its series.  Few models are sent to the
     rows; many meet them by series and part, so that a long series is many groups."""
-    if (models.count() if n is None else n) * (3 * width + len(PLACES) + 6) <= SENT:
+    if _few(models.count() if n is None else n, width):
         return rows.join(F.broadcast(models), "__id")
     dealt = models.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / PART))))
     return rows.withColumn("__part", F.floor(F.col("__pos") / PART)).join(dealt, ["__id", "__part"]).drop("__part")
@@ -103,6 +110,45 @@ def newton_sums(rows: DataFrame, models: DataFrame, width: int, n: int | None =
     return at.groupBy("__id", "model").agg(F.expr(f"array({', '.join(gradient)})").alias("gradient"), F.expr(f"array({', '.join(hessian)})").alias("hessian"))
 
 
+def packed(rows: DataFrame, width: int) -> DataFrame:
+    """Settled rows that can teach, put together by Arrow batch and series (__id, __at, __label,
+    __values: feature by feature), so that a step works on arrays and not on rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(k, g["__pos"].to_numpy(), g["__y"].to_numpy(), g.iloc[:, 3:].to_numpy(float).T.ravel()) for k, g in b.groupby("__id")]
+            yield pd.DataFrame(found, columns=["__id", "__at", "__label", "__values"])
+
+    usable = rows.filter("__x is not null and __y is not null").select("__id", "__pos", "__y", *[F.col("__x")[i].alias(f"__x{i}") for i in range(width)])
+    return settled(usable.mapInPandas(run, "__id string, __at array<long>, __label array<double>, __values array<double>"), "packed")
+
+
+def _teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the rows of a pack add to the sums of the models of their series."""
+    for b in batches:
+        found = []
+        for r in b.itertuples(index=False, name=None):
+            id_, pos, y, x, models = r
+            x = np.reshape(x, (-1, len(pos)))
+            for m in models:
+                learn = (pos >= m["learn_from"]) & (pos < m["learn_to"]) & ~((pos >= m["gap_from"]) & (pos < m["gap_to"]))
+                if not learn.any():
+                    continue
+                z = np.vstack([np.ones(learn.sum()), (x[:, learn] - np.array(m["mean"])[:, None]) / np.array(m["spread"])[:, None]])
+                p = 1 / (1 + np.exp(-np.clip(np.array(m["weights"]) @ z, -EXPONENT, EXPONENT)))
+                hessian = (z * (p * (1 - p) + WEIGHT)) @ z.T
+                found.append((id_, m["model"], z @ (y[learn] - p), hessian[np.triu_indices(len(z))]))
+        yield pd.DataFrame(found, columns=["__id", "model", "gradient", "hessian"])
+
+
+def newton_sums_of(packs: DataFrame, models: DataFrame, width: int) -> DataFrame:
+    """``newton_sums`` of ``packed`` rows, for models few enough to be sent to them."""
+    own = models.groupBy("__id").agg(F.collect_list(F.struct("model", *PLACES[:4], "weights", "mean", "spread")).alias("__models"))
+    at = packs.join(F.broadcast(own), "__id").mapInPandas(_teach, "__id string, model string, gradient array<double>, hessian array<double>")
+    add = lambda name, n: F.array(*[F.sum(F.col(name)[i]) for i in range(n)]).alias(name)
+    return at.groupBy("__id", "model").agg(add("gradient", width + 1), add("hessian", (width + 1) * (width + 2) // 2))
+
+
 def stepped(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights (models x features) after a Newton step on the sums, and which have converged."""
     k = w.shape[1]
@@ -161,15 +207,24 @@ def fit(rows: DataFrame, models: DataFrame, width: int, penalty: float = 1.0, ro
     short = usable.groupBy("__id").cogroup(start.filter(few & ~F.col("done")).groupBy("__id")).applyInPandas(_alone(penalty, rounds), start.schema)
     now = settled(short.unionByName(start.filter(~few | F.col("done"))), "models")
     dropped(start)
+    packs = None
     for _ in range(rounds):
         left = now.filter(~few & ~F.col("done"))
         n = left.count()
         if not n:
             break
-        with_sums = now.join(newton_sums(rows, left, width, n), ["__id", "model"], "left")
+        if _few(n, width):
+            long = left.select("__id").distinct()
+            packs = packed(rows.join(F.broadcast(long), "__id", "left_semi"), width) if packs is None else packs
+            sums = newton_sums_of(packs, left, width)
+        else:
+            sums = newton_sums(rows, left, width, n)
+        with_sums = now.join(sums, ["__id", "model"], "left")
         new = settled(with_sums.mapInPandas(_solve(penalty), now.schema), "models")
         dropped(now)
         now = new
+    if packs is not None:
+        dropped(packs)
     return now
 
 

@@ -110,6 +110,8 @@ def fused(moments: DataFrame, limit: float | None) -> DataFrame:
 def placed(rows: DataFrame, keys: list[str], order: list[str], x: str, sequence: str | None = None) -> DataFrame:
     """Settled rows with __id (their series), __pos, __head (begins a sequence) and __y."""
     one = rows.withColumns({"__id": F.to_json(F.struct(*keys)), "__y": F.col(x).cast("double")})
+    if sequence:  # a range sort reads its rows twice, and sequences come out of windows
+        one = settled(one, "sequences")
     at = numbered(one, "__id", [*([sequence] if sequence else []), *order], "__pos")
     first = F.col("__pos") == 0
     if sequence:
