@@ -900,3 +900,42 @@ def test_exclusion_by_parts_equals_the_plain_rule(spark, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     report = reports.excluded_report(cyc, ["k"], ["ts"], 3)
     assert {(r.k, r.ciclo): (r.motivo, r.tramo_n, r.bloque_id) for r in report.collect()} == {(w[0], w[1]): (w[2], w[3], blocks_.get((w[0], w[1]))) for w in want}
+
+
+@pytest.mark.parametrize("stay, starts, joins", [(1, [0], False), (60, [0, 500, 501, 9000], True), (4000, [0], True)])
+def test_passes_with_statistics_equal_plain_ones(stay, starts, joins):
+    """Laps of a long chunk, also where its rows are remembered for long, against the plain passes."""
+    g = np.random.default_rng(stay)
+    y = np.round(np.repeat(g.choice([30.0, 31.0, 38.0], 80_000 // stay), stay) + g.exponential(0.5, 80_000 // stay * stay), 2)
+    s, y = hmm.Setting(k=8), y - y.mean()
+    found = []
+    for quick in (True, False):
+        unit = hmm.Unit(y, starts, joins, joins)
+        unit.passes = unit.passes if quick else None
+        sums = unit.guess(np.linspace(y.min(), y.max(), 8), 1.0, 0.0)
+        for _ in range(6):
+            edge = np.full(len(sums.first), 1 / len(sums.first)) if joins else None
+            sums, bound = unit.expect(hmm.Model.of(sums, len(y), s), edge, edge)
+            assert bool(unit.quick) == quick
+        found.append((sums, bound, unit.states(), *unit.told()))
+    (a, bound, states, tail, head), (b, *plain) = found
+    assert all(np.allclose(p, q, rtol=1e-7, atol=1e-7) for p, q in zip(a, b)) and np.isclose(bound, plain[0], rtol=1e-10)
+    assert (states == plain[1]).all() and np.allclose(tail, plain[2], rtol=1e-7, atol=1e-12) and np.allclose(head, plain[3], rtol=1e-7, atol=1e-12)
+
+
+def test_sweep_is_one_fit(spark, monkeypatch):
+    """Runs with and without a percentile go through the model together, each on its own rows."""
+    fit, seen = hmm.fit, []
+    monkeypatch.setattr(hmm, "fit", lambda *a: seen.append(a[1]) or fit(*a))
+    df = spark.createDataFrame([("s", i, 30.0 + (i // 40 % 2) * 9 + i % 3 * 0.1) for i in range(200)], "series_id string, i int, x double")
+    got = {(r.config_id, r.seed): r.n for r in evaluation.sweep(df, ["series_id"], [{"percentile": p, "k": 3, "laps": 5} for p in (98.0, 0.0, 40.0)], [0, 1], ["i"], "x").collect()}
+    left = {c: int((np.array([30.0 + (i // 40 % 2) * 9 + i % 3 * 0.1 for i in range(200)]) <= cut).sum()) for c, cut in ((0, 39.2), (1, 39.2), (2, 30.1))}
+    assert len(seen) == 1 and got == {(c, s): n for c, n in left.items() for s in (0, 1)}
+
+
+def test_chunk_without_news_is_not_run_again():
+    """Its row goes on as it is, without its values being looked at."""
+    states = np.zeros(3, np.int8)
+    row = {"id": "s", "run": 0, "chunk": 1, "chunks": 2, "lap": 9, "own": [1.0], "tail": [1.0], "head": [1.0], "bound": -1.0, "all_bound": -2.0, "frozen": True, "news": False, "states": states}
+    (out,) = hmm._round([hmm.Setting()])(iter([pd.DataFrame([row])]))
+    assert not out.moved[0] and out.frozen[0] and out.lap[0] == 12 and out.states[0].tolist() == [0, 0, 0]
